@@ -7,26 +7,65 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
+from .jaccard_join import jaccard_groups
+from .lm_score import likelihoods
+from .secrets import secret_spans
 from .shared import fresh_path
 from .token_counts import token_counts
 from .token_files import token_file_digest, write_token_files
+from .toxicity import toxicity_scores
+from .url_rules import judge_urls
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of all documents."""
+    return likelihoods(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls."""
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from a cache that starts empty (a cache kept between runs would hide the work)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ORC files of token ids, read back."""
     out = fresh_path(spark, "token-files")
-    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, public_tokenizers.path("word_bpe_49k.json"))
+    write_token_files(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"))
     return token_file_digest(spark, out)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by their shingle sets."""
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts, op9_token_files)}
+    return {f.__name__: f for f in (op3_lm_score, op4_url_rules, op5_secret_spans, op6_decontaminate, op7_token_counts, op8_toxicity, op9_token_files, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

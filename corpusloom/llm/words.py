@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES * 5 // 4)
@@ -70,7 +70,7 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts())])
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = _power_tables(len(self.text) + 1)
+        _, down = power_tables(len(self.text) + 1)
         return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
@@ -111,7 +111,7 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACES, need_hash: bool
         rows = row + np.searchsorted(at, start, side="right") - 1
         lower = _LOWER[text]
         if need_hash:
-            up, _ = _power_tables(len(text) + 1)
+            up, _ = power_tables(len(text) + 1)
             sums = np.empty(len(text) + 1, np.uint64)
             sums[0] = 0
             np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
@@ -125,7 +125,7 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACES, need_hash: bool
 
 
 #: Odd multipliers, one for each place in a shingle.
-_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for i in range(k):
-        total += w.hash[i : i + n] * _PLACES[i % 64]
+        total += w.hash[i : i + n] * PLACES[i % 64]
     whole = np.flatnonzero(w.row[:n] == w.row[k - 1 :])
     return whole, mix(total[whole])
 
