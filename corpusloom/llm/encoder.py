@@ -8,6 +8,7 @@ with a special token's string, or with white space outside ASCII, are encoded wh
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -18,47 +19,74 @@ _LETTERS = "[A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (
 _PIECES = re.compile(rf"[ \t\n\r\x0b\x0c]*{_LETTERS}(?=[,.])|[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
-#: Pieces remembered by one Python worker, and the longest of them in characters. Beyond, pieces are encoded anew.
+#: In lower case: a letter before a comma or full stop makes the cut safe; this finds the other cases.
+_ODD_STOP = re.compile("[^a-z0-9ß-öø-ÿ \n\t\r][,.]")
+#: Pieces that are one token before merging, whatever the pre-tokenizer: runs of Latin-1 letters, after one blank at most.
+_SIMPLE = {True: re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"), False: re.compile("[a-zß-öø-ÿ]+")}
+
+#: Pieces in each of the two generations that one Python worker remembers, and the longest of them in characters. Beyond, pieces are encoded anew.
 REMEMBERED, LONGEST = 400_000, 64
 
 
 class Encoder:
-    """One worker's tokenizer and its remembered pieces. white_space: whether white space itself gives tokens."""
+    """One worker's tokenizer and its remembered pieces.
+
+    white_space: whether white space gives tokens; if not, the tokenizer must take upper case as lower case.
+    """
 
     def __init__(self, path: str, white_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
+        plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.merges = Tokenizer.from_str(json.dumps(plain))  # the same merges, for simple pieces, without rules that change nothing there
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.white_space = white_space
+        self.white_space, self.simple = white_space, _SIMPLE[white_space].fullmatch
         self.known: dict[str, object] = {}
-
-    def _whole(self, text: str) -> bool:
-        return any(s in text for s in self.special) or (not text.isascii() and _ODD_SPACE.search(text) is not None)
-
-    def _pieces(self, texts: list[str]) -> list[list[str] | None]:
-        found = [None if self._whole(t) else _PIECES.findall(t) for t in texts]
-        return found if self.white_space else [p if p is None else [x.lstrip(" \t\n\r\x0b\x0c") for x in p] for p in found]
+        self.older: dict[str, object] = {}
+
+    def _split(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
+        if self.white_space:
+            return None if not text.isascii() and _ODD_SPACE.search(text) else _PIECES.findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None if _ODD_SPACE.search(text) else [x.lstrip(" \t\n\r\x0b\x0c") for x in _PIECES.findall(text)]
+        text = text.lower()
+        if _ODD_STOP.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None if _ODD_SPACE.search(text) else [x.lstrip(" \t\n\r\x0b\x0c") for x in _PIECES.findall(text)]
+        return text.replace(",", " ,").replace(".", " .").split()
 
     def _learn(self, pieces: list[list[str] | None], value) -> dict[str, object]:
         """Values of these pieces; value(ids, bounds) makes them."""
         seen = set().union(*(p for p in pieces if p))
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = [x for x in seen if x not in self.known]
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         extra: dict[str, object] = {}
-        for i in range(0, len(missing), 50_000):
-            part = missing[i : i + 50_000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            bounds = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))
-            values = value(np.array(got.ids, np.uint32), bounds)
-            for x, v in zip(part, values, strict=True):
-                (self.known if len(x) <= LONGEST else extra)[x] = v
-        return self.known if not extra else self.known | extra
+        todo: tuple[list[str], list[str]] = ([], [])
+        for x in seen:
+            if x not in known:
+                if x in older:
+                    known[x] = older[x]
+                else:
+                    todo[self.simple(x) is not None].append(x)
+        for tokenizer, missing in zip((self.tokenizer, self.merges), todo, strict=True):
+            for i in range(0, len(missing), 50_000):
+                part = missing[i : i + 50_000]
+                got = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                bounds = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))
+                values = value(np.array(got.ids, np.uint32), bounds)
+                for x, v in zip(part, values, strict=True):
+                    (known if len(x) <= LONGEST else extra)[x] = v
+        return known if not extra else known | extra
 
     def counts(self, texts: list[str]) -> list[int]:
-        pieces = self._pieces(texts)
+        pieces = [self._split(t) for t in texts]
         known = self._learn(pieces, lambda ids, bounds: np.diff(bounds).tolist())
         return [
             len(self.tokenizer.encode(t, add_special_tokens=False).ids) if p is None else sum(map(known.__getitem__, p))
@@ -67,7 +95,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        pieces = self._pieces(texts)
+        pieces = [self._split(t) for t in texts]
 
         def cut(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
             raw, at = ids.astype("<u4").tobytes(), (bounds * 4).tolist()
