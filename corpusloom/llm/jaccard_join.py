@@ -327,8 +327,9 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
         of = lambda c: F.pmod(F.xxhash64("class"), F.ceil(F.col(c) / BLOCK))
         aside = blocks.filter("outside").groupBy("h").agg(F.count("*").alias("n_out"))
         blocks = blocks.join(aside, "h")
-        here = blocks.select("h", "class", "root", F.lit(False).alias("outside"), of("size").alias("j"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_out") / BLOCK) - 1).cast("int"))).alias("i"))
-        out = blocks.filter("outside").select("h", "class", "root", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK) - 1).cast("int"))).cast("long").alias("j"), of("n_out").cast("int").alias("i"))
+        each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1))
+        here = blocks.select("h", "class", "root", F.lit(False).alias("outside"), each("n_out").alias("i"), of("size").alias("j"))
+        out = blocks.filter("outside").select("h", "class", "root", F.lit(True).alias("outside"), of("n_out").alias("i"), each("size").alias("j"))
         both = here.unionByName(out).join(sets, "class").select("h", "i", "j", "class", "root", "outside", "set")
         more = both.groupBy("h", "i", "j").applyInPandas(_compare(percent), "a long, b long")
         roots = grouped(links.unionByName(written(more, "jaccard-more")))

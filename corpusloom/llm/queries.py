@@ -10,18 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_groups
 from .lm_score import likelihoods
+from .mixing import MIX_SQL, mix_report
 from .secrets import secret_spans
 from .shared import fresh_path
 from .token_counts import token_counts
 from .token_files import token_file_digest, write_token_files
 from .toxicity import toxicity_scores
 from .url_rules import judge_urls
+from .vector_graph import vector_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' sources mixed to 98 % of the largest entropy, at most four passes, within as many tokens as there are."""
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all embeddings that nearly coincide."""
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of all documents."""
     return likelihoods(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -65,8 +77,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_lm_score, op4_url_rules, op5_secret_spans, op6_decontaminate, op7_token_counts, op8_toxicity, op9_token_files, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_source_mix, op2_vector_graph, op3_lm_score, op4_url_rules, op5_secret_spans, op6_decontaminate, op7_token_counts, op8_toxicity, op9_token_files, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_source_mix": MIX_SQL}

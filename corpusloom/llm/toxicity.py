@@ -23,6 +23,8 @@ from .words import PUNCTUATION, words_of
 
 BUCKETS = 1 << 18
 SAMPLE, TERMS, FACTORS = 12_000, 4096, 8
+#: Least likelihood-ratio statistic of a term that takes part (about one in a thousand by chance).
+SIGNIFICANT = 11.0
 
 
 def _row_terms(column: pa.Array, pick: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -69,7 +71,18 @@ class Machine:
         return out
 
 
-def fit_machine(y: np.ndarray, terms: list[np.ndarray], n_terms: int = TERMS, factors: int = FACTORS, epochs: int = 12, seed: int = 7) -> Machine:
+def _g_squared(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarray:
+    """Likelihood-ratio statistic of each term's presence in a of n_a rows of one class and b of n_b of the other."""
+    total = np.zeros(len(a))
+    for x, y in ((a, b), (n_a - a, n_b - b)):
+        for seen, n in ((x, n_a), (y, n_b)):
+            due = (x + y) * (n / (n_a + n_b))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total += np.where(seen > 0, 2 * seen * np.log(seen / due), 0)
+    return total
+
+
+def fit_machine(y: np.ndarray, terms: list[np.ndarray], n_terms: int = TERMS, factors: int = FACTORS, epochs: int = 30, seed: int = 7) -> Machine:
     """Fit by AdaGrad on the logistic loss, in small batches, with an L2 pull on weights and factors."""
     pick = np.full(BUCKETS, -1, np.int64)
     n = len(y)
@@ -77,12 +90,12 @@ def fit_machine(y: np.ndarray, terms: list[np.ndarray], n_terms: int = TERMS, fa
         return Machine(pick, -4.0, np.zeros(1), np.zeros((1, factors)))
     rate = (y.sum() + 0.5) / (n + 1)
     df = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, k in zip(terms, y, strict=True) if k == c)]), minlength=BUCKETS) for c in (0, 1)]
-    p1, p0 = (df[1] + 0.5) / (y.sum() + 1), (df[0] + 0.5) / (n - y.sum() + 1)
-    tell = np.abs(np.log(p1 / p0)) * np.sqrt(df[0] + df[1])
-    tell[(df[0] + df[1]) < 3] = 0
+    tell = _g_squared(df[1], df[0], y.sum(), n - y.sum())
+    tell[df[0] + df[1] < 3] = 0
     chosen = np.sort(np.argsort(-tell, kind="stable")[:n_terms])
-    chosen = chosen[tell[chosen] > 0]
+    chosen = chosen[tell[chosen] >= SIGNIFICANT]
     pick[chosen] = np.arange(len(chosen))
+    rare = float(np.sqrt((1 - rate) / rate))  # errors on the rarer class count for more
     rng = np.random.default_rng(seed)
     size = max(1, len(chosen))
     m = Machine(pick, float(np.log(rate / (1 - rate))), np.zeros(size), rng.normal(0, 0.01, (size, factors)))
@@ -94,7 +107,7 @@ def fit_machine(y: np.ndarray, terms: list[np.ndarray], n_terms: int = TERMS, fa
             part = order[i : i + 64]
             row = np.repeat(np.arange(len(part)), [len(kept[j]) for j in part])
             term = np.concatenate([np.zeros(0, np.int64), *(kept[j] for j in part)])
-            error = 1 / (1 + np.exp(-np.clip(m.margins(len(part), row, term), -30, 30))) - y[part]
+            error = (1 / (1 + np.exp(-np.clip(m.margins(len(part), row, term), -30, 30))) - y[part]) * np.where(y[part] > 0, rare, 1)
             sums = np.zeros((len(part), factors))
             np.add.at(sums, row, m.factors[term])
             used, back = np.unique(term, return_inverse=True)
