@@ -9,11 +9,12 @@ one of two ways, chosen by set size:
   do without, common shingles last, so a passage of many documents makes no long list.
 
 The boundary minimises subsets listed plus list entries scanned, from the size histogram. Classes
-that meet are verified on their whole sets.
+that meet are compared by parity bitmaps, whose differing bits never exceed the sets' difference, and what
+passes is verified on whole sets.
 
-Long lists come from groups of near copies. Only pairs with the list's first class are verified at once; lists
-whose classes then lie in more than one group are compared again, those outside the list's main group
-against all, in blocks. So no list's pairs are all emitted, and none is lost between groups.
+Long lists come from groups of near copies. Only pairs with the list's first class are verified at once. Lists of one
+first class are then one cluster; clusters whose classes lie in more than one group are compared again, those outside
+the cluster's main group against all, in blocks. So no list's pairs are all emitted, and none is lost between groups.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .words import PLACES, lists, mix, shingles, words_of
 WORDS, THRESHOLD = 4, 85  # per cent
 #: Lists up to SMALL classes are paired in full. Shingles in the prefixes of more documents than that count as common; at most COMMON of them, the most frequent.
 SMALL, COMMON, BLOCK = 8, 500_000, 512
+#: Ids of documents to verify that are sent to all tasks; more are joined by a shuffle.
+SENT = 1_000_000
 #: Largest boundary that is considered.
 MOST_LIGHT = 20
 
@@ -100,6 +103,25 @@ def _take_prefix(bounds: np.ndarray, h: np.ndarray, common: np.ndarray | None, p
     return row[keep], h[keep]
 
 
+def parity_bits(bounds: np.ndarray, h: np.ndarray) -> list[bytes]:
+    """For each row, as many bits as the power of two that is twice its set's size or just above, and 64 at least: whether an odd number of hashes fall on each."""
+    n = np.diff(bounds)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    place = at[row] + ((h >> np.uint64(20)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits(np.bincount(place, minlength=at[-1]) & 1, bitorder="little").tobytes()
+    at = (at // 8).tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps, the longer folded to the shorter."""
+    p, q = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
+    q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), 0)
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +129,8 @@ def _describe(k: int, percent: int):
                 row, prefix = _take_prefix(bounds, h, None, percent)
                 at = np.searchsorted(row, np.arange(rows + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), pa.array(np.diff(bounds)), pa.array(_class_of(bounds, h)), lists(prefix.view(np.int64), at, pa.int64())],
-                    ["doc_id", "n", "class", "prefix"],
+                    [batch.column(0).slice(first, rows), pa.array(np.diff(bounds)), pa.array(_class_of(bounds, h)), lists(prefix.view(np.int64), at, pa.int64()), pa.array(parity_bits(bounds, h), pa.binary())],
+                    ["doc_id", "n", "class", "prefix", "bits"],
                 )
 
     return run
@@ -156,7 +178,7 @@ def _entries(common, boundary: int, k: int, percent: int):
 def _meet(percent: int):
     """Pairs of sorted list entries (h, class, n), and the entries of long lists; reads lists as a stream, however long.
 
-    Rows out: (h, a, na, b, nb); h is null for a pair, b null for an entry of a long list.
+    Rows out: (first, a, na, b, nb); first is null for a pair, b null for a class of a long list, and then first is the list's first class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +212,11 @@ def _meet(percent: int):
                     if len(held) <= SMALL:
                         held.append(x[1:])
                         if len(held) == SMALL + 1:
-                            out.extend((now, *y, None, None) for y in held)
+                            out.extend((held[0][0], *y, None, None) for y in held)
                             for y in held[1:]:
                                 pair(held[0], y)
                     else:
-                        out.append((now, *x[1:], None, None))
+                        out.append((held[0][0], *x[1:], None, None))
                         pair(held[0], x[1:])
             if len(out) > 20_000:
                 yield _rows(out)
@@ -204,7 +226,7 @@ def _meet(percent: int):
 
     def _rows(out):
         columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "a", "na", "b", "nb"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["first", "a", "na", "b", "nb"])
 
     return run
 
@@ -221,6 +243,19 @@ def _sets(k: int):
     return run
 
 
+def _near(percent: int):
+    """Pairs (a, b, na, nb, x, y) whose bitmaps x and y leave them a chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = na + nb - 2 * least_overlap(na, nb, percent)
+            apart = [bits_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +320,7 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
     """
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    described = written(texts.mapInArrow(_describe(k, percent), "doc_id long, n long, class long, prefix array<long>"), "jaccard-sets")
+    described = written(texts.mapInArrow(_describe(k, percent), "doc_id long, n long, class long, prefix array<long>, bits binary"), "jaccard-sets")
     members = described.select("doc_id", "n", "class")
 
     counts = described.select(F.explode("prefix").alias("h")).groupBy("h").count()
@@ -298,15 +333,23 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
     sent = spark.sparkContext.broadcast(common)  # of at most COMMON hashes
 
     entries = texts.select("text").mapInArrow(_entries(sent, boundary, k, percent), "h long, class long, n long")
-    met = entries.repartition("h").sortWithinPartitions("h", "class").mapInArrow(_meet(percent), "h long, a long, na long, b long, nb long")
+    met = entries.repartition("h").sortWithinPartitions("h", "class").mapInArrow(_meet(percent), "first long, a long, na long, b long, nb long")
     met = written(met, "jaccard-met")
-    pairs = written(met.filter("h is null").select("a", "b").distinct(), "jaccard-pairs")
-    long_lists = met.filter("h is not null").select("h", F.col("a").alias("class"))
+    clusters = written(met.filter("first is not null").select("first", F.col("a").alias("class")).distinct(), "jaccard-clusters")
+    pairs = written(met.filter("first is null").select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
+
+    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    bits = written(described.select("class", "bits").join(of_pairs, "class", "left_semi").dropDuplicates(["class"]), "jaccard-bits")
+    near = pairs.join(bits.select(F.col("class").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("class").alias("b"), F.col("bits").alias("y")), "b")
+    pairs = written(near.select("a", "b", "na", "nb", "x", "y").mapInArrow(_near(percent), "a long, b long"), "jaccard-near")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long_lists.select("class")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(clusters.select("class")).distinct()
     named = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    reps = wanted.join(named, "class").filter("rep is not null")
-    sets = texts.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "class long, set binary")
+    reps = written(wanted.join(named, "class").filter("rep is not null"), "jaccard-reps")
+    ids = reps.select(F.col("rep").alias("doc_id")).distinct()
+    if reps.count() <= SENT:
+        ids = F.broadcast(ids)
+    sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "class long, set binary")
     sets = written(sets.dropDuplicates(["class"]), "jaccard-verify")
 
     left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("x")), sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
@@ -318,20 +361,20 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
         return components(by_rep.select("u", "v"))
 
     roots = grouped(links)
-    rooted = long_lists.join(reps, "class").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", "class", F.coalesce("root", "rep").alias("root"))
-    rooted = written(rooted, "jaccard-long")
-    parts = rooted.groupBy("h", "root").count()
-    main = parts.groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups"), F.sum("count").alias("size")).filter("groups > 1")
+    rooted = clusters.join(reps, "class").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("first", "class", F.coalesce("root", "rep").alias("root"))
+    rooted = written(rooted, "jaccard-rooted")
+    parts = rooted.groupBy("first", "root").count()
+    main = parts.groupBy("first").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups"), F.sum("count").alias("size")).filter("groups > 1")
     if main.limit(1).count():
-        blocks = rooted.join(main, "h").withColumn("outside", F.col("root") != F.col("main"))
+        blocks = rooted.join(main, "first").withColumn("outside", F.col("root") != F.col("main"))
         of = lambda c: F.pmod(F.xxhash64("class"), F.ceil(F.col(c) / BLOCK))
-        aside = blocks.filter("outside").groupBy("h").agg(F.count("*").alias("n_out"))
-        blocks = blocks.join(aside, "h")
+        aside = blocks.filter("outside").groupBy("first").agg(F.count("*").alias("n_out"))
+        blocks = blocks.join(aside, "first")
         each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1))
-        here = blocks.select("h", "class", "root", F.lit(False).alias("outside"), each("n_out").alias("i"), of("size").alias("j"))
-        out = blocks.filter("outside").select("h", "class", "root", F.lit(True).alias("outside"), of("n_out").alias("i"), each("size").alias("j"))
-        both = here.unionByName(out).join(sets, "class").select("h", "i", "j", "class", "root", "outside", "set")
-        more = both.groupBy("h", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+        here = blocks.select("first", "class", "root", F.lit(False).alias("outside"), each("n_out").alias("i"), of("size").alias("j"))
+        out = blocks.filter("outside").select("first", "class", "root", F.lit(True).alias("outside"), of("n_out").alias("i"), each("size").alias("j"))
+        both = here.unionByName(out).join(sets, "class").select("first", "i", "j", "class", "root", "outside", "set")
+        more = both.groupBy("first", "i", "j").applyInPandas(_compare(percent), "a long, b long")
         roots = grouped(links.unionByName(written(more, "jaccard-more")))
 
     all_roots = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("root", "rep").alias("component_id"))

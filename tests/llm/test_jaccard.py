@@ -119,3 +119,15 @@ def test_overlap_rules():
                 assert 100 * o >= 85 * (a + b - o) and 100 * (o - 1) < 85 * (a + b - o + 1)
                 assert any(t == (a, J.least_overlap(a, a)) for t in J.light_tags(b))
                 assert o > a - J.prefix_size(a) and o > b - J.prefix_size(b)
+
+
+def test_bitmaps_never_overstate(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 40, 130, 1000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        for m in (0, 1, n // 10, n // 2, n):
+            b = np.concatenate([a[m:], rng.integers(0, 1 << 63, m + n // 8).astype(np.uint64)])
+            x, y = J.parity_bits(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]))
+            assert J.bits_apart(x, y) == J.bits_apart(y, x) <= len(set(a.tolist()) ^ set(b.tolist()))
