@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import corpus, models, pages, social  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 flagship = corpus.flagship
