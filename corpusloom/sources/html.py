@@ -25,6 +25,8 @@ class _Nodes(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.nodes.append([len(self.nodes), len(self.open), tag, {k: v or "" for k, v in attrs}, []])
+        if tag == "br":
+            self.handle_data(" ")
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 

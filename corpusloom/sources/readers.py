@@ -11,12 +11,12 @@ from ..functions import text as T
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text): each plain file of a folder, whole."""
+    """(name, text): each plain file of a folder, whole; empty files have no row."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
 def whole_text(docs: DataFrame) -> DataFrame:
-    """Lines joined by one blank. An empty file is an empty text."""
+    """Lines joined by one blank."""
     return docs.withColumn("text", T.one_line(F.col("text")))
 
 
