@@ -314,8 +314,8 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
     """(doc_id, n_shingles, component_id, class) of every row.
 
     Null texts and texts without a word are empty sets, which link with nothing and are their own component; texts of fewer
-    than k words are one shingle; repeated rows are members of one class; a row without an id takes part, but
-    never names a component (its component is null if no row with an id is in it); an empty table
+    than k words are one shingle; repeated rows are members of one class; a row without an id never names a
+    component, and where all rows of a set have none, they have no links and a null component; an empty table
     gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -364,12 +364,10 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
     rooted = clusters.join(reps, "class").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("first", "class", F.coalesce("root", "rep").alias("root"))
     rooted = written(rooted, "jaccard-rooted")
     parts = rooted.groupBy("first", "root").count()
-    main = parts.groupBy("first").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups"), F.sum("count").alias("size")).filter("groups > 1")
+    main = parts.groupBy("first").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("groups"), F.sum("count").alias("size"), (F.sum("count") - F.max("count")).alias("n_out")).filter("groups > 1")
     if main.limit(1).count():
         blocks = rooted.join(main, "first").withColumn("outside", F.col("root") != F.col("main"))
         of = lambda c: F.pmod(F.xxhash64("class"), F.ceil(F.col(c) / BLOCK))
-        aside = blocks.filter("outside").groupBy("first").agg(F.count("*").alias("n_out"))
-        blocks = blocks.join(aside, "first")
         each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1))
         here = blocks.select("first", "class", "root", F.lit(False).alias("outside"), each("n_out").alias("i"), of("size").alias("j"))
         out = blocks.filter("outside").select("first", "class", "root", F.lit(True).alias("outside"), of("n_out").alias("i"), each("size").alias("j"))

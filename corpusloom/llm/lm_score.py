@@ -1,7 +1,7 @@
 """Document likelihood over all subword segmentations.
 
 The vocabulary is that of an existing subword file. Its stored scores rank the pieces; the ranks
-give starting probabilities, which one expectation step over all training words re-estimates (every
+give starting probabilities, which two expectation steps over all training words re-estimate (every
 segmentation of a word counts by its share of the word's probability). A document is a run of words, each
 spelled by any sequence of pieces of which the first carries the word mark, and an end piece. Its probability is
 the sum over all segmentations, computed by a forward recursion in log space.
@@ -273,7 +273,7 @@ def _score(head):
     return run
 
 
-def likelihoods(docs: DataFrame, pieces_path: str, held_out: tuple[int, int] = (7, 2), head: int = HEAD) -> DataFrame:
+def likelihoods(docs: DataFrame, pieces_path: str, held_out: tuple[int, int] = (7, 2), head: int = HEAD, rounds: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Null and empty texts are one end token; repeated rows stay and count again in training; null ids train; without a training
@@ -291,12 +291,14 @@ def likelihoods(docs: DataFrame, pieces_path: str, held_out: tuple[int, int] = (
 
     names, logp = read_pieces(pieces_path)
     pieces = spark.sparkContext.broadcast(names)  # of fixed size: the file's vocabulary
-    used = vocabulary.filter("train > 0").select("word", "train").mapInArrow(_expect(pieces, logp), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    expected = np.zeros(len(names))
-    expected[[r.piece for r in used]] = [r.n for r in used]
-    mass = expected + len(names) * np.exp(logp)  # the starting probabilities weigh as much as one use of each piece
-    total = mass.sum() + n_docs + 1
-    logp = np.log(mass / total)
+    trained, first = vocabulary.filter("train > 0").select("word", "train"), np.exp(logp)
+    for _ in range(rounds):
+        used = trained.mapInArrow(_expect(pieces, logp), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        expected = np.zeros(len(names))
+        expected[[r.piece for r in used]] = [r.n for r in used]
+        mass = expected + len(names) * first  # the starting probabilities weigh as much as one use of each piece
+        total = mass.sum() + n_docs + 1
+        logp = np.log(mass / total)
     end_logp = math.log10((n_docs + 1) / total)
 
     norm = math.log10(n_tokens + distinct + 1)
