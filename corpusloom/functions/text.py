@@ -225,3 +225,32 @@ def xml_text(value: Column) -> Column:
 
 def xml_element(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), xml_text(value), F.lit(f"</{name}>"))
+
+
+def url_parameter(name: str, value: Column) -> Column:
+    """`name=value` with the value encoded for a URL."""
+    return F.concat(F.lit(name + "="), F.url_encode(value))
+
+
+#: Question numbers of a test sheet, and the first number of each kind of question.
+QUESTIONS = (*range(1, 17), *range(28, 39))
+QUESTION_KINDS = ((28, "antonym"), (8, "analogy"), (1, "completion"))
+
+
+def questions(sheet: Column) -> Column:
+    """A test sheet as an array of (number, kind, text): cut before each `n.` in turn, each looked for after the last cut; numbers that don't come are passed over."""
+    kind = lambda n: next(k for first, k in QUESTION_KINDS if n >= first)
+    markers = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(f"{n}.").alias("mark"), F.lit(kind(n)).alias("kind")) for n in QUESTIONS[1:]))
+    piece = lambda n, k, text: F.struct(n.alias("number"), k.alias("kind"), text.alias("text"))
+    none = F.array().cast("array<struct<number:int,kind:string,text:string>>")
+    start = F.struct(sheet.alias("rest"), F.lit(1).alias("n"), F.lit("completion").alias("kind"), none.alias("done"))
+
+    def cut(state: Column, m: Column) -> Column:
+        at = F.position(m["mark"], state["rest"])
+        found = F.struct(
+            F.substring(state["rest"], at, F.length(state["rest"])).alias("rest"), m["n"].alias("n"), m["kind"].alias("kind"),
+            F.array_append(state["done"], piece(state["n"], state["kind"], F.substring(state["rest"], F.lit(1), at - 1))).alias("done"),
+        )
+        return F.when(at > 0, found).otherwise(state)
+
+    return F.aggregate(markers, start, cut, lambda s: F.array_append(s["done"], piece(s["n"], s["kind"], s["rest"])))

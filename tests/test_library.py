@@ -71,6 +71,12 @@ def test_scalar_functions(spark):
     assert one(spark, T.xml_element("a", F.lit("x<&"))) == "<a>x&lt;&amp;</a>" and one(spark, T.xml_element("a", F.lit(None))) == "<a></a>"
 
 
+def test_questions(spark):
+    got = one(spark, T.questions(c("t")), t="1. a 2. b 8. c 9. d 28. e 38. f")
+    assert [tuple(q) for q in got] == [(1, "completion", "1. a "), (2, "completion", "2. b "), (8, "analogy", "8. c "), (9, "analogy", "9. d "), (28, "antonym", "28. e "), (38, "antonym", "38. f")]
+    assert one(spark, T.url_parameter("q", F.lit("a b&c"))) == "q=a+b%26c"
+
+
 @pytest.mark.parametrize("u, want", [(0.45, 1), (0.449, 0), (0.65, 2), (0.0, 0), (0.999, 2)])
 def test_draw(spark, u, want):
     p = F.array(F.lit(0.45), F.lit(0.2), F.lit(0.35))
