@@ -116,7 +116,10 @@ def prune(sims: np.ndarray, candidates: np.ndarray, edges: int = EDGES, alpha: f
 
 
 def build_graph(x: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Edges (nodes, up to 2 EDGES) of a robust-pruned graph over unit vectors."""
+    """Edges (nodes, width) of a robust-pruned graph over unit vectors, in both directions.
+
+    A hub of a group of near copies keeps all its edges: pruning leaves its copies little else, so they are found through it.
+    """
     n, rng = len(x), np.random.default_rng(seed)
     if n == 1:
         return np.full((1, 1), -1, np.int64)
@@ -126,17 +129,14 @@ def build_graph(x: np.ndarray, seed: int = 3) -> np.ndarray:
     out = prune(sims, np.concatenate([near, rng.integers(0, n, (n, min(RANDOM, n)))], 1))
     a, b = np.repeat(np.arange(n), out.shape[1]), out.ravel()
     a, b = a[b >= 0], b[b >= 0]
-    return padded(n, np.concatenate([a, b]), np.concatenate([b, a]), 4 * EDGES)
+    return padded(n, np.concatenate([a, b]), np.concatenate([b, a]))
 
 
-def padded(n: int, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Adjacency (n, width) of distinct edges a -> b; a node's first `most` by the order of a mixed number."""
+def padded(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Adjacency (n, width) of distinct edges a -> b, -1 for none."""
     edge = np.unique(a * n + b)
     a, b = edge // n, edge % n
-    order = np.lexsort(((b * 2654435761) % 1000003, a))
-    a, b = a[order], b[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
-    a, b, place = a[place < most], b[place < most], place[place < most]
     out = np.full((n, int(place.max()) + 1 if len(place) else 1), -1, np.int64)
     out[a, place] = b
     return out
@@ -249,7 +249,7 @@ def _search(threshold: float, beam: int):
                         if r in place:
                             a.append(k)
                             b.append(place[r])
-                edges = padded(len(part), np.array(a, np.int64), np.array(b, np.int64), 8 * EDGES)
+                edges = padded(len(part), np.array(a, np.int64), np.array(b, np.int64))
                 own = np.arange(len(part)) if diagonal else None
                 q, found = range_search(x[part], edges, medoids(x[part]), x[other], threshold - 1e-4, beam, own)
                 pairs.append(np.stack([other[q], part[found]], 1))
@@ -377,7 +377,7 @@ def _search_all(nodes: DataFrame, centroids, threshold: float, nearest: int, mar
     dealt = dealt.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = written(dealt, "vector-shards")
     built = dealt.select("label", "dim", "cell", "block", "rep", "vec").groupBy("label", "dim", "cell", "block").applyInPandas(_build, "rep long, next array<long>")
-    united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # a node's lists: EDGES and their reverses, a few times
+    united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # at most a block's nodes, for each of its few shards
     each = dealt.join(united, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     each = each.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     found = each.select("label", "dim", "cell", "i", "j", "block", "rep", "mult", "vec", "cells", "next").groupBy("label", "dim", "cell", "i", "j")
