@@ -25,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ from .words import PLACES, lists, mix, shingles, words_of
 WORDS, THRESHOLD = 4, 85  # per cent
 #: Lists up to SMALL classes are paired in full. Shingles in the prefixes of more documents than that count as common; at most COMMON of them, the most frequent.
 SMALL, COMMON, BLOCK = 8, 500_000, 512
-#: Ids of documents to verify that are sent to all tasks; more are joined by a shuffle.
+#: Rows of a narrow table that are sent to all tasks, after they have been counted; larger tables are joined by a shuffle.
 SENT = 1_000_000
 #: Largest boundary that is considered.
 MOST_LIGHT = 20
@@ -310,6 +310,11 @@ def choose_boundary(histogram: dict[int, int], per_entry: float, percent: int =
     return best
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, sent to all tasks if it has at most SENT rows."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
 def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, boundary: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class) of every row.
 
@@ -323,13 +328,14 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
     described = written(texts.mapInArrow(_describe(k, percent), "doc_id long, n long, class long, prefix array<long>, bits binary"), "jaccard-sets")
     members = described.select("doc_id", "n", "class")
 
+    met_by, n = Observation(), F.col("count")
     counts = described.select(F.explode("prefix").alias("h")).groupBy("h").count()
-    frequent = counts.filter(F.col("count") > SMALL).orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
+    counts = counts.observe(met_by, F.sum(F.when(n <= SMALL, n * n)).alias("squares"), F.sum(F.when(n <= SMALL, n)).alias("entries"))
+    frequent = written(counts.filter(n > SMALL), "jaccard-common").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
     common = np.sort(frequent.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if frequent.num_rows else np.zeros(0, np.uint64)
     if boundary is None:
         sizes = {r.n: r["count"] for r in members.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
-        met = counts.filter(F.col("count") <= SMALL).agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 1.0
-        boundary = choose_boundary(sizes, met, percent)
+        boundary = choose_boundary(sizes, (met_by.get["squares"] or 1) / (met_by.get["entries"] or 1), percent)
     sent = spark.sparkContext.broadcast(common)  # of at most COMMON hashes
 
     entries = texts.select("text").mapInArrow(_entries(sent, boundary, k, percent), "h long, class long, n long")
@@ -338,22 +344,22 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
     clusters = written(met.filter("first is not null").select("first", F.col("a").alias("class")).distinct(), "jaccard-clusters")
     pairs = written(met.filter("first is null").select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
 
-    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    bits = written(described.select("class", "bits").join(of_pairs, "class", "left_semi").dropDuplicates(["class"]), "jaccard-bits")
+    of_pairs = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-paired")
+    bits = written(described.select("class", "bits").join(_small(of_pairs), "class", "left_semi").dropDuplicates(["class"]), "jaccard-bits")
     near = pairs.join(bits.select(F.col("class").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("class").alias("b"), F.col("bits").alias("y")), "b")
     pairs = written(near.select("a", "b", "na", "nb", "x", "y").mapInArrow(_near(percent), "a long, b long"), "jaccard-near")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(clusters.select("class")).distinct()
     named = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = written(wanted.join(named, "class").filter("rep is not null"), "jaccard-reps")
-    ids = reps.select(F.col("rep").alias("doc_id")).distinct()
-    if reps.count() <= SENT:
-        ids = F.broadcast(ids)
+    ids = _small(written(reps.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-ids"))
     sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "class long, set binary")
     sets = written(sets.dropDuplicates(["class"]), "jaccard-verify")
 
     left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("x")), sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    seconds = written(pairs.select("b").distinct(), "jaccard-seconds")
+    right = right.join(_small(seconds), "b", "left_semi")
+    links = left.join(_small(pairs), "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
     links = written(links, "jaccard-links")
 
     def grouped(edges: DataFrame) -> DataFrame:
@@ -371,7 +377,7 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
         each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1))
         here = blocks.select("first", "class", "root", F.lit(False).alias("outside"), each("n_out").alias("i"), of("size").alias("j"))
         out = blocks.filter("outside").select("first", "class", "root", F.lit(True).alias("outside"), of("n_out").alias("i"), each("size").alias("j"))
-        both = here.unionByName(out).join(sets, "class").select("first", "i", "j", "class", "root", "outside", "set")
+        both = sets.join(_small(written(here.unionByName(out), "jaccard-blocks")), "class").select("first", "i", "j", "class", "root", "outside", "set")
         more = both.groupBy("first", "i", "j").applyInPandas(_compare(percent), "a long, b long")
         roots = grouped(links.unionByName(written(more, "jaccard-more")))
 

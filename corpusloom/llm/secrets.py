@@ -8,7 +8,7 @@ it becomes a span of kind `learned` when an automaton gives it a likelihood that
 credentials themselves reach, well above that of the corpus's ordinary runs.
 
 Counts of labelled values and of ordinary characters cover all texts; the prefix trees take at
-most SAMPLE distinct values a kind (those with the smallest hashes), so fitting is bounded.
+most SAMPLE distinct values a kind of at most LONGEST characters (those with the smallest hashes), so fitting is bounded.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "learned")
-#: Distinct labelled values a kind that the prefix tree is built from.
-SAMPLE = 2000
+#: Distinct labelled values a kind that the prefix tree is built from, and the characters of the longest of them.
+SAMPLE, LONGEST = 2000, 512
 #: Least length of a candidate, and least advantage in nats a character over ordinary runs.
 SHORTEST, MARGIN = 16, 0.5
 
@@ -180,8 +180,9 @@ def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text in batch.column(0).to_pylist():
             base = base_spans(text)
             for s, kind, e in base:
-                value = text[s:e]
-                seen[KINDS[kind], _ASSIGN.match(text, s)[2] if kind == 0 else value] += 1
+                value = _ASSIGN.match(text, s)[2] if kind == 0 else text[s:e]
+                if len(value) <= LONGEST:
+                    seen[KINDS[kind], value] += 1
             for s, e in candidates(text, base):
                 for c, n in Counter(text[s:e]).items():
                     seen["", c] += n

@@ -130,9 +130,11 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] = (3, 1)) -> Machine:
     """The machine fitted on labelled documents outside the held-out fold; rows of labels with nulls tell nothing, any toxic one of several wins."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~in_fold(F.col("doc_id"), *held_out))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(few), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_terms, "y int, terms binary").collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    once = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of repeated rows, one
+    rows = once.select("y", "text").mapInArrow(_terms, "y int, terms binary").collect()
     rows.sort(key=lambda r: (r.y, bytes(r.terms)))
     y = np.array([r.y for r in rows], np.float64)
     return fit_machine(y, [np.frombuffer(r.terms, "<i4").astype(np.int64) for r in rows])

@@ -5,7 +5,7 @@ support and confidence, and a rule goes when a shorter one inside it is at least
 A rule is indexed under its rarest token; a URL meets only rules indexed under its own
 tokens, and those are verified in full.
 
-URLs are mined and matched once each, however many rows share them.
+A URL is matched once, however many rows share it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: (verdict, host, path) of the fixed rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -46,23 +48,43 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(w).cast("string"))).otherwise(w)))
 
 
+def inseparable(labelled: DataFrame, least: float) -> dict[str, list[str]]:
+    """Tokens of at least so many rows that always come together: the first by name, and all.
+
+    Two tokens of the same rows have the same row count and sum of row hashes. Tokens this frequent are few: a url's tokens over
+    the least share of rows.
+    """
+    row = F.xxhash64("row", "tokens").cast("decimal(38,0)")
+    seen = labelled.withColumn("row", F.monotonically_increasing_id()).select(F.explode("tokens").alias("t"), row.alias("h")).groupBy("t").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+    together = seen.filter(F.col("n") >= least).groupBy("n", "h").agg(F.array_sort(F.collect_list("t")).alias("all")).filter(F.size("all") > 1)
+    return {r["all"][0]: list(r["all"]) for r in together.select("all").collect()}
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.7, min_lift: float = 1.2, common: float = 0.9) -> DataFrame | None:
     """Rules (tokens, verdict, confidence, support) from labelled rows (tokens array, bad boolean); None where no row is labelled.
 
     A rule needs min_support of all rows and min_count rows, min_confidence, and min_lift over its class. Tokens of more
-    than `common` of the rows tell nothing and only multiply itemsets, so they don't take part.
+    than `common` of the rows tell nothing and don't take part. Tokens that always come together are one item, whose rules name
+    all of them: a url of many tokens with a third of the rows makes no more itemsets than one of few.
     """
+    labelled = written(labelled, "url-labels")
     n = labelled.count()
     if n == 0:
         return None
+    support = min(1.0, max(min_support, min_count / n))
     frequent = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") > common * n)
-    stop = [r.t for r in frequent.select("t").collect()]  # some tens: a url has few tokens, and each of these is in nearly every one
+    groups = inseparable(labelled, support * n)
+    stop = [r.t for r in frequent.select("t").collect()] + [t for g in groups.values() for t in g[1:]]  # each of support * n rows at least
     items = F.array_except("tokens", F.array(*map(F.lit, stop)).cast("array<string>")) if stop else F.col("tokens")
     baskets = labelled.select(F.array_append(items, F.when(F.col("bad"), _BLOCK).otherwise(_ALLOW)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent")[0].isin(_ALLOW, _BLOCK) & (F.col("lift") >= min_lift))
     rules = rules.filter(~F.arrays_overlap("antecedent", F.array(F.lit(_ALLOW), F.lit(_BLOCK))))
-    return rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support")
+    tokens = F.col("antecedent")
+    if groups:
+        whole = F.create_map(*(x for first, every in groups.items() for x in (F.lit(first), F.array(*map(F.lit, every)))))
+        tokens = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(whole, t), F.array(t))))
+    return rules.select(F.array_sort(tokens).alias("tokens"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support")
 
 
 def prune_rules(rules: DataFrame) -> DataFrame:

@@ -232,6 +232,17 @@ def test_mined_rules_equal_brute_force(spark):
     assert "block" in got.values()
 
 
+def test_tokens_that_always_come_together_are_one_item(spark):
+    """A url of forty tokens with a third of the rows."""
+    long = "http://hot.net/" + "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    urls = [long] * 100 + [f"http://cold.net/{'spam' if i % 2 else 'fine'}/x" for i in range(200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 100 or i % 2)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.matched) for r in U.judge_urls(pages, labels).collect()}
+    assert {got[i][0] for i in range(100)} == {"block"} and got[0][1].count(" ") >= 40
+    assert [got[100][0], got[101][0]] == ["allow", "block"]
+
+
 def slow_tiling(a, b, tile):
     """Greedy string tiling by its definition."""
     used_a, used_b, out = set(), set(), []
