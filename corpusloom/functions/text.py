@@ -180,7 +180,7 @@ def pair_map(value: Column) -> Column:
     parts = F.filter(F.split(value, ","), lambda x: x != "")
     n = F.floor(F.size(parts) / 2).cast("int")
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    entries = F.transform(at, lambda i: F.struct(F.get(parts, i * 2).alias("key"), F.get(parts, i * 2 + 1).cast("int").alias("value")))
+    entries = F.transform(at, lambda i: F.struct(F.get(parts, i * 2).alias("key"), F.get(parts, i * 2 + 1).try_cast("int").alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o["key"] == e["key"]))
     return F.map_from_entries(last)
 

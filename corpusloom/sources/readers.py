@@ -84,7 +84,7 @@ def tag_map(docs: DataFrame, key: str) -> DataFrame:
 def tag_seeds(docs: DataFrame, key: str) -> DataFrame:
     """(key, tag, freq, cooccur): three-line records."""
     f = F.col("fields")
-    return records(docs, key, 3).select(key, f[0].alias("tag"), f[1].cast("int").alias("freq"), T.pair_map(f[2]).alias("cooccur"))
+    return records(docs, key, 3).select(key, f[0].alias("tag"), f[1].try_cast("int").alias("freq"), T.pair_map(f[2]).alias("cooccur"))
 
 
 def place(answers: DataFrame, xml: str = "xml") -> DataFrame:
