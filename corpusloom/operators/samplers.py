@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 MOST_TOKENS = 5_000_000
 
 
@@ -186,13 +188,8 @@ def distributed_lda(assigned: DataFrame, topics: int, alpha: float, beta: float,
     """(doc_id, pos, word_id, z) after some approximate sweeps over a corpus of any size.
 
     Word-topic counts meet tokens by a join, so a vocabulary may be as large as it likes; a document stays in one task
-    and its own counts are exact. Each sweep is written to the checkpoint folder.
+    and its own counts are exact. Each sweep is written to the shared folder.
     """
-    spark = assigned.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     now = assigned.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("word_id").cast("long").alias("word_id"), F.col("z").cast("long").alias("z"))
     for sweep in range(sweeps):
         cells = now.groupBy("word_id", "z").agg(F.count("*").alias("n"))
@@ -202,7 +199,8 @@ def distributed_lda(assigned: DataFrame, topics: int, alpha: float, beta: float,
         size = np.array([float(totals.get(k, 0)) for k in range(topics)])
         joined = now.join(by_word.select("word_id", dense.alias("counts")), "word_id")
         held = joined.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
-        now = held.mapInPandas(_sweep(topics, alpha, beta, vocabulary_size, size, seed + sweep), "doc_id long, pos long, word_id long, z long").checkpoint()
+        now = held.mapInPandas(_sweep(topics, alpha, beta, vocabulary_size, size, seed + sweep), "doc_id long, pos long, word_id long, z long")
+        now = written(now, "sweep")
     return now
 
 
