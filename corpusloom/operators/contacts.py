@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ids import with_dense_id
 
 #: Mimetypes of entity rows, and the data columns that make up each kind's display string with their separator.
 KINDS = {
@@ -74,8 +75,9 @@ def entity_lists(rows: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
-    """The first row of each key in an order."""
-    return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("__r = 1").drop("__r")
+    """The first row of each key in an ascending order; one aggregation, so a hot key is combined before the shuffle."""
+    first = F.min_by(F.struct(*(c for c in df.columns if c != key)), F.struct(*order)).alias("__first")
+    return df.groupBy(key).agg(first).select(key, "__first.*")
 
 
 def last_wins(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:
@@ -85,21 +87,17 @@ def last_wins(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:
 
 
 def in_sections(contacts: DataFrame, name: str = "name", key: str = "id") -> DataFrame:
-    """contacts with section, section_rank and item: sections in order, names in a section by lower case, then key.
+    """contacts with section, item and position: sections in order, names in a section by lower case, then key.
 
-    Items are ranked within sections, so a window holds one section; see flat_positions for places in the whole list.
+    item counts a section's names from 1; position is the place in a list in which each section begins with a header (the first
+    header is 0). Names are numbered over the whole order, so a section with most of the names is no window of its own.
     """
-    section = T.name_section(F.col(name))
-    order = W.partitionBy("section").orderBy(F.lower(name), name, key)
-    return contacts.withColumn("section", section).withColumn("section_rank", T.section_order(F.col("section"))).withColumn("item", F.row_number().over(order))
-
-
-def flat_positions(sectioned: DataFrame) -> DataFrame:
-    """sectioned with `position`, the place in a list in which each section begins with a header (0 is the first header)."""
-    sizes = sectioned.groupBy("section", "section_rank").agg((F.count("*") + 1).alias("size"))  # some forty sections
-    before = F.sum("size").over(W.orderBy("section_rank", "section").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("section", F.coalesce(before, F.lit(0)).alias("start"))
-    return sectioned.join(F.broadcast(starts), "section").withColumn("position", F.col("start") + F.col("item")).drop("start")
+    keyed = contacts.withColumn("section", T.name_section(F.col(name))).withColumn("__rank", T.section_order(F.col("section"))).withColumn("__lower", F.lower(name))
+    numbered = with_dense_id(keyed, "__at", "__rank", "section", "__lower", name, key)
+    starts = numbered.groupBy("section", "__rank").agg(F.min("__at").alias("__start"))  # some forty sections
+    starts = starts.select("section", "__start", F.row_number().over(W.orderBy("__rank", "section")).alias("__headers"))
+    out = numbered.join(F.broadcast(starts), "section")
+    return out.withColumn("item", F.col("__at") - F.col("__start") + 1).withColumn("position", F.col("__at") + F.col("__headers")).drop("__rank", "__lower", "__at", "__start", "__headers")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_null: bool = True, fixed: tuple[str, ...] = ()) -> DataFrame:

@@ -283,7 +283,7 @@ SELECT id, section, item, (coalesce(start, 0) + item)::BIGINT AS position FROM o
 def name_sections(spark, sf_dir):
     """First words of documents as a sectioned list with headers."""
     names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", " ", 1).alias("name"))
-    return K.flat_positions(K.in_sections(names)).select("id", "section", F.col("item").cast("long").alias("item"), F.col("position").cast("long").alias("position"))
+    return K.in_sections(names).select("id", "section", F.col("item").cast("long").alias("item"), F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY 1")
