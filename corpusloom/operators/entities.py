@@ -6,6 +6,7 @@ capitalised words and types them by their last word.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 
 import pandas as pd
@@ -69,12 +70,20 @@ def fold_variants(mentions: DataFrame, key: str = "doc_id", same_type: bool = Tr
         counts: dict[tuple[str, int], int] = {}
         for value, kind in group.sort_values("ord")[["value", "type"]].itertuples(index=False):
             counts[value, kind] = counts.get((value, kind), 0) + 1
+        order = list(counts)
+        starts: dict[str, list[int]] = {}  # entities by how their words start, in order
+        for i, (value, _) in enumerate(order):
+            for head in {w[:n] for w in value.split(" ") for n in (1, 2, 3)}:
+                starts.setdefault(head, []).append(i)
         out: dict[tuple[str, int], int] = {}
-        for entity in counts:
-            best = entity
-            for other in counts:
-                form = longer_form(best, other, same_type)
-                best = form if form is not None else best
+        for entity in order:
+            best, at = entity, -1
+            while True:  # the next entity in order that encloses the best one so far takes its place
+                later = starts.get(best[0].split(" ")[0][:3], [])
+                at = next((i for i in later[bisect_right(later, at) :] if longer_form(best, order[i], same_type) == order[i] != best), None)
+                if at is None:
+                    break
+                best = order[at]
             out[best] = out.get(best, 0) + counts[entity]
         for entity in out:
             if _encloses(entity[0], entity[0]):
