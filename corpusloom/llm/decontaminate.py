@@ -14,7 +14,6 @@ takes as many passes as it has blocks.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,70 +45,74 @@ class ItemIndex:
         order = np.lexsort((place, item, h))
         self.hash, self.item, self.place = h[order], item[order], place[order]
 
-    def hits(self, w: Words) -> dict[int, dict[int, list[tuple[int, int]]]]:
-        """{row: {item: [(word of the row, word of the item)]}} of all shared seeds."""
+    def hits(self, w: Words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(row, item, words of the row, words of the item) of each row and item that share seeds: where the shared seeds begin."""
+        if not len(self.hash):
+            return
         first, h = shingles(w, self.tile)
         lo = np.searchsorted(self.hash, h)
-        inside = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h) if len(self.hash) else np.zeros(0, np.int64)
+        inside = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
+        if not len(inside):
+            return
         lo, first, h = lo[inside], first[inside], h[inside]
         n = np.searchsorted(self.hash, h, side="right") - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         row = np.repeat(w.row[first], n)
         place = np.repeat(first - w.bounds()[w.row[first] - w.first_row], n)
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for r, i, p, q in zip(row.tolist(), self.item[at].tolist(), place.tolist(), self.place[at].tolist(), strict=True):
-            found[r][i].append((p, q))
-        return found
+        item = self.item[at]
+        order = np.lexsort((item, row))
+        row, item, place, at = row[order], item[order], place[order], at[order]
+        cuts = np.flatnonzero((row[1:] != row[:-1]) | (item[1:] != item[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
+            yield int(row[a]), int(item[a]), place[a:b], self.place[at[a:b]]
 
 
-def tiles(hits: list[tuple[int, int]], tile: int) -> list[tuple[int, int, int]]:
+def tiles(p: np.ndarray, q: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in text, place in item, words) from shared seeds: the longest match first, then the earliest in the item, then in the text."""
-    diagonals = defaultdict(list)
-    for p, q in hits:
-        diagonals[p - q].append(q)
-    heap = []
-    for d, qs in diagonals.items():
-        qs.sort()
-        start = 0
-        for k in range(1, len(qs) + 1):
-            if k == len(qs) or qs[k] != qs[k - 1] + 1:
-                heap.append((-(k - start - 1 + tile), qs[start], qs[start] + d))
-                start = k
+    d = p - q
+    order = np.lexsort((q, d))
+    d, q = d[order], q[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (q[1:] != q[:-1] + 1)
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(d))) - 1 + tile
+    heap = list(zip((-length).tolist(), q[start].tolist(), (q[start] + d[start]).tolist(), strict=True))
     heapq.heapify(heap)
     used_p: set[int] = set()
     used_q: set[int] = set()
     out = []
     while heap:
-        n, q, p = heapq.heappop(heap)
+        n, y, x = heapq.heappop(heap)
         n = -n
-        free = [p + i not in used_p and q + i not in used_q for i in range(n)]
+        free = [x + i not in used_p and y + i not in used_q for i in range(n)]
         if all(free):
-            used_p.update(range(p, p + n))
-            used_q.update(range(q, q + n))
-            out.append((p, q, n))
+            used_p.update(range(x, x + n))
+            used_q.update(range(y, y + n))
+            out.append((x, y, n))
             continue
-        start = None
+        begin = None
         for i in range(n + 1):
             if i < n and free[i]:
-                start = i if start is None else start
-            elif start is not None:
-                if i - start >= tile:
-                    heapq.heappush(heap, (-(i - start), q + start, p + start))
-                start = None
+                begin = i if begin is None else begin
+            elif begin is not None:
+                if i - begin >= tile:
+                    heapq.heappush(heap, (-(i - begin), y + begin, x + begin))
+                begin = None
     return out
 
 
 def _found(index: ItemIndex, coverage: float, w: Words) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
     """(row, item, covered words, tiles) of the pairs that reach the coverage."""
-    for row, by_item in index.hits(w).items():
-        for item, hits in by_item.items():
-            need = coverage * index.length[item]
-            if len({q + i for _, q in hits for i in range(index.tile)}) < need:
-                continue  # tiles cover no more than all matches do together
-            cut = tiles(hits, index.tile)
-            covered = sum(n for _, _, n in cut)
-            if covered >= need:
-                yield row, item, covered, cut
+    for row, item, p, q in index.hits(w):
+        need, met = coverage * index.length[item], np.zeros(index.length[item], bool)
+        for i in range(index.tile):
+            met[q + i] = True
+        if met.sum() < need:
+            continue  # tiles cover no more than all matches do together
+        cut = tiles(p, q, index.tile)
+        covered = sum(n for _, _, n in cut)
+        if covered >= need:
+            yield row, item, covered, cut
 
 
 def _pairs(index: ItemIndex, coverage: float):

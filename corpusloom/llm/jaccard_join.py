@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
+from .sampling import at_least
 from .shared import written
 from .words import PLACES, lists, mix, shingles, words_of
 
@@ -331,7 +332,7 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
     met_by, n = Observation(), F.col("count")
     counts = described.select(F.explode("prefix").alias("h")).groupBy("h").count()
     counts = counts.observe(met_by, F.sum(F.when(n <= SMALL, n * n)).alias("squares"), F.sum(F.when(n <= SMALL, n)).alias("entries"))
-    frequent = written(counts.filter(n > SMALL), "jaccard-common").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
+    frequent = at_least(written(counts.filter(n > SMALL), "jaccard-common"), "count", COMMON).select("h").toArrow()
     common = np.sort(frequent.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if frequent.num_rows else np.zeros(0, np.uint64)
     if boundary is None:
         sizes = {r.n: r["count"] for r in members.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import at_least
 from .shared import written
 from .words import mix, power_tables, words_of
 
@@ -304,14 +305,8 @@ def likelihoods(docs: DataFrame, pieces_path: str, held_out: tuple[int, int] = (
     norm = math.log10(n_tokens + distinct + 1)
     base_of = lambda c: F.log10(c + F.lit(1.0)) - F.lit(norm)
     values = written(vocabulary.mapInArrow(_values(pieces, logp), "h long, train long, total long, logp double"), "lm-values")
-    frequent = [r for r in values.groupBy(F.least("total", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).collect()]  # a row for each count up to a million
-    least, taken = math.inf, 0
-    for r in frequent:
-        if taken + r["count"] > head:
-            break
-        least, taken = r["n"], taken + r["count"]
-    if taken:
-        rows = values.filter(F.col("total") >= least).select("h", "train", "logp").toArrow()
+    rows = at_least(values, "total", head).select("h", "train", "logp").toArrow()
+    if rows.num_rows:
         h, train, log_p = (rows.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(3))
         order = np.argsort(h.view(np.uint64))
         table = (h.view(np.uint64)[order], np.log10(train[order] + 1.0) - norm, log_p[order], (train[order] > 0).astype(float))

@@ -1,36 +1,7 @@
-"""Shared-folder tables: where operators cut lineage and keep their files."""
+"""The shared-folder tables of the library, for the operators here."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..sources.shared import fresh_path, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is (tests, notebooks)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-            set_before = spark.sparkContext.getCheckpointDir()
-        base = set_before
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs only a reread."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def empty_of(spark: SparkSession, schema: StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+__all__ = ["fresh_path", "shared_dir", "written"]

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import hash_sample
 from .words import PUNCTUATION, words_of
 
 BUCKETS = 1 << 18
-SAMPLE, TERMS, FACTORS = 12_000, 4096, 8
+SAMPLE, TERMS, FACTORS = 20_000, 4096, 8
 #: Least likelihood-ratio statistic of a term that takes part (about one in a thousand by chance).
 SIGNIFICANT = 11.0
 
@@ -89,7 +90,11 @@ def fit_machine(y: np.ndarray, terms: list[np.ndarray], n_terms: int = TERMS, fa
     if n == 0:
         return Machine(pick, -4.0, np.zeros(1), np.zeros((1, factors)))
     rate = (y.sum() + 0.5) / (n + 1)
-    df = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, k in zip(terms, y, strict=True) if k == c)]), minlength=BUCKETS) for c in (0, 1)]
+    df = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    for c in (0, 1):
+        of_class = [t for t, k in zip(terms, y, strict=True) if k == c]
+        for i in range(0, len(of_class), 512):
+            df[c] += np.bincount(np.concatenate(of_class[i : i + 512]), minlength=BUCKETS)
     tell = _g_squared(df[1], df[0], y.sum(), n - y.sum())
     tell[df[0] + df[1] < 3] = 0
     chosen = np.sort(np.argsort(-tell, kind="stable")[:n_terms])
@@ -131,13 +136,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, hel
     """The machine fitted on labelled documents outside the held-out fold; rows of labels with nulls tell nothing, any toxic one of several wins."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~in_fold(F.col("doc_id"), *held_out))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    few = hash_sample(known, "doc_id", sample, known.count())
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
     once = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of repeated rows, one
     rows = once.select("y", "text").mapInArrow(_terms, "y int, terms binary").collect()
     rows.sort(key=lambda r: (r.y, bytes(r.terms)))
     y = np.array([r.y for r in rows], np.float64)
-    return fit_machine(y, [np.frombuffer(r.terms, "<i4").astype(np.int64) for r in rows])
+    return fit_machine(y, [np.frombuffer(r.terms, "<i4") for r in rows])
 
 
 def toxicity_column(machine: Machine, text: Column) -> Column:

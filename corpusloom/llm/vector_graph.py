@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .sampling import hash_sample
 from .shared import written
 
 THRESHOLD, RECALL = 0.98, 0.95
@@ -336,7 +337,8 @@ def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int
 
     counts = nodes.groupBy("label", "dim").count().filter(F.col("count") > SHARD).orderBy(F.desc("count"), "label", "dim").limit(CENTROIDS).collect()
     total, rng = sum(r["count"] for r in counts), np.random.default_rng(11)
-    few = nodes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect() if counts else []
+    size = nodes.count()
+    few = hash_sample(nodes, "rep", SAMPLE, size).collect() if counts else []
     centroids = {}
     sampled = _by_group(few)
     for r in counts:
@@ -345,7 +347,7 @@ def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int
         if k > 1:
             centroids[r.label, r.dim] = _cluster(_unit([p.vec for p in part])[1], k, rng)
     sent = spark.sparkContext.broadcast(centroids)  # of at most CENTROIDS vectors
-    audited = nodes.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(AUDITED).collect()
+    audited = hash_sample(nodes, "rep", AUDITED, size, salt=1).collect()
     groups = {key: (np.array([p.rep for p in part]), _unit([p.vec for p in part])[1]) for key, part in _by_group(audited).items()}
     truth = nodes.mapInArrow(_audit(spark.sparkContext.broadcast(groups), threshold), "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
     truth = {r.rep: r.true for r in truth.collect()}

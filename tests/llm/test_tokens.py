@@ -76,4 +76,7 @@ def test_token_files_round_trip(spark, tmp_path):
         want.append((i, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
         start += len(x)
     assert sorted(map(tuple, token_file_digest(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == sorted(want)
-    assert read_token_files(spark, out).filter("doc_id = 3").count() == 1
+    one = read_token_files(spark, out).filter("doc_id = 3").select("doc_id", "n_tokens")
+    assert one.count() == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,3)" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan  # pruned by statistics and Bloom filter, ids unread
