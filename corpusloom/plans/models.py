@@ -9,6 +9,7 @@ from ..operators import corpus as C
 from ..operators import entities as E
 from ..operators import samplers as S
 from ..operators import topics as M
+from ..sources.shared import written
 from .corpus import ENTITIES, VOCAB, docs_of, mentions_of, tokens_of
 from .registry import query
 
@@ -25,17 +26,18 @@ e AS (SELECT a.*, CASE WHEN l IS NULL THEN 0 ELSE (doc_id + pos) % 2 END AS s, C
 
 
 def assigned_of(spark, sf_dir):
+    """Assignments and vocabulary, written once: every statistic reads the assignments several times."""
     toks = tokens_of(spark, sf_dir)
-    vocab = C.vocabulary(C.token_counts(toks), 5, 40)
-    return M.arithmetic_assignments(C.encode(toks, vocab), K), vocab
+    vocab = written(C.vocabulary(C.token_counts(toks), 5, 40), "vocabulary")
+    return written(M.arithmetic_assignments(C.encode(toks, vocab), K), "assigned"), vocab
 
 
 def entity_assigned(spark, sf_dir):
     assigned, vocab = assigned_of(spark, sf_dir)
-    mentions = mentions_of(spark, sf_dir)
-    entities = E.entity_set(mentions)
-    top = E.document_entities(mentions, entities, 4)
-    return M.with_entities(assigned, top), vocab, entities, top
+    mentions = written(mentions_of(spark, sf_dir), "mentions")
+    entities = written(E.entity_set(mentions), "entities")
+    top = written(E.document_entities(mentions, entities, 4), "document-entities")
+    return written(M.with_entities(assigned, top), "entity-assigned"), vocab, entities, top
 
 
 def theta_of(assigned):
