@@ -52,11 +52,12 @@ def plan_mix(docs: DataFrame, entropy: float | None = 0.98, repetition: float |
     entropy: least share of the largest possible entropy; repetition: most passes over a source; budget: tokens to
     draw as a share of all tokens, or None for the least that draws every source once in full. Where
     no exponent meets the repetition limit, the exponent is 1 and quotas are cut at the limit.
-    Sources without a token weigh nothing and are not drawn.
+    Sources without a token weigh nothing; they are drawn once where the budget is None, else not.
     """
     tokens = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"))
     per_source = tokens.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
-    sources = written(per_source, "mix-sources").filter("tokens > 0")
+    every = written(per_source, "mix-sources")
+    sources = every.filter("tokens > 0")
     s = sources.agg(F.count("*").alias("k"), F.sum("tokens").alias("all"), F.max("tokens").alias("top"), F.max("docs").alias("docs")).first()
     kinds, total, top = s.k, s["all"] or 0, s.top or 0
 
@@ -96,7 +97,10 @@ def plan_mix(docs: DataFrame, entropy: float | None = 0.98, repetition: float |
     if repetition is not None:
         quota = F.least(quota, F.floor(F.col("tokens") * F.lit(float(repetition))))
     planned = sources.select("source", F.round(power / F.lit(z), 9).alias("weight"), F.col("tokens").alias("size"), quota.cast("long").alias("quota"))
-    planned = planned.withColumn("whole", F.expr("quota div size")).withColumn("rest", F.col("quota") - F.col("whole") * F.col("size"))
+    planned = planned.withColumn("whole", F.expr("quota div size")).withColumn("rest", F.col("quota") - F.col("whole") * F.col("size")).select("source", "weight", "whole", "rest")
+    if budget is None:
+        once = (F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("whole"), F.lit(0).cast("long").alias("rest"))
+        planned = planned.unionByName(every.filter("tokens = 0").select("source", *once))
 
     blocks = max(1, int((s.docs or 1) ** 0.5 + 0.999999))
     sums = tokens.groupBy("source", _block(seed, blocks, F.col("doc_id")).alias("block")).agg(F.sum("n").alias("tokens"))

@@ -59,10 +59,10 @@ def test_mix_equals_sql_on_skewed_sources(spark):
 
 
 def test_mix_draws_all_within_the_repetition_limit(spark):
-    texts = ["a b c"] * 100 + ["d e"] * 10
-    out = M.mixed(docs(spark, texts, ["x"] * 100 + ["y"] * 10), entropy=1.0, repetition=1.5, budget=None)
+    texts = ["a b c"] * 100 + ["d e"] * 10 + ["", None]
+    out = M.mixed(docs(spark, texts, ["x"] * 100 + ["y"] * 10 + ["none", None]), entropy=1.0, repetition=1.5, budget=None)
     n = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert set(n) == set(range(110)) and all(n[i] == 1 for i in range(100))
+    assert set(n) == set(range(112)) and all(n[i] == 1 for i in [*range(100), 110, 111])
     assert sum(n[i] for i in range(100, 110)) in (14, 15)
     assert out.columns == ["doc_id", "text", "source", "word", "h"]
 
