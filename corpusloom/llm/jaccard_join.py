@@ -26,7 +26,6 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components

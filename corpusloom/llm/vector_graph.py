@@ -224,10 +224,6 @@ def _build(block):
     return pd.DataFrame({"rep": rep, "next": [rep[e[e >= 0]] for e in edges]})
 
 
-def _common_least(a: list, b: list) -> int:
-    return min(set(a) & set(b))
-
-
 def _search(threshold: float, beam: int):
     """Counts of linked vectors and one edge for each node of a pair of blocks."""
     import pandas as pd
