@@ -10,7 +10,7 @@ from ..operators import entities as E
 from ..operators import samplers as S
 from ..operators import topics as M
 from ..sources.shared import written
-from .corpus import ENTITIES, VOCAB, docs_of, mentions_of, tokens_of
+from .corpus import ENTITIES, VOCAB, mentions_of, tokens_of
 from .registry import query
 
 K, ALPHA, BETA = 5, 0.1, 0.01
