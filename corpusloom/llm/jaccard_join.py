@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .components import components
-from .sampling import at_least
+from .sampling import at_least, small_batches
 from .shared import written
 from .words import PLACES, lists, mix, shingles, words_of
 
@@ -323,6 +323,12 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
     component, and where all rows of a set have none, they have no links and a null component; an empty table
     gives an empty table; other columns are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return _groups(docs, k, percent, boundary)
+
+
+def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> DataFrame:
+    """Every Python stage runs inside, by a written table."""
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     described = written(texts.mapInArrow(_describe(k, percent), "doc_id long, n long, class long, prefix array<long>, bits binary"), "jaccard-sets")
