@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .encoder import encoder, slices
+from .sampling import small_batches
 
 _CACHE = "digest binary, n_tokens long"
 
@@ -91,7 +92,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     if (stored := cache()) is not None:
         missing = missing.join(stored.select("digest"), "digest", "left_anti")
     distinct = missing.mapInArrow(_first_of_each, "digest binary, text string").repartition("digest")
-    distinct.mapInArrow(_encode(tokenizer_path), _CACHE).write.mode("append").parquet(cache_path)
+    with small_batches(spark):
+        distinct.mapInArrow(_encode(tokenizer_path), _CACHE).write.mode("append").parquet(cache_path)
 
     counts = cache().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     sizes = keyed.select(id_col, "digest", F.octet_length("text").cast("long").alias("n_bytes"))

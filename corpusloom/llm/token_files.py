@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .encoder import encoder, slices
+from .sampling import small_batches
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -68,7 +69,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encode(tokenizer_path, end_id, white_space), SCHEMA).write.options(**ORC_OPTIONS).orc(out)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(_encode(tokenizer_path, end_id, white_space), SCHEMA).write.options(**ORC_OPTIONS).orc(out)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
