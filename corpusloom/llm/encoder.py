@@ -8,11 +8,13 @@ with a special token's string, or with white space outside ASCII, are encoded wh
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 #: Latin letters whose lower case is one letter (U+0130 becomes two characters).
 _LETTERS = "[A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F))) + "]+"
@@ -119,6 +121,14 @@ def encoder(path: str, white_space: bool) -> Encoder:
     return _encoders[key]
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker have freed: allocators keep it, and a long pipeline adds up."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(texts: list[str], characters: int = 1 << 20):
     """Consecutive texts of about so many characters together."""
     part, size = [], 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .encoder import encoder, slices
+from .encoder import encoder, release_memory, slices
 from .sampling import small_batches
 
 ORC_OPTIONS = {
@@ -40,6 +40,7 @@ def _encode(path: str, end_id: int, white_space: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         tok, shard, start = encoder(path, white_space), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, done = batch.column(1).to_pylist(), 0
