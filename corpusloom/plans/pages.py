@@ -109,6 +109,16 @@ def text_pieces(spark, sf_dir):
     return d.select("doc_id", T.first_word(F.col("text")).alias("first"), F.substring(T.after_hyphen(F.col("text")), 1, 20).alias("after"), F.array_join(T.comma_tags(F.substring("text", 1, 80)), "|").alias("tags"))
 
 
+@query(
+    r"""WITH p AS (SELECT doc_id, text, substr(text, instr(text, '-') + 1) AS after, list_transform(string_split(text, ','), lambda x: trim(x)) AS tags FROM documents)
+SELECT doc_id, lower(string_split(text, ' ')[1]) AS first, length(after) AS n_after, md5(after) AS after_digest, len(tags) AS n_tags, md5(array_to_string(tags, '|')) AS tags_digest FROM p"""
+)
+def text_pieces_whole(spark, sf_dir):
+    """First word, text after the first hyphen and comma tags of whole texts; wide pieces by length or count, and digest."""
+    d = docs_of(spark, sf_dir).select("doc_id", T.first_word(F.col("text")).alias("first"), T.after_hyphen(F.col("text")).alias("after"), T.comma_tags(F.col("text")).alias("tags"))
+    return d.select("doc_id", "first", F.length("after").cast("long").alias("n_after"), F.md5("after").alias("after_digest"), F.size("tags").cast("long").alias("n_tags"), F.md5(F.array_join("tags", "|")).alias("tags_digest"))
+
+
 @query("SELECT p_partkey, printf('%15s(%d)', p_brand, p_size) AS report, '<part><name>' || replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</name><size>' || p_size || '</size></part>' AS xml FROM (SELECT *, p_name AS name FROM part)")
 def formatted_rows(spark, sf_dir):
     from ..sources.sinks import xml_rows
