@@ -1,8 +1,8 @@
 """Gibbs samplers: exact sequential chains, and an approximate distributed sweep.
 
 A collapsed Gibbs chain resamples tokens one after another, each given all others: its exact form runs in one
-task by its nature, and is meant for corpora that fit there (MOST_TOKENS is checked). `distributed_lda` is another
-algorithm, for corpora of any size: each task sweeps its documents against the counts of the last
+task by its nature, and is meant for corpora that fit there (MOST_TOKENS is checked). `distributed_lda`, and `distributed` for
+all models, are another algorithm, for corpora of any size: each document is swept against the counts of the last
 sweep and its own changes, and counts are merged between sweeps (Newman, Asuncion, Smyth, Welling: Distributed
 Algorithms for Topic Models, JMLR 2009).
 """
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import fresh_path, written
 
 MOST_TOKENS = 5_000_000
 
@@ -45,6 +45,10 @@ class Chain:
     def sample_iterations(self) -> list[int]:
         return [self.burn_in + i * self.lag for i in range(self.samples)]
 
+    def widths(self) -> tuple[int, int]:
+        """Topics (or events) of documents and of entities."""
+        return self.topics, 0 if self.model in ("lda", "event") else self.entity_topics or self.topics
+
 
 def draw(weights: np.ndarray, u: float) -> int:
     """The least index whose running sum exceeds u times the total."""
@@ -58,9 +62,7 @@ class _State:
     def __init__(self, chain: Chain, doc: np.ndarray, word: np.ndarray, entities: list[np.ndarray], n_words: int, n_entities: int):
         self.c, self.doc, self.word, self.entities = chain, doc, word, entities
         self.rng = np.random.default_rng(chain.seed)
-        k_d, k_e = chain.topics, chain.entity_topics or chain.topics
-        if chain.model in ("lda", "event"):
-            k_e = 0
+        k_d, k_e = chain.widths()
         n = len(doc)
         self.word_d, self.doc_k = np.zeros((n_words, k_d)), np.zeros((len(entities), k_d))
         self.word_e, self.entity_k = np.zeros((n_words, max(1, k_e))), np.zeros((max(1, n_entities), max(1, k_e)))
@@ -95,12 +97,16 @@ class _State:
         self.entity_event[e, z] += by
         self.doc_mention[d, z] += by
 
+    def _totals(self) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, int]:
+        """Over the corpus: tokens of each topic of documents and of entities, words, mentions of each event, entities."""
+        return self.word_d.sum(0), self.word_e.sum(0), len(self.word_d), self.entity_event.sum(0), len(self.entity_event)
+
     def sweep(self) -> None:
         """Resample every token (and every mention of the event model), in order."""
         c = self.c
-        size_d, size_e = self.word_d.sum(0), self.word_e.sum(0)
+        size_d, size_e, v, size, n = self._totals()
         doc_size, entity_size = self.doc_k.sum(1), self.entity_k.sum(1)
-        v = len(self.word_d)
+        counted = [np.unique(e, return_counts=True) for e in self.entities]
         for i in range(len(self.doc)):
             self._count(i, -1)
             d, w = self.doc[i], self.word[i]
@@ -115,7 +121,7 @@ class _State:
             kinds = np.zeros(0, np.int64)
             if c.model.startswith("entity") and len(mine):
                 weights = weights / (doc_size[d] + c.topics * c.alpha)
-                kinds, times = np.unique(mine, return_counts=True)
+                kinds, times = counted[d]
                 k_e = self.word_e.shape[1]
                 prior, beta = (c.alpha_e, c.beta_e) if c.model == "entity_3" else (c.gamma, c.beta)
                 words = (self.word_e[w] + beta) / (size_e + v * beta)
@@ -136,7 +142,6 @@ class _State:
                 doc_size[d] += 1
             self._count(i, 1)
         if c.model == "event":
-            size, n = self.entity_event.sum(0), len(self.entity_event)
             for d, mine in enumerate(self.entities):
                 for j, e in enumerate(mine):
                     z = self.mention_z[d][j]
@@ -235,6 +240,148 @@ def _sweep(topics: int, alpha: float, beta: float, v: int, size: np.ndarray, see
     return run
 
 
+class _Part(_State):
+    """One document of a corpus of any size: its own state, and the corpus's counts of its words and entities."""
+
+    def __init__(self, chain: Chain, rng: np.random.Generator, word: np.ndarray, words: np.ndarray, entity: np.ndarray, entities: np.ndarray, totals: tuple):
+        """words and entities: the corpus's counts of the distinct words and entities that word (tokens) and entity (mentions) point to."""
+        (k_d, k_e), n = chain.widths(), len(word)
+        self.c, self.rng, self.totals = chain, rng, totals
+        self.doc, self.word, self.entities = np.zeros(n, np.int64), word, [entity]
+        self.word_d, self.word_e = words[:, :k_d].copy(), words[:, k_d:].copy() if k_e else np.zeros((len(words), 1))
+        self.entity_k = self.entity_event = entities.copy()  # a model has one of them
+        self.z, self.s, self.rho, self.mention_z = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64), [np.zeros(len(entity), np.int64)]
+
+    def start(self) -> None:
+        """Draw a first state; the corpus's counts don't matter yet."""
+        (k_d, k_e), n, mine = self.c.widths(), len(self.word), self.entities[0]
+        if k_e and len(mine):
+            self.s = self.rng.integers(2, size=n)
+            self.rho = np.where(self.s == 1, mine[self.rng.integers(len(mine), size=n)], -1)
+        self.z = self.rng.integers(np.where(self.s == 1, max(1, k_e), k_d))
+        self.mention_z = [self.rng.integers(k_d, size=len(mine))]
+
+    def resume(self, z: np.ndarray, s: np.ndarray, rho: np.ndarray, mention_z: np.ndarray) -> None:
+        """Take up the state that the corpus's counts hold."""
+        k_d = self.c.topics
+        self.z, self.s, self.rho, self.mention_z = z.copy(), s.copy(), rho.copy(), [mention_z.copy()]
+        self.switch = np.bincount(s, minlength=2).astype(float)[None]
+        self.doc_k = np.bincount(z[s == 0], minlength=k_d).astype(float)[None]
+        self.doc_mention = np.bincount(mention_z, minlength=k_d).astype(float)[None]
+
+    def _totals(self) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, int]:
+        size_d, size_e, v, size, n = self.totals
+        return size_d.copy(), size_e.copy(), v, size.copy(), n
+
+
+_STATE = "doc_id long, kind int, pos long, id long, cnt long, z long, s long, entity_id long, zs array<long>"
+
+
+def _dense(cells: DataFrame, width: int) -> DataFrame:
+    """(id, counts): arrays of `width` counts from (id, cell, n)."""
+    by_id = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"))
+    each = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
+    return by_id.select("id", F.transform(each, lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long"))).alias("counts"))
+
+
+def _sizes(cells: DataFrame, width: int) -> np.ndarray:
+    found = {r.cell: r.n for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # as many rows as topics
+    return np.array([float(found.get(k, 0)) for k in range(width)])
+
+
+def distributed(encoded: DataFrame, doc_entities: DataFrame | None, chain: Chain) -> DataFrame:
+    """(iter, doc_id, pos, word_id, z, s, entity_id): the samples of an approximate chain of any model over a corpus of any size.
+
+    As `exact`, but each document is swept by itself, against the counts of the last sweep and its own changes. Counts of
+    words and entities meet tokens and mentions by joins; a document stays in one task. Sweeps are written to the shared folder,
+    where two tables take turns and those of the samples stay.
+    """
+    (k_d, k_e), spark = chain.widths(), encoded.sparkSession
+    wide = k_d if chain.model == "event" else max(1, k_e)
+    blank = [F.lit(0).cast("long").alias("z"), F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("entity_id"), F.array().cast("array<long>").alias("zs"), F.array().cast("array<long>").alias("counts")]
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    rows = encoded.select(long("doc_id", "doc_id"), F.lit(1).alias("kind"), long("pos", "pos"), long("word_id", "id"), F.lit(1).cast("long").alias("cnt"), *blank)
+    if doc_entities is not None:
+        rows = rows.unionByName(doc_entities.select(long("doc_id", "doc_id"), F.lit(0).alias("kind"), long("rank", "pos"), long("entity_id", "id"), long("cnt", "cnt"), *blank))
+
+    def swept(rows: DataFrame, sweep: int, totals: tuple, path: str) -> DataFrame:
+        held = rows.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "pos")
+        held.mapInPandas(_by_document(_sweep_part(chain, sweep, wide, totals)), _STATE).write.mode("overwrite").parquet(path)
+        return spark.read.schema(_STATE).parquet(path)
+
+    turns = [fresh_path(spark, "sweep"), fresh_path(spark, "sweep")]
+    now = swept(rows, 0, (), turns[0])
+    kinds = {r.kind: r.n for r in now.groupBy("kind").agg(F.countDistinct("id").alias("n")).collect()}
+    samples, wanted = [], set(chain.sample_iterations())
+    for it in range(1, max(wanted) + 1):
+        toks, marks = now.filter("kind = 1"), now.filter("kind = 0")
+        words = toks.groupBy("id", (F.col("z") + F.col("s") * k_d).alias("cell")).agg(F.count("*").alias("n"))
+        if chain.model == "event":
+            cells = marks.select("id", F.explode("zs").alias("cell")).groupBy("id", "cell").agg(F.count("*").alias("n"))
+        else:
+            cells = toks.filter("s = 1").groupBy(F.col("entity_id").alias("id"), F.col("z").alias("cell")).agg(F.count("*").alias("n"))
+        size = _sizes(words, k_d + k_e)
+        totals = (size[:k_d], size[k_d:] if k_e else np.zeros(1), kinds.get(1, 0), _sizes(cells, wide) if chain.model == "event" else np.zeros(1), kinds.get(0, 0))
+        of_marks = marks.join(_dense(cells, wide), "id", "left").withColumn("counts", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), wide)))
+        path = fresh_path(spark, "sample") if it in wanted else turns[it % 2]
+        now = swept(toks.join(_dense(words, k_d + k_e), "id").unionByName(of_marks), it, totals, path)
+        if it in wanted:
+            samples.append(now.filter("kind = 1").select(F.lit(it).cast("long").alias("iter"), "doc_id", "pos", F.col("id").alias("word_id"), "z", "s", "entity_id"))
+    return reduce(DataFrame.unionByName, samples)
+
+
+def _sweep_part(chain: Chain, sweep: int, wide: int, totals: tuple):
+    """The first state (sweep 0) or one sweep of a document's rows: its entities, then its tokens."""
+
+    def one(doc: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng((chain.seed, sweep, int(doc.doc_id.iloc[0]) & 0x7FFFFFFFFFFFFFFF))
+        token = doc.kind.to_numpy() == 1
+        ids, cnt, counts = doc.id.to_numpy(), doc.cnt.to_numpy(), doc.counts.to_numpy()
+        names, first_name = np.unique(ids[~token], return_index=True)
+        entity = np.repeat(np.searchsorted(names, ids[~token]), cnt[~token])
+        words, first, word = np.unique(ids[token], return_index=True, return_inverse=True)
+        table = lambda rows, at, width: np.stack(rows[at]).astype(float) if sweep and len(at) else np.zeros((len(at), width))
+        part = _Part(chain, rng, word, table(counts[token], first, sum(chain.widths())), entity, table(counts[~token], first_name, wide), totals)
+        if sweep:
+            s, held = doc.s.to_numpy()[token], doc.entity_id.to_numpy()[token]
+            rho = np.where(s == 1, np.searchsorted(names, held), -1)
+            part.resume(doc.z.to_numpy()[token], s, rho, np.concatenate([np.zeros(0, np.int64), *doc.zs.to_numpy()[~token]]).astype(np.int64))
+            part.sweep()
+        else:
+            part.start()
+        z, s, held = (np.full(len(doc), x, np.int64) for x in (0, 0, -1))
+        z[token], s[token] = part.z, part.s
+        if len(names):
+            held[token] = np.where(part.rho >= 0, names[part.rho], -1)
+        zs = [np.zeros(0, np.int64)] * len(doc)
+        if chain.model == "event":
+            zs[: (~token).sum()] = np.split(part.mention_z[0], np.cumsum(cnt[~token])[:-1]) if len(names) else []
+        return doc.assign(z=z, s=s, entity_id=held, zs=zs).drop(columns="counts")[[c.split()[0] for c in _STATE.split(", ")]]
+
+    return one
+
+
+def _by_document(one: Callable[[pd.DataFrame], pd.DataFrame]):
+    """one over each document of sorted rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # the last document of a batch may go on in the next
+        for batch in batches:
+            ids = batch.doc_id.to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = batch.iloc[a:b]
+                if rest and len(piece) and rest[0].doc_id.iloc[0] != piece.doc_id.iloc[0]:
+                    yield one(pd.concat(rest))
+                    rest = []
+                if len(piece):
+                    rest.append(piece)
+        if rest:
+            yield one(pd.concat(rest))
+
+    return run
+
+
 def sample_mean(samples: list[DataFrame], key: str, value: str) -> DataFrame:
     """(key, k, value): the mean over the samples that were taken."""
     every = reduce(DataFrame.unionByName, samples)

@@ -11,7 +11,7 @@ from ..operators import samplers as S
 from ..operators import topics as M
 from ..sources.shared import written
 from .corpus import ENTITIES, VOCAB, mentions_of, tokens_of
-from .registry import query
+from .registry import query, table
 
 K, ALPHA, BETA = 5, 0.1, 0.01
 
@@ -258,15 +258,23 @@ def gibbs_distributed(spark, sf_dir):
     return M.topic_counts(swept, "word_id")
 
 
-def _bounded_corpus(spark, sf_dir):
-    """The benchmark items, which are few, as the corpus of the exact samplers: these run in one task by their nature."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
-    toks = C.tokens(items)
+def _sampled_corpus(docs):
+    """Tokens and document entities that the samplers take."""
+    toks = C.tokens(docs)
     encoded = C.encode(toks, C.vocabulary(C.token_counts(toks), 2, 0))
-    mentions = E.merge_runs(E.annotate(items))
+    mentions = written(E.merge_runs(E.annotate(docs)), "mentions")
     return encoded, E.document_entities(mentions, E.entity_set(mentions, 1), 4)
 
 
+def _bounded_corpus(spark, sf_dir):
+    """The benchmark items, which are few, as the corpus of the exact sampler: it runs in one task by its nature."""
+    return _sampled_corpus(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text"))
+
+
+def _documents(spark, sf_dir):
+    return _sampled_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def gibbs_lda_exact(spark, sf_dir):
     encoded, _ = _bounded_corpus(spark, sf_dir)
@@ -275,19 +283,23 @@ def gibbs_lda_exact(spark, sf_dir):
 
 @query()
 def gibbs_entity_v1(spark, sf_dir):
-    return S.exact(*_bounded_corpus(spark, sf_dir), S.Chain("entity_1", topics=4, entity_topics=4, burn_in=10, lag=5, samples=2, seed=1))
+    """Samples of an approximate distributed chain over all documents."""
+    return S.distributed(*_documents(spark, sf_dir), S.Chain("entity_1", topics=4, entity_topics=4, burn_in=10, lag=5, samples=2, seed=1))
 
 
 @query()
 def gibbs_entity_v2(spark, sf_dir):
-    return S.exact(*_bounded_corpus(spark, sf_dir), S.Chain("entity_2", topics=4, entity_topics=4, burn_in=10, lag=5, samples=2, seed=2))
+    """Samples of an approximate distributed chain over all documents."""
+    return S.distributed(*_documents(spark, sf_dir), S.Chain("entity_2", topics=4, entity_topics=4, burn_in=10, lag=5, samples=2, seed=2))
 
 
 @query()
 def gibbs_entity_v3(spark, sf_dir):
-    return S.exact(*_bounded_corpus(spark, sf_dir), S.Chain("entity_3", topics=4, entity_topics=6, burn_in=10, lag=5, samples=2, seed=3))
+    """Samples of an approximate distributed chain over all documents."""
+    return S.distributed(*_documents(spark, sf_dir), S.Chain("entity_3", topics=4, entity_topics=6, burn_in=10, lag=5, samples=2, seed=3))
 
 
 @query()
 def gibbs_event(spark, sf_dir):
-    return S.exact(*_bounded_corpus(spark, sf_dir), S.Chain("event", topics=4, burn_in=10, lag=5, samples=2, seed=4))
+    """Samples of an approximate distributed chain over all documents."""
+    return S.distributed(*_documents(spark, sf_dir), S.Chain("event", topics=4, burn_in=10, lag=5, samples=2, seed=4))
