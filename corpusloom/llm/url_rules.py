@@ -60,10 +60,11 @@ def inseparable(labelled: DataFrame, least: float) -> dict[str, list[str]]:
     return {r["all"][0]: list(r["all"]) for r in together.select("all").collect()}
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.7, min_lift: float = 1.2, common: float = 0.9) -> DataFrame | None:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.7, min_lift: float = 1.2, common: float = 0.9, gap: float = 0.5) -> DataFrame | None:
     """Rules (tokens, verdict, confidence, support) from labelled rows (tokens array, bad boolean); None where no row is labelled.
 
-    A rule needs min_support of all rows and min_count rows, min_confidence, and min_lift over its class. Tokens of more
+    A rule needs min_support of all rows and min_count rows, min_confidence, and min_lift over its class; where its class is so
+    common that this asks for more, a confidence above the class's share by `gap` of what is left to 1. Tokens of more
     than `common` of the rows tell nothing and don't take part. Tokens that always come together are one item, whose rules name
     all of them: a url of many tokens with a third of the rows makes no more itemsets than one of few.
     """
@@ -78,7 +79,9 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     items = F.array_except("tokens", F.array(*map(F.lit, stop)).cast("array<string>")) if stop else F.col("tokens")
     baskets = labelled.select(F.array_append(items, F.when(F.col("bad"), _BLOCK).otherwise(_ALLOW)).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent")[0].isin(_ALLOW, _BLOCK) & (F.col("lift") >= min_lift))
+    rules = model.associationRules.filter(F.col("consequent")[0].isin(_ALLOW, _BLOCK))
+    share = F.col("confidence") / F.col("lift")  # of the rule's class
+    rules = rules.filter((F.col("lift") >= min_lift) | (F.col("confidence") >= share + gap * (1 - share)))
     rules = rules.filter(~F.arrays_overlap("antecedent", F.array(F.lit(_ALLOW), F.lit(_BLOCK))))
     tokens = F.col("antecedent")
     if groups:
