@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators.ids import with_dense_id
 from .components import components
 from .sampling import at_least, small_batches
 from .shared import written
@@ -394,7 +395,12 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> Data
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, of which the id names its component; of repeated rows of that id, and of rows without an id, all stay."""
-    groups = jaccard_groups(docs, k, percent)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of docs, all columns, of each component: that of the least id, rows without an id last. Texts without a word all stay."""
+    rows, ids = docs.agg(F.count("*"), F.countDistinct(docs["doc_id"].cast("long"))).first()
+    key, numbered = "doc_id", docs
+    if rows > ids:  # repeated or null ids don't name rows
+        key = "__row"
+        numbered = with_dense_id(docs, key, docs["doc_id"].cast("long").asc_nulls_last(), docs["text"].asc())
+    groups = jaccard_groups(numbered.select(F.col(key).alias("doc_id"), "text"), k, percent)
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return numbered.join(gone, key, "left_anti").select(docs.columns)
