@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
 Benchmark items and documents are runs of words (letters and digits, A-Z as a-z, so punctuation and case don't
-matter). Seeds are windows of `tile` words, hashed by a rolling polynomial; documents join items on
+matter). Seeds are windows of `tile` words (of all words, where an item has fewer), hashed by a rolling polynomial; documents join items on
 seeds. In each joined pair the longest common run of unmarked words is marked, again and again, until
 none of `tile` words is left; tiles may lie in any order. An item is found in a document when
 tiles cover the share `coverage` of its words.
@@ -28,43 +28,45 @@ TILE, COVERAGE, BLOCK_WORDS = 5, 0.5, 500_000
 
 
 class ItemIndex:
-    """Seeds of a block of items, sorted by hash."""
+    """Seeds of a block of items by their number of words, each sorted by hash. The seeds of an item of fewer than `tile` words have all of them."""
 
     def __init__(self, ids: list[int], texts: list[str | None], tile: int):
-        self.tile, self.ids, self.length = tile, ids, np.zeros(len(ids), np.int64)
-        hashes, items, places = [], [], []
+        self.ids, self.length = ids, np.zeros(len(ids), np.int64)
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for w in words_of(pa.array(texts, pa.string()), PUNCTUATION):
             self.length[w.first_row : w.first_row + w.n_rows] = w.counts()
-            first, h = shingles(w, tile)
-            row = w.row[first]
-            hashes.append(h)
-            items.append(row)
-            places.append(first - w.bounds()[row - w.first_row])
-        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-        h, item, place = join(hashes, np.uint64), join(items, np.int64), join(places, np.int64)
-        order = np.lexsort((place, item, h))
-        self.hash, self.item, self.place = h[order], item[order], place[order]
+            least = np.minimum(w.counts(), tile)
+            for k in np.unique(least[least > 0]).tolist():
+                first, h = shingles(w, k)
+                own = least[w.row[first] - w.first_row] == k
+                first, row = first[own], w.row[first[own]]
+                parts.setdefault(k, []).append((h[own], row, first - w.bounds()[row - w.first_row]))
+        self.least = np.minimum(self.length, tile)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, found in parts.items():
+            h, item, place = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((place, item, h))
+            self.seeds[k] = h[order], item[order], place[order]
 
     def hits(self, w: Words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(row, item, words of the row, words of the item) of each row and item that share seeds: where the shared seeds begin."""
-        if not len(self.hash):
-            return
-        first, h = shingles(w, self.tile)
-        lo = np.searchsorted(self.hash, h)
-        inside = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
-        if not len(inside):
-            return
-        lo, first, h = lo[inside], first[inside], h[inside]
-        n = np.searchsorted(self.hash, h, side="right") - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        row = np.repeat(w.row[first], n)
-        place = np.repeat(first - w.bounds()[w.row[first] - w.first_row], n)
-        item = self.item[at]
-        order = np.lexsort((item, row))
-        row, item, place, at = row[order], item[order], place[order], at[order]
-        cuts = np.flatnonzero((row[1:] != row[:-1]) | (item[1:] != item[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
-            yield int(row[a]), int(item[a]), place[a:b], self.place[at[a:b]]
+        for k, (seed, item_of, place_of) in self.seeds.items():
+            first, h = shingles(w, k)
+            lo = np.searchsorted(seed, h)
+            inside = np.flatnonzero(seed[np.minimum(lo, len(seed) - 1)] == h)
+            if not len(inside):
+                continue
+            lo, first, h = lo[inside], first[inside], h[inside]
+            n = np.searchsorted(seed, h, side="right") - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            row = np.repeat(w.row[first], n)
+            place = np.repeat(first - w.bounds()[w.row[first] - w.first_row], n)
+            item = item_of[at]
+            order = np.lexsort((item, row))
+            row, item, place, at = row[order], item[order], place[order], at[order]
+            cuts = np.flatnonzero((row[1:] != row[:-1]) | (item[1:] != item[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
+                yield int(row[a]), int(item[a]), place[a:b], place_of[at[a:b]]
 
 
 def tiles(p: np.ndarray, q: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
@@ -105,11 +107,11 @@ def _found(index: ItemIndex, coverage: float, w: Words) -> Iterator[tuple[int, i
     """(row, item, covered words, tiles) of the pairs that reach the coverage."""
     for row, item, p, q in index.hits(w):
         need, met = coverage * index.length[item], np.zeros(index.length[item], bool)
-        for i in range(index.tile):
+        for i in range(index.least[item]):
             met[q + i] = True
         if met.sum() < need:
             continue  # tiles cover no more than all matches do together
-        cut = tiles(p, q, index.tile)
+        cut = tiles(p, q, int(index.least[item]))
         covered = sum(n for _, _, n in cut)
         if covered >= need:
             yield row, item, covered, cut
@@ -145,11 +147,11 @@ def item_blocks(benchmark: DataFrame, tile: int = TILE, block_words: int = BLOCK
 
     Items are numbered within 512 hash classes by running length, so a block is one class's next block_words words (or one longer item).
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = (F.length("text") / 2 + 1).cast("long")  # at most
     total = items.agg(F.sum(words)).first()[0] or 0
     classes = int(-(-total // block_words)) or 1
-    sized = items.withColumn("class", F.pmod(F.xxhash64("item_id"), F.lit(classes)))
+    sized = items.withColumn("class", F.pmod(F.xxhash64("item_id", "text"), F.lit(classes)))
     running = W.partitionBy("class").orderBy("item_id", "text").rowsBetween(W.unboundedPreceding, 0)
     sized = sized.withColumn("block", (F.sum(words).over(running) / block_words).cast("long"))
     for b in sized.select("class", "block").distinct().orderBy("class", "block").toLocalIterator():
@@ -160,20 +162,20 @@ def item_blocks(benchmark: DataFrame, tile: int = TILE, block_words: int = BLOCK
 def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, covered, item_words, n_tiles, longest) of each document and item found in it; clean documents have no row.
 
-    Null and empty texts hold nothing; items of fewer than `tile` words, or without an id, are never found; repeated rows
+    Null and empty texts hold nothing; items of fewer than `tile` words are found whole; pairs name an item, so those without an id have none; repeated rows
     of either table give repeated pairs; empty tables give no pairs; other columns are ignored.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     kind = "doc_id long, item_id long, covered long, item_words long, n_tiles long, longest long"
     out = None
-    for index in item_blocks(benchmark, tile):
+    for index in item_blocks(benchmark.filter("item_id is not null"), tile):
         part = texts.mapInArrow(_pairs(index, coverage), kind)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], kind) if out is None else out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs, all columns, in which no item is found."""
+    """The rows of docs, all columns, in which no item is found, be it with or without an id."""
     for index in item_blocks(benchmark, tile):
         docs = docs.mapInArrow(_clean(index, coverage, docs.columns.index("text")), docs.schema)
     return docs
