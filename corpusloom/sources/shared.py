@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is (tests, notebooks)."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a local session (tests, notebooks) gets a temporary one; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -21,8 +23,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, its lineage ends there, and a lost executor costs only a reread."""
+def written(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, its lineage ends there, and a lost executor costs only a reread. folders: columns whose values get folders of their own."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
