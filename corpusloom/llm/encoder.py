@@ -4,17 +4,17 @@ A cut is safe where the file's pre-tokenizer always ends a token: before a run o
 ASCII white space, and between a Latin letter and a comma or full stop. So a text's
 tokens are those of its pieces in order, and pieces repeat a great deal. Texts
 with a special token's string, or with white space outside ASCII, are encoded whole.
+
+A worker keeps its tokenizer, and what it remembers of pieces for the length of a task. Only pieces that it has met
+before are remembered, so numbers and names that occur once don't fill its memory.
 """
 
 from __future__ import annotations
 
-import ctypes
-import json
 import os
 import re
 
 import numpy as np
-import pyarrow as pa
 
 #: Latin letters whose lower case is one letter (U+0130 becomes two characters).
 _LETTERS = "[A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F))) + "]+"
@@ -27,7 +27,9 @@ _ODD_STOP = re.compile("[^a-z0-9ß-öø-ÿ \n\t\r][,.]")
 _SIMPLE = {True: re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"), False: re.compile("[a-zß-öø-ÿ]+")}
 
 #: Pieces in each of the two generations that one Python worker remembers, and the longest of them in characters. Beyond, pieces are encoded anew.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 100_000, 64
+#: Bits of the filter of pieces that were met.
+MET = 1 << 20
 
 
 class Encoder:
@@ -38,16 +40,20 @@ class Encoder:
 
     def __init__(self, path: str, white_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        plain = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
-        plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.merges = Tokenizer.from_str(json.dumps(plain))  # the same merges, for simple pieces, without rules that change nothing there
+        self.merges = Tokenizer(self.tokenizer.model)  # the same merges, for simple pieces, without rules that change nothing there
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.white_space, self.simple = white_space, _SIMPLE[white_space].fullmatch
+        self.forget()
+
+    def forget(self) -> None:
+        """Give up what is remembered of pieces."""
         self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}
+        self.met = bytearray(MET)
 
     def _split(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
@@ -67,16 +73,19 @@ class Encoder:
         """Values of these pieces; value(ids, bounds) makes them."""
         seen = set().union(*(p for p in pieces if p))
         if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        extra: dict[str, object] = {}
+            self.older, self.known, self.met = self.known, {}, bytearray(MET)
+        known, older, met = self.known, self.older, self.met
+        now: dict[str, object] = {}
         todo: tuple[list[str], list[str]] = ([], [])
         for x in seen:
-            if x not in known:
-                if x in older:
-                    known[x] = older[x]
-                else:
+            v = known.get(x)
+            if v is None:
+                v = older.get(x)
+                if v is None:
                     todo[self.simple(x) is not None].append(x)
+                    continue
+                known[x] = v
+            now[x] = v
         for tokenizer, missing in zip((self.tokenizer, self.merges), todo, strict=True):
             for i in range(0, len(missing), 50_000):
                 part = missing[i : i + 50_000]
@@ -84,8 +93,12 @@ class Encoder:
                 bounds = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))
                 values = value(np.array(got.ids, np.uint32), bounds)
                 for x, v in zip(part, values, strict=True):
-                    (known if len(x) <= LONGEST else extra)[x] = v
-        return known if not extra else known | extra
+                    now[x] = v
+                    bit = hash(x) % MET
+                    if met[bit] and len(x) <= LONGEST:
+                        known[x] = v
+                    met[bit] = 1
+        return now
 
     def counts(self, texts: list[str]) -> list[int]:
         pieces = [self._split(t) for t in texts]
@@ -121,14 +134,6 @@ def encoder(path: str, white_space: bool) -> Encoder:
     return _encoders[key]
 
 
-def release_memory() -> None:
-    """Give back what earlier tasks of this worker have freed: allocators keep it, and a long pipeline adds up."""
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def slices(texts: list[str], characters: int = 1 << 20):
     """Consecutive texts of about so many characters together."""
     part, size = [], 0

@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.names import every, unused
 from ..operators.ids import with_dense_id
 from .components import components
+from .memory import released
 from .sampling import at_least, small_batches
 from .shared import written
 from .words import PLACES, lists, mix, shingles, words_of
@@ -332,7 +334,7 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> Data
     """Every Python stage runs inside, by a written table."""
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    described = written(texts.mapInArrow(_describe(k, percent), "doc_id long, n long, class long, prefix array<long>, bits binary"), "jaccard-sets")
+    described = written(texts.mapInArrow(released(_describe(k, percent)), "doc_id long, n long, class long, prefix array<long>, bits binary"), "jaccard-sets")
     members = described.select("doc_id", "n", "class")
 
     met_by, n = Observation(), F.col("count")
@@ -345,8 +347,8 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> Data
         boundary = choose_boundary(sizes, (met_by.get["squares"] or 1) / (met_by.get["entries"] or 1), percent)
     sent = spark.sparkContext.broadcast(common)  # of at most COMMON hashes
 
-    entries = texts.select("text").mapInArrow(_entries(sent, boundary, k, percent), "h long, class long, n long")
-    met = entries.repartition("h").sortWithinPartitions("h", "class").mapInArrow(_meet(percent), "first long, a long, na long, b long, nb long")
+    entries = texts.select("text").mapInArrow(released(_entries(sent, boundary, k, percent)), "h long, class long, n long")
+    met = entries.repartition("h").sortWithinPartitions("h", "class").mapInArrow(released(_meet(percent)), "first long, a long, na long, b long, nb long")
     met = written(met, "jaccard-met")
     clusters = written(met.filter("first is not null").select("first", F.col("a").alias("class")).distinct(), "jaccard-clusters")
     pairs = written(met.filter("first is null").select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
@@ -354,19 +356,19 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> Data
     of_pairs = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-paired")
     bits = written(described.select("class", "bits").join(_small(of_pairs), "class", "left_semi").dropDuplicates(["class"]), "jaccard-bits")
     near = pairs.join(bits.select(F.col("class").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("class").alias("b"), F.col("bits").alias("y")), "b")
-    pairs = written(near.select("a", "b", "na", "nb", "x", "y").mapInArrow(_near(percent), "a long, b long"), "jaccard-near")
+    pairs = written(near.select("a", "b", "na", "nb", "x", "y").mapInArrow(released(_near(percent)), "a long, b long"), "jaccard-near")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(clusters.select("class")).distinct()
     named = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = written(wanted.join(named, "class").filter("rep is not null"), "jaccard-reps")
     ids = _small(written(reps.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-ids"))
-    sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "class long, set binary")
+    sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(released(_sets(k)), "class long, set binary")
     sets = written(sets.dropDuplicates(["class"]), "jaccard-verify")
 
     left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("x")), sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
     seconds = written(pairs.select("b").distinct(), "jaccard-seconds")
     right = right.join(_small(seconds), "b", "left_semi")
-    links = left.join(_small(pairs), "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    links = left.join(_small(pairs), "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(released(_verify(percent)), "a long, b long")
     links = written(links, "jaccard-links")
 
     def grouped(edges: DataFrame) -> DataFrame:
@@ -395,12 +397,15 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> Data
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
-    """One row of docs, all columns, of each component: that of the least id, rows without an id last. Texts without a word all stay."""
+    """One row of docs, all columns, of each component: that of the least id, rows without an id last. Texts without a word all stay.
+
+    Repeated rows are copies; an empty table gives an empty table; other columns stay, whatever their names.
+    """
     rows, ids = docs.agg(F.count("*"), F.countDistinct(docs["doc_id"].cast("long"))).first()
     key, numbered = "doc_id", docs
     if rows > ids:  # repeated or null ids don't name rows
-        key = "__row"
+        key = unused(docs, "__row")
         numbered = with_dense_id(docs, key, docs["doc_id"].cast("long").asc_nulls_last(), docs["text"].asc())
     groups = jaccard_groups(numbered.select(F.col(key).alias("doc_id"), "text"), k, percent)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return numbered.join(gone, key, "left_anti").select(docs.columns)
+    return numbered.join(gone, key, "left_anti").select(every(docs))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -9,19 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of a batch that is sent to Python while small_batches holds.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+_lock = threading.Lock()
+_held: dict[int, tuple[int, dict[str, str | None]]] = {}  # by session: users, and the settings before the first of them
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """Queries that run inside send at most so many rows at once to Python: texts and sets are long, and a worker holds a batch several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside send few rows and bytes at once to Python: texts and sets are long, and a worker holds a batch several times over.
+
+    Threads of one session may be inside together; the last one out restores the settings.
+    """
+    with _lock:
+        users, before = _held.get(id(spark), (0, {}))
+        if not users:
+            before = {key: spark.conf.get(key, None) for key in BATCH}
+            for key, value in BATCH.items():
+                spark.conf.set(key, value)
+        _held[id(spark)] = users + 1, before
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        with _lock:
+            users, before = _held.pop(id(spark))
+            if users > 1:
+                _held[id(spark)] = users - 1, before
+            else:
+                for key, value in before.items():
+                    if value is None:
+                        spark.conf.unset(key)
+                    else:
+                        spark.conf.set(key, value)
 
 
 def hash_sample(df: DataFrame, key: str, most: int, n: int, salt: int = 0) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .encoder import encoder, slices
+from .memory import released
 from .sampling import small_batches
 
 _CACHE = "digest binary, n_tokens long"
@@ -62,10 +63,13 @@ def _encode(path: str):
                     seen.add(d)
                     new.append(i)
             batch = batch.take(pa.array(new, pa.int64()))
+            if len(seen) > 1_000_000:  # a copy that comes later is encoded again, and its count stored twice
+                seen.clear()
             counts = [n for part in slices(batch.column(1).to_pylist()) for n in tok.counts(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+        tok.forget()
 
-    return run
+    return released(run)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .encoder import encoder, release_memory, slices
+from .encoder import encoder, slices
+from .memory import released
 from .sampling import small_batches
 
 ORC_OPTIONS = {
@@ -40,7 +41,6 @@ def _encode(path: str, end_id: int, white_space: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         tok, shard, start = encoder(path, white_space), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, done = batch.column(1).to_pylist(), 0
@@ -57,8 +57,9 @@ def _encode(path: str, end_id: int, white_space: bool):
                 )
                 start += int(bounds[-1])
                 done += size
+        tok.forget()
 
-    return run
+    return released(run)
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 1, white_space: bool = False) -> None:
@@ -86,7 +87,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
-    """The files' rows: doc_id, shard, shard_start, n_tokens, input_ids."""
+    """The files' rows: doc_id, shard, shard_start, n_tokens, input_ids. A folder without rows gives none."""
     return spark.read.schema(SCHEMA).orc(out)
 
 
@@ -94,11 +95,11 @@ def token_file_digest(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files.
 
     start counts the ids of all documents before it. Only the shards' totals, a row
-    for each file, are added up in order.
+    for each file, are added up in order. Null ids have rows, and repeated ones one each; files without rows give an empty table.
     """
     rows = read_token_files(spark, out)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    seen = rows.select("doc_id", "shard", "shard_start", "input_ids").mapInArrow(_digest, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
+    seen = rows.select("doc_id", "shard", "shard_start", "input_ids").mapInArrow(released(_digest), "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     return seen.join(bases, "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -40,13 +40,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n - 1 at least of the base and of its inverse. Those of an ordinary slice are kept, those of a longer text aren't."""
     global _powers
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES * 5 // 4)
-        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    size = max(n, SLICE_BYTES * 5 // 4)
+    up, down = np.full(size, _BASE), np.full(size, _INVERSE)
+    up[0] = down[0] = 1
+    tables = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if n <= SLICE_BYTES * 5 // 4:
+        _powers = tables
+    return tables
+
+
+def forget_powers() -> None:
+    global _powers
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 @dataclass
