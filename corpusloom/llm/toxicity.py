@@ -5,8 +5,11 @@ each present or not, hashed into BUCKETS. The machine adds a bias, a weight for
 inner product of the latent vectors of each pair of terms, so a pair (an insult with a
 group's name) can count for more than its parts do.
 
-Fitting takes at most SAMPLE labelled rows (those with the smallest hashes of doc_id) and the TERMS buckets that
-tell the classes apart best among them; both bounds are parameters. Scoring reads every text once, without a shuffle.
+A term takes part if it tells the classes apart by itself, or in a pair: pairs of the PAIRED most frequent terms are tested for
+what they tell beyond their parts, so the parts of an exclusive-or take part though neither tells anything alone.
+
+Fitting takes at most SAMPLE labelled rows (those with the smallest hashes of doc_id) and at most MOST_TERMS terms of them
+together; both bounds are parameters. Scoring reads every text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import hash_sample
+from .shared import written
 from .words import PUNCTUATION, words_of
 
 BUCKETS = 1 << 18
-SAMPLE, TERMS, FACTORS = 20_000, 4096, 8
-#: Least likelihood-ratio statistic of a term that takes part (about one in a thousand by chance).
-SIGNIFICANT = 11.0
+SAMPLE, MOST_TERMS, PAIRED, FACTORS = 20_000, 12_000_000, 4096, 8
+#: Least likelihood-ratio statistic of a term by itself (about one in a thousand by chance), and of a pair beyond its parts: there are
+#: millions of pairs, and rows of one group of copies share theirs.
+SIGNIFICANT, PAIR_SIGNIFICANT = 11.0, 100.0
 
 
 def _row_terms(column: pa.Array, pick: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -44,10 +49,11 @@ def _row_terms(column: pa.Array, pick: np.ndarray | None = None) -> Iterator[tup
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, n, row, bucket in _row_terms(batch.column(1)):
+        for first, n, row, bucket in _row_terms(batch.column(2)):
             at = np.searchsorted(row, np.arange(n + 1)) * 4
             raw = bucket.astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["y", "terms"])
+            found = pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(np.diff(at) // 4, pa.int32()), found], ["h", "y", "n", "terms"])
 
 
 @dataclass
@@ -72,18 +78,67 @@ class Machine:
         return out
 
 
+def _x_log_x(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
 def _g_squared(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarray:
     """Likelihood-ratio statistic of each term's presence in a of n_a rows of one class and b of n_b of the other."""
-    total = np.zeros(len(a))
-    for x, y in ((a, b), (n_a - a, n_b - b)):
-        for seen, n in ((x, n_a), (y, n_b)):
-            due = (x + y) * (n / (n_a + n_b))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                total += np.where(seen > 0, 2 * seen * np.log(seen / due), 0)
-    return total
+    h = _x_log_x
+    return 2 * (h(a) + h(b) - h(a + b) + h(n_a - a) + h(n_b - b) - h(n_a + n_b - a - b) - h(np.float64(n_a)) - h(np.float64(n_b)) + h(np.float64(n_a + n_b)))
 
 
-def fit_machine(y: np.ndarray, terms: list[np.ndarray], n_terms: int = TERMS, factors: int = FACTORS, epochs: int = 30, seed: int = 7) -> Machine:
+def _telling_pairs(y: np.ndarray, terms: list[np.ndarray], df: np.ndarray) -> np.ndarray:
+    """Buckets among the PAIRED most frequent that tell the classes apart together with another, beyond what both tell alone."""
+    often = np.argsort(-df, kind="stable")[:PAIRED]
+    often = np.sort(often[df[often] >= 3])
+    place = np.full(BUCKETS, -1, np.int64)
+    place[often] = np.arange(len(often))
+    both, rows = [], []
+    for c in (0, 1):
+        of_class, together = [place[t] for t, k in zip(terms, y, strict=True) if k == c], np.zeros((len(often), len(often)), np.float32)
+        for i in range(0, len(of_class), 512):
+            there = np.zeros((min(512, len(of_class) - i), len(often)), np.float32)
+            for r, t in zip(there, of_class[i : i + 512], strict=True):
+                r[t[t >= 0]] = 1
+            together += there.T @ there
+        both.append(together)
+        rows.append(float(len(of_class)))
+    one = [np.diag(m).astype(np.float64) for m in both]
+    alone, h = _g_squared(one[1], one[0], rows[1], rows[0]), _x_log_x
+    best = np.zeros(len(often))
+    for i in range(0, len(often), 128):  # the four cells of a block of pairs by class, against the classes' totals
+        cells = []
+        for m, d, n in zip(both, one, rows, strict=True):
+            part, first = m[i : i + 128].astype(np.float64), d[i : i + 128, None]
+            cells.append((part, first - part, d - part, n - first - d + part))
+        told = 2 * (sum(h(a) + h(b) - h(a + b) for a, b in zip(*cells, strict=True)) - h(np.float64(rows[0])) - h(np.float64(rows[1])) + h(np.float64(sum(rows))))
+        told -= alone[i : i + 128, None] + alone
+        told[np.arange(len(told)), np.arange(i, i + len(told))] = 0
+        best[i : i + 128] = told.max(1)
+    return often[best >= PAIR_SIGNIFICANT]
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the values between bounds."""
+    sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, 0)])
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+class _Batch:
+    """Rows of one step: their terms by row, and the order that brings equal terms together."""
+
+    def __init__(self, y: np.ndarray, terms: list[np.ndarray], rare: float):
+        self.y, self.weight = y, np.where(y > 0, rare, 1.0)
+        sizes = [len(t) for t in terms]
+        self.row, self.rows = np.repeat(np.arange(len(terms)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+        self.term = np.concatenate(terms)
+        self.order = np.argsort(self.term, kind="stable")
+        self.used, first = np.unique(self.term[self.order], return_index=True)
+        self.bounds = np.append(first, len(self.term))
+
+
+def fit_machine(y: np.ndarray, terms: list[np.ndarray], factors: int = FACTORS, epochs: int = 30, seed: int = 7) -> Machine:
     """Fit by AdaGrad on the logistic loss, in small batches, with an L2 pull on weights and factors."""
     pick = np.full(BUCKETS, -1, np.int64)
     n = len(y)
@@ -97,28 +152,25 @@ def fit_machine(y: np.ndarray, terms: list[np.ndarray], n_terms: int = TERMS, fa
             df[c] += np.bincount(np.concatenate(of_class[i : i + 512]), minlength=BUCKETS)
     tell = _g_squared(df[1], df[0], y.sum(), n - y.sum())
     tell[df[0] + df[1] < 3] = 0
-    chosen = np.sort(np.argsort(-tell, kind="stable")[:n_terms])
-    chosen = chosen[tell[chosen] >= SIGNIFICANT]
+    chosen = np.union1d(np.flatnonzero(tell >= SIGNIFICANT), _telling_pairs(y, terms, df[0] + df[1]))
     pick[chosen] = np.arange(len(chosen))
     rare = float(np.sqrt((1 - rate) / rate))  # errors on the rarer class count for more
     rng = np.random.default_rng(seed)
     size = max(1, len(chosen))
     m = Machine(pick, float(np.log(rate / (1 - rate))), np.zeros(size), rng.normal(0, 0.01, (size, factors)))
-    kept = [pick[t][pick[t] >= 0] for t in terms]
+    kept, order = [pick[t][pick[t] >= 0] for t in terms], rng.permutation(n)
+    batches = [_Batch(y[part], [kept[j] for j in part], rare) for part in np.split(order, np.arange(64, n, 64))]
     g_b, g_w, g_v = 1e-6, np.full(size, 1e-6), np.full((size, factors), 1e-6)
     for _ in range(epochs):
-        order = rng.permutation(n)
-        for i in range(0, n, 64):
-            part = order[i : i + 64]
-            row = np.repeat(np.arange(len(part)), [len(kept[j]) for j in part])
-            term = np.concatenate([np.zeros(0, np.int64), *(kept[j] for j in part)])
-            error = (1 / (1 + np.exp(-np.clip(m.margins(len(part), row, term), -30, 30))) - y[part]) * np.where(y[part] > 0, rare, 1)
-            sums = np.zeros((len(part), factors))
-            np.add.at(sums, row, m.factors[term])
-            used, back = np.unique(term, return_inverse=True)
-            d_w = np.bincount(back, error[row], len(used)) + 1e-3 * m.weight[used]
-            d_v = 1e-3 * m.factors[used]
-            np.add.at(d_v, back, error[row][:, None] * (sums[row] - m.factors[term]))
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
+            v = m.factors[b.term]
+            sums = _sums(v, b.rows)
+            margin = m.bias + _sums(m.weight[b.term], b.rows) + ((sums * sums).sum(1) - _sums((v * v).sum(1), b.rows)) / 2
+            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - b.y) * b.weight
+            each, used = error[b.row], b.used
+            d_w = _sums(each[b.order], b.bounds) + 1e-3 * m.weight[used]
+            d_v = _sums((each[:, None] * (sums[b.row] - v))[b.order], b.bounds) + 1e-3 * m.factors[used]
             d_b = error.sum()
             g_b, g_w[used], g_v[used] = g_b + d_b**2, g_w[used] + d_w**2, g_v[used] + d_v**2
             m.bias -= 0.1 * d_b / np.sqrt(g_b)
@@ -132,17 +184,27 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] = (3, 1)) -> Machine:
-    """The machine fitted on labelled documents outside the held-out fold; rows of labels with nulls tell nothing, any toxic one of several wins."""
+def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_terms: int = MOST_TERMS, held_out: tuple[int, int] = (3, 1)) -> Machine:
+    """The machine fitted on labelled documents outside the held-out fold; rows of labels with nulls tell nothing, any toxic one of several wins.
+
+    Of the sampled rows, those of the lowest hashes are taken whose terms are at most most_terms together, so very long texts
+    don't add up on the driver.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~in_fold(F.col("doc_id"), *held_out))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     few = hash_sample(known, "doc_id", sample, known.count())
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
     once = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of repeated rows, one
-    rows = once.select("y", "text").mapInArrow(_terms, "y int, terms binary").collect()
-    rows.sort(key=lambda r: (r.y, bytes(r.terms)))
-    y = np.array([r.y for r in rows], np.float64)
-    return fit_machine(y, [np.frombuffer(r.terms, "<i4") for r in rows])
+    terms = written(once.select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(_terms, "h long, y int, n int, terms binary"), "toxicity-terms")
+    sizes = terms.select("h", "n").toArrow()  # at most `sample` rows of two numbers
+    h, n = sizes["h"].to_numpy(), sizes["n"].to_numpy()
+    order = np.argsort(h, kind="stable")
+    inside = order[np.cumsum(n[order].astype(np.int64)) <= most_terms]
+    if len(inside) < len(h):
+        terms = terms.filter(F.col("h") <= int(h[inside].max(initial=np.iinfo(np.int64).min)))
+    found = terms.select("y", "terms").toArrow()
+    rows = sorted(zip(found["y"].to_pylist(), found["terms"].to_pylist(), strict=True))
+    return fit_machine(np.array([k for k, _ in rows], np.float64), [np.frombuffer(t, "<i4") for _, t in rows])
 
 
 def toxicity_column(machine: Machine, text: Column) -> Column:
@@ -167,7 +229,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold."""
-    machine = learn_toxicity(docs, labels)
-    name = "__toxicity"
-    return docs.withColumn(name, toxicity_column(machine, docs["text"])).filter(F.col(name) < threshold).drop(name)
+    """The rows of docs, all columns, that score below the threshold.
+
+    Null and empty texts have the bias's score; repeated rows are judged alike; null ids are judged; an empty table gives an empty table;
+    without labels nothing goes; other columns stay, whatever their names.
+    """
+    return docs.filter(toxicity_column(learn_toxicity(docs, labels), docs["text"]) < threshold)
