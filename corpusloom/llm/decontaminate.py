@@ -2,13 +2,13 @@
 
 Benchmark items and documents are runs of words (letters and digits, A-Z as a-z, so punctuation and case don't
 matter). Seeds are windows of `tile` words (of all words, where an item has fewer), hashed by a rolling polynomial; documents join items on
-seeds. In each joined pair the longest common run of unmarked words is marked, again and again, until
-none of `tile` words is left; tiles may lie in any order. An item is found in a document when
-tiles cover the share `coverage` of its words.
+seeds, and seeds that follow each other in both make runs. In each joined pair the longest common run of unmarked words is marked, again
+and again, until none of `tile` words is left; tiles may lie in any order. An item is found in a document when
+tiles cover the share `coverage` of its words. Words of a tile are compared one by one, so a chance hit of a window's hash finds nothing.
 
 A document's pairs are tiled where it is read, so documents aren't shuffled. Items are met in
-blocks of at most BLOCK_WORDS words, each sent to all tasks; a benchmark of any size
-takes as many passes as it has blocks.
+blocks of at most BLOCK_WORDS words, each sent to all tasks, AT_ONCE blocks a pass; a benchmark of any size
+takes as many passes as that makes.
 """
 
 from __future__ import annotations
@@ -22,9 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
 from .words import PUNCTUATION, Words, shingles, words_of
 
-TILE, COVERAGE, BLOCK_WORDS = 5, 0.5, 500_000
+TILE, COVERAGE, BLOCK_WORDS, AT_ONCE = 5, 0.5, 500_000, 4
+#: Pairs of equal seeds that are held at once; a text and an item that repeat one word have a great many.
+PAIRS = 1_000_000
+
+#: Runs of equal seeds: row, item, place in the text less that in the item, place in the item, seeds. One array each.
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _joined(runs: Runs) -> Runs:
+    """The runs in order, those that go on in one another made one."""
+    order = np.lexsort((runs[3], runs[2], runs[1], runs[0]))
+    row, item, shift, place, n = (x[order] for x in runs)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] != place[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    return row[first], item[first], shift[first], place[first], np.add.reduceat(n, first) if len(first) else n
 
 
 class ItemIndex:
@@ -32,9 +48,11 @@ class ItemIndex:
 
     def __init__(self, ids: list[int], texts: list[str | None], tile: int):
         self.ids, self.length = ids, np.zeros(len(ids), np.int64)
+        self.words: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(ids)  # each item's word hashes
         parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for w in words_of(pa.array(texts, pa.string()), PUNCTUATION):
             self.length[w.first_row : w.first_row + w.n_rows] = w.counts()
+            self.words[w.first_row : w.first_row + w.n_rows] = np.split(w.hash, w.bounds()[1:-1])
             least = np.minimum(w.counts(), tile)
             for k in np.unique(least[least > 0]).tolist():
                 first, h = shingles(w, k)
@@ -48,8 +66,9 @@ class ItemIndex:
             order = np.lexsort((place, item, h))
             self.seeds[k] = h[order], item[order], place[order]
 
-    def hits(self, w: Words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(row, item, words of the row, words of the item) of each row and item that share seeds: where the shared seeds begin."""
+    def runs(self, w: Words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, shifts, places in the item, seeds) of the runs of each row and item that share seeds."""
+        bounds = w.bounds()
         for k, (seed, item_of, place_of) in self.seeds.items():
             first, h = shingles(w, k)
             lo = np.searchsorted(seed, h)
@@ -58,35 +77,33 @@ class ItemIndex:
                 continue
             lo, first, h = lo[inside], first[inside], h[inside]
             n = np.searchsorted(seed, h, side="right") - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            row = np.repeat(w.row[first], n)
-            place = np.repeat(first - w.bounds()[w.row[first] - w.first_row], n)
-            item = item_of[at]
-            order = np.lexsort((item, row))
-            row, item, place, at = row[order], item[order], place[order], at[order]
+            found, total, a = None, np.cumsum(n), 0
+            while a < len(n):  # as many places of the text as make PAIRS pairs, one at least
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right")))
+                m = n[a:b]
+                at = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+                row = np.repeat(w.row[first[a:b]], m)
+                place = np.repeat(first[a:b] - bounds[w.row[first[a:b]] - w.first_row], m)
+                more = _joined((row, item_of[at], place - place_of[at], place_of[at], np.ones(len(at), np.int64)))
+                found = more if found is None else _joined(tuple(np.concatenate(x) for x in zip(found, more, strict=True)))
+                a = b
+            row, item, *rest = found
             cuts = np.flatnonzero((row[1:] != row[:-1]) | (item[1:] != item[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
-                yield int(row[a]), int(item[a]), place[a:b], place_of[at[a:b]]
-
-
-def tiles(p: np.ndarray, q: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in text, place in item, words) from shared seeds: the longest match first, then the earliest in the item, then in the text."""
-    d = p - q
-    order = np.lexsort((q, d))
-    d, q = d[order], q[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (q[1:] != q[:-1] + 1)
-    start = np.flatnonzero(new)
-    length = np.diff(np.append(start, len(d))) - 1 + tile
-    heap = list(zip((-length).tolist(), q[start].tolist(), (q[start] + d[start]).tolist(), strict=True))
+                yield int(row[a]), int(item[a]), *(x[a:b] for x in rest)
+
+
+def tiles(shift: np.ndarray, place: np.ndarray, seeds: np.ndarray, tile: int, words: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in text, place in item, words) from runs of seeds: the longest match first, then the earliest in the item, then in the text."""
+    heap = list(zip((-(seeds - 1 + tile)).tolist(), place.tolist(), (place + shift).tolist(), strict=True))
     heapq.heapify(heap)
     used_p: set[int] = set()
     used_q: set[int] = set()
     out = []
-    while heap:
+    while heap and words - len(used_q) >= tile:
         n, y, x = heapq.heappop(heap)
         n = -n
-        free = [x + i not in used_p and y + i not in used_q for i in range(n)]
+        free = [y + i not in used_q and x + i not in used_p for i in range(n)]
         if all(free):
             used_p.update(range(x, x + n))
             used_q.update(range(y, y + n))
@@ -105,24 +122,26 @@ def tiles(p: np.ndarray, q: np.ndarray, tile: int) -> list[tuple[int, int, int]]
 
 def _found(index: ItemIndex, coverage: float, w: Words) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
     """(row, item, covered words, tiles) of the pairs that reach the coverage."""
-    for row, item, p, q in index.hits(w):
-        need, met = coverage * index.length[item], np.zeros(index.length[item], bool)
-        for i in range(index.least[item]):
-            met[q + i] = True
-        if met.sum() < need:
+    bounds = w.bounds()
+    for row, item, shift, place, seeds in index.runs(w):
+        tile, words = int(index.least[item]), int(index.length[item])
+        change = np.bincount(place, minlength=words + 1) - np.bincount(place + seeds - 1 + tile, minlength=words + 1)
+        if (np.cumsum(change)[:words] > 0).sum() < coverage * words:
             continue  # tiles cover no more than all matches do together
-        cut = tiles(p, q, int(index.least[item]))
+        text = w.hash[bounds[row - w.first_row] : bounds[row - w.first_row + 1]]
+        cut = [(x, y, n) for x, y, n in tiles(shift, place, seeds, tile, words) if (text[x : x + n] == index.words[item][y : y + n]).all()]
         covered = sum(n for _, _, n in cut)
-        if covered >= need:
+        if cut and covered >= coverage * words:
             yield row, item, covered, cut
 
 
-def _pairs(index: ItemIndex, coverage: float):
+def _pairs(indexes: list[ItemIndex], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0), []
             for w in words_of(batch.column(1), PUNCTUATION):
-                rows += [(ids[r].as_py(), index.ids[i], c, int(index.length[i]), len(cut), max(n for _, _, n in cut)) for r, i, c, cut in _found(index, coverage, w)]
+                for index in indexes:
+                    rows += [(ids[r].as_py(), index.ids[i], c, int(index.length[i]), len(cut), max(n for _, _, n in cut)) for r, i, c, cut in _found(index, coverage, w)]
             kinds = [pa.int64()] * 6
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "covered", "item_words", "n_tiles", "longest"])
@@ -130,13 +149,14 @@ def _pairs(index: ItemIndex, coverage: float):
     return run
 
 
-def _clean(index: ItemIndex, coverage: float, text_at: int):
+def _clean(indexes: list[ItemIndex], coverage: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bad = np.zeros(batch.num_rows, bool)
             for w in words_of(batch.column(text_at), PUNCTUATION):
-                for row, *_ in _found(index, coverage, w):
-                    bad[row] = True
+                for index in indexes:
+                    for row, *_ in _found(index, coverage, w):
+                        bad[row] = True
             yield batch.filter(pa.array(~bad)) if bad.any() else batch
 
     return run
@@ -145,7 +165,8 @@ def _clean(index: ItemIndex, coverage: float, text_at: int):
 def item_blocks(benchmark: DataFrame, tile: int = TILE, block_words: int = BLOCK_WORDS) -> Iterator[ItemIndex]:
     """The items' seeds, in blocks of bounded size.
 
-    Items are numbered within 512 hash classes by running length, so a block is one class's next block_words words (or one longer item).
+    Items are numbered within hash classes by running length, so a block is one class's next block_words words (or one longer item). Blocks
+    are written once, by block, so that each is read alone.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = (F.length("text") / 2 + 1).cast("long")  # at most
@@ -154,28 +175,46 @@ def item_blocks(benchmark: DataFrame, tile: int = TILE, block_words: int = BLOCK
     sized = items.withColumn("class", F.pmod(F.xxhash64("item_id", "text"), F.lit(classes)))
     running = W.partitionBy("class").orderBy("item_id", "text").rowsBetween(W.unboundedPreceding, 0)
     sized = sized.withColumn("block", (F.sum(words).over(running) / block_words).cast("long"))
+    sized = written(sized, "benchmark-blocks", "class", "block")
     for b in sized.select("class", "block").distinct().orderBy("class", "block").toLocalIterator():
         rows = sized.filter((F.col("class") == b["class"]) & (F.col("block") == b["block"])).orderBy("item_id", "text").collect()
         yield ItemIndex([r.item_id for r in rows], [r.text for r in rows], tile)
 
 
+def _passes(benchmark: DataFrame, tile: int) -> Iterator[list[ItemIndex]]:
+    """Blocks in groups of AT_ONCE."""
+    group: list[ItemIndex] = []
+    for index in item_blocks(benchmark, tile):
+        group.append(index)
+        if len(group) == AT_ONCE:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, covered, item_words, n_tiles, longest) of each document and item found in it; clean documents have no row.
 
     Null and empty texts hold nothing; items of fewer than `tile` words are found whole; pairs name an item, so those without an id have none; repeated rows
-    of either table give repeated pairs; empty tables give no pairs; other columns are ignored.
+    of either table give repeated pairs; of equally long matches the earliest in the item counts, then in the text; texts and items that repeat
+    one word are tiled like others, in bounded memory; empty tables give no pairs; other columns are ignored.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     kind = "doc_id long, item_id long, covered long, item_words long, n_tiles long, longest long"
     out = None
-    for index in item_blocks(benchmark.filter("item_id is not null"), tile):
-        part = texts.mapInArrow(_pairs(index, coverage), kind)
+    for indexes in _passes(benchmark.filter("item_id is not null"), tile):
+        part = texts.mapInArrow(_pairs(indexes, coverage), kind)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], kind) if out is None else out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs, all columns, in which no item is found, be it with or without an id."""
-    for index in item_blocks(benchmark, tile):
-        docs = docs.mapInArrow(_clean(index, coverage, docs.columns.index("text")), docs.schema)
+    """The rows of docs, all columns, in which no item is found, be it with or without an id.
+
+    Null and empty texts stay; repeated rows are judged alike; without items all rows stay; an empty table gives an empty table; other
+    columns stay, whatever their names.
+    """
+    for indexes in _passes(benchmark, tile):
+        docs = docs.mapInArrow(_clean(indexes, coverage, docs.columns.index("text")), docs.schema)
     return docs
