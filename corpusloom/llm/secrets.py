@@ -3,12 +3,12 @@
 The fixed patterns label credentials. Their values, spelled in character classes, form a
 prefix tree for each kind; tree states whose outgoing frequencies don't differ
 significantly (Hoeffding's bound) are merged, which leaves a small probabilistic automaton
-for each kind. Every other run of 16 or more credential characters is a candidate:
-it becomes a span of kind `learned` when an automaton gives it a likelihood that the labelled
+for each kind. Every other run of SHORTEST or more credential characters, and every part of one that a fixed pattern's match leaves over, is a
+candidate: it becomes a span of kind `learned` when an automaton gives it a likelihood that the labelled
 credentials themselves reach, well above that of the corpus's ordinary runs.
 
-Counts of labelled values and of ordinary characters cover all texts; the prefix trees take at
-most SAMPLE distinct values a kind of at most LONGEST characters (those with the smallest hashes), so fitting is bounded.
+Counts of labelled values and of ordinary characters cover all texts; a prefix tree takes at
+most SAMPLE distinct values (those with the smallest hashes) of at most CHARACTERS characters together, so fitting is bounded.
 """
 
 from __future__ import annotations
@@ -18,17 +18,19 @@ import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
 KINDS = ("assign", "access", "hex", "learned")
-#: Distinct labelled values a kind that the prefix tree is built from, and the characters of the longest of them.
-SAMPLE, LONGEST = 2000, 512
-#: Least length of a candidate, and least advantage in nats a character over ordinary runs.
-SHORTEST, MARGIN = 16, 0.5
+#: Distinct labelled values that a kind's prefix tree is built from, and their characters together.
+SAMPLE, CHARACTERS = 2000, 250_000
+#: Least length of a candidate: that of the shortest labelled value. Least advantage in nats a value and a character over ordinary runs.
+SHORTEST, ADVANTAGE, MARGIN = 8, 10.0, 0.5
 
 
 def _either_case(word: str) -> str:
@@ -40,6 +42,7 @@ _ASSIGN = re.compile(rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,8 +59,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of credential characters that no base span touches."""
-    return [m.span() for m in _RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+    """Runs of credential characters, less what base spans cover, of SHORTEST characters at least."""
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    if not base:
+        return runs
+    out, at, ends = [], 0, [(s, e) for s, _, e in base]
+    for a, b in runs:
+        while at < len(ends) and ends[at][1] <= a:
+            at += 1
+        for s, e in ends[at:]:
+            if s >= b:
+                break
+            if s - a >= SHORTEST:
+                out.append((a, s))
+            a = max(a, e)
+        if b - a >= SHORTEST:
+            out.append((a, b))
+    return out
 
 
 #: Character classes of the automata: digits, hex letters, other letters; the rest stand for themselves.
@@ -65,8 +83,11 @@ _CLASS = {c: k for k, cs in (("0", "0123456789"), ("a", "abcdef"), ("z", "ghijkl
 _SIZE = Counter(_CLASS.values())
 
 
+_SPELL = str.maketrans(_CLASS)
+
+
 def spelled(value: str) -> str:
-    return "".join(map(_CLASS.__getitem__, value))
+    return value.translate(_SPELL)
 
 
 class Automaton:
@@ -141,50 +162,74 @@ class Automaton:
         self.states = kept
 
     def likelihood(self, s: str) -> float:
-        """Log-probability a character of a spelled string; classes share their probability among their characters. Unseen steps get half a count."""
-        state, total = 0, 0.0
+        """Log-probability of a spelled string of characters, each class's probability shared among its characters.
+
+        Every state lends half a count to all symbols and the end alike; an unseen step leads to a state where they are
+        equally likely, so the probabilities of all strings add up to 1.
+        """
+        state, total, even = 0, 0.0, 1 / (len(_SIZE) + 1)
         for c in s:
-            n, edge = self._total(state), self.out[state].get(c)
-            total += math.log((edge[0] if edge else 0.5) / (n + 0.5)) - math.log(_SIZE[c])
-            state = edge[1] if edge else 0
-        total += math.log((self.end[state] or 0.5) / (self._total(state) + 0.5))
-        return total / (len(s) + 1)
+            edge = self.out[state].get(c) if state >= 0 else None
+            if state < 0:
+                total += math.log(even)
+            else:
+                total += math.log(((edge[0] if edge else 0) + 0.5 * even) / (self._total(state) + 0.5))
+            total -= math.log(_SIZE[c])
+            state = edge[1] if edge else -1
+        return total + math.log(even if state < 0 else (self.end[state] + 0.5 * even) / (self._total(state) + 0.5))
+
+
+class Ordinary:
+    """What runs usually look like: the class of a character given the one before, and the character given its class. \n begins and ends a run."""
+
+    def __init__(self, counts: dict[str, int]):
+        """counts: of characters, and of pairs of classes that follow each other."""
+        self.char = {}
+        for c, k in _CLASS.items():
+            total = sum(counts.get(x, 0) + 1 for x, y in _CLASS.items() if y == k)
+            self.char[c] = math.log((counts.get(c, 0) + 1) / total)
+        kinds = [*_SIZE, "\n"]
+        self.step = {}
+        for a in kinds:
+            total = sum(counts.get(a + b, 0) + 1 for b in kinds)
+            self.step |= {a + b: math.log((counts.get(a + b, 0) + 1) / total) for b in kinds}
+
+    def likelihood(self, value: str, s: str) -> float:
+        path = "\n" + s + "\n"
+        return sum(map(self.char.__getitem__, value)) + sum(map(self.step.__getitem__, map(str.__add__, path, path[1:])))
 
 
 class Formats:
-    """The automata of all kinds, the likelihood that nearly all labelled values reach, and the ordinary runs' model."""
+    """The automata of all kinds, the likelihood a character that nearly all labelled values reach, and the ordinary runs' model."""
 
     def __init__(self, labelled: dict[str, list[tuple[str, int]]], ordinary: dict[str, int]):
-        total = sum(ordinary.values()) + len(_CLASS)
-        self.ordinary = {c: math.log((ordinary.get(c, 0) + 1) / total) for c in _CLASS}
-        self.kinds = []
+        self.ordinary, self.kinds = Ordinary(ordinary), []
         for kind in sorted(labelled):
             strings = Counter()
             for value, n in labelled[kind]:
                 strings[spelled(value)] += n
             automaton = Automaton(list(strings.items()))
-            reached = sorted(automaton.likelihood(s) for s in strings)
+            reached = sorted(automaton.likelihood(s) / (len(s) + 1) for s in strings)
             self.kinds.append((automaton, reached[len(reached) // 50]))
 
     def accepts(self, value: str) -> bool:
-        if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
-            return False
-        s, usual = spelled(value), sum(map(self.ordinary.__getitem__, value)) / (len(value) + 1)
-        return any((x := a.likelihood(s)) >= least and x - usual >= MARGIN for a, least in self.kinds)
+        s, n = spelled(value), len(value) + 1
+        reached = [x for a, least in self.kinds if (x := a.likelihood(s)) >= least * n]
+        return bool(reached) and max(reached) - self.ordinary.likelihood(value, s) >= max(ADVANTAGE, MARGIN * n)
 
 
 def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled values by kind, and characters of other runs (kind ''), with counts."""
+    """Labelled values by kind; and of other runs (kind '') the characters, and the pairs of classes that follow each other; with counts."""
     for batch in batches:
         seen: Counter = Counter()
         for text in batch.column(0).to_pylist():
             base = base_spans(text)
             for s, kind, e in base:
-                value = _ASSIGN.match(text, s)[2] if kind == 0 else text[s:e]
-                if len(value) <= LONGEST:
-                    seen[KINDS[kind], value] += 1
-            for s, e in candidates(text, base):
-                for c, n in Counter(text[s:e]).items():
+                seen[KINDS[kind], _ASSIGN.match(text, s)[2] if kind == 0 else text[s:e]] += 1
+            runs = "\n".join([text[s:e] for s, e in candidates(text, base)])
+            path = "\n" + spelled(runs) + "\n"
+            for c, n in (Counter(runs) + Counter(map(str.__add__, path, path[1:])) if runs else Counter()).items():
+                if c != "\n":
                     seen["", c] += n
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["kind", "value", "n"]
@@ -192,30 +237,38 @@ def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learn_formats(texts: DataFrame) -> Formats:
-    """Formats of the credentials in one text column, at most SAMPLE distinct values a kind.
+    """Formats of the credentials in one text column.
 
-    Values are picked by hash before they meet: each of 64 hash classes keeps SAMPLE at most, then all classes together do.
+    Of each kind's distinct values those with the lowest hashes are picked, in whole. A bound on the hash that the kinds' sizes give leaves about
+    twice as many as wanted, so no task orders more than that.
     """
     counts = texts.mapInArrow(_count_values, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    hashed = counts.withColumn("h", F.sha2("value", 256))
-    part = W.partitionBy("kind", F.substring("h", -2, 2)).orderBy("h")
-    few = hashed.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= SAMPLE)
-    few = few.withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy("h"))).filter(F.col("r") <= SAMPLE)
-    rows = few.select("kind", "value", "n").collect()
+    counts = written(counts.withColumn("h", F.pmod(F.xxhash64("value"), F.lit(1 << 31))), "secret-values")
     labelled: dict[str, list[tuple[str, int]]] = {}
-    for r in sorted(rows, key=lambda r: (r.kind, r.value)):
-        if r.kind:
-            labelled.setdefault(r.kind, []).append((r.value, r.n))
-    return Formats(labelled, {r.value: r.n for r in rows if not r.kind})
+    sizes = counts.filter("kind <> ''").groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind").collect()  # of three kinds
+    for kind, n in sizes:
+        of_kind = counts.filter((F.col("kind") == kind) & (F.col("h") < (1 << 31) * min(1.0, 2 * SAMPLE / n) + 1))
+        left, taken = CHARACTERS, of_kind.select("h", F.length("value").alias("n"), F.xxhash64("value", F.lit(1)).alias("g")).orderBy("h", "g").limit(SAMPLE).collect()
+        bound = None
+        for r in taken:
+            left -= r.n
+            if left < 0:
+                break
+            bound = (r.h, r.g)
+        if bound is not None:
+            within = F.struct("h", F.xxhash64("value", F.lit(1))) <= F.struct(F.lit(bound[0]).cast("long"), F.lit(bound[1]).cast("long"))
+            labelled[kind] = sorted((r.value, r.n) for r in of_kind.filter(within).select("value", "n").collect())
+    return Formats(labelled, {r.value: r.n for r in counts.filter("kind = ''").select("value", "n").collect()})  # as many as characters and pairs of classes
 
 
 def _scan(formats: Formats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = lru_cache(1 << 16)(formats.accepts)  # words repeat
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
                 base = base_spans(text)
-                extra = [(s, 3, e) for s, e in candidates(text, base) if formats.accepts(text[s:e])]
+                extra = [(s, 3, e) for s, e in candidates(text, base) if accepts(text[s:e])]
                 joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
                 n = Counter(k for _, k, _ in base)
                 every = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + extra)) if extra else joined
@@ -231,7 +284,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_learned, base_sha256, spans) of every row.
 
     Null and empty texts have no spans (the digest is that of an empty string); repeated rows and null ids stay;
-    an empty table gives an empty table; without any labelled value nothing is learned;
+    an empty table gives an empty table; without any labelled value nothing is learned; whole texts are read, however long;
     other columns are ignored. Offsets are code points, ends exclusive.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
