@@ -60,12 +60,12 @@ def inseparable(labelled: DataFrame, least: float) -> dict[str, list[str]]:
     return {r["all"][0]: list(r["all"]) for r in together.select("all").collect()}
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.7, min_lift: float = 1.2, common: float = 0.9, gap: float = 0.5) -> DataFrame | None:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.7, min_lift: float = 1.2, gap: float = 0.5) -> DataFrame | None:
     """Rules (tokens, verdict, confidence, support) from labelled rows (tokens array, bad boolean); None where no row is labelled.
 
     A rule needs min_support of all rows and min_count rows, min_confidence, and min_lift over its class; where its class is so
-    common that this asks for more, a confidence above the class's share by `gap` of what is left to 1. Tokens of more
-    than `common` of the rows tell nothing and don't take part. Tokens that always come together are one item, whose rules name
+    common that this asks for more, a confidence above the class's share by `gap` of what is left to 1. A token of all
+    rows doesn't take part: a rule with it and the rule without it fit the same rows. Tokens that always come together are one item, whose rules name
     all of them: a url of many tokens with a third of the rows makes no more itemsets than one of few.
     """
     labelled = written(labelled, "url-labels")
@@ -73,7 +73,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     if n == 0:
         return None
     support = min(1.0, max(min_support, min_count / n))
-    frequent = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") > common * n)
+    frequent = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") == n)
     groups = inseparable(labelled, support * n)
     stop = [r.t for r in frequent.select("t").collect()] + [t for g in groups.values() for t in g[1:]]  # each of support * n rows at least
     items = F.array_except("tokens", F.array(*map(F.lit, stop)).cast("array<string>")) if stop else F.col("tokens")
