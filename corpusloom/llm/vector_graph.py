@@ -1,16 +1,18 @@
 """Near-duplicate vectors by a robust-pruned flat graph over overlapping shards.
 
 Vectors link when their labels are equal and their cosine, in double precision, reaches the threshold.
-Vectors of one label with the same components are one node. A label's nodes are dealt to cluster
-shards, each node to its nearest clusters and all that are nearly as near. Each shard builds a graph whose
-edges survive robust pruning; adjacency lists of a node from all its shards are united. Every node then
-searches its shards: a greedy beam from the shard's medoids, whose hits within the threshold expand over their
-neighbours until no more are found. Found pairs are verified on the original components. An audit
+Vectors of one label with the same components are one node. A label's nodes are divided among clusters, those again, until a
+cluster is small enough for a shard; each node goes to its nearest cluster and to all that are nearly as near, so shards overlap.
+Each shard builds a graph whose edges survive robust pruning, and a node's adjacency lists from all its shards are united. The search goes
+across shards: each node also joins the shards of the neighbours that it links with, and brings its united list along. In each of its
+shards every node is searched for, by a greedy beam from the shard's medoids over the united lists, whose hits within the threshold expand over
+their neighbours until no more are found. Found pairs are verified on the original components. An audit
 compares a bounded set of nodes with all others by brute force; a recall below the target starts a
-wider search.
+wider search, and in the end an error.
 
-Bounds: clusters are fitted on at most SAMPLE nodes, and there are at most CENTROIDS of them; a shard of more than
-BLOCK nodes is cut into blocks and every pair of blocks is searched, so sizes never limit what is found. Tasks
+Bounds: a cluster is divided by at most FAN centroids, fitted in one task on at most 2 * FIT of its nodes; the number of clusters grows with
+the nodes. A shard that can't be divided and has more than LARGE nodes is cut into blocks and every pair of blocks is searched, so sizes never
+limit what is found. (Where all of its nodes link with each other, counting their links is quadratic by any method.) Tasks
 return counts and one edge a node, never pairs.
 """
 
@@ -24,13 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ids import with_dense_id
 from .components import components
+from .memory import released
 from .sampling import hash_sample
 from .shared import written
 
 THRESHOLD, RECALL = 0.98, 0.95
-#: Nodes that a cluster should hold, nodes and clusters of the fit, nodes of a block, and audited nodes.
-SHARD, SAMPLE, CENTROIDS, BLOCK, AUDITED = 800, 20_000, 2048, 1200, 512
+#: Nodes that a cluster should hold, nodes from which a cluster is divided, nodes of a block.
+SHARD, LARGE, BLOCK = 800, 1600, 1200
+#: Centroids of one division, nodes that they are fitted on, the most divisions of divisions, and nodes that one task deals to clusters.
+FAN, FIT, DEPTH, DEALT = 64, 2000, 9, 50_000
+#: Audited nodes, and nodes with links among them below which eight times as many are audited.
+AUDITED, LINKED = 512, 16
 #: Graph: candidates by nearness and at random, edges kept, and the pruning factor.
 NEAR, RANDOM, EDGES, ALPHA = 48, 16, 24, 1.2
 
@@ -67,28 +75,76 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
     return c
 
 
-def _assign(centroids, nearest: int, margin: float):
-    """(rep, mult, label, vec, dim, cells): the clusters of each node, 0 alone where its label has one."""
+def _fit(depth: int):
+    """Centroids of a cluster from a sample of its nodes."""
+    import pandas as pd
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("node")
+        x, first = _unit(list(cell["vec"]))[1], cell.iloc[0]
+        k = min(len(x), FAN, int(-(-first["n"] // SHARD)))
+        centers = _cluster(x, k, np.random.default_rng((11, depth))).astype(np.float32)
+        return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "cell": [first["cell"]], "n": [first["n"]], "vec": [centers.tobytes()]})
+
+    return run
+
+
+_DEALT = "node long, label long, dim int, vec binary, cell long, was long"
+
+
+def _deal(margin: float):
+    """Nodes to the clusters within the margin of their nearest one. A cluster's rows come together, its centroids (kind 0) first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = None
         for batch in batches:
-            label, dim, raw = batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(3).to_pylist()
-            cells: list[list[int]] = [[0]] * batch.num_rows
-            groups: dict = {}
-            for i, key in enumerate(zip(label, dim, strict=True)):
-                groups.setdefault(key, []).append(i)
-            for key, rows in groups.items():
-                if key in centroids.value:
-                    angle = np.arccos(np.clip(_unit([raw[i] for i in rows])[1] @ centroids.value[key].T, -1, 1))
-                    edge = np.sort(angle, 1)
-                    most = np.maximum(edge[:, [min(nearest, edge.shape[1]) - 1]], edge[:, :1] + margin)
-                    for i, inside in zip(rows, angle <= most, strict=True):
-                        cells[i] = np.flatnonzero(inside).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+            kind, n, dim = (batch.column(i).to_numpy() for i in (0, 6, 3))
+            raw, cell = batch.column(4).to_pylist(), batch.column(5).to_numpy()
+            at, is_center = 0, np.append(np.flatnonzero(kind == 0), batch.num_rows)
+            for c in is_center.tolist():  # nodes up to the next centroids belong to the last ones
+                if c > at:
+                    x = _unit(raw[at:c])[1]
+                    angle = np.arccos(np.clip(x @ centers.T, -1, 1))
+                    row, child = np.nonzero(angle <= angle.min(1, keepdims=True) + margin)
+                    taken = batch.slice(at, c - at).take(pa.array(row))
+                    to = cell[at:c][row] * (FAN + 1) + 1 + child
+                    yield pa.RecordBatch.from_arrays([*(taken.column(i) for i in range(1, 5)), pa.array(to, pa.int64()), pa.array(n[at:c][row], pa.int64())], ["node", "label", "dim", "vec", "cell", "was"])
+                if c < batch.num_rows:
+                    centers = np.frombuffer(raw[c], np.float32).reshape(-1, dim[c]).astype(np.float64)
+                at = c + 1
 
     return run
 
 
+def shards(nodes: DataFrame, margin: float) -> DataFrame:
+    """(node, label, dim, vec, cell, n): nodes in overlapping clusters of at most LARGE nodes, or such as a division hardly makes smaller; n nodes each.
+
+    Each round divides the clusters that are still too large. A cluster's nodes are dealt by as many tasks as it needs.
+    """
+    key, done = ["label", "dim", "cell"], []
+    todo = nodes.select("node", "label", "dim", "vec", F.lit(0).cast("long").alias("cell"), F.lit(None).cast("long").alias("was"))
+    for depth in range(DEPTH + 1):
+        sizes = written(todo.groupBy(*key).agg(F.count("*").alias("n"), F.max("was").alias("was")), "vector-sizes")
+        large = (F.col("n") > LARGE) & (F.col("was").isNull() | (F.col("n") < 0.7 * F.col("was"))) if depth < DEPTH else F.lit(False)
+        sized = todo.drop("was").join(sizes.select(*key, "n", large.alias("large")), key)
+        done.append(sized.filter(~F.col("large")).select("node", "label", "dim", "vec", "cell", "n"))
+        if not sizes.filter(large).limit(1).count():
+            break
+        rest = sized.filter("large")
+        few = rest.filter(F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 31)) < F.lit(float(1 << 31)) * 2 * FIT / F.col("n"))
+        centers = written(few.select("node", *key, "n", "vec").groupBy(*key).applyInPandas(_fit(depth), "label long, dim int, cell long, n long, vec binary"), "vector-centroids")
+        tasks = F.ceil(F.col("n") / DEALT)
+        shape = ["kind", "node", "label", "dim", "vec", "cell", "n", "task"]
+        each = centers.withColumns({"kind": F.lit(0), "node": F.lit(0).cast("long"), "task": F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))})
+        both = each.select(shape).unionByName(rest.withColumns({"kind": F.lit(1), "task": F.pmod(F.xxhash64("node"), tasks)}).select(shape))
+        both = both.repartition(*key, "task").sortWithinPartitions(*key, "task", "kind")
+        todo = written(both.mapInArrow(_deal(margin), _DEALT), "vector-dealt")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def prune(sims: np.ndarray, candidates: np.ndarray, edges: int = EDGES, alpha: float = ALPHA) -> np.ndarray:
     """Robust pruning of all nodes at once: the nearest candidate stays and removes those that it is alpha times nearer to than the node is; again.
 
@@ -215,13 +271,17 @@ def range_search(x: np.ndarray, edges: np.ndarray, start: np.ndarray, q: np.ndar
     return np.concatenate(found_q), np.concatenate(found_n)
 
 
-def _build(block):
+def _build(threshold: float):
+    """Each node's neighbours in a block's graph, and those of them that it links with."""
     import pandas as pd
 
-    block = block.sort_values("rep").reset_index(drop=True)
-    edges = build_graph(_unit(list(block["vec"]))[1].astype(np.float32))
-    rep = block["rep"].to_numpy()
-    return pd.DataFrame({"rep": rep, "next": [rep[e[e >= 0]] for e in edges]})
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("node").reset_index(drop=True)
+        x, node = _unit(list(block["vec"]))[1].astype(np.float32), block["node"].to_numpy()
+        edges = [e[e >= 0] for e in build_graph(x)]
+        return pd.DataFrame({"node": node, "next": [node[e] for e in edges], "linked": [node[e[x[e] @ x[i] >= threshold - 1e-4]] for i, e in enumerate(edges)]})
+
+    return run
 
 
 def _search(threshold: float, beam: int):
@@ -229,17 +289,17 @@ def _search(threshold: float, beam: int):
     import pandas as pd
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["block", "rep"]).reset_index(drop=True)
+        block = block.sort_values(["block", "node"]).reset_index(drop=True)
         exact, unit = _unit(list(block["vec"]))
         x = unit.astype(np.float32)
-        rep, mult, place = block["rep"].to_numpy(), block["mult"].to_numpy(), {}
+        node, mult, place = block["node"].to_numpy(), block["mult"].to_numpy(), {}
         side = block["block"].to_numpy()
         parts = [np.flatnonzero(side == s) for s in np.unique(side)]
         diagonal = bool((block["i"] == block["j"]).iloc[0])
         pairs = []
         for part, other in product(parts, parts):
             if diagonal or part is not other:
-                place = {r: k for k, r in enumerate(rep[part].tolist())}
+                place = {r: k for k, r in enumerate(node[part].tolist())}
                 a, b = [], []
                 for k, i in enumerate(part):
                     for r in block["next"][i]:
@@ -278,9 +338,9 @@ def _search(threshold: float, beam: int):
                 break
             root = low
         first = {}
-        for k, r in zip(root.tolist(), rep.tolist(), strict=True):
+        for k, r in zip(root.tolist(), node.tolist(), strict=True):
             first[k] = min(first.get(k, r), r)
-        return pd.DataFrame({"rep": rep, "n": n.astype(np.int64), "root": [first[k] for k in root.tolist()]})
+        return pd.DataFrame({"node": node, "n": n.astype(np.int64), "root": [first[k] for k in root.tolist()]})
 
     return run
 
@@ -293,17 +353,17 @@ def _audit(sample, threshold: float):
         totals: dict[int, int] = {}
         for batch in batches:
             by: dict = {}
-            keys = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            keys = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             for i, key in enumerate(keys):
                 if key in groups:
                     by.setdefault(key, []).append(i)
-            rep, mult, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+            node, mult, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_pylist()
             for key, rows in by.items():
                 ids, y = groups[key]
-                link = (_unit([raw[i] for i in rows])[1] @ y.T >= threshold) & (rep[rows][:, None] != ids)
+                link = (_unit([raw[i] for i in rows])[1] @ y.T >= threshold) & (node[rows][:, None] != ids)
                 for i, t in zip(ids.tolist(), mult[rows] @ link, strict=True):
                     totals[i] = totals.get(i, 0) + int(t)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["rep", "true"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["node", "true"])
 
     return run
 
@@ -315,68 +375,80 @@ def _by_group(rows) -> dict:
     return groups
 
 
-def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int = 2, margin_degrees: float = 3.0, beam: int = 24, target: float = RECALL) -> DataFrame:
+def _truth(nodes: DataFrame, most: int, threshold: float) -> dict[int, int]:
+    """How many vectors truly link with each of `most` nodes, those with the lowest hashes."""
+    audited = hash_sample(nodes, "node", most, nodes.count(), salt=1).collect()
+    groups = {key: (np.array([p.node for p in part]), _unit([p.vec for p in part])[1]) for key, part in _by_group(audited).items()}
+    sent = nodes.sparkSession.sparkContext.broadcast(groups)  # of `most` vectors
+    found = nodes.select("node", "mult", "label", "dim", "vec").mapInArrow(released(_audit(sent, threshold)), "node long, true long")
+    return {r.node: r.true for r in found.groupBy("node").agg(F.sum("true").alias("true")).collect()}
+
+
+def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, margin_degrees: float = 4.0, beam: int = 24, target: float = RECALL, tries: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) of every row.
 
     Rows whose vector or label is null, or whose vector is empty, zero or holds null or non-finite components, link with nothing
     and are their own component. Vectors of different lengths don't link. Repeated rows are vectors of their own
-    and link with each other; a null id takes part as the smallest id of its copies does. An empty
-    table gives an empty table; other columns are ignored.
+    and link with each other, also where one id has several vectors or labels; a null id takes part as the smallest id of its copies does. An empty
+    table gives an empty table; other columns are ignored. audit_recall: of the audited nodes that truly have links, the mean share of their links that was found; null
+    where none of them has any. A recall below the target after all tries is an error.
     """
-    spark = vectors.sparkSession
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    rows = written(clean.mapInArrow(_clean, "vec_id long, label long, vec binary, dim int").withColumn("key", F.sha2("vec", 256)), "vectors")
-    classes = rows.filter("vec is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    rows = written(clean.mapInArrow(released(_clean), "vec_id long, label long, vec binary, dim int").withColumn("key", F.sha2("vec", 256)), "vectors")
+    classes = rows.filter("vec is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec"))
     classes = written(classes.filter("rep is not null"), "vector-classes")
-    first = rows.join(classes.select(F.col("rep").alias("vec_id"), "label", "key", "mult"), ["vec_id", "label", "key"])
-    nodes = written(first.dropDuplicates(["vec_id", "label", "key"]).select(F.col("vec_id").alias("rep"), "mult", "label", "vec", "dim"), "vector-nodes")
-
-    counts = nodes.groupBy("label", "dim").count().filter(F.col("count") > SHARD).orderBy(F.desc("count"), "label", "dim").limit(CENTROIDS).collect()
-    total, rng = sum(r["count"] for r in counts), np.random.default_rng(11)
-    size = nodes.count()
-    few = hash_sample(nodes, "rep", SAMPLE, size).collect() if counts else []
-    centroids = {}
-    sampled = _by_group(few)
-    for r in counts:
-        part = sampled.get((r.label, r.dim), [])
-        k = min(len(part), -(-r["count"] // SHARD), max(1, CENTROIDS * r["count"] // total))
-        if k > 1:
-            centroids[r.label, r.dim] = _cluster(_unit([p.vec for p in part])[1], k, rng)
-    sent = spark.sparkContext.broadcast(centroids)  # of at most CENTROIDS vectors
-    audited = hash_sample(nodes, "rep", AUDITED, size, salt=1).collect()
-    groups = {key: (np.array([p.rep for p in part]), _unit([p.vec for p in part])[1]) for key, part in _by_group(audited).items()}
-    truth = nodes.mapInArrow(_audit(spark.sparkContext.broadcast(groups), threshold), "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    truth = {r.rep: r.true for r in truth.collect()}
-
-    for _ in range(3):
-        found = _search_all(nodes, sent, threshold, nearest, margin_degrees, beam)
-        links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-        got = {r.rep: r.n for r in links.join(F.broadcast(spark.createDataFrame([(r.rep,) for r in audited], "rep long").distinct()), "rep").collect()} if audited else {}
-        recall = sum(min(got.get(r, 0), t) for r, t in truth.items()) / max(1, sum(truth.values())) if sum(truth.values()) else 1.0
+    size, ids = classes.agg(F.count("*"), F.countDistinct("rep")).first()
+    # where one id has several classes, nodes get numbers of their own in the order of ids
+    nodes = classes.withColumn("node", F.col("rep")) if size == ids else written(with_dense_id(classes, "node", "rep", "label", "key"), "vector-nodes")
+
+    truth = _truth(nodes, AUDITED, threshold)
+    if sum(t > 0 for t in truth.values()) < LINKED:
+        truth = _truth(nodes, 8 * AUDITED, threshold)
+    linked = {node: t for node, t in truth.items() if t}
+    recall = None
+    for _ in range(tries):
+        found = _search_all(nodes, threshold, margin_degrees, beam)
+        links = found.groupBy("node").agg(F.sum("n").alias("n"))
+        if not linked:
+            break
+        seen = nodes.sparkSession.createDataFrame([(node,) for node in linked], "node long")  # at most 8 * AUDITED
+        got = {r.node: r.n for r in links.join(F.broadcast(seen), "node").collect()}
+        recall = sum(min(got.get(node, 0), t) / t for node, t in linked.items()) / len(linked)
         if recall >= target:
             break
-        nearest, margin_degrees, beam = nearest + 2, margin_degrees * 2, beam * 2
-
-    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    by_class = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        margin_degrees, beam = margin_degrees * 2, beam * 2
+    if recall is not None and recall < target:
+        raise RuntimeError(f"recall {recall:.3f} of the audited nodes is below {target}")
+
+    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    names = nodes.select(F.col("node").alias("root"), F.col("rep").alias("component_id"))
+    by_node = nodes.select("label", "key", "node", "rep", "mult").join(links, "node", "left").join(roots.join(names, "root").select("node", "component_id"), "node", "left")
+    by_class = by_node.select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("vec_id", "label", "key").join(by_class, ["label", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(float(recall)).alias("audit_recall")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(recall).cast("double").alias("audit_recall")
     )
 
 
-def _search_all(nodes: DataFrame, centroids, threshold: float, nearest: int, margin_degrees: float, beam: int) -> DataFrame:
-    shape = "rep long, mult long, label long, vec binary, dim int, cells array<int>"
-    placed = nodes.select("rep", "mult", "label", "vec", "dim").mapInArrow(_assign(centroids, nearest, float(np.radians(margin_degrees))), shape)
-    dealt = placed.withColumn("cell", F.explode("cells"))
-    sizes = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = dealt.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = written(dealt, "vector-shards")
-    built = dealt.select("label", "dim", "cell", "block", "rep", "vec").groupBy("label", "dim", "cell", "block").applyInPandas(_build, "rep long, next array<long>")
-    united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # at most a block's nodes, for each of its few shards
-    each = dealt.join(united, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+def _search_all(nodes: DataFrame, threshold: float, margin_degrees: float, beam: int) -> DataFrame:
+    """(node, n, root): for each node and pair of blocks, the linked vectors that count there, and the least node that it reaches."""
+    key = ["label", "dim", "cell"]
+    homes = shards(nodes, float(np.radians(margin_degrees)))
+    blocks = F.when(F.col("n") > LARGE, F.ceil(F.col("n") / BLOCK)).otherwise(1)
+    homes = written(homes.withColumn("block", F.pmod(F.xxhash64("node"), blocks)), "vector-shards")
+    built = homes.select(*key, "block", "node", "vec").groupBy(*key, "block").applyInPandas(_build(threshold), "node long, next array<long>, linked array<long>")
+    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"), F.array_distinct(F.flatten(F.collect_list("linked"))).alias("linked"))
+    united = written(united, "vector-lists")  # at most a block's nodes, for each of its few shards
+
+    home = homes.select("node", "cell")
+    visits = united.select("node", F.explode("linked").alias("other")).join(home.withColumnRenamed("node", "other"), "other").select("node", "cell")
+    cells = home.unionByName(visits).groupBy("node").agg(F.array_sort(F.collect_set("cell")).alias("cells"))  # some tens
+    placed = nodes.select("node", "mult", "label", "dim", "vec").join(cells, "node").join(united.select("node", "next"), "node")
+    dealt = written(placed.withColumn("cell", F.explode("cells")), "vector-visits")
+    sizes = dealt.groupBy(*key).agg(F.when(F.count("*") > 2 * LARGE, F.ceil(F.count("*") / BLOCK)).otherwise(1).alias("blocks"))
+    dealt = dealt.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     each = each.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = each.select("label", "dim", "cell", "i", "j", "block", "rep", "mult", "vec", "cells", "next").groupBy("label", "dim", "cell", "i", "j")
-    return written(found.applyInPandas(_search(threshold, beam), "rep long, n long, root long"), "vector-found")
+    found = each.select(*key, "i", "j", "block", "node", "mult", "vec", "cells", "next").groupBy(*key, "i", "j")
+    return written(found.applyInPandas(_search(threshold, beam), "node long, n long, root long"), "vector-found")
