@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import every, unused
 from .shared import written
 
-STEPS = 30
+#: Steps of the bisection, and how many of them one job takes: it tries all exponents that they could come to.
+STEPS, AT_ONCE = 30, 3
 
 
 @dataclass
@@ -80,12 +82,16 @@ def plan_mix(docs: DataFrame, entropy: float | None = 0.98, repetition: float |
         (_, _, flat), (_, natural, _) = at(0.0, 1.0)
         lo_h, hi_h = (1.0, 1.0) if natural >= goal else (0.0, 1.0)
         lo_r, hi_r = (0.0, 0.0) if repetition is None or flat <= repetition else (0.0, 1.0)
-        for _ in range(STEPS):
-            mid_h, mid_r = (lo_h + hi_h) / 2, (lo_r + hi_r) / 2
-            (_, h, _), (_, _, passes) = at(mid_h, mid_r)
-            lo_h, hi_h = (mid_h, hi_h) if h >= goal else (lo_h, mid_h)
-            if hi_r > lo_r:
-                lo_r, hi_r = (lo_r, mid_r) if passes <= repetition else (mid_r, hi_r)
+        for _ in range(STEPS // AT_ONCE):
+            by_h, by_r = ([lo + (hi - lo) * i / 2**AT_ONCE for i in range(2**AT_ONCE + 1)] for lo, hi in ((lo_h, hi_h), (lo_r, hi_r)))
+            tried = at(*by_h, *by_r)
+            reached = [h >= goal for _, h, _ in tried[: len(by_h)]]
+            within = [repetition is None or passes <= repetition for _, _, passes in tried[len(by_h) :]]
+            for step in [2**i for i in reversed(range(AT_ONCE))]:
+                mid_h, mid_r = by_h.index(lo_h) + step, by_r.index(lo_r) + step
+                lo_h, hi_h = (by_h[mid_h], hi_h) if reached[mid_h] else (lo_h, by_h[mid_h])
+                if hi_r > lo_r:
+                    lo_r, hi_r = (lo_r, by_r[mid_r]) if within[mid_r] else (by_r[mid_r], hi_r)
         exponent = round(max(lo_h, hi_r), 6)
 
     power = F.pow(F.col("tokens") / F.lit(float(max(top, 1))), F.lit(exponent))
@@ -117,14 +123,16 @@ def draw(docs: DataFrame, mix: Mix, prefix: str = "__mix_") -> DataFrame:
     """Rows of docs, all columns, once for each pass that draws them, and columns prefix + source, block, pass, block_rank, weight, n_tokens.
 
     Rows are in no order; (pass, block_rank, md5 of seed, pass and id) is the order of the mix within a source.
-    A document is drawn in the cut block while it fits in what is left; ties of the hash go by id and size.
+    A document is drawn in the cut block while it fits in what is left; ties of the hash go by id and size. No column of docs
+    may begin with the prefix.
     """
     name = lambda c: prefix + c
-    keyed = docs.withColumns({name("source"): F.coalesce("source", F.lit("")), name("block"): _block(mix.seed, mix.blocks, F.col("doc_id").cast("long")), name("n_tokens"): word_count(F.col("text"))})
+    keyed = docs.withColumns({name("source"): F.coalesce("source", F.lit("")), name("block"): _block(mix.seed, mix.blocks, F.col("doc_id").cast("long"))})
     plan = mix.draws.select(*(F.col(c).alias(name(c)) for c in mix.draws.columns))
     on = [name("source"), name("block")]
-    whole = keyed.join(plan.filter(F.col(name("room")).isNull()), on)
-    part = keyed.join(plan.filter(F.col(name("room")).isNotNull()), on)
+    count = word_count(F.col("text"))  # after the joins: of cut blocks alone, unless it is asked for
+    whole = keyed.join(plan.filter(F.col(name("room")).isNull()), on).withColumn(name("n_tokens"), count)
+    part = keyed.join(plan.filter(F.col(name("room")).isNotNull()), on).withColumn(name("n_tokens"), count)
     order = W.partitionBy(*on, name("pass")).orderBy(_hash(mix.seed, F.col(name("pass")), F.col("doc_id")), "doc_id", name("n_tokens")).rowsBetween(W.unboundedPreceding, 0)
     part = part.withColumn(name("sum"), F.sum(name("n_tokens")).over(order)).filter(F.col(name("sum")) <= F.col(name("room"))).drop(name("sum"))
     return whole.unionByName(part).drop(name("room"))
@@ -136,7 +144,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Null sources are the source ''; null and empty texts have no tokens and come with each whole pass; null ids share a block;
     repeated rows are drawn each; an empty table gives an empty table; other columns stay, whatever their names.
     """
-    return draw(docs, plan_mix(docs, **how)).select(docs.columns)
+    return draw(docs, plan_mix(docs, **how), unused(docs, "__mix_")).select(every(docs))
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
