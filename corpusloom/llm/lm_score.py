@@ -258,7 +258,7 @@ def _score(head):
                 at = np.minimum(np.searchsorted(known, w.hash), max(0, len(known) - 1))
                 found = known[at] == w.hash if len(known) else np.zeros(len(w.hash), bool)
                 row, at = (w.row - w.first_row)[found], at[found]
-                add = lambda x: np.bincount(row, x[at], w.n_rows)  # noqa: B023, E731
+                add = lambda x: np.bincount(row, x[at], w.n_rows).astype(float)  # noqa: B023, E731 (of no rows, whole numbers)
                 rest, rest_row = w.hash[~found].view(np.int64), (w.row - w.first_row)[~found]
                 bounds = np.searchsorted(rest_row, np.arange(w.n_rows + 1))
                 ids = batch.column(0).slice(w.first_row, w.n_rows)
