@@ -138,6 +138,33 @@ def test_machine_learns_a_pair():
     assert score(1, 2) > 0 > max(score(1), score(2))
 
 
+@pytest.mark.parametrize("words, noise", [(2, 0.0), (30, 0.05)])
+def test_toxicity_that_only_a_pair_tells(spark, words, noise):
+    """Toxic is exactly one of two words: neither tells anything alone."""
+    rng = random.Random(11)
+    rows, known = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(" ".join(["alpha"] * a + ["omega"] * b + [f"filler{rng.randrange(400)}" for _ in range(words)]))
+        known.append((i, 1, int((a != b) != (rng.random() < noise))))
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = T.toxicity_scores(docs(spark, rows), labels).filter("held_out").join(labels, "doc_id").toPandas()
+    y, s = got.toxic.to_numpy() == 1, got.score.to_numpy()
+    auc = (s[y][:, None] > s[~y]).mean() + 0.5 * (s[y][:, None] == s[~y]).mean()
+    assert auc > 0.95 - noise
+
+
+def test_terms_that_the_driver_takes_are_bounded(spark, monkeypatch):
+    """Only as many rows of lowest hashes as fit within the bound are learned from, whatever their length."""
+    taken = []
+    monkeypatch.setattr(T, "fit_machine", lambda y, terms: taken.append(sum(map(len, terms))) or T.Machine(np.full(T.BUCKETS, -1), 0.0, np.zeros(1), np.zeros((1, 1))))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(90)], "doc_id long, quality int, toxic int")
+    texts = docs(spark, [" ".join(f"u{i}x{j}" for j in range(50)) for i in range(90)])
+    T.learn_toxicity(texts, labels, most_terms=700)
+    T.learn_toxicity(texts, labels)
+    assert 600 <= taken[0] <= 700 and taken[1] > 2000
+
+
 def test_toxicity_of_awkward_tables(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, None), (None, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
     texts = docs(spark, ["", None, "x" * 100_000, "a b"], ids=[1, None, 3, 3])
@@ -184,6 +211,58 @@ def test_learned_formats_find_unlabelled_credentials(spark):
     assert got[60] == "learned:4:36" and got[61] == ""
 
 
+def test_short_candidates_and_parts_of_runs(spark):
+    """A bare value of the length of the shortest labelled ones, and what a fixed pattern leaves of a run, are scored like others."""
+    rng = random.Random(9)
+    new = lambda: "".join(rng.choices("0123456789", k=2)) + "".join(rng.choices("QXZJK", k=4)) + "".join(rng.choices("0123456789", k=6))
+    bare, key = new(), "AKIA" + "".join(rng.choices("ABCDEFGHIJ", k=16))
+    texts = [f"here token = {new()} now some ordinary words follow" for _ in range(300)] + [f"and {bare} alone, extraordinary words of documentation", f"{key}+{new()}"]
+    got = {r.doc_id: r.spans for r in S.secret_spans(docs(spark, texts)).collect()}
+    assert got[300] == "learned:4:16" and got[301].startswith("access:0:20,learned:20:")
+
+
+def test_automaton_is_a_distribution():
+    """The probabilities of all strings of at most some symbols come near to 1, and never exceed it."""
+    a = S.Automaton([("0a", 30), ("0aa", 10), ("z", 5)])
+    kinds = list(S._SIZE)
+    strings, total = [""], 0.0
+    for _ in range(6):
+        total += sum(math.exp(a.likelihood(s) + sum(math.log(S._SIZE[c]) for c in s)) for s in strings)
+        strings = [s + c for s in strings for c in kinds] if len(strings) < 20_000 else []
+    assert 0.95 < total < 1 + 1e-9
+
+
+def test_picked_values_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 20)
+    monkeypatch.setattr(S, "CHARACTERS", 300)
+    seen = []
+    monkeypatch.setattr(S, "Formats", lambda labelled, ordinary: seen.append((labelled, ordinary)))
+    S.learn_formats(docs(spark, [f"token = abcdefgh{i:012d} word" for i in range(500)]).select("text"))
+    (labelled, ordinary), = seen
+    assert list(labelled) == ["assign"] and len(labelled["assign"]) == 15 and all(n == 1 for _, n in labelled["assign"])
+
+
+def repeat_runs(a, b, tile):
+    return sum(a[i : i + tile] == b[j : j + tile] for i in range(len(a) - tile + 1) for j in range(len(b) - tile + 1))
+
+
+def test_repetitive_texts_are_tiled_in_parts(spark, monkeypatch):
+    """Few pairs are held at once; results don't change."""
+    rng = random.Random(3)
+    items = [rng.choices("ab", k=20), ["a"] * 15]
+    texts = [rng.choices("ab", k=60), ["a"] * 200, ["a", "b"] * 50]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    find = lambda: sorted(map(tuple, D.contaminated(docs(spark, [" ".join(t) for t in texts]), bench, tile=3, coverage=0.1).collect()))
+    index = D.ItemIndex([0, 1], [" ".join(t) for t in items], 3)
+    whole = find()
+    monkeypatch.setattr(D, "PAIRS", 7)
+    (w,) = D.words_of(D.pa.array([" ".join(t) for t in texts]), D.PUNCTUATION)
+    assert {(r, i): int(n.sum()) for r, i, _, _, n in index.runs(w)} == {(r, i): n for r, t in enumerate(texts) for i, b in enumerate(items) if (n := repeat_runs(t, b, 3))}
+    for r, i, shift, place, n in index.runs(w):
+        got = D.tiles(shift, place, n, 3, len(items[i]))
+        assert got == slow_tiling(texts[r], items[i], 3)
+    assert whole and {(d, i) for d, i, *_ in whole} >= {(1, 1)}
+
 def test_automaton_merges_states():
     strings = [("".join("ab"[(i >> k) & 1] for k in range(n)), 1) for n in range(2, 7) for i in range(1 << n)]
     a = S.Automaton(strings)
@@ -317,7 +396,7 @@ def brute_vectors(rows, threshold):
 
 
 def test_vectors_against_brute_force(spark, monkeypatch):
-    for name, value in (("SHARD", 60), ("BLOCK", 50)):
+    for name, value in (("SHARD", 60), ("LARGE", 100), ("BLOCK", 50)):
         monkeypatch.setattr(V, name, value)
     rng = np.random.default_rng(1)
     rows = []
