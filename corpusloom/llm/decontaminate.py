@@ -215,6 +215,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, cover
     Null and empty texts stay; repeated rows are judged alike; without items all rows stay; an empty table gives an empty table; other
     columns stay, whatever their names.
     """
+    names, text_at = docs.columns, docs.columns.index("text")
+    kept = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names that need quotes don't pass through Python
     for indexes in _passes(benchmark, tile):
-        docs = docs.mapInArrow(_clean(indexes, coverage, docs.columns.index("text")), docs.schema)
-    return docs
+        kept = kept.mapInArrow(_clean(indexes, coverage, text_at), kept.schema)
+    return kept.toDF(*names)
