@@ -85,9 +85,9 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
         yield w.first_row, w.n_rows, np.searchsorted(row, np.arange(w.n_rows + 1)), h
 
 
-def _class_of(bounds: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each row's set (0 for empty ones)."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), dtype=np.uint64)])
+def _class_of(bounds: np.ndarray, h: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit name of each row's set (0 for empty ones); names of different salts are independent."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ mix(np.array([0xA5A5A5A55A5A5A5A + salt], np.uint64))), dtype=np.uint64)])
     n = np.diff(bounds).astype(np.uint64)
     return np.where(n > 0, mix((sums[bounds[1:]] - sums[bounds[:-1]]) * np.uint64(3) + n), np.uint64(0)).view(np.int64)
 
@@ -125,15 +125,15 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(p ^ q).sum())
 
 
-def _describe(k: int, percent: int):
+def _describe(k: int, percent: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, bounds, h in sets_of(batch.column(1), k):
                 row, prefix = _take_prefix(bounds, h, None, percent)
                 at = np.searchsorted(row, np.arange(rows + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), pa.array(np.diff(bounds)), pa.array(_class_of(bounds, h)), lists(prefix.view(np.int64), at, pa.int64()), pa.array(parity_bits(bounds, h), pa.binary())],
-                    ["doc_id", "n", "class", "prefix", "bits"],
+                    [batch.column(0).slice(first, rows), pa.array(np.diff(bounds)), pa.array(_class_of(bounds, h, salt)), pa.array(_class_of(bounds, h, -1)), lists(prefix.view(np.int64), at, pa.int64()), pa.array(parity_bits(bounds, h), pa.binary())],
+                    ["doc_id", "n", "class", "check", "prefix", "bits"],
                 )
 
     return run
@@ -147,7 +147,7 @@ def _subset_keys(h: np.ndarray, percent: int) -> Iterator[int]:
                 yield sum(some) & 0xFFFFFFFFFFFFFFFF
 
 
-def _entries(common, boundary: int, k: int, percent: int):
+def _entries(common, boundary: int, k: int, percent: int, salt: int):
     """(h, class, n) of inverted lists and subset keys, once for each class that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def _entries(common, boundary: int, k: int, percent: int):
         reach = -(-percent * (boundary + 1) // 100)
         for batch in batches:
             for _, _, bounds, h in sets_of(batch.column(0), k):
-                name, n = _class_of(bounds, h), np.diff(bounds)
+                name, n = _class_of(bounds, h, salt), np.diff(bounds)
                 new = np.zeros(len(n), bool)
                 for i, c in enumerate(name.tolist()):
                     if n[i] and c not in seen:
@@ -234,14 +234,14 @@ def _meet(percent: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, salt: int):
     """(class, set) rows of (text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, rows, bounds, h in sets_of(batch.column(0), k):
                 raw, at = h.tobytes(), (bounds * 8).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(_class_of(bounds, h)), pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["class", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(_class_of(bounds, h, salt)), pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["class", "set"])
 
     return run
 
@@ -330,12 +330,19 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, bo
         return _groups(docs, k, percent, boundary)
 
 
-def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> DataFrame:
-    """Every Python stage runs inside, by a written table."""
+def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None, salt: int = 1) -> DataFrame:
+    """Every Python stage runs inside, by a written table.
+
+    A set's name has 64 bits, and a second name of another salt tells whether two sets share it; then all are named anew.
+    """
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    described = written(texts.mapInArrow(released(_describe(k, percent)), "doc_id long, n long, class long, prefix array<long>, bits binary"), "jaccard-sets")
+    described = written(texts.mapInArrow(released(_describe(k, percent, salt)), "doc_id long, n long, class long, check long, prefix array<long>, bits binary"), "jaccard-sets")
     members = described.select("doc_id", "n", "class")
+    named = written(described.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), (F.min("check") == F.max("check")).alias("one")), "jaccard-named")
+    if named.filter("not one").limit(1).count():
+        return _groups(docs, k, percent, boundary, salt + 1)
+    named = named.select("class", "rep")
 
     met_by, n = Observation(), F.col("count")
     counts = described.select(F.explode("prefix").alias("h")).groupBy("h").count()
@@ -347,7 +354,7 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> Data
         boundary = choose_boundary(sizes, (met_by.get["squares"] or 1) / (met_by.get["entries"] or 1), percent)
     sent = spark.sparkContext.broadcast(common)  # of at most COMMON hashes
 
-    entries = texts.select("text").mapInArrow(released(_entries(sent, boundary, k, percent)), "h long, class long, n long")
+    entries = texts.select("text").mapInArrow(released(_entries(sent, boundary, k, percent, salt)), "h long, class long, n long")
     met = entries.repartition("h").sortWithinPartitions("h", "class").mapInArrow(released(_meet(percent)), "first long, a long, na long, b long, nb long")
     met = written(met, "jaccard-met")
     clusters = written(met.filter("first is not null").select("first", F.col("a").alias("class")).distinct(), "jaccard-clusters")
@@ -359,10 +366,9 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None) -> Data
     pairs = written(near.select("a", "b", "na", "nb", "x", "y").mapInArrow(released(_near(percent)), "a long, b long"), "jaccard-near")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(clusters.select("class")).distinct()
-    named = members.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = written(wanted.join(named, "class").filter("rep is not null"), "jaccard-reps")
     ids = _small(written(reps.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-ids"))
-    sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(released(_sets(k)), "class long, set binary")
+    sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(released(_sets(k, salt)), "class long, set binary")
     sets = written(sets.dropDuplicates(["class"]), "jaccard-verify")
 
     left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("x")), sets.select(F.col("class").alias("b"), F.col("set").alias("y"))

@@ -94,6 +94,13 @@ def test_lists_that_the_first_pairs_leave_apart(spark, monkeypatch):
     check(spark, rows, k=5, percent=80)
 
 
+def test_sets_that_share_a_name_are_named_anew(spark, monkeypatch):
+    whole, rng = J._class_of, random.Random(2)
+    monkeypatch.setattr(J, "_class_of", lambda bounds, h, salt=0: whole(bounds, h, salt) if salt != 1 else whole(bounds, h, salt) % 3)
+    base = [f"v{i}" for i in range(40)]
+    check(spark, [(i, " ".join(base[: 30 + i % 9] + rng.choices(base, k=i % 3))) for i in range(40)])
+
+
 def test_awkward_tables(spark):
     assert J.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     check(spark, [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (None, "q r s t u"), (9, None)])
