@@ -194,7 +194,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mos
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     few = hash_sample(known, "doc_id", sample, known.count())
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
-    once = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of repeated rows, one
+    once = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).coalesce(16)  # of repeated rows, one; as many as the sample holds
     terms = written(once.select(F.xxhash64("doc_id").alias("h"), "y", "text").mapInArrow(_terms, "h long, y int, n int, terms binary"), "toxicity-terms")
     sizes = terms.select("h", "n").toArrow()  # at most `sample` rows of two numbers
     h, n = sizes["h"].to_numpy(), sizes["n"].to_numpy()
