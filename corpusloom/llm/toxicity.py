@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release_memory
 from .sampling import hash_sample
 from .shared import written
 from .words import PUNCTUATION, words_of
 
 BUCKETS = 1 << 18
-SAMPLE, MOST_TERMS, PAIRED, FACTORS = 20_000, 12_000_000, 4096, 8
+SAMPLE, MOST_TERMS, PAIRED, FACTORS = 20_000, 12_000_000, 2048, 8
 #: Least likelihood-ratio statistic of a term by itself (about one in a thousand by chance), and of a pair beyond its parts: there are
 #: millions of pairs, and rows of one group of copies share theirs.
 SIGNIFICANT, PAIR_SIGNIFICANT = 11.0, 100.0
@@ -96,10 +97,11 @@ def _telling_pairs(y: np.ndarray, terms: list[np.ndarray], df: np.ndarray) -> np
     place[often] = np.arange(len(often))
     both, rows = [], []
     for c in (0, 1):
-        of_class, together = [place[t] for t, k in zip(terms, y, strict=True) if k == c], np.zeros((len(often), len(often)), np.float32)
+        of_class, together = [t for t, k in zip(terms, y, strict=True) if k == c], np.zeros((len(often), len(often)), np.float32)
         for i in range(0, len(of_class), 512):
             there = np.zeros((min(512, len(of_class) - i), len(often)), np.float32)
             for r, t in zip(there, of_class[i : i + 512], strict=True):
+                t = place[t]
                 r[t[t >= 0]] = 1
             together += there.T @ there
         both.append(together)
@@ -204,7 +206,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mos
         terms = terms.filter(F.col("h") <= int(h[inside].max(initial=np.iinfo(np.int64).min)))
     found = terms.select("y", "terms").toArrow()
     rows = sorted(zip(found["y"].to_pylist(), found["terms"].to_pylist(), strict=True))
-    return fit_machine(np.array([k for k, _ in rows], np.float64), [np.frombuffer(t, "<i4") for _, t in rows])
+    del found
+    machine = fit_machine(np.array([k for k, _ in rows], np.float64), [np.frombuffer(t, "<i4") for _, t in rows])
+    del rows
+    release_memory()
+    return machine
 
 
 def toxicity_column(machine: Machine, text: Column) -> Column:
