@@ -75,15 +75,20 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
     return c
 
 
-def _fit(depth: int):
-    """Centroids of a cluster from a sample of its nodes."""
+def _fit(depth: int, margin: float):
+    """Centroids of a cluster from a sample of its nodes, each farther from all others than nodes near one of them are dealt, so a dense group goes to one cluster."""
     import pandas as pd
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("node")
         x, first = _unit(list(cell["vec"]))[1], cell.iloc[0]
         k = min(len(x), FAN, int(-(-first["n"] // SHARD)))
-        centers = _cluster(x, k, np.random.default_rng((11, depth))).astype(np.float32)
+        centers = _cluster(x, k, np.random.default_rng((11, depth)))
+        kept: list[int] = []
+        for i, near in enumerate(centers @ centers.T > np.cos(1.5 * margin)):
+            if not near[kept].any():
+                kept.append(i)
+        centers = centers[kept].astype(np.float32)
         return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "cell": [first["cell"]], "n": [first["n"]], "vec": [centers.tobytes()]})
 
     return run
@@ -132,7 +137,7 @@ def shards(nodes: DataFrame, margin: float) -> DataFrame:
             break
         rest = sized.filter("large")
         few = rest.filter(F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(1 << 31)) < F.lit(float(1 << 31)) * 2 * FIT / F.col("n"))
-        centers = written(few.select("node", *key, "n", "vec").groupBy(*key).applyInPandas(_fit(depth), "label long, dim int, cell long, n long, vec binary"), "vector-centroids")
+        centers = written(few.select("node", *key, "n", "vec").groupBy(*key).applyInPandas(_fit(depth, margin), "label long, dim int, cell long, n long, vec binary"), "vector-centroids")
         tasks = F.ceil(F.col("n") / DEALT)
         shape = ["kind", "node", "label", "dim", "vec", "cell", "n", "task"]
         each = centers.withColumns({"kind": F.lit(0), "node": F.lit(0).cast("long"), "task": F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))})

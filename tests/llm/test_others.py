@@ -418,6 +418,21 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert V.vector_groups(df.limit(0)).count() == 0
 
 
+def test_a_dense_group_is_not_dealt_again_and_again(spark, monkeypatch):
+    """Near copies of one vector, half of the rows: shards hold few rows more than there are nodes."""
+    for name, value in (("SHARD", 40), ("LARGE", 80), ("BLOCK", 60)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=24)
+    x = np.concatenate([hot + rng.normal(size=(300, 24)) * 0.01, rng.normal(size=(300, 24))])
+    nodes = spark.createDataFrame([(i, 1, 24, v.tobytes()) for i, v in enumerate(x)], "node long, label long, dim int, vec binary")
+    dealt = V.shards(nodes, float(np.radians(4))).select("node", "cell", "n").toPandas()
+    assert set(dealt.node) == set(range(600)) and len(dealt) < 1200 and dealt[dealt.node >= 300].n.mean() < 400
+    df = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in V.vector_groups(df).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (299, 0) for i in range(300)) and got[300].audit_recall == 1.0
+
+
 def test_embeddings(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = brute_vectors([(r.vec_id, r.embedding, r.label) for r in df.collect()], 0.98)
