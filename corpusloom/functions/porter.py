@@ -35,7 +35,8 @@ def _short_end(stem: str) -> bool:
 
 
 #: Suffixes and replacements of steps 2, 3 and 4 of the published algorithm.
-_STEP_2 = "ational ate tional tion enci ence anci ance izer ize abli able alli al entli ent eli e ousli ous ization ize ation ate ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble".split()
+_PAIRS_2 = "ational ate tional tion enci ence anci ance izer ize abli able alli al entli ent eli e ousli ous ization ize ation ate ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble".split()
+_STEP_2 = dict(zip(_PAIRS_2[::2], _PAIRS_2[1::2], strict=True))
 _STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
@@ -66,7 +67,7 @@ def stem(word: str) -> str:
             w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for rules in (dict(zip(_STEP_2[::2], _STEP_2[1::2], strict=True)), _STEP_3):
+    for rules in (_STEP_2, _STEP_3):
         if (s := _longest(w, rules)) and _measure(w[: -len(s)]):
             w = w[: -len(s)] + rules[s]
     if (s := _longest(w, _STEP_4)) and _measure(w[: -len(s)]) > 1 and (s != "ion" or w[: -len(s)].endswith(("s", "t"))):

@@ -166,6 +166,17 @@ def is_permutation(values: Column) -> Column:
     return F.array_sort(values) == F.sequence(F.lit(0), F.size(values) - 1).cast("array<int>")
 
 
+def swapped(values: Column, seed: int, swaps: int = 300) -> Column:
+    """An array shuffled by so many swaps of two places, which a hash of the seed, the swap's number and the array's length picks."""
+    place = lambda i, side: F.pmod(F.xxhash64(F.lit(seed), i, F.lit(side), F.size(values)), F.size(values)).cast("int")
+
+    def swap(now: Column, i: Column) -> Column:
+        a, b = place(i, 0), place(i, 1)
+        return F.transform(now, lambda x, k: F.when(k == a, F.get(now, b)).when(k == b, F.get(now, a)).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(swaps)), values, swap)
+
+
 def expanded(ids: Column, counts: Column) -> Column:
     """Each id as many times as its count says."""
     return F.flatten(F.zip_with(ids, counts, lambda i, n: F.array_repeat(i, n)))
@@ -197,8 +208,16 @@ def increment(counts: Column, key: Column | str) -> Column:
     return F.map_concat(rest, F.map_from_arrays(F.array(key), F.array(F.coalesce(F.element_at(counts, key), F.lit(0)) + 1)))
 
 
-def draw_index(weights: Column, u: Column) -> Column:
-    """Inverse-CDF draw: the least index whose running sum exceeds u times the total."""
+def draw_index(weights: Column, u: Column, size: int | None = None) -> Column:
+    """Inverse-CDF draw: the least index whose running sum exceeds u times the total. size: the arrays' length, where it is known and small."""
+    if size is not None:
+        sums = [F.get(weights, F.lit(0))]
+        for k in range(1, size):
+            sums.append(sums[-1] + F.get(weights, F.lit(k)))
+        drawn = F.when(u * sums[-1] < sums[0], F.lit(0))
+        for k, s in enumerate(sums[1:-1], 1):
+            drawn = drawn.when(u * sums[-1] < s, F.lit(k))
+        return drawn.otherwise(F.lit(size - 1))
     total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(-1).alias("found"))
     step = lambda a, w: F.struct(

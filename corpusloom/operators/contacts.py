@@ -52,6 +52,25 @@ def has_phone(phones: Column, number: Column) -> Column:
     return F.exists(phones, lambda p: T.phone(p) == T.phone(number))
 
 
+def favourites(contacts: DataFrame, starred: Column, deleted: Column) -> DataFrame:
+    """Contacts that are starred and not deleted; nulls are neither."""
+    return contacts.filter(F.coalesce(starred, F.lit(False)) & ~F.coalesce(deleted, F.lit(False)))
+
+
+def for_insert(rows: DataFrame) -> DataFrame:
+    """Entity rows with the type and label that an insert gives their kind (columns `type` and `label`; null where it gives none)."""
+    kind = F.col("mimetype")
+    given = lambda i: reduce(lambda e, k: F.when(kind == k[0], F.lit(k[1][i]).cast("string")).otherwise(e), INSERT_LABELS.items(), F.lit(None).cast("string"))
+    return rows.withColumn("type", given(0)).withColumn("label", given(1))
+
+
+def equal_values(rows: DataFrame, others: DataFrame, ignored: tuple[str, ...] = ("raw_id",)) -> DataFrame:
+    """The rows that equal one of the others in all values but the ignored ones; nulls equal nulls."""
+    on = [c for c in rows.columns if c not in ignored]
+    right = others.select(*(F.col(c).alias(f"__{c}") for c in on)).distinct()
+    return rows.join(right, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on)), "left_semi")
+
+
 def display(rows: DataFrame) -> DataFrame:
     """Entity rows (raw_id, mimetype, data1, ...) with `shown`, the kind's display string."""
     kind = F.col("mimetype")
@@ -169,6 +188,17 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def insert_group(groups: DataFrame, *new: tuple) -> DataFrame:
+    """groups with new ones, given as rows of its columns."""
+    return groups.unionByName(groups.sparkSession.createDataFrame(list(new), groups.schema))
+
+
+def update_groups(groups: DataFrame, which: Column, **values) -> DataFrame:
+    """groups with the given columns changed where `which` is true, by id or by label; where it is null rows stay."""
+    hit = F.coalesce(which, F.lit(False))
+    return groups.withColumns({c: F.when(hit, F.lit(v).cast(groups.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def delete_group(groups: DataFrame, members: DataFrame, label: Column, members_too: bool = True) -> tuple[DataFrame, DataFrame]:
     """(groups, members) without a group; clearing a name leaves the memberships (members_too False)."""
     gone = groups.filter(label).select("group_id")

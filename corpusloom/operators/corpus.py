@@ -5,10 +5,13 @@ Everything is in long form, one row a token; counts are aggregations and dimensi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 from .ids import with_dense_id
 
 #: A short list of function words that topics don't need; callers may pass their own.
@@ -21,12 +24,57 @@ def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", pattern: st
     return raw.filter(T.is_token(F.col("raw"), least, most)).select(key, "pos", F.lower("raw").alias("token"))
 
 
+#: A step of a tokenizer chain: a token to what becomes of it, null to drop it.
+Step = Callable[[Column], Column]
+
+
+def lower() -> Step:
+    return F.lower
+
+
+def with_letters(least: int = 2, most: int | None = None) -> Step:
+    """Only tokens with a letter, of a length within bounds."""
+    return lambda t: F.when(T.is_token(t, least, most), t)
+
+
+def without_words(words: Iterable[str]) -> Step:
+    """Tokens that are none of the words. For a list; a table of stop words is an anti-join (without_stop_words)."""
+    stop = list(words)
+    return lambda t: F.when(~t.isin(stop), t)
+
+
+#: The chain of topic corpora: with letters, in lower case, without function words.
+CHAIN = (with_letters(), lower(), without_words(STOP_WORDS))
+
+
+def chained(docs: DataFrame, *steps: Step, text: str = "text", key: str = "doc_id", pattern: str = T.WORDS) -> DataFrame:
+    """(key, pos, token): matches of the pattern after all steps, in order; a token that a step drops reaches no later one. pos counts all matches from 0."""
+
+    def run(raw: Column) -> Column:
+        for step in steps:
+            raw = step(raw)  # nulls stay null
+        return raw
+
+    spots = F.transform(T.words(F.col(text), pattern), lambda w, i: F.struct(i.alias("pos"), run(w).alias("token")))
+    return docs.select(key, F.inline(F.filter(spots, lambda s: s["token"].isNotNull())))
+
+
 def token_counts(toks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(token, cnt, df): occurrences, and documents with the token. One shuffle: documents are counted from per-document counts."""
+    """(token, cnt, df): occurrences, and documents with the token, of tokens in any order. Documents are counted from per-document counts, in two shuffles."""
     per_doc = toks.groupBy("token", key).agg(F.count("*").alias("n"))
     return per_doc.groupBy("token").agg(F.sum("n").alias("cnt"), F.count("*").alias("df"))
 
 
+def text_counts(docs: DataFrame, text: str = "text", pattern: str = T.WORDS, least: int = 2, most: int | None = None) -> DataFrame:
+    """As token_counts(tokens(docs, ...)) where each row is a document of its own.
+
+    A document's tokens are sorted where it is read, so its first of each token is known there, and one aggregation with partial sums is the only shuffle.
+    """
+    kept = F.array_sort(F.transform(F.filter(T.words(F.col(text), pattern), lambda w: T.is_token(w, least, most)), F.lower))
+    marked = docs.select(kept.alias("t")).select(F.inline(F.transform("t", lambda w, i: F.struct(w.alias("token"), ((i == 0) | (F.get("t", i - 1) != w)).cast("int").alias("first")))))
+    return marked.groupBy("token").agg(F.count("*").alias("cnt"), F.sum("first").alias("df"))
+
+
 def stop_list(spark, words=STOP_WORDS) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "token string")
 
@@ -47,8 +95,11 @@ def frequent_documents(counts: DataFrame, n_docs: int, percent: int) -> DataFram
 
 
 def vocabulary(counts: DataFrame, min_count: int = 5, top: int = 0) -> DataFrame:
-    """(word_id, token, cnt, df): tokens of sufficient count, without the top ones; ids by descending count, then token."""
-    kept = counts.filter(F.col("cnt") >= min_count)
+    """(word_id, token, cnt, df): tokens of sufficient count, without the top ones; ids by descending count, then token.
+
+    The counts are written once: the top ones, the range bounds of the ids and the rows all come from them.
+    """
+    kept = written(counts.filter(F.col("cnt") >= min_count), "token-counts")
     kept = without_top(kept, top) if top else kept
     return with_dense_id(kept, "word_id", F.desc("cnt"), F.col("token"))
 
@@ -79,7 +130,12 @@ def corpus_stats(toks: DataFrame, docs: DataFrame, entities: DataFrame | None =
 
 
 def resample(docs: DataFrame, draws: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """`draws` documents on average, with replacement, as new documents 0, 1, ...; the same document may come again."""
-    n = max(1, docs.count())
-    drawn = docs.sample(withReplacement=True, fraction=draws / n, seed=seed).withColumn("__order", F.rand(seed))
-    return with_dense_id(drawn, "draw_id", F.col("__order"), F.col(key)).drop("__order")
+    """`draws` documents with replacement, as documents 0, 1, ... (draw_id); the same document may come again. Without documents there are no draws.
+
+    A draw is the hash of the seed and its number, modulo the documents in order of their keys, so it doesn't depend on partitions.
+    """
+    numbered = with_dense_id(docs, "__drawn", key)
+    n = numbered.count()
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw_id").cast("string"))), 1, 12), 16, 10).cast("long")
+    drawn = docs.sparkSession.range(draws if n else 0).select(F.col("id").alias("draw_id")).withColumn("__drawn", hashed % F.lit(max(1, n)))
+    return drawn.join(numbered, "__drawn").drop("__drawn")

@@ -1,12 +1,14 @@
 """Named entities: annotation by rule, run merge, merging of variants, corpus counts and top entities.
 
-The annotator is pluggable: anything that yields (doc_id, pos, token, label) works. The default takes runs of
-capitalised words and types them by their last word.
+The annotator is pluggable: `annotate` takes any function from a token to a type's number, and whatever yields (doc_id, pos, token, label)
+works in its place (`annotate_listed` looks tokens up in a table). The default rule is a stand-in for a model: it takes capitalised words and
+types them by their length.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -27,11 +29,28 @@ def entity_type(name: Column) -> Column:
     return reduce(lambda e, t: F.when(upper == t[0], t[1]).otherwise(e), TYPES.items(), F.lit(-1))
 
 
-def annotate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, pos, token, label): every ASCII word; a capitalised one is labelled 1 to 3 by its length, others -1."""
+def by_length(token: Column) -> Column:
+    """A capitalised word is of type 1 to 3 by its length, others are no entities (-1)."""
+    return F.when(token.rlike("^[A-Z][a-z]+$"), F.pmod(F.length(token), F.lit(3)) + 1).otherwise(-1)
+
+
+def annotate(docs: DataFrame, text: str = "text", key: str = "doc_id", label: Callable[[Column], Column] = by_length) -> DataFrame:
+    """(key, pos, token, label): every ASCII word with its type's number, -1 for none."""
     raw = docs.select(key, F.posexplode(T.words(F.col(text), "[A-Za-z]+")).alias("pos", "token"))
-    label = F.when(F.col("token").rlike("^[A-Z][a-z]+$"), F.pmod(F.length("token"), F.lit(3)) + 1).otherwise(-1)
-    return raw.withColumn("label", label.cast("int"))
+    return raw.withColumn("label", F.coalesce(label(F.col("token")), F.lit(-1)).cast("int"))
+
+
+def annotate_listed(docs: DataFrame, names: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, pos, token, label): every ASCII word; those in names (token, type's name in any case) have that type, others -1."""
+    typed = names.groupBy("token").agg(F.max(entity_type(F.col("type"))).alias("label"))
+    found = annotate(docs, text, key).drop("label").join(typed, "token", "left")
+    return found.select(key, "pos", "token", F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+def accepted(annotated: DataFrame, *types: str) -> DataFrame:
+    """annotated with the labels of types that aren't named taken away, so their tokens are no entities and end runs."""
+    wanted = [TYPES[t.upper()] for t in types]
+    return annotated.withColumn("label", F.when(F.col("label").isin(wanted), F.col("label")).otherwise(-1).cast("int"))
 
 
 def merge_runs(annotated: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -96,13 +115,18 @@ def fold_variants(mentions: DataFrame, key: str = "doc_id", same_type: bool = Tr
 def longest_forms(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, value, type, longest): each distinct entity and the longest entity of its type in the document that encloses it, else itself.
 
-    Deterministic and relational: candidates meet on (document, type); ties of length go by value.
+    Words are separated by one blank. What encloses an entity begins with its first word or has a later word that begins so, and candidates meet on
+    that, so a document's entities aren't all compared; ties of length go by value.
     """
     distinct = mentions.select(key, "value", "type").distinct()
-    other = distinct.select(key, "type", F.col("value").alias("other"))
-    met = distinct.join(other, [key, "type"]).filter(T.encloses(F.col("other"), F.col("value")) | (F.col("other") == F.col("value")))
+    words = F.split("value", " ")
+    later = F.flatten(F.transform(F.slice(words, 2, F.length("value")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, F.lit(1), i))))
+    heads = F.array_distinct(F.array_append(later, words[0]))
+    other = distinct.filter(F.size(words) > 1).select(key, "type", F.col("value").alias("other"), F.explode(heads).alias("head"))
+    met = distinct.withColumn("head", words[0]).join(other, [key, "type", "head"]).filter(T.encloses(F.col("other"), F.col("value")))
+    every = met.select(key, "value", "type", "other").unionByName(distinct.withColumn("other", F.col("value")))
     best = F.max(F.struct(F.length("other").alias("n"), F.col("other"))).alias("best")
-    return met.groupBy(key, "value", "type").agg(best).select(key, "value", "type", F.col("best.other").alias("longest"))
+    return every.groupBy(key, "value", "type").agg(best).select(key, "value", "type", F.col("best.other").alias("longest"))
 
 
 def entity_set(mentions: DataFrame, min_docs: int = 2, stop: DataFrame | None = None, by_mention: bool = False, key: str = "doc_id") -> DataFrame:

@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path, written
+from .topics import topic_vectors
 
 MOST_TOKENS = 5_000_000
+#: Tokens that one task of distributed_lda sweeps.
+PART_TOKENS = 1_000_000
 
 
 @dataclass
@@ -41,8 +44,12 @@ class Chain:
     lag: int = 20
     samples: int = 10
     seed: int = 1
+    report_every: int = 0  # if set, the other schedule: every so many iterations until max_iterations, without a burn-in
+    max_iterations: int = 0
 
     def sample_iterations(self) -> list[int]:
+        if self.report_every:
+            return list(range(self.report_every, self.max_iterations + 1, self.report_every))
         return [self.burn_in + i * self.lag for i in range(self.samples)]
 
     def widths(self) -> tuple[int, int]:
@@ -184,6 +191,7 @@ def exact(encoded: DataFrame, doc_entities: DataFrame | None, chain: Chain, hand
 
     found = rows.withColumn("chain", F.lit(1)).groupBy("chain").applyInPandas(run, "iter long, doc_id long, pos long, word_id long, z long, s long, entity_id long")
     if handler is not None:
+        found = written(found, "samples")  # the chain runs once, however many samples are handled
         for it in chain.sample_iterations():
             handler(it, found.filter(F.col("iter") == it))
     return found
@@ -192,50 +200,53 @@ def exact(encoded: DataFrame, doc_entities: DataFrame | None, chain: Chain, hand
 def distributed_lda(assigned: DataFrame, topics: int, alpha: float, beta: float, vocabulary_size: int, sweeps: int, seed: int) -> DataFrame:
     """(doc_id, pos, word_id, z) after some approximate sweeps over a corpus of any size.
 
-    Word-topic counts meet tokens by a join, so a vocabulary may be as large as it likes; a document stays in one task
-    and its own counts are exact. Each sweep is written to the shared folder.
+    A document is one row of arrays, and documents of about PART_TOKENS tokens are a part, which one task sweeps. To each part come the counts
+    of its distinct words, once a word, so a vocabulary may be as large as it likes, and no row of counts moves for each token. A document's own
+    counts are exact. Each sweep is written to the shared folder.
     """
-    now = assigned.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("word_id").cast("long").alias("word_id"), F.col("z").cast("long").alias("z"))
+    spots = F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("pos", "word_id", "z")))))
+    packed = assigned.groupBy("doc_id").agg(spots.alias("spots")).select("doc_id", *(F.col(f"spots.{c}").alias(c) for c in ("pos", "word_id", "z")))
+    n = packed.agg(F.sum(F.size("pos"))).first()[0] or 0
+    now = written(packed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // PART_TOKENS))))), "sweep")
+    wanted = written(now.select("part", F.explode("word_id").alias("word_id")).distinct(), "part-words")
     for sweep in range(sweeps):
-        cells = now.groupBy("word_id", "z").agg(F.count("*").alias("n"))
-        by_word = cells.groupBy("word_id").agg(F.map_from_entries(F.collect_list(F.struct("z", "n"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(topics - 1).cast("long")), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)))
-        totals = {r.z: r.n for r in cells.groupBy("z").agg(F.sum("n").alias("n")).collect()}  # K rows
+        tokens = now.select(F.inline(F.arrays_zip("word_id", "z")))
+        by_word = written(topic_vectors(tokens, "word_id", topics).select("word_id", "n"), "word-counts")
+        totals = {r.k: r.n for r in by_word.select(F.posexplode("n").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()}  # K rows
         size = np.array([float(totals.get(k, 0)) for k in range(topics)])
-        joined = now.join(by_word.select("word_id", dense.alias("counts")), "word_id")
-        held = joined.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
-        now = held.mapInPandas(_sweep(topics, alpha, beta, vocabulary_size, size, seed + sweep), "doc_id long, pos long, word_id long, z long")
-        now = written(now, "sweep")
-    return now
+        step = _sweep(topics, alpha, beta, vocabulary_size, size, seed + sweep)
+        swept = now.groupBy("part").cogroup(wanted.join(by_word, "word_id").groupBy("part")).applyInPandas(step, now.schema)
+        now = written(swept, "sweep")
+    return now.select("doc_id", F.inline(F.arrays_zip("pos", "word_id", "z")))
 
 
 def _sweep(topics: int, alpha: float, beta: float, v: int, size: np.ndarray, seed: int):
-    """One pass over sorted tokens: each document's own counts are kept exactly, word counts are the last sweep's without the token itself."""
+    """One pass over a part: each document's own counts are kept exactly, word counts are the last sweep's without the token itself.
 
-    def one(doc: pd.DataFrame) -> pd.DataFrame:
-        z = doc.z.to_numpy().copy()
-        rng = np.random.default_rng((seed, int(doc.doc_id.iloc[0]) & 0x7FFFFFFF))
-        words = np.stack(doc.counts.to_list()).astype(float)
-        own = np.bincount(z, minlength=topics).astype(float)
-        at = np.arange(len(z))
-        words[at, z] -= 1
-        base = (words + beta) / (size + v * beta)
-        for i, u in enumerate(rng.random(len(z))):
-            own[z[i]] -= 1
-            z[i] = draw(base[i] * (own + alpha), u)
-            own[z[i]] += 1
-        return doc.assign(z=z)[["doc_id", "pos", "word_id", "z"]]
+    All documents of the part go on together, one token of each at a time, so a step is one operation on arrays.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None  # the last document of a batch may go on in the next
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch])
-            last = batch.doc_id.iloc[-1] if len(batch) else None
-            rest, whole = batch[batch.doc_id == last], batch[batch.doc_id != last]
-            for _, doc in whole.groupby("doc_id", sort=False):
-                yield one(doc)
-        if rest is not None and len(rest):
-            yield one(rest)
+    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        docs = docs.iloc[np.argsort(-docs.pos.map(len).to_numpy(), kind="stable")]
+        length = docs.pos.map(len).to_numpy()
+        first = np.concatenate([[0], np.cumsum(length)[:-1]])
+        words = words.sort_values("word_id")
+        counts = np.stack(words.n.to_list()).astype(float)
+        word = np.searchsorted(words.word_id.to_numpy(), np.concatenate(docs.word_id.to_list()))
+        z = np.concatenate(docs.z.to_list()).astype(np.int64)
+        u = np.concatenate([np.random.default_rng((seed, int(d) & 0x7FFFFFFFFFFFFFFF)).random(n) for d, n in zip(docs.doc_id, length, strict=True)])
+        own = np.zeros((len(docs), topics))
+        np.add.at(own, (np.repeat(np.arange(len(docs)), length), z), 1)
+        for t in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -t))  # documents of more than t tokens come first
+            at, row = first[:live] + t, np.arange(live)
+            own[row, z[at]] -= 1
+            seen = counts[word[at]]
+            seen[row, z[at]] -= 1
+            sums = np.cumsum((seen + beta) / (size + v * beta) * (own[:live] + alpha), 1)
+            z[at] = np.minimum((sums <= (u[at] * sums[:, -1])[:, None]).sum(1), topics - 1)
+            own[row, z[at]] += 1
+        return docs.assign(z=np.split(z, first[1:]) if len(docs) else [])
 
     return run
 

@@ -12,15 +12,22 @@ from ..functions import text as T
 def interval_pairs(calls: DataFrame, equal: list[str], at: str = "at", key: str = "id", tolerance: int = 2000) -> DataFrame:
     """(key, other, apart): for each call its counterpart: equal in `equal`, another key, times at most `tolerance` apart; the nearest first, then the least key.
 
-    Times are cut into bins as wide as the tolerance, and each call looks into its own and the two next to it, so the
-    join is on equality and no key's calls all meet each other.
+    Each call has a key of its own. Times are cut into bins of several tolerances, and calls near a bin's end also look on from the
+    next one. Only neighbours in time are looked at, so a bin costs a sort, however many calls it has.
     """
-    width = F.lit(max(1, tolerance))
-    left = calls.withColumn("bin", F.explode(F.array(*(F.floor(F.col(at) / width) + d for d in (-1, 0, 1)))))
-    right = calls.select(*equal, F.col(key).alias("other"), F.col(at).alias("other_at"), F.floor(F.col(at) / width).alias("bin"))
-    met = left.join(right, [*equal, "bin"]).filter((F.col(key) != F.col("other")) & (F.abs(F.col(at) - F.col("other_at")) <= tolerance))
-    nearest = F.min(F.struct(F.abs(F.col(at) - F.col("other_at")).alias("apart"), F.col("other"))).alias("n")
-    return met.groupBy(key).agg(nearest).select(key, F.col("n.other").alias("other"), F.col("n.apart").alias("apart"))
+    width, t = 8 * max(1, tolerance), F.col(at)
+    bins = F.array_distinct(F.array(*(F.floor((t + d) / F.lit(width)) for d in (0, -tolerance, tolerance))))
+    seen = calls.select(*equal, key, at, F.explode(bins).alias("bin"))
+    where = [*equal, "bin"]
+    moment = W.partitionBy(*where, at).orderBy(key).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    seen = seen.withColumns({"least": F.first(key).over(moment), "second": F.nth_value(key, 2).over(moment)})
+    strictly = lambda order: W.partitionBy(*where).orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+    beside = F.struct(t.alias("at"), F.col("least").alias("other"))
+    seen = seen.withColumns({"before": F.last(beside).over(strictly(t)), "after": F.last(beside).over(strictly(t.desc()))})
+    same = F.when(F.col(key) == F.col("least"), F.col("second")).otherwise(F.col("least"))
+    found = F.array(*(F.when(other.isNotNull(), F.struct(F.abs(t - when).alias("apart"), other.alias("other"))) for when, other in ((t, same), (F.col("before.at"), F.col("before.other")), (F.col("after.at"), F.col("after.other")))))
+    best = seen.filter(F.col("bin") == F.floor(t / F.lit(width))).select(key, F.array_min(F.filter(found, lambda x: x.isNotNull())).alias("n"))
+    return best.filter(F.col("n.apart") <= tolerance).select(key, F.col("n.other").alias("other"), F.col("n.apart").alias("apart"))
 
 
 def friend_edges(calls: DataFrame, src: str, dst: str, seconds: str) -> DataFrame:
@@ -92,6 +99,12 @@ def social_rank(candidates: DataFrame, friends: DataFrame, tagged: DataFrame, ba
     return joined.select("id", score.alias("score"), F.coalesce(F.array_join(F.col("people").cast("array<string>"), ","), F.lit("")).alias("people"))
 
 
+def ranked(scores: DataFrame, n: int, key: str = "id", digits: int = 9) -> DataFrame:
+    """The first n results by descending score (to so many digits), then key, with `rank`; equal scores share a rank."""
+    first = scores.orderBy(F.round("score", digits).desc(), key).limit(n)
+    return first.withColumn("rank", F.rank().over(W.orderBy(F.round("score", digits).desc())))  # of n rows
+
+
 def suggestions(user_tags: DataFrame, tag_stats: DataFrame, cooc: DataFrame, frequent: DataFrame, n: int = 15) -> DataFrame:
     """(tag, score): the n best tags that the user lacks.
 

@@ -32,27 +32,54 @@ def with_entities(assigned: DataFrame, doc_entities: DataFrame) -> DataFrame:
     return both.withColumn("entity_id", F.when(F.col("s") == 1, F.get("entities", F.pmod(F.col("pos"), F.size("entities")).cast("int")))).drop("entities")
 
 
+#: Topics up to which counts are sums over each topic in one aggregation; beyond, topics are counted as rows and gathered.
+WIDE = 64
+
+
 def topic_counts(assigned: DataFrame, key: str) -> DataFrame:
     """(key, k, n): how often each topic occurs with each key."""
     return assigned.groupBy(key, F.col("z").alias("k")).agg(F.count("*").alias("n"))
 
 
-def smoothed(counts: DataFrame, keys: DataFrame, key: str, topics: int, prior: float, name: str) -> DataFrame:
-    """(key, k, name) for every key and topic: (n + prior) / (sum over topics + K prior)."""
-    per_key = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("by_k"), F.sum("n").alias("size"))  # at most K entries
-    dense = keys.select(key).join(per_key, key, "left").select(key, "by_k", F.coalesce("size", F.lit(0)).alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(topics - 1).cast("long"))).alias("k"))
-    n = F.coalesce(F.get(F.array(F.element_at("by_k", F.col("k"))), F.lit(0)), F.lit(0))
-    return dense.select(key, "k", ((n + F.lit(prior)) / (F.col("size") + F.lit(topics * prior))).alias(name))
+def topic_vectors(assigned: DataFrame, key: str, topics: int, where: Column | None = None) -> DataFrame:
+    """(key, n, size): each key's counts of the K topics as an array in topic order, and their sum. where: rows that count; keys without any have zeros."""
+    counts = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    if topics <= WIDE:
+        each = F.array(*(F.count_if((F.col("z") == k) & counts) for k in range(topics)))
+        return assigned.groupBy(key).agg(each.alias("n"), F.count_if(counts).alias("size"))
+    cells = assigned.groupBy(key, F.col("z").alias("k")).agg(F.count_if(counts).alias("n"))
+    gathered = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("by_k"), F.sum("n").alias("size"))  # at most K entries
+    return gathered.select(key, F.transform(_topics(topics), lambda k: F.coalesce(F.element_at("by_k", k), F.lit(0).cast("long"))).alias("n"), "size")
+
+
+def _topics(topics: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(topics - 1).cast("long"))
+
 
+def for_keys(vectors_: DataFrame, keys: DataFrame, key: str, topics: int) -> DataFrame:
+    """Count vectors of all keys; those that have none get zeros."""
+    joined = keys.select(key).join(vectors_, key, "left")
+    return joined.select(key, F.coalesce("n", F.array_repeat(F.lit(0).cast("long"), topics)).alias("n"), F.coalesce("size", F.lit(0).cast("long")).alias("size"))
 
-def phi(word_counts: DataFrame, vocab: DataFrame, topics: int, beta: float) -> DataFrame:
-    """(word_id, k, phi) for every word and topic: (n + beta) / (topic size + V beta)."""
+
+def shares(vectors_: DataFrame, topics: int, prior: float, name: str) -> DataFrame:
+    """Count vectors with `name`, the array of (n + prior) / (size + K prior)."""
+    return vectors_.withColumn(name, F.transform("n", lambda n: (n + F.lit(prior)) / (F.col("size") + F.lit(topics * prior))))
+
+
+def word_shares(vectors_: DataFrame, vocab: DataFrame, topics: int, beta: float, name: str = "phi", key: str = "word_id") -> DataFrame:
+    """(key, name): for every word the array of (n + beta) / (topic size + V beta)."""
     size = vocab.count()
-    totals = {r.k: r.n for r in word_counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # K rows
-    by_word = word_counts.groupBy("word_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("by_k"))
-    dense = vocab.select("word_id").join(by_word, "word_id", "left").select("word_id", "by_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(topics - 1).cast("long"))).alias("k"))
-    margin = F.get(F.array(*(F.lit(float(totals.get(k, 0))) for k in range(topics))), F.col("k").cast("int"))
-    return dense.select("word_id", "k", ((F.coalesce(F.element_at("by_k", F.col("k")), F.lit(0)) + F.lit(beta)) / (margin + F.lit(size * beta))).alias("phi"))
+    totals = vectors_.select(F.posexplode("n").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()  # K rows
+    found = {r.k: r.n for r in totals}
+    margins = F.array(*(F.lit(float(found.get(k, 0))) for k in range(topics)))
+    every = for_keys(vectors_, vocab, key, topics)
+    return every.select(key, F.zip_with("n", margins, lambda n, t: (n + F.lit(beta)) / (t + F.lit(size * beta))).alias(name))
+
+
+def by_topic(vectors_: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, k, name): an array over topics as rows."""
+    return vectors_.select(key, F.posexplode(name).alias("k", name)).withColumn("k", F.col("k").cast("long"))
 
 
 def top(counts: DataFrame, within: list[str], by: Column, tie: str, n: int) -> DataFrame:
@@ -61,51 +88,62 @@ def top(counts: DataFrame, within: list[str], by: Column, tie: str, n: int) -> D
     return counts.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def event_report(counts: DataFrame, key: str, n: int) -> DataFrame:
+    """(event, total, rank, key, n): the n keys of highest counts of each event, from counts (key, k, n), and the event's total over all keys."""
+    totals = counts.groupBy("k").agg(F.sum("n").alias("total"))  # as many as events
+    best = top(counts, ["k"], F.col("n"), key, n).join(F.broadcast(totals), "k")
+    return best.select(F.col("k").alias("event"), "total", F.col("rank").cast("long").alias("rank"), key, "n")
+
+
 def as_matrix(long: DataFrame, row: str, topics: int, value: str) -> DataFrame:
     """One row for each key and one column `topic k` for each topic."""
     wide = long.groupBy(row).pivot("k", list(range(topics))).agg(F.first(value))
     return wide.select(row, *(F.col(str(k)).alias(f"topic {k}") for k in range(topics)))
 
 
-def log2_likelihood(tokens: DataFrame, theta: DataFrame, phi_: DataFrame) -> DataFrame:
-    """One row: the sum over tokens of log2 of the sum over topics of theta times phi.
+def dot(a: Column | str, b: Column | str, topics: int) -> Column:
+    """Sum of products of two arrays over topics, in topic order."""
+    if topics <= WIDE:
+        a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+        total = F.lit(0.0)
+        for k in range(topics):
+            total = total + F.get(a, F.lit(k)) * F.get(b, F.lit(k))
+        return total
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
 
-    Tokens are first counted by (document, word); theta and phi meet them as arrays in topic order.
-    """
-    pairs = tokens.groupBy("doc_id", "word_id").agg(F.count("*").alias("n"))
-    mixed = pairs.join(vectors(theta, "doc_id", "theta"), "doc_id").join(vectors(phi_, "word_id", "phi"), "word_id")
-    p = F.aggregate(F.zip_with("theta", "phi", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return mixed.agg(F.sum(F.col("n") * F.log2(p)).alias("log2_likelihood"))
 
+def log2_likelihood(tokens: DataFrame, theta: DataFrame, phi: DataFrame, topics: int) -> DataFrame:
+    """One row: the sum over tokens of log2 of the sum over topics of theta times phi, for theta (doc_id, theta) and phi (word_id, phi) as arrays.
 
-def vectors(long: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value): the K values of a key as an array in topic order."""
-    return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value))), lambda x: x[value]).alias(value))
+    Tokens are first counted by (document, word).
+    """
+    pairs = tokens.groupBy("doc_id", "word_id").agg(F.count("*").alias("n"))
+    mixed = pairs.join(theta.select("doc_id", "theta"), "doc_id").join(phi.select("word_id", "phi"), "word_id")
+    return mixed.agg(F.sum(F.col("n") * F.log2(dot("theta", "phi", topics))).alias("log2_likelihood"))
 
 
 def conditional(assigned: DataFrame, topics: int, alpha: float, beta: float, vocabulary_size: int) -> DataFrame:
-    """assigned with `weights`: for each token, the unnormalised probability of each topic given all other assignments (a snapshot).
+    """(doc_id, word_id, z, at, weights): the unnormalised probability of each topic for a token given all other assignments (a snapshot).
 
-    Counts meet tokens as arrays; the token itself is taken off its own topic's counts.
+    Tokens of one document, word and topic have the same weights and are one row, `at` their positions. A document's rows and counts stay together;
+    words' counts come to them as arrays. The token itself is taken off its own topic's counts.
     """
-    zeros = F.array_repeat(F.lit(0).cast("long"), topics)
-
-    def by(key: str) -> DataFrame:
-        cells = topic_counts(assigned, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
-        return cells.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(topics - 1).cast("long")), lambda k: F.coalesce(F.element_at("m", k), F.lit(0))).alias(key + "_n"))
-
-    totals = {r.k: r.n for r in assigned.groupBy(F.col("z").alias("k")).agg(F.count("*").alias("n")).collect()}
-    margins = F.array(*(F.lit(totals.get(k, 0)).cast("long") for k in range(topics))) if topics else zeros
-    joined = assigned.join(by("word_id"), "word_id").join(by("doc_id"), "doc_id")
-    ks = F.sequence(F.lit(0).cast("long"), F.lit(topics - 1).cast("long"))
-
-    def weight(k: Column) -> Column:
-        own = (k == F.col("z")).cast("long")
-        at = k.cast("int")
-        word = (F.get("word_id_n", at) - own + F.lit(beta)) / (F.get(margins, at) - own + F.lit(vocabulary_size * beta))
-        return word * (F.get("doc_id_n", at) - own + F.lit(alpha))
-
-    return joined.withColumn("weights", F.transform(ks, weight)).drop("word_id_n", "doc_id_n")
+    held = assigned.select("doc_id", "word_id", "z", "pos").repartition("doc_id")
+    cells = held.groupBy("doc_id", "word_id", "z").agg(F.collect_list("pos").alias("at"))
+    joined = cells.join(topic_vectors(held, "doc_id", topics).select("doc_id", F.col("n").alias("of_doc")), "doc_id")
+    joined = joined.join(topic_vectors(assigned, "word_id", topics).select("word_id", F.col("n").alias("of_word")), "word_id")
+    totals = {r.k: r.n for r in assigned.groupBy(F.col("z").alias("k")).agg(F.count("*").alias("n")).collect()}  # K rows
+
+    def weight(k: Column, total: Column) -> Column:
+        own, at = (F.col("z") == k).cast("long"), k.cast("int")
+        return (F.get("of_word", at) - own + F.lit(beta)) / (total - own + F.lit(vocabulary_size * beta)) * (F.get("of_doc", at) - own + F.lit(alpha))
+
+    each = [F.lit(totals.get(k, 0)).cast("long") for k in range(topics)]
+    if topics <= WIDE:
+        weights = F.array(*(weight(F.lit(k), total) for k, total in enumerate(each)))
+    else:
+        weights = F.zip_with(_topics(topics), F.array(*each), weight)
+    return joined.select("doc_id", "word_id", "z", "at", weights.alias("weights"))
 
 
 def uniform(doc_id: Column, pos: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.porter import stemmed
 from ..operators import corpus as C
 from ..operators import entities as E
+from ..sources.shared import written
 from .registry import query, table
 
 TOKENS = r"""raw AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[$a-zA-Z0-9]+') AS l FROM documents)),
@@ -30,8 +31,12 @@ def tokens_of(spark, sf_dir) -> DataFrame:
     return C.tokens(docs_of(spark, sf_dir))
 
 
+def counts_of(spark, sf_dir) -> DataFrame:
+    return C.text_counts(docs_of(spark, sf_dir))
+
+
 def vocabulary_of(spark, sf_dir) -> DataFrame:
-    return C.vocabulary(C.token_counts(tokens_of(spark, sf_dir)), 5, 40)
+    return C.vocabulary(counts_of(spark, sf_dir), 5, 40)
 
 
 def mentions_of(spark, sf_dir) -> DataFrame:
@@ -39,17 +44,17 @@ def mentions_of(spark, sf_dir) -> DataFrame:
 
 
 def flagship(spark, sf_dir) -> DataFrame:
-    return C.token_counts(tokens_of(spark, sf_dir)).orderBy(F.desc("cnt"), "token").limit(100)
+    return counts_of(spark, sf_dir).orderBy(F.desc("cnt"), "token").limit(100)
 
 
 @query(f"WITH {COUNTS} SELECT token, cnt, df FROM counts")
 def vocab_counts(spark, sf_dir):
-    return C.token_counts(tokens_of(spark, sf_dir))
+    return counts_of(spark, sf_dir)
 
 
 @query(f"WITH {COUNTS} SELECT token, cnt, df FROM counts WHERE df <= 10 * (SELECT count(*) FROM documents) // 100")
 def doc_freq_prune(spark, sf_dir):
-    return C.frequent_documents(C.token_counts(tokens_of(spark, sf_dir)), docs_of(spark, sf_dir).count(), 10)
+    return C.frequent_documents(counts_of(spark, sf_dir), docs_of(spark, sf_dir).count(), 10)
 
 
 @query(f"WITH {VOCAB} SELECT word_id, token, cnt, df FROM vocab")
@@ -60,16 +65,14 @@ def top_stopwords(spark, sf_dir):
 
 @query(f"WITH {VOCAB} SELECT doc_id, pos, word_id FROM toks JOIN vocab USING (token)")
 def encoded_docs(spark, sf_dir):
-    toks = tokens_of(spark, sf_dir)
-    return C.encode(toks, C.vocabulary(C.token_counts(toks), 5, 40)).select("doc_id", F.col("pos").cast("long").alias("pos"), "word_id")
+    return C.encode(tokens_of(spark, sf_dir), written(vocabulary_of(spark, sf_dir), "vocabulary")).select("doc_id", F.col("pos").cast("long").alias("pos"), "word_id")
 
 
 @query(f"WITH {VOCAB} SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS words, count(*) AS n FROM toks JOIN vocab USING (token) GROUP BY 1")
 def decoded_docs(spark, sf_dir):
     """Documents encoded, packed into arrays, and decoded again."""
-    toks = tokens_of(spark, sf_dir)
-    vocab = C.vocabulary(C.token_counts(toks), 5, 40)
-    back = C.decode(C.encode(toks, vocab), vocab)
+    vocab = written(vocabulary_of(spark, sf_dir), "vocabulary")
+    back = C.decode(C.encode(tokens_of(spark, sf_dir), vocab), vocab)
     words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
     return back.groupBy("doc_id").agg(F.array_join(words, " ").alias("words"), F.count("*").alias("n"))
 
@@ -84,12 +87,19 @@ _STOPS = ", ".join(f"('{w}')" for w in C.STOP_WORDS)
 
 @query(f"WITH {COUNTS}, stops(token) AS (VALUES {_STOPS}) SELECT token, cnt FROM counts ANTI JOIN stops USING (token)")
 def stopword_anti_join(spark, sf_dir):
-    return C.without_stop_words(C.token_counts(tokens_of(spark, sf_dir)), C.stop_list(spark)).select("token", "cnt")
+    return C.without_stop_words(counts_of(spark, sf_dir), C.stop_list(spark)).select("token", "cnt")
+
+
+@query(f"WITH {TOKENS}, stops(token) AS (VALUES {_STOPS}, ('market'), ('data')) SELECT token, count(*) AS cnt, min(pos) AS first FROM toks ANTI JOIN stops USING (token) GROUP BY 1")
+def token_chain(spark, sf_dir):
+    """Counts of tokens after a chain of steps: with letters, in lower case, without function words, without words of the caller's own."""
+    toks = C.chained(docs_of(spark, sf_dir), *C.CHAIN, C.without_words(["market", "data"]))
+    return toks.groupBy("token").agg(F.count("*").alias("cnt"), F.min("pos").cast("long").alias("first"))
 
 
 @query(f"WITH {COUNTS} SELECT token, cnt, df FROM counts WHERE cnt >= 5")
 def min_token_count(spark, sf_dir):
-    return C.token_counts(tokens_of(spark, sf_dir)).filter("cnt >= 5")
+    return counts_of(spark, sf_dir).filter("cnt >= 5")
 
 
 @query(r"WITH t AS (SELECT unnest(regexp_extract_all(text, '[$a-zA-Z_]+')) AS raw FROM documents) SELECT lower(raw) AS token, count(*) AS cnt FROM t WHERE length(raw) BETWEEN 3 AND 39 AND regexp_matches(raw, '[A-Za-z]') GROUP BY 1")
@@ -111,6 +121,13 @@ def run_merge_islands(spark, sf_dir):
     return mentions_of(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), "value", F.col("type").cast("long").alias("type"))
 
 
+@query(f"""WITH {MENTIONS.replace("length(token) % 3 + 1 ELSE", "CASE WHEN length(token) % 3 = 1 THEN -1 ELSE length(token) % 3 + 1 END ELSE")} SELECT doc_id, ord, value, type FROM mentions""")
+def entity_types_switch(spark, sf_dir):
+    """Mentions of persons and organisations only; locations aren't accepted and end runs."""
+    taken = E.accepted(E.annotate(docs_of(spark, sf_dir)), "person", "Organization")
+    return E.merge_runs(taken).select("doc_id", F.col("ord").cast("long").alias("ord"), "value", F.col("type").cast("long").alias("type"))
+
+
 @query(f"WITH {ENTITIES} SELECT entity_id, value, type, doc_count FROM ents")
 def entity_doc_count(spark, sf_dir):
     return E.entity_set(mentions_of(spark, sf_dir)).select("entity_id", "value", F.col("type").cast("long").alias("type"), "doc_count")
@@ -155,7 +172,10 @@ def entity_longest_form(spark, sf_dir):
     return E.longest_forms(mentions_of(spark, sf_dir)).withColumn("type", F.col("type").cast("long"))
 
 
-@query()
+@query(
+    """WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS spot, doc_id FROM documents), r AS (SELECT unnest(range((SELECT n // 2 FROM n))) AS draw_id)
+SELECT draw_id, doc_id FROM (SELECT draw_id, ('0x' || substr(md5('11:' || draw_id), 1, 12))::BIGINT % (SELECT n FROM n) AS spot FROM r) JOIN d USING (spot)"""
+)
 def corpus_resample(spark, sf_dir):
     """A sample of the corpus with replacement (the feature is the sampling), half as large."""
     docs = docs_of(spark, sf_dir)

@@ -75,7 +75,12 @@ def html_plain_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.plain_text(F.col("html"))).alias("digest"))
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '<([a-z][a-z0-9]*)[^>]*>', 1) AS tags, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs, regexp_extract_all(html, '(?s)<a [^>]*>(.*?)</a>', 1) AS links, regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heads FROM pages),
+n AS (SELECT *, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS ord FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY page_id, tag ORDER BY ord) AS i FROM n WHERE tag IN ('a', 'h1')),
+t AS (SELECT page_id, ord, tag, CASE WHEN tag = 'a' THEN hrefs[i] END AS href, CASE WHEN tag = 'a' THEN links[i] ELSE heads[i] END AS raw FROM k)
+SELECT page_id, ord, tag, href, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM t"""
+)
 def html_nodes(spark, sf_dir):
     """Links and headings of all pages by a parser."""
     nodes = H.html_nodes(table(spark, sf_dir, "pages"))

@@ -367,3 +367,76 @@ def call_pairing_edges(spark, sf_dir):
     paired = S.interval_pairs(calls, ["event_type"], tolerance=60_000)
     known = paired.join(calls.select("id", F.col("caller").alias("src"), "seconds"), "id").join(calls.select(F.col("id").alias("other"), F.col("caller").alias("dst")), "other")
     return S.friend_edges(known.filter("src <> dst"), "src", "dst", "seconds").withColumn("minutes", F.round("minutes", 6))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_custkey % 13 <> 0")
+def starred_contacts(spark, sf_dir):
+    """Contacts that are starred (here: of a high balance) and not deleted."""
+    c = table(spark, sf_dir, "customer")
+    return K.favourites(c, F.col("c_acctbal") > 5000, F.col("c_custkey") % 13 == 0).select("c_custkey")
+
+
+@query(
+    f"""WITH {ROWS} SELECT raw_id, mimetype, CASE WHEN mimetype = 'phone' THEN 'custom' WHEN mimetype = 'job' THEN 'work' END AS type, CASE WHEN mimetype = 'phone' THEN 'phone' END AS label, data1 FROM eav"""
+)
+def insert_labels(spark, sf_dir):
+    """Entity rows as an insert writes them, with the type and label of their kind."""
+    return K.for_insert(rows_of(spark, sf_dir)).select("raw_id", "mimetype", "type", "label", "data1")
+
+
+@query(f"WITH {ROWS} SELECT a.raw_id, a.mimetype, a.data1 FROM eav a WHERE EXISTS (SELECT 1 FROM eav b WHERE b.raw_id % 10 = 3 AND a.mimetype = b.mimetype AND a.data1 IS NOT DISTINCT FROM b.data1 AND a.data2 IS NOT DISTINCT FROM b.data2 AND a.data3 IS NOT DISTINCT FROM b.data3)")
+def entity_value_equality(spark, sf_dir):
+    """Entity rows that equal one of some contacts' rows in kind and values, whoever's they are."""
+    rows = rows_of(spark, sf_dir)
+    return K.equal_values(rows, rows.filter("raw_id % 10 = 3")).select("raw_id", "mimetype", "data1")
+
+
+@query(
+    """WITH g AS (SELECT n_nationkey::BIGINT AS group_id, n_name AS label, n_regionkey::BIGINT AS color FROM nation UNION ALL SELECT 100, 'NEW', 9 UNION ALL SELECT 101, 'OTHER', -1)
+SELECT group_id, CASE WHEN label = 'NEW' THEN 'RENAMED' ELSE label END AS label, CASE WHEN group_id = 3 THEN 77 ELSE color END AS color FROM g WHERE label <> 'PERU'"""
+)
+def group_changes(spark, sf_dir):
+    """Groups inserted, one updated by its label, one by its id, and one deleted by its label."""
+    n = table(spark, sf_dir, "nation")
+    groups = n.select(F.col("n_nationkey").cast("long").alias("group_id"), F.col("n_name").alias("label"), F.col("n_regionkey").cast("long").alias("color"))
+    groups = K.insert_group(groups, (100, "NEW", 9), (101, "OTHER", -1))
+    groups = K.update_groups(groups, F.col("label") == "NEW", label="RENAMED")
+    groups = K.update_groups(groups, F.col("group_id") == 3, color=77)
+    return K.delete_group(groups, groups.limit(0).select("group_id"), F.col("label") == "PERU")[0]
+
+
+@query("SELECT c_custkey FROM customer WHERE replace('0' || c_nationkey || '-' || c_custkey % 40, '-', '') = '0215'")
+def phone_owner(spark, sf_dir):
+    """Contacts with a number among their phones, hyphens aside."""
+    phones = F.array(F.lit("1-2"), F.concat(F.lit("0"), F.col("c_nationkey"), F.lit("-"), F.col("c_custkey") % 40))
+    return table(spark, sf_dir, "customer").filter(K.has_phone(phones, F.lit("02-15"))).select("c_custkey")
+
+
+@query(
+    f"""WITH {_REL}, o AS (SELECT id, round(r, 9) AS score FROM rel ORDER BY score DESC, id LIMIT 50) SELECT id, score, rank() OVER (ORDER BY score DESC) AS rank FROM o"""
+)
+def search_ranking(spark, sf_dir):
+    """The first 50 results of a search with their ranks, which equal scores share."""
+    found = relatedness_of(spark, sf_dir).select("id", F.round("r", 9).alias("score"))
+    return S.ranked(found, 50).select("id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT n_nationkey, n_nationkey + 2 AS size, TRUE AS is_permutation FROM nation")
+def permutation_shuffle(spark, sf_dir):
+    """Arrays shuffled by 300 swaps are permutations."""
+    keys = table(spark, sf_dir, "nation").select("n_nationkey", F.sequence(F.lit(0), (F.col("n_nationkey") + 1).cast("int")).alias("v"))
+    shuffled = keys.withColumn("s", T.swapped(F.col("v"), 5))
+    return shuffled.select("n_nationkey", F.size("s").alias("size"), T.is_permutation(F.col("s")).alias("is_permutation"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
+def contact_by_id(spark, sf_dir):
+    """The one contact of an id; two would be an error."""
+    return K.unique_look_up(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), c_custkey=7)
+
+
+@query("SELECT o_custkey AS id FROM orders GROUP BY 1 HAVING bool_or(o_orderpriority IN ('1-URGENT', '5-LOW'))")
+def labels_any(spark, sf_dir):
+    """Contacts whose label lists hold any of two labels."""
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("labels"))
+    return lists.filter(S.any_equal(F.col("labels"), ["1-URGENT", "5-LOW"])).select("id")

@@ -51,6 +51,7 @@ def html_nodes(pages: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
             for page, html in zip(batch.page_id, batch.html, strict=True):
                 parser = _Nodes()
                 parser.feed(html or "")
+                parser.close()  # text that waited for a reference or tag to end
                 rows += [(page, n, d, t, a, " ".join("".join(x).split())) for n, d, t, a, x in parser.nodes if not only or t in only]
             yield pd.DataFrame(rows, columns=["page_id", "ord", "depth", "tag", "attributes", "text"])
 

@@ -67,6 +67,19 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/data/{versions[-1][1].split('-', 1)[1]}") if versions else None
 
 
+class BatchLog:
+    """A table that only grows: each batch of a stream is a folder of its own, and one that comes again after a failure replaces itself."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.path).parquet(self.path)
+
+
 def merge_batches(target: VersionedTable, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch into a table once: a batch that comes again after a failure is left out."""
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import contacts as K
 from ..operators import social as S
-from ..sources.sinks import VersionedTable, merge_batches
+from ..sources.sinks import BatchLog, VersionedTable, merge_batches
 
 
 def pair_calls(calls: DataFrame, equal: list[str], at: str = "ts", key: str = "id", tolerance: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
@@ -49,28 +49,37 @@ def call_edges(calls: DataFrame, tolerance_ms: int = 2000, keep_ms: int = 60_000
 
     calls: (pair, device, other, seconds, at): `pair` is the unordered pair of numbers as text, `device` the caller, `at` the time in milliseconds. A log
     waits for its counterpart (same pair, other device, same seconds, at most the tolerance apart), and both
-    directions are added; logs that wait longer than keep_ms go. State holds one pair's waiting logs.
+    directions are added. The watermark is keep_ms behind the latest log; once it has passed a pair's waiting logs, they go, also when the pair never speaks
+    again, so state holds the last keep_ms only.
     """
+    # one millisecond on: rows of the first watermark's own time, which is 0, would count as late
+    timed = calls.withColumn("event_time", F.timestamp_millis(F.col("at").cast("long") + 1)).withWatermark("event_time", f"{keep_ms} milliseconds")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting = [tuple(x) for x in state.get[0]] if state.exists else []
         edges: dict[tuple[str, str], list[float]] = {}
-        for batch in batches:
-            for device, other, seconds, at in batch.sort_values(["at", "device"])[["device", "other", "seconds", "at"]].itertuples(index=False):
-                waiting = [w for w in waiting if at - w[2] <= keep_ms]
-                match = next((w for w in waiting if w[0] != device and w[1] == seconds and abs(w[2] - at) <= tolerance_ms), None)
-                if match is None:
-                    waiting.append((device, int(seconds), int(at)))
-                    continue
-                waiting.remove(match)
-                for edge in ((device, other), (other, device)):
-                    total = edges.setdefault(edge, [0, 0.0])
-                    total[0] += 1
-                    total[1] += seconds / 60.0
-        state.update((waiting,))
+        if not state.hasTimedOut:
+            for batch in batches:
+                for device, other, seconds, at in batch.sort_values(["at", "device"])[["device", "other", "seconds", "at"]].itertuples(index=False):
+                    match = next((w for w in waiting if w[0] != device and w[1] == seconds and abs(w[2] - at) <= tolerance_ms), None)
+                    if match is None:
+                        waiting.append((device, int(seconds), int(at)))
+                        continue
+                    waiting.remove(match)
+                    for edge in ((device, other), (other, device)):
+                        total = edges.setdefault(edge, [0, 0.0])
+                        total[0] += 1
+                        total[1] += seconds / 60.0
+        passed = state.getCurrentWatermarkMs() - 1
+        waiting = [w for w in waiting if w[2] + tolerance_ms >= passed]
+        if waiting:
+            state.update((waiting,))
+            state.setTimeoutTimestamp(max(passed + 2, min(w[2] for w in waiting) + tolerance_ms + 2))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame([(a, b, n, m) for (a, b), (n, m) in edges.items()], columns=["src", "dst", "calls", "minutes"])
 
-    return calls.groupBy("pair").applyInPandasWithState(step, _EDGE, "waiting array<struct<device:string,seconds:long,at:long>>", "update", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("pair").applyInPandasWithState(step, _EDGE, "waiting array<struct<device:string,seconds:long,at:long>>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def merge_shares(shares: DataFrame, target: VersionedTable, checkpoint: str, key: str = "id", fixed: tuple[str, ...] = ("city",)) -> StreamingQuery:
@@ -84,11 +93,8 @@ def merge_shares(shares: DataFrame, target: VersionedTable, checkpoint: str, key
     return shares.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge_batches(target, merge)).start()
 
 
-def label_events(labels: DataFrame, log: VersionedTable, by_contact: VersionedTable, pairs: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Label events (tagger, id, labels array, ts) to three tables: the log, each contact's distinct labels, and tag pair counts."""
-
-    def append(old, batch):
-        return batch if old is None else old.unionByName(batch)
+def label_events(labels: DataFrame, log: BatchLog, by_contact: VersionedTable, pairs: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Label events (tagger, id, labels array, ts) to three tables: the log, to which batches are added, each contact's distinct labels, and tag pair counts."""
 
     def add_labels(old, batch):
         new = batch.select("id", F.explode("labels").alias("label")).distinct()
@@ -98,11 +104,12 @@ def label_events(labels: DataFrame, log: VersionedTable, by_contact: VersionedTa
         new = S.tag_pairs(batch.withColumn("event", F.monotonically_increasing_id()).select("event", F.explode("labels").alias("tag")), "event", "tag")
         return new if old is None else old.unionByName(new).groupBy("tag", "related_tag").agg(F.sum("value").alias("value"))
 
-    sinks = [merge_batches(t, f) for t, f in ((log, append), (by_contact, add_labels), (pairs, add_pairs))]
+    sinks = [merge_batches(t, f) for t, f in ((by_contact, add_labels), (pairs, add_pairs))]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            log.write(batch, batch_id)
             for sink in sinks:
                 sink(batch, batch_id)
         finally:

@@ -262,8 +262,112 @@ def test_checkpoints(spark, tmp_path):
 
 def test_theta_smoothing(spark):
     assigned = spark.createDataFrame([(1, 0), (1, 0), (1, 0), (1, 1)], "doc_id long, z long")
-    theta = M.smoothed(M.topic_counts(assigned, "doc_id"), assigned.select("doc_id").distinct(), "doc_id", 2, 2.0, "theta")
-    assert [r.theta for r in theta.orderBy("k").collect()] == [5 / 8, 3 / 8]
+    theta = M.shares(M.topic_vectors(assigned, "doc_id", 2), 2, 2.0, "theta")
+    assert [(r.k, r.theta) for r in M.by_topic(theta, "doc_id", "theta").orderBy("k").collect()] == [(0, 5 / 8), (1, 3 / 8)]
+
+
+def test_many_topics_are_counted_alike(spark, monkeypatch):
+    """Beyond WIDE topics, counts, weights and products take another way to the same values."""
+    rows = [(d, p, (d * 7 + p * 3) % 11, (d + p * p) % 5) for d in range(6) for p in range(30)]
+    assigned = spark.createDataFrame(rows, "doc_id long, pos long, word_id long, z long")
+    words = assigned.select("word_id").distinct()
+
+    def all_of():
+        vectors = M.topic_vectors(assigned, "doc_id", 5, F.col("pos") > 3)
+        theta, phi = M.shares(vectors, 5, 0.1, "theta"), M.word_shares(M.topic_vectors(assigned, "word_id", 5), words, 5, 0.01)
+        given = M.conditional(assigned, 5, 0.1, 0.01, 11).select("doc_id", "word_id", "z", F.array_sort("at").alias("at"), F.transform("weights", lambda w: F.round(w, 12)).alias("w"))
+        return [sorted(map(tuple, x.collect())) for x in (vectors, given)] + [M.log2_likelihood(assigned, theta, phi, 5).first()[0]]
+
+    wide = all_of()
+    monkeypatch.setattr(M, "WIDE", 2)
+    narrow = all_of()
+    assert wide[:2] == narrow[:2] and abs(wide[2] - narrow[2]) < 1e-9
+    assert sum(len(at) for _, _, _, at, _ in wide[1]) == len(rows)
+
+
+def test_text_counts_are_token_counts(spark):
+    docs = spark.createDataFrame([(1, "b a a c"), (2, "a a zz ZZ a1 22"), (3, None), (4, "")], "doc_id long, text string")
+    by_token = lambda df: sorted((r.token, r.cnt, r.df) for r in df.collect())
+    assert by_token(C.text_counts(docs, least=1)) == by_token(C.token_counts(C.tokens(docs, least=1)))
+
+
+def test_resample_draws_exactly_as_many(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(7)], "doc_id long, text string")
+    got = C.resample(docs, 20, seed=3)
+    assert sorted(r.draw_id for r in got.collect()) == list(range(20)) and {r.doc_id for r in got.collect()} <= set(range(7))
+    assert sorted(map(tuple, C.resample(docs.repartition(3), 20, seed=3).collect())) == sorted(map(tuple, got.collect()))
+    assert C.resample(docs.limit(0), 5, seed=3).count() == 0
+
+
+def test_tail_text_without_a_closing_tag(spark):
+    pages = spark.createDataFrame([(1, "<p>tail R&D"), (2, None), (3, "<b>x &amp; y</b> z &lt")], "page_id long, html string")
+    assert {(r.page_id, r.tag): r.text for r in H.html_nodes(pages).collect()} == {(1, "p"): "tail R&D", (3, "b"): "x & y"}
+
+
+def test_chain_runs_once_for_all_handled_samples(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(S, "written", lambda df, name: tables.append(name) or df.persist())
+    seen = []
+    S.exact(corpus(spark, 3, 4), None, S.Chain("lda", topics=2, burn_in=1, lag=1, samples=3), lambda it, rows: seen.append((it, rows.count())))
+    assert seen == [(1, 12), (2, 12), (3, 12)] and tables == ["samples"]
+
+
+def test_schedules():
+    assert S.Chain("lda", burn_in=5, lag=2, samples=3).sample_iterations() == [5, 7, 9]
+    assert S.Chain("lda", report_every=4, max_iterations=13).sample_iterations() == [4, 8, 12]
+
+
+def test_annotators(spark):
+    docs = spark.createDataFrame([(1, "Kim met Lee in Seoul for Acme Corp")], "doc_id long, text string")
+    names = spark.createDataFrame([("Kim", "person"), ("Lee", "PERSON"), ("Seoul", "Location"), ("Acme", "organization"), ("Corp", "organization")], "token string, type string")
+    listed = E.annotate_listed(docs, names)
+    found = lambda a: sorted((r.value, r.type) for r in E.merge_runs(a).collect())
+    assert found(listed) == [("Acme Corp", 3), ("Kim", 1), ("Lee", 1), ("Seoul", 2)]
+    assert found(E.accepted(listed, "location")) == [("Seoul", 2)]
+    assert found(E.annotate(docs, label=lambda t: F.when(t == "Lee", 1))) == [("Lee", 1)]
+
+
+def test_longest_forms_by_definition(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [(d, " ".join(rng.choices(["an", "ann", "anna", "b", "bo", "an"], k=rng.randrange(1, 4))), rng.randrange(2)) for d in range(4) for _ in range(25)]
+    got = {(r.doc_id, r.value, r.type): r.longest for r in E.longest_forms(spark.createDataFrame(values, "doc_id long, value string, type int")).collect()}
+    encloses = lambda long, short: all(long.startswith(t + " ") or long.find(" " + t) > 0 for t in short.split(" "))
+    want = {}
+    for d, v, k in set(values):
+        other = [o for e, o, t in set(values) if (e, t) == (d, k) and (o == v or encloses(o, v))]
+        want[d, v, k] = max(other, key=lambda o: (len(o), o))
+    assert got == want
+
+
+def test_nearest_calls_by_definition(spark):
+    import random
+
+    rng = random.Random(4)
+    calls = [(i, rng.choice("ab"), rng.randrange(0, 400)) for i in range(150)] + [(1000, "c", 5), (1001, "a", -7), (1002, "a", 10_000)]
+    got = {r.id: (r.other, r.apart) for r in O.interval_pairs(spark.createDataFrame(calls, "id long, kind string, at long"), ["kind"], tolerance=6).collect()}
+    want = {}
+    for i, k, t in calls:
+        near = [(abs(t - u), j) for j, m, u in calls if j != i and m == k and abs(t - u) <= 6]
+        if near:
+            want[i] = (min(near)[1], min(near)[0])
+    assert got == want
+
+
+def test_sweeps_of_parts(spark, monkeypatch):
+    """Documents of all lengths, in several parts; a sweep doesn't depend on how they are cut."""
+    monkeypatch.setattr(S, "PART_TOKENS", 40)
+    toks = spark.createDataFrame([(d, p, p * 7 % 5 + 5 * (d % 2), (d * p) % 2) for d in range(12) for p in range(1 + 5 * (d % 4))], "doc_id long, pos long, word_id long, z long")
+    run = lambda: sorted(map(tuple, S.distributed_lda(toks, 2, 0.1, 0.01, 10, 8, 1).collect()))
+    got = run()
+    assert [r[:3] for r in got] == sorted(tuple(r)[:3] for r in toks.collect())
+    monkeypatch.setattr(S, "PART_TOKENS", 10_000)
+    assert run() == got
+    table = np.zeros((2, 2))
+    for d, _, _, z in got:
+        table[d % 2, z] += 1
+    assert table.max(1).sum() / table.sum() > 0.9
 
 
 def stream(spark, tmp_path, rows, schema):
@@ -300,9 +404,25 @@ def test_stream_shares_and_labels(spark, tmp_path):
     ST.merge_shares(shares, target, str(tmp_path / "c1")).awaitTermination()
     assert sorted((r.id, r.name, r.city) for r in target.read().collect()) == [(1, "A", "y"), (2, "B", None)]
     labels = stream(spark, tmp_path / "l", [("t", 1, ["a", "b"], 1), ("t", 1, ["b", "a"], 2), ("t", 2, ["c"], 3)], "tagger string, id long, labels array<string>, ts long")
-    tables = [W.VersionedTable(spark, str(tmp_path / n)) for n in ("log", "labels", "pairs")]
+    tables = [W.BatchLog(spark, str(tmp_path / "log")), *(W.VersionedTable(spark, str(tmp_path / n)) for n in ("labels", "pairs"))]
     ST.label_events(labels, *tables, str(tmp_path / "c2")).awaitTermination()
     assert [t.read().count() for t in tables] == [3, 3, 1] and tables[2].read().first().value == 2
+    again = spark.createDataFrame([("t", 1, ["a"], 1), ("t", 2, ["c"], 3)], "tagger string, id long, labels array<string>, ts long")
+    tables[0].write(again, 0)  # a batch that comes again replaces itself
+    assert tables[0].read().count() == 2
+
+
+def test_waiting_logs_go_with_time(spark, tmp_path):
+    """A log whose counterpart comes after the watermark has passed it finds nobody, and no state is left of pairs that fell silent."""
+    path, schema = tmp_path / "in", "pair string, device string, other string, seconds long, at long"
+    for i, rows in enumerate([[("1-2", "1", "2", 60, 0), ("5-6", "5", "6", 9, 100)], [("3-4", "3", "4", 60, 200_000)], [("3-4", "4", "3", 60, 200_500), ("1-2", "2", "1", 60, 200_600)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path / f"b{i}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+    q = ST.call_edges(source, keep_ms=10_000).writeStream.format("memory").queryName("late").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("late").collect())) == [("3", "4", 1, 60 / 60), ("4", "3", 1, 60 / 60)]
+    left = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    assert max(left) >= 2 and left[-1] <= 1
 
 
 def test_queries_have_names_and_sql():
