@@ -5,8 +5,8 @@ ASCII white space, and between a Latin letter and a comma or full stop. So a tex
 tokens are those of its pieces in order, and pieces repeat a great deal. Texts
 with a special token's string, or with white space outside ASCII, are encoded whole.
 
-A worker keeps its tokenizer, and what it remembers of pieces for the length of a task. Only pieces that it has met
-before are remembered, so numbers and names that occur once don't fill its memory.
+A worker keeps its tokenizer and what it remembers of pieces between tasks, in two generations of bounded size: a full one
+becomes the older one, whose pieces come back as they are met, and the rest goes with the next change.
 """
 
 from __future__ import annotations
@@ -27,9 +27,7 @@ _ODD_STOP = re.compile("[^a-z0-9ß-öø-ÿ \n\t\r][,.]")
 _SIMPLE = {True: re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"), False: re.compile("[a-zß-öø-ÿ]+")}
 
 #: Pieces in each of the two generations that one Python worker remembers, and the longest of them in characters. Beyond, pieces are encoded anew.
-REMEMBERED, LONGEST = 100_000, 64
-#: Bits of the filter of pieces that were met.
-MET = 1 << 20
+REMEMBERED, LONGEST = 300_000, 64
 
 
 class Encoder:
@@ -47,13 +45,8 @@ class Encoder:
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.white_space, self.simple = white_space, _SIMPLE[white_space].fullmatch
-        self.forget()
-
-    def forget(self) -> None:
-        """Give up what is remembered of pieces."""
         self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}
-        self.met = bytearray(MET)
 
     def _split(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
@@ -69,58 +62,48 @@ class Encoder:
             return None if _ODD_SPACE.search(text) else [x.lstrip(" \t\n\r\x0b\x0c") for x in _PIECES.findall(text)]
         return text.replace(",", " ,").replace(".", " .").split()
 
-    def _learn(self, pieces: list[list[str] | None], value) -> dict[str, object]:
-        """Values of these pieces; value(ids, bounds) makes them."""
+    def _learn(self, pieces: list[list[str] | None], value) -> list[str]:
+        """Have the values of these pieces in `known`; value(ids, bounds) makes them. Returns those too long to be remembered, which the caller takes out again."""
         seen = set().union(*(p for p in pieces if p))
         if len(self.known) > REMEMBERED:
-            self.older, self.known, self.met = self.known, {}, bytearray(MET)
-        known, older, met = self.known, self.older, self.met
-        now: dict[str, object] = {}
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         todo: tuple[list[str], list[str]] = ([], [])
         for x in seen:
-            v = known.get(x)
-            if v is None:
-                v = older.get(x)
-                if v is None:
+            if x not in known:
+                if x in older:
+                    known[x] = older[x]
+                else:
                     todo[self.simple(x) is not None].append(x)
-                    continue
-                known[x] = v
-            now[x] = v
         for tokenizer, missing in zip((self.tokenizer, self.merges), todo, strict=True):
             for i in range(0, len(missing), 50_000):
                 part = missing[i : i + 50_000]
                 got = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
                 bounds = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))
-                values = value(np.array(got.ids, np.uint32), bounds)
-                for x, v in zip(part, values, strict=True):
-                    now[x] = v
-                    bit = hash(x) % MET
-                    if met[bit] and len(x) <= LONGEST:
-                        known[x] = v
-                    met[bit] = 1
-        return now
+                known.update(zip(part, value(np.array(got.ids, np.uint32), bounds), strict=True))
+        return [x for missing in todo for x in missing if len(x) > LONGEST]
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def _each(self, texts: list[str], value, one, joined) -> list:
+        """joined(values of a text's pieces) of each text, or one(text) where it has none."""
         pieces = [self._split(t) for t in texts]
-        known = self._learn(pieces, lambda ids, bounds: np.diff(bounds).tolist())
-        return [
-            len(self.tokenizer.encode(t, add_special_tokens=False).ids) if p is None else sum(map(known.__getitem__, p))
-            for t, p in zip(texts, pieces, strict=True)
-        ]
+        long = self._learn(pieces, value)
+        of = self.known.__getitem__
+        out = [one(t) if p is None else joined(map(of, p)) for t, p in zip(texts, pieces, strict=True)]
+        for x in long:
+            del self.known[x]
+        return out
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return self._each(texts, lambda ids, bounds: np.diff(bounds).tolist(), lambda t: len(self.tokenizer.encode(t, add_special_tokens=False).ids), sum)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        pieces = [self._split(t) for t in texts]
 
         def cut(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
             raw, at = ids.astype("<u4").tobytes(), (bounds * 4).tolist()
             return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-        known = self._learn(pieces, cut)
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(known.__getitem__, p))
-            for t, p in zip(texts, pieces, strict=True)
-        ]
+        return self._each(texts, cut, lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), b"".join)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -67,7 +67,6 @@ def _encode(path: str):
                 seen.clear()
             counts = [n for part in slices(batch.column(1).to_pylist()) for n in tok.counts(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
-        tok.forget()
 
     return released(run)
 

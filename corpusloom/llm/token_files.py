@@ -57,7 +57,6 @@ def _encode(path: str, end_id: int, white_space: bool):
                 )
                 start += int(bounds[-1])
                 done += size
-        tok.forget()
 
     return released(run)
 
