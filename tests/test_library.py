@@ -430,3 +430,26 @@ def test_queries_have_names_and_sql():
 
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 60
+
+
+@pytest.mark.parametrize("missing", ["corpusloom.llm", "corpusloom.llm.queries", "public_tokenizers"])
+def test_other_queries_stay_without_the_llm_subpackage(monkeypatch, missing):
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m.startswith(("corpusloom.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    names = set(entry.queries())
+    assert len(names) > 60 and not any(n.startswith("op1_") for n in names) and set(entry.oracle_sql()) <= names
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpusloom.sources.shared import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
