@@ -313,6 +313,11 @@ def choose_boundary(histogram: dict[int, int], per_entry: float, percent: int =
     return best
 
 
+def _narrow(table: DataFrame, name: str) -> DataFrame:
+    """A table of a few numbers a row, written to files of ordinary size, not one for each task that had a few of its rows."""
+    return written(table.hint("rebalance"), name)
+
+
 def _small(table: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, sent to all tasks if it has at most SENT rows."""
     return F.broadcast(table) if table.count() <= SENT else table
@@ -347,7 +352,7 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None, salt: i
     met_by, n = Observation(), F.col("count")
     counts = described.select(F.explode("prefix").alias("h")).groupBy("h").count()
     counts = counts.observe(met_by, F.sum(F.when(n <= SMALL, n * n)).alias("squares"), F.sum(F.when(n <= SMALL, n)).alias("entries"))
-    frequent = at_least(written(counts.filter(n > SMALL), "jaccard-common"), "count", COMMON).select("h").toArrow()
+    frequent = at_least(_narrow(counts.filter(n > SMALL), "jaccard-common"), "count", COMMON).select("h").toArrow()
     common = np.sort(frequent.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if frequent.num_rows else np.zeros(0, np.uint64)
     if boundary is None:
         sizes = {r.n: r["count"] for r in members.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
@@ -356,14 +361,14 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None, salt: i
 
     entries = texts.select("text").mapInArrow(released(_entries(sent, boundary, k, percent, salt)), "h long, class long, n long")
     met = entries.repartition("h").sortWithinPartitions("h", "class").mapInArrow(released(_meet(percent)), "first long, a long, na long, b long, nb long")
-    met = written(met, "jaccard-met")
+    met = _narrow(met, "jaccard-met")
     clusters = written(met.filter("first is not null").select("first", F.col("a").alias("class")).distinct(), "jaccard-clusters")
     pairs = written(met.filter("first is null").select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
 
     of_pairs = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "jaccard-paired")
     bits = written(described.select("class", "bits").join(_small(of_pairs), "class", "left_semi").dropDuplicates(["class"]), "jaccard-bits")
     near = pairs.join(bits.select(F.col("class").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("class").alias("b"), F.col("bits").alias("y")), "b")
-    pairs = written(near.select("a", "b", "na", "nb", "x", "y").mapInArrow(released(_near(percent)), "a long, b long"), "jaccard-near")
+    pairs = _narrow(near.select("a", "b", "na", "nb", "x", "y").mapInArrow(released(_near(percent)), "a long, b long"), "jaccard-near")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(clusters.select("class")).distinct()
     reps = written(wanted.join(named, "class").filter("rep is not null"), "jaccard-reps")
@@ -375,7 +380,7 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None, salt: i
     seconds = written(pairs.select("b").distinct(), "jaccard-seconds")
     right = right.join(_small(seconds), "b", "left_semi")
     links = left.join(_small(pairs), "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(released(_verify(percent)), "a long, b long")
-    links = written(links, "jaccard-links")
+    links = _narrow(links, "jaccard-links")
 
     def grouped(edges: DataFrame) -> DataFrame:
         by_rep = edges.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("u")), "a").join(reps.select(F.col("class").alias("b"), F.col("rep").alias("v")), "b")
@@ -394,7 +399,7 @@ def _groups(docs: DataFrame, k: int, percent: int, boundary: int | None, salt: i
         out = blocks.filter("outside").select("first", "class", "root", F.lit(True).alias("outside"), of("n_out").alias("i"), each("size").alias("j"))
         both = sets.join(_small(written(here.unionByName(out), "jaccard-blocks")), "class").select("first", "i", "j", "class", "root", "outside", "set")
         more = both.groupBy("first", "i", "j").applyInPandas(_compare(percent), "a long, b long")
-        roots = grouped(links.unionByName(written(more, "jaccard-more")))
+        roots = grouped(links.unionByName(_narrow(more, "jaccard-more")))
 
     all_roots = named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("root", "rep").alias("component_id"))
     result = members.join(all_roots, "class", "left")
