@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from ..sources.shared import fresh_path, shared_dir, written
+from ..sources.shared import fresh_path, removed, shared_dir, written
 
-__all__ = ["fresh_path", "shared_dir", "written"]
+__all__ = ["fresh_path", "removed", "shared_dir", "written"]
