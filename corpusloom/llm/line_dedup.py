@@ -4,7 +4,8 @@ A line's key is the line without white space at its ends and with A-Z in lower c
 
 * exact reference counts: an append-only table of (digest, doc_id, delta), a row for each key of a document, +1 where a document came and
   -1 where it went; a key's documents are those whose deltas sum to more than none;
-* a cuckoo filter for each shard with the keys that are repeated at the moment, that is found in `least` documents or more. Fingerprints can be
+* of the keys that are repeated at the moment, that is found in `least` documents or more, their exact counts and largest documents;
+* a cuckoo filter for each shard with those keys. Fingerprints can be
   taken out again, and only those are taken out that the exact counts say are inside, so an index after insertions and deletions is the one that
   the documents still there would have made.
 
@@ -186,23 +187,27 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str, shortest: int = 20, least: int = 3):
         self.spark, self.path, self.shortest, self.least = spark, path, shortest, least
-        self.commits: list[tuple[int, str, str, int]] = []
+        self.commits: list[tuple[int, str, str, str, int]] = []  # batch, refs, repeated, filters, shards
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
         if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            self.commits = sorted((r.batch, r.refs, r.filters, r.shards) for r in spark.read.parquet(f"{path}/commits").collect())
+            self.commits = sorted((r.batch, r.refs, r.repeated, r.filters, r.shards) for r in spark.read.parquet(f"{path}/commits").collect())
 
-    REFS, FILTERS = "digest binary, doc_id long, delta long", "shard int, filter binary, n long"
+    REFS, REPEATED, FILTERS = "digest binary, doc_id long, delta long", "digest binary, documents long, last long", "shard int, filter binary, n long"
 
     @property
     def shards(self) -> int:
-        return self.commits[-1][3] if self.commits else 0
+        return self.commits[-1][4] if self.commits else 0
 
     def refs(self) -> DataFrame:
         """(digest, doc_id, delta) of all batches."""
         return self.spark.read.schema(self.REFS).parquet(*[c[1] for c in self.commits]) if self.commits else self.spark.createDataFrame([], self.REFS)
 
+    def repeated(self) -> DataFrame:
+        """(digest, documents, last) of the keys that are repeated at the moment."""
+        return self.spark.read.schema(self.REPEATED).parquet(self.commits[-1][2]) if self.commits else self.spark.createDataFrame([], self.REPEATED)
+
     def filters(self) -> DataFrame:
-        return self.spark.read.schema(self.FILTERS).parquet(self.commits[-1][2]) if self.commits else self.spark.createDataFrame([], self.FILTERS)
+        return self.spark.read.schema(self.FILTERS).parquet(self.commits[-1][3]) if self.commits else self.spark.createDataFrame([], self.FILTERS)
 
     @staticmethod
     def _living(refs: DataFrame) -> DataFrame:
@@ -236,41 +241,43 @@ class LineIndex:
 
     def _commit(self, change: DataFrame) -> None:
         batch = self.commits[-1][0] + 1 if self.commits else 1
-        refs_at, filters_at = (f"{self.path}/{kind}/{uuid.uuid4().hex}" for kind in ("refs", "filters"))
+        refs_at, repeated_at, filters_at = (f"{self.path}/{kind}/{uuid.uuid4().hex}" for kind in ("refs", "repeated", "filters"))
         change.select("digest", "doc_id", "delta").write.parquet(refs_at)
         new = self.spark.read.schema(self.REFS).parquet(refs_at)
+        before = self.repeated()
         if not self.commits:  # a row each is a document each
-            crossed = new.groupBy("digest").agg(F.count("*").alias("documents")).filter(F.col("documents") >= self.least).select("digest", F.lit(True).alias("now"))
-        else:  # keys that this batch touches, before and after it
-            touched = new.select("digest").distinct()
-            old = self.refs().join(touched, "digest", "left_semi")
-            before = self.counts(old).select("digest", (F.col("documents") >= self.least).alias("was"))
-            after = self.counts(old.unionByName(new)).select("digest", (F.col("documents") >= self.least).alias("now"))
-            both = touched.join(before, "digest", "left").join(after, "digest", "left").select("digest", F.coalesce("was", F.lit(False)).alias("was"), F.coalesce("now", F.lit(False)).alias("now"))
-            crossed = both.filter("was <> now").select("digest", "now")
-        crossed = written(crossed, "line-crossed")
-        inside = (self.filters().agg(F.sum("n")).first()[0] or 0) + crossed.filter("now").count()
+            repeated = new.groupBy("digest").agg(F.count("*").alias("documents"), F.max("doc_id").alias("last")).filter(F.col("documents") >= self.least)
+        else:  # the counts of the keys that this batch touches are made anew; hot keys are split by the adaptive skew join, as what follows deals by document too
+            touched = written(new.select("digest").distinct(), "line-touched")
+            every = self.refs().join(touched, "digest", "left_semi").unionByName(new).repartition("digest", "doc_id")
+            after = self.counts(every).filter(F.col("documents") >= self.least)
+            repeated = before.join(touched, "digest", "left_anti").unionByName(after)
+        repeated.select("digest", "documents", "last").write.parquet(repeated_at)
+        repeated = self.spark.read.schema(self.REPEATED).parquet(repeated_at)
+        inside = repeated.count()
         shards = max(1, self.shards)
         while shards * SHARD_KEYS * 2 < inside:
             shards *= 2
-        commit = (batch, refs_at, filters_at, shards)
-        old = self.filters() if shards == self.shards else self.spark.createDataFrame([], self.FILTERS)
-        if self.commits and shards != self.shards:  # shards have grown beyond their size: all keys are dealt anew
-            self.commits.append(commit)
-            crossed = self.counts().filter(F.col("documents") >= self.least).select("digest", F.lit(True).alias("now"))
-            self.commits.pop()
-        made = written(old.groupBy("shard").cogroup(self._sharded(crossed, shards).groupBy("shard")).applyInArrow(_changed, self.FILTERS), "line-filters-made")
-        full = [r.shard for r in made.filter("filter is null").select("shard").collect()]
-        if full:
-            self.commits.append(commit)
-            again = self._sharded(self.counts().filter(F.col("documents") >= self.least).select("digest", F.lit(True).alias("now")), shards).filter(F.col("shard").isin(full))
-            self.commits.pop()
-            none = self.spark.createDataFrame([], self.FILTERS)
-            made = made.filter("filter is not null").unionByName(none.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(_changed, self.FILTERS))
+        all_of = self._sharded(repeated.select("digest", F.lit(True).alias("now")), shards)
+        none = self.spark.createDataFrame([], self.FILTERS)
+        if shards != self.shards:  # the first batch, or more keys than the shards are for: all are dealt anew
+            made = self._filters(none, all_of)
+        else:
+            come = repeated.join(before, "digest", "left_anti").select("digest", F.lit(True).alias("now"))
+            gone = before.join(repeated, "digest", "left_anti").select("digest", F.lit(False).alias("now"))
+            made = written(self._filters(self.filters(), self._sharded(come.unionByName(gone), shards)), "line-filters")
+            full = [r.shard for r in made.filter("filter is null").select("shard").collect()]
+            if full:
+                made = made.filter("filter is not null").unionByName(self._filters(none, all_of.filter(F.col("shard").isin(full))))
         made.write.parquet(filters_at)
-        self.spark.createDataFrame([commit], "batch long, refs string, filters string, shards int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        commit = (batch, refs_at, repeated_at, filters_at, shards)
+        self.spark.createDataFrame([commit], "batch long, refs string, repeated string, filters string, shards int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         self.commits.append(commit)
 
+    def _filters(self, old: DataFrame, changes: DataFrame) -> DataFrame:
+        """Shards' filters after changes (shard, digest, now): a shard's changes are at most its keys."""
+        return old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_changed, self.FILTERS)
+
     def hits(self, keys: DataFrame) -> DataFrame:
         """The rows (digest, doc_id) whose keys the filters have: all repeated keys, and a false one now and then."""
         if not self.commits:
@@ -290,9 +297,7 @@ class LineIndex:
     def dropped(self, keys: DataFrame) -> DataFrame:
         """(doc_id, digests) of documents that lose lines: keys that are repeated, by their exact counts, in all but their largest document."""
         hits = written(self.hits(keys), "line-hits").distinct()
-        wanted = hits.select("digest").distinct()
-        repeated = self.counts(self.refs().join(wanted, "digest", "left_semi")).filter(F.col("documents") >= self.least).select("digest", "last")
-        lost = hits.join(repeated, "digest").filter(F.col("doc_id") != F.col("last"))
+        lost = hits.join(self.repeated(), "digest").filter(F.col("doc_id") != F.col("last"))
         return lost.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
 
     def kept(self, docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
