@@ -5,8 +5,8 @@ each present or not, hashed into BUCKETS. The machine adds a bias, a weight for
 inner product of the latent vectors of each pair of terms, so a pair (an insult with a
 group's name) can count for more than its parts do.
 
-A term takes part if it tells the classes apart by itself, or in a pair: pairs of the PAIRED most frequent terms are tested for
-what they tell beyond their parts, so the parts of an exclusive-or take part though neither tells anything alone.
+A term takes part if it tells the classes apart by itself, or in a pair: all pairs of terms that meet, frequent or not, are tested for
+what they tell beyond their parts (`term_pairs`), so the parts of an exclusive-or take part though neither tells anything alone.
 
 Fitting takes at most SAMPLE labelled rows (those with the smallest hashes of doc_id) and at most MOST_TERMS terms of them
 together; both bounds are parameters. Scoring reads every text once, without a shuffle.
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from .memory import release_memory
 from .sampling import hash_sample
 from .shared import written
+from .term_pairs import telling_pairs
 from .words import PUNCTUATION, words_of
 
 BUCKETS = 1 << 18
-SAMPLE, MOST_TERMS, PAIRED, FACTORS = 20_000, 12_000_000, 2048, 8
+SAMPLE, MOST_TERMS, FACTORS = 20_000, 12_000_000, 8
 #: Least likelihood-ratio statistic of a term by itself (about one in a thousand by chance), and of a pair beyond its parts: there are
 #: millions of pairs, and rows of one group of copies share theirs.
 SIGNIFICANT, PAIR_SIGNIFICANT = 11.0, 100.0
@@ -89,38 +90,6 @@ def _g_squared(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarr
     return 2 * (h(a) + h(b) - h(a + b) + h(n_a - a) + h(n_b - b) - h(n_a + n_b - a - b) - h(np.float64(n_a)) - h(np.float64(n_b)) + h(np.float64(n_a + n_b)))
 
 
-def _telling_pairs(y: np.ndarray, terms: list[np.ndarray], df: np.ndarray) -> np.ndarray:
-    """Buckets among the PAIRED most frequent that tell the classes apart together with another, beyond what both tell alone."""
-    often = np.argsort(-df, kind="stable")[:PAIRED]
-    often = np.sort(often[df[often] >= 3])
-    place = np.full(BUCKETS, -1, np.int64)
-    place[often] = np.arange(len(often))
-    both, rows = [], []
-    for c in (0, 1):
-        of_class, together = [t for t, k in zip(terms, y, strict=True) if k == c], np.zeros((len(often), len(often)), np.float32)
-        for i in range(0, len(of_class), 512):
-            there = np.zeros((min(512, len(of_class) - i), len(often)), np.float32)
-            for r, t in zip(there, of_class[i : i + 512], strict=True):
-                t = place[t]
-                r[t[t >= 0]] = 1
-            together += there.T @ there
-        both.append(together)
-        rows.append(float(len(of_class)))
-    one = [np.diag(m).astype(np.float64) for m in both]
-    alone, h = _g_squared(one[1], one[0], rows[1], rows[0]), _x_log_x
-    best = np.zeros(len(often))
-    for i in range(0, len(often), 128):  # the four cells of a block of pairs by class, against the classes' totals
-        cells = []
-        for m, d, n in zip(both, one, rows, strict=True):
-            part, first = m[i : i + 128].astype(np.float64), d[i : i + 128, None]
-            cells.append((part, first - part, d - part, n - first - d + part))
-        told = 2 * (sum(h(a) + h(b) - h(a + b) for a, b in zip(*cells, strict=True)) - h(np.float64(rows[0])) - h(np.float64(rows[1])) + h(np.float64(sum(rows))))
-        told -= alone[i : i + 128, None] + alone
-        told[np.arange(len(told)), np.arange(i, i + len(told))] = 0
-        best[i : i + 128] = told.max(1)
-    return often[best >= PAIR_SIGNIFICANT]
-
-
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the values between bounds."""
     sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, 0)])
@@ -154,7 +123,7 @@ def fit_machine(y: np.ndarray, terms: list[np.ndarray], factors: int = FACTORS,
             df[c] += np.bincount(np.concatenate(of_class[i : i + 512]), minlength=BUCKETS)
     tell = _g_squared(df[1], df[0], y.sum(), n - y.sum())
     tell[df[0] + df[1] < 3] = 0
-    chosen = np.union1d(np.flatnonzero(tell >= SIGNIFICANT), _telling_pairs(y, terms, df[0] + df[1]))
+    chosen = np.union1d(np.flatnonzero(tell >= SIGNIFICANT), telling_pairs(y, terms, BUCKETS, PAIR_SIGNIFICANT))
     pick[chosen] = np.arange(len(chosen))
     rare = float(np.sqrt((1 - rate) / rate))  # errors on the rarer class count for more
     rng = np.random.default_rng(seed)
@@ -226,7 +195,7 @@ def toxicity_column(machine: Machine, text: Column) -> Column:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    Null and empty texts get the bias's score; repeated rows stay; null ids are in no fold and are scored; without labels every
+    Of several texts of one labelled id the first in code-point order is learned from; all are scored. Null and empty texts get the bias's score; repeated rows stay; null ids are in no fold and are scored; without labels every
     text gets one low score; an empty table gives an empty table; other columns are ignored.
     """
     machine = learn_toxicity(docs, labels)
