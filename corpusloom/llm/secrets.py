@@ -239,7 +239,7 @@ def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn_formats(texts: DataFrame) -> Formats:
     """Formats of the credentials in one text column.
 
-    Of each kind's distinct values those with the lowest hashes are picked, in whole. A bound on the hash that the kinds' sizes give leaves about
+    Of each kind's distinct values those with the lowest hashes are picked, in whole; one that is longer than what is left of CHARACTERS is passed over, and the next are picked. A bound on the hash that the kinds' sizes give leaves about
     twice as many as wanted, so no task orders more than that.
     """
     counts = texts.mapInArrow(_count_values, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
@@ -248,16 +248,15 @@ def learn_formats(texts: DataFrame) -> Formats:
     sizes = counts.filter("kind <> ''").groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind").collect()  # of three kinds
     for kind, n in sizes:
         of_kind = counts.filter((F.col("kind") == kind) & (F.col("h") < (1 << 31) * min(1.0, 2 * SAMPLE / n) + 1))
-        left, taken = CHARACTERS, of_kind.select("h", F.length("value").alias("n"), F.xxhash64("value", F.lit(1)).alias("g")).orderBy("h", "g").limit(SAMPLE).collect()
-        bound = None
-        for r in taken:
-            left -= r.n
-            if left < 0:
-                break
-            bound = (r.h, r.g)
-        if bound is not None:
-            within = F.struct("h", F.xxhash64("value", F.lit(1))) <= F.struct(F.lit(bound[0]).cast("long"), F.lit(bound[1]).cast("long"))
-            labelled[kind] = sorted((r.value, r.n) for r in of_kind.filter(within).select("value", "n").collect())
+        of_kind = of_kind.withColumn("g", F.xxhash64("value", F.lit(1)))
+        left, chosen = CHARACTERS, []
+        for r in of_kind.select("h", "g", F.length("value").alias("n")).orderBy("h", "g").limit(SAMPLE).collect():
+            if r.n <= left:  # a value that doesn't fit is left out alone
+                left -= r.n
+                chosen.append((r.h, r.g))
+        if chosen:
+            few = counts.sparkSession.createDataFrame(chosen, "h long, g long")  # at most SAMPLE
+            labelled[kind] = sorted((r.value, r.n) for r in of_kind.join(F.broadcast(few), ["h", "g"]).select("value", "n").collect())
     return Formats(labelled, {r.value: r.n for r in counts.filter("kind = ''").select("value", "n").collect()})  # as many as characters and pairs of classes
 
 
