@@ -37,7 +37,7 @@ THRESHOLD, RECALL = 0.98, 0.95
 SHARD, LARGE, BLOCK = 800, 1600, 1200
 #: Centroids of one division, nodes that they are fitted on, the most divisions of divisions, and nodes that one task deals to clusters.
 FAN, FIT, DEPTH, DEALT = 64, 2000, 9, 50_000
-#: Audited nodes, and nodes with links among them below which eight times as many are audited.
+#: Audited nodes, and nodes with links among them below which nodes that a search found links for are audited beside them.
 AUDITED, LINKED = 512, 16
 #: Graph: candidates by nearness and at random, edges kept, and the pruning factor.
 NEAR, RANDOM, EDGES, ALPHA = 48, 16, 24, 1.2
@@ -380,9 +380,9 @@ def _by_group(rows) -> dict:
     return groups
 
 
-def _truth(nodes: DataFrame, most: int, threshold: float) -> dict[int, int]:
-    """How many vectors truly link with each of `most` nodes, those with the lowest hashes."""
-    audited = hash_sample(nodes, "node", most, nodes.count(), salt=1).collect()
+def _truth(nodes: DataFrame, among: DataFrame, most: int, threshold: float) -> dict[int, int]:
+    """How many vectors truly link with each of `most` of some nodes, those with the lowest hashes."""
+    audited = hash_sample(among, "node", most, among.count(), salt=1).collect()
     groups = {key: (np.array([p.node for p in part]), _unit([p.vec for p in part])[1]) for key, part in _by_group(audited).items()}
     sent = nodes.sparkSession.sparkContext.broadcast(groups)  # of `most` vectors
     found = nodes.select("node", "mult", "label", "dim", "vec").mapInArrow(released(_audit(sent, threshold)), "node long, true long")
@@ -395,32 +395,33 @@ def vector_groups(vectors: DataFrame, threshold: float = THRESHOLD, margin_degre
     Rows whose vector or label is null, or whose vector is empty, zero or holds null or non-finite components, link with nothing
     and are their own component. Vectors of different lengths don't link. Repeated rows are vectors of their own
     and link with each other, also where one id has several vectors or labels; a null id takes part as the smallest id of its copies does. An empty
-    table gives an empty table; other columns are ignored. audit_recall: of the audited nodes that truly have links, the mean share of their links that was found; null
-    where none of them has any. A recall below the target after all tries is an error.
+    table gives an empty table; other columns are ignored. audit_recall: of the audited nodes that truly have links (nodes by chance; where few of those have links, nodes that a search found links for too, and the search is widened
+    once at least), the mean share of their links that was found; null where none has any, which the widest search then says. A recall below the target after all tries is an error.
     """
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     rows = written(clean.mapInArrow(released(_clean), "vec_id long, label long, vec binary, dim int").withColumn("key", F.sha2("vec", 256)), "vectors")
     classes = rows.filter("vec is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec"))
     classes = written(classes.filter("rep is not null"), "vector-classes")
     size, ids = classes.agg(F.count("*"), F.countDistinct("rep")).first()
+    nodes_in_all = size
     # where one id has several classes, nodes get numbers of their own in the order of ids
     nodes = classes.withColumn("node", F.col("rep")) if size == ids else written(with_dense_id(classes, "node", "rep", "label", "key"), "vector-nodes")
 
-    truth = _truth(nodes, AUDITED, threshold)
-    if sum(t > 0 for t in truth.values()) < LINKED:
-        truth = _truth(nodes, 8 * AUDITED, threshold)
-    linked = {node: t for node, t in truth.items() if t}
+    truth = _truth(nodes, nodes, AUDITED, threshold)
     recall = None
-    for _ in range(tries):
+    for turn in range(tries):
         found = _search_all(nodes, threshold, margin_degrees, beam)
         links = found.groupBy("node").agg(F.sum("n").alias("n"))
-        if not linked:
-            break
-        seen = nodes.sparkSession.createDataFrame([(node,) for node in linked], "node long")  # at most 8 * AUDITED
-        got = {r.node: r.n for r in links.join(F.broadcast(seen), "node").collect()}
-        recall = sum(min(got.get(node, 0), t) / t for node, t in linked.items()) / len(linked)
-        if recall >= target:
-            break
+        if sum(t > 0 for t in truth.values()) < LINKED:  # links are rare: those of nodes that have some are audited too
+            some = written(nodes.join(links.filter("n > 0").select("node"), "node", "left_semi").select(nodes.columns), "vector-audited")
+            truth |= _truth(nodes, some, AUDITED, threshold)
+        linked = {node: t for node, t in truth.items() if t}
+        if linked:
+            seen = nodes.sparkSession.createDataFrame([(node,) for node in linked], "node long")  # at most (1 + tries) * AUDITED
+            got = {r.node: r.n for r in links.join(F.broadcast(seen), "node").collect()}
+            recall = sum(min(got.get(node, 0), t) / t for node, t in linked.items()) / len(linked)
+        if recall is not None and recall >= target and (turn or len(linked) >= LINKED or len(truth) >= nodes_in_all):
+            break  # an audit of few nodes is heard once a wider search has been made too
         margin_degrees, beam = margin_degrees * 2, beam * 2
     if recall is not None and recall < target:
         raise RuntimeError(f"recall {recall:.3f} of the audited nodes is below {target}")
