@@ -44,8 +44,17 @@ def _hash(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts)))
 
 
-def _block(seed: int, blocks: int, doc_id: Column) -> Column:
-    return F.conv(F.substring(_hash(seed, F.coalesce(doc_id, F.lit(-1))), 1, 8), 16, 10).cast("long") % F.lit(blocks)
+def _text_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    """What names a row in hashes: its id, or without one its text, so rows without ids spread over all blocks."""
+    return F.coalesce(doc_id.cast("long").cast("string"), _text_hash(text))
+
+
+def _block(seed: int, blocks: int, key: Column) -> Column:
+    return F.conv(F.substring(_hash(seed, key), 1, 8), 16, 10).cast("long") % F.lit(blocks)
 
 
 def plan_mix(docs: DataFrame, entropy: float | None = 0.98, repetition: float | None = 4.0, budget: float | None = 1.0, seed: int = 17) -> Mix:
@@ -56,7 +65,7 @@ def plan_mix(docs: DataFrame, entropy: float | None = 0.98, repetition: float |
     no exponent meets the repetition limit, the exponent is 1 and quotas are cut at the limit.
     Sources without a token weigh nothing; they are drawn once where the budget is None, else not.
     """
-    tokens = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"))
+    tokens = docs.select(F.coalesce("source", F.lit("")).alias("source"), _key(F.col("doc_id"), F.col("text")).alias("key"), word_count(F.col("text")).alias("n"))
     per_source = tokens.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     every = written(per_source, "mix-sources")
     sources = every.filter("tokens > 0")
@@ -109,7 +118,7 @@ def plan_mix(docs: DataFrame, entropy: float | None = 0.98, repetition: float |
         planned = planned.unionByName(every.filter("tokens = 0").select("source", *once))
 
     blocks = max(1, int((s.docs or 1) ** 0.5 + 0.999999))
-    sums = tokens.groupBy("source", _block(seed, blocks, F.col("doc_id")).alias("block")).agg(F.sum("n").alias("tokens"))
+    sums = tokens.groupBy("source", _block(seed, blocks, F.col("key")).alias("block")).agg(F.sum("n").alias("tokens"))
     passes = sums.join(planned, "source").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0))))
     order = W.partitionBy("source", "pass").orderBy(_hash(seed, F.col("pass"), F.col("source"), F.col("block")), "block")
     ranked = passes.withColumn("block_rank", F.row_number().over(order)).withColumn("before", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens"))
@@ -122,18 +131,19 @@ def plan_mix(docs: DataFrame, entropy: float | None = 0.98, repetition: float |
 def draw(docs: DataFrame, mix: Mix, prefix: str = "__mix_") -> DataFrame:
     """Rows of docs, all columns, once for each pass that draws them, and columns prefix + source, block, pass, block_rank, weight, n_tokens.
 
-    Rows are in no order; (pass, block_rank, md5 of seed, pass and id) is the order of the mix within a source.
-    A document is drawn in the cut block while it fits in what is left; ties of the hash go by id and size. No column of docs
+    Rows are in no order; (pass, block_rank, md5 of seed, pass and id) is the order of the mix within a source; without an id the text's own hash stands for it.
+    A document is drawn in the cut block while it fits in what is left; ties of the hash go by id, size and text. No column of docs
     may begin with the prefix.
     """
     name = lambda c: prefix + c
-    keyed = docs.withColumns({name("source"): F.coalesce("source", F.lit("")), name("block"): _block(mix.seed, mix.blocks, F.col("doc_id").cast("long"))})
+    key = _key(F.col("doc_id"), F.col("text"))
+    keyed = docs.withColumns({name("source"): F.coalesce("source", F.lit("")), name("block"): _block(mix.seed, mix.blocks, key)})
     plan = mix.draws.select(*(F.col(c).alias(name(c)) for c in mix.draws.columns))
     on = [name("source"), name("block")]
     count = word_count(F.col("text"))  # after the joins: of cut blocks alone, unless it is asked for
     whole = keyed.join(plan.filter(F.col(name("room")).isNull()), on).withColumn(name("n_tokens"), count)
     part = keyed.join(plan.filter(F.col(name("room")).isNotNull()), on).withColumn(name("n_tokens"), count)
-    order = W.partitionBy(*on, name("pass")).orderBy(_hash(mix.seed, F.col(name("pass")), F.col("doc_id")), "doc_id", name("n_tokens")).rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*on, name("pass")).orderBy(_hash(mix.seed, F.col(name("pass")), key), "doc_id", name("n_tokens"), _text_hash(F.col("text"))).rowsBetween(W.unboundedPreceding, 0)
     part = part.withColumn(name("sum"), F.sum(name("n_tokens")).over(order)).filter(F.col(name("sum")) <= F.col(name("room"))).drop(name("sum"))
     return whole.unionByName(part).drop(name("room"))
 
@@ -141,14 +151,17 @@ def draw(docs: DataFrame, mix: Mix, prefix: str = "__mix_") -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """Rows of docs drawn by plan_mix(docs, **how), with docs' columns alone.
 
-    Null sources are the source ''; null and empty texts have no tokens and come with each whole pass; null ids share a block;
+    Null sources are the source ''; null and empty texts have no tokens and come with each whole pass; rows without an id are spread over the blocks by their texts;
     repeated rows are drawn each; an empty table gives an empty table; other columns stay, whatever their names.
     """
     return draw(docs, plan_mix(docs, **how), unused(docs, "__mix_")).select(every(docs))
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, source, pass, block, block_rank, n_tokens, weight, exponent): each drawn document, once a pass."""
+    """(doc_id, source, pass, block, block_rank, n_tokens, weight, exponent): each drawn document, once a pass.
+
+    Nulls, empty texts, repeated rows, ties and other columns are handled as in `mixed`; sources without a token are not drawn under a budget; an empty table gives an empty table.
+    """
     mix = plan_mix(docs.select("doc_id", "source", "text"), **how)
     drawn = draw(docs.select("doc_id", "source", "text"), mix)
     names = ("source", "pass", "block", "block_rank", "n_tokens", "weight")
@@ -158,7 +171,7 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 #: DuckDB SQL for mix_report(documents) with the default parameters.
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents
+  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n, md5(coalesce(text, '')) AS t, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS id FROM documents
 ), s AS (SELECT source, count(*) AS docs, sum(n)::BIGINT AS tokens FROM d GROUP BY 1 HAVING sum(n) > 0
 ), a AS (SELECT count(*) AS k, sum(tokens)::DOUBLE AS total, max(tokens)::DOUBLE AS top, ceil(sqrt(max(docs)))::BIGINT AS blocks, list(tokens / (SELECT max(tokens) FROM s)::DOUBLE ORDER BY source) AS t FROM s
 ), b AS (
@@ -174,11 +187,11 @@ WITH RECURSIVE d AS (
 ), w AS (SELECT s.source, s.tokens, exponent, blocks, round(pow(s.tokens / top, exponent) / list_sum(list_transform(t, lambda x: pow(x, exponent))), 9) AS weight, round(total) AS amount FROM s CROSS JOIN e
 ), q AS (SELECT *, least(floor(weight * amount), floor(tokens * 4.0))::BIGINT AS quota FROM w
 ), p AS (SELECT *, quota // tokens AS whole, quota % tokens AS rest FROM q
-), k AS (SELECT d.*, ('0x' || substr(md5('17:' || coalesce(doc_id, -1)), 1, 8))::BIGINT % (SELECT blocks FROM a) AS block FROM d
+), k AS (SELECT d.*, ('0x' || substr(md5('17:' || id), 1, 8))::BIGINT % (SELECT blocks FROM a) AS block FROM d
 ), g AS (SELECT source, block, sum(n)::BIGINT AS size FROM k GROUP BY ALL
 ), x AS (SELECT g.*, p.weight, p.exponent, p.whole, p.rest, unnest(range(1, whole + CASE WHEN rest > 0 THEN 2 ELSE 1 END)) AS pass FROM g JOIN p USING (source)
 ), r AS (SELECT *, row_number() OVER o AS block_rank, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size AS before FROM x WINDOW o AS (PARTITION BY source, pass ORDER BY md5('17:' || pass || ':' || source || ':' || block), block)
 ), m AS (SELECT *, CASE WHEN pass > whole AND rest - before < size THEN rest - before END AS room FROM r WHERE pass <= whole OR rest > before
-), z AS (SELECT doc_id, k.source, pass, k.block, block_rank, n, weight, exponent, room, sum(n) OVER (PARTITION BY k.source, k.block, pass ORDER BY md5('17:' || pass || ':' || doc_id), doc_id, n ROWS UNBOUNDED PRECEDING) AS so_far FROM k JOIN m ON k.source = m.source AND k.block = m.block)
+), z AS (SELECT doc_id, k.source, pass, k.block, block_rank, n, weight, exponent, room, sum(n) OVER (PARTITION BY k.source, k.block, pass ORDER BY md5('17:' || pass || ':' || id), doc_id, n, k.t ROWS UNBOUNDED PRECEDING) AS so_far FROM k JOIN m ON k.source = m.source AND k.block = m.block)
 SELECT doc_id, source, pass::BIGINT AS pass, block::BIGINT AS block, block_rank::BIGINT AS block_rank, n AS n_tokens, weight, exponent FROM z WHERE room IS NULL OR so_far <= room
 """
