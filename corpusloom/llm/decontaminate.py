@@ -6,18 +6,22 @@ seeds, and seeds that follow each other in both make runs. In each joined pair t
 and again, until none of `tile` words is left; tiles may lie in any order. An item is found in a document when
 tiles cover the share `coverage` of its words. Words of a tile are compared one by one, so a chance hit of a window's hash finds nothing.
 
-A document's pairs are tiled where it is read, so documents aren't shuffled. Items are met in
-blocks of at most BLOCK_WORDS words, each sent to all tasks, AT_ONCE blocks a pass; a benchmark of any size
-takes as many passes as that makes.
+A document's pairs are tiled where it is read, so documents aren't shuffled. Items are met in blocks of at most BLOCK_WORDS words (or one
+longer item), AT_ONCE blocks a pass, whose texts are sent to all tasks and indexed there, once a worker. A benchmark of any size takes as many passes over the documents as
+that makes, one after another: the driver holds the texts of one pass at a time and no index.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,8 +139,23 @@ def _found(index: ItemIndex, coverage: float, w: Words) -> Iterator[tuple[int, i
             yield row, item, covered, cut
 
 
-def _pairs(indexes: list[ItemIndex], coverage: float):
+#: A pass: its name, and ids and texts of each of its blocks.
+Blocks = tuple[str, list[tuple[list[int], list[str]]]]
+_kept: tuple[tuple[str, int], list[ItemIndex]] | None = None  # by this worker, of the last pass that it worked on
+
+
+def _indexes(sent: Broadcast[Blocks], tile: int) -> list[ItemIndex]:
+    global _kept
+    name, blocks = sent.value
+    if _kept is None or _kept[0] != (name, tile):
+        _kept = None
+        _kept = (name, tile), [ItemIndex(ids, texts, tile) for ids, texts in blocks]
+    return _kept[1]
+
+
+def _pairs(blocks: Broadcast[Blocks], tile: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = _indexes(blocks, tile)
         for batch in batches:
             ids, rows = batch.column(0), []
             for w in words_of(batch.column(1), PUNCTUATION):
@@ -149,8 +168,9 @@ def _pairs(indexes: list[ItemIndex], coverage: float):
     return run
 
 
-def _clean(indexes: list[ItemIndex], coverage: float, text_at: int):
+def _clean(blocks: Broadcast[Blocks], tile: int, coverage: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = _indexes(blocks, tile)
         for batch in batches:
             bad = np.zeros(batch.num_rows, bool)
             for w in words_of(batch.column(text_at), PUNCTUATION):
@@ -162,35 +182,34 @@ def _clean(indexes: list[ItemIndex], coverage: float, text_at: int):
     return run
 
 
-def item_blocks(benchmark: DataFrame, tile: int = TILE, block_words: int = BLOCK_WORDS) -> Iterator[ItemIndex]:
-    """The items' seeds, in blocks of bounded size.
+def passes(benchmark: DataFrame, block_words: int | None = None, at_once: int = AT_ONCE) -> Iterator[Broadcast[Blocks]]:
+    """The items' texts in passes of at most `at_once` blocks, each read when it is asked for; items without a word are left out.
 
-    Items are numbered within hash classes by running length, so a block is one class's next block_words words (or one longer item). Blocks
+    Items are numbered within hash classes by running length in counted words, so a block is one class's next block_words words (or one longer item). Blocks
     are written once, by block, so that each is read alone.
     """
+    block_words = BLOCK_WORDS if block_words is None else block_words
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = (F.length("text") / 2 + 1).cast("long")  # at most
-    total = items.agg(F.sum(words)).first()[0] or 0
-    classes = int(-(-total // block_words)) or 1
+    items = items.withColumn("words", F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")).filter("words > 0")
+    total = items.agg(F.sum("words")).first()[0] or 0
+    if total <= block_words * at_once:  # one pass: a block of all
+        rows = items.select("item_id", "text").orderBy("item_id", "text").collect()
+        if rows:
+            yield spark.sparkContext.broadcast((uuid.uuid4().hex, [([r.item_id for r in rows], [r.text for r in rows])]))
+        return
+    classes = int(-(-total // (1 << 22)))  # each of a few million words
     sized = items.withColumn("class", F.pmod(F.xxhash64("item_id", "text"), F.lit(classes)))
     running = W.partitionBy("class").orderBy("item_id", "text").rowsBetween(W.unboundedPreceding, 0)
-    sized = sized.withColumn("block", (F.sum(words).over(running) / block_words).cast("long"))
+    sized = sized.withColumn("block", ((F.sum("words").over(running) - 1) / block_words).cast("long")).drop("words")
     sized = written(sized, "benchmark-blocks", "class", "block")
-    for b in sized.select("class", "block").distinct().orderBy("class", "block").toLocalIterator():
-        rows = sized.filter((F.col("class") == b["class"]) & (F.col("block") == b["block"])).orderBy("item_id", "text").collect()
-        yield ItemIndex([r.item_id for r in rows], [r.text for r in rows], tile)
-
-
-def _passes(benchmark: DataFrame, tile: int) -> Iterator[list[ItemIndex]]:
-    """Blocks in groups of AT_ONCE."""
-    group: list[ItemIndex] = []
-    for index in item_blocks(benchmark, tile):
-        group.append(index)
-        if len(group) == AT_ONCE:
-            yield group
-            group = []
-    if group:
-        yield group
+    names = sized.select("class", "block").distinct().orderBy("class", "block").toLocalIterator()
+    while group := list(islice(names, at_once)):
+        blocks = []
+        for b in group:
+            rows = sized.filter((F.col("class") == b["class"]) & (F.col("block") == b["block"])).orderBy("item_id", "text").collect()
+            blocks.append(([r.item_id for r in rows], [r.text for r in rows]))
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, blocks))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
@@ -202,11 +221,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, covera
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     kind = "doc_id long, item_id long, covered long, item_words long, n_tiles long, longest long"
-    out = None
-    for indexes in _passes(benchmark.filter("item_id is not null"), tile):
-        part = texts.mapInArrow(_pairs(indexes, coverage), kind)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], kind) if out is None else out
+    out, last = [], None
+    for blocks in passes(benchmark.filter("item_id is not null")):
+        if last is not None:  # there are more passes: each is written before the next is read
+            out.append(written(last, "benchmark-pairs"))
+        last = texts.mapInArrow(_pairs(blocks, tile, coverage), kind)
+    if out:
+        out.append(written(last, "benchmark-pairs"))
+    elif last is not None:
+        out.append(last)
+    return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], kind)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
@@ -217,6 +241,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, cover
     """
     names, text_at = docs.columns, docs.columns.index("text")
     kept = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names that need quotes don't pass through Python
-    for indexes in _passes(benchmark, tile):
-        kept = kept.mapInArrow(_clean(indexes, coverage, text_at), kept.schema)
+    first = True
+    for blocks in passes(benchmark):
+        if not first:
+            kept = written(kept, "benchmark-kept")
+        first, kept = False, kept.mapInArrow(_clean(blocks, tile, coverage, text_at), kept.schema)
     return kept.toDF(*names)
