@@ -371,10 +371,18 @@ def test_tiles_equal_the_definition(spark):
     assert D.contaminated(docs(spark, []), bench).count() == 0 and D.contaminated(docs(spark, ["a b"]), bench.limit(0)).count() == 0
 
 
-def test_item_blocks_cover_all_items(spark):
-    bench = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(50)], "item_id long, text string")
-    blocks = list(D.item_blocks(bench, 5, 200))
-    assert len(blocks) > 3 and sorted(i for b in blocks for i in b.ids) == list(range(50))
+def test_passes_cover_all_items(spark, monkeypatch):
+    """Blocks are sized by counted words; more than one pass finds what one finds."""
+    bench = spark.createDataFrame([(i, ", ".join(f"i{i}w{j}é" for j in range(20))) for i in range(50)] + [(50, ""), (51, "..."), (52, None)], "item_id long, text string")
+    texts = docs(spark, [" ".join(f"i{i}w{j}É".lower() for j in range(3, 20)) for i in range(0, 50, 3)] + ["clean"])
+    one = [p.value[1] for p in D.passes(bench)]
+    assert [len(p) for p in one] == [1] and sorted(one[0][0][0]) == list(range(50))
+    many = [p.value[1] for p in D.passes(bench, 200, 2)]
+    assert [len(p) for p in many] == [2, 2, 1] and sorted(i for p in many for ids, _ in p for i in ids) == list(range(50))
+    found, kept = sorted(map(tuple, D.contaminated(texts, bench).collect())), D.decontaminate(texts, bench).collect()
+    assert len(found) == 17 and [r.text for r in kept] == ["clean"]
+    monkeypatch.setattr(D, "BLOCK_WORDS", 60)
+    assert sorted(map(tuple, D.contaminated(texts, bench).collect())) == found and D.decontaminate(texts, bench).collect() == kept
 
 
 def brute_vectors(rows, threshold):
