@@ -9,6 +9,7 @@ Algorithms for Topic Models, JMLR 2009).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -18,12 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import fresh_path, written
+from ..functions import text as T
+from ..sources.shared import exists, fresh_path, removed, written
 from .topics import topic_vectors
 
 MOST_TOKENS = 5_000_000
-#: Tokens that one task of distributed_lda sweeps.
+#: Tokens that one task sweeps.
 PART_TOKENS = 1_000_000
+#: Tokens that a part of a chain should have at least, where there are cores for more parts.
+LEAST_TOKENS = 20_000
 
 
 @dataclass
@@ -46,6 +50,7 @@ class Chain:
     seed: int = 1
     report_every: int = 0  # if set, the other schedule: every so many iterations until max_iterations, without a burn-in
     max_iterations: int = 0
+    hashed: bool = False  # draws by md5 of seed, sweep, document and place, as SQL can make them; slower
 
     def sample_iterations(self) -> list[int]:
         if self.report_every:
@@ -251,146 +256,262 @@ def _sweep(topics: int, alpha: float, beta: float, v: int, size: np.ndarray, see
     return run
 
 
-class _Part(_State):
-    """One document of a corpus of any size: its own state, and the corpus's counts of its words and entities."""
-
-    def __init__(self, chain: Chain, rng: np.random.Generator, word: np.ndarray, words: np.ndarray, entity: np.ndarray, entities: np.ndarray, totals: tuple):
-        """words and entities: the corpus's counts of the distinct words and entities that word (tokens) and entity (mentions) point to."""
-        (k_d, k_e), n = chain.widths(), len(word)
-        self.c, self.rng, self.totals = chain, rng, totals
-        self.doc, self.word, self.entities = np.zeros(n, np.int64), word, [entity]
-        self.word_d, self.word_e = words[:, :k_d].copy(), words[:, k_d:].copy() if k_e else np.zeros((len(words), 1))
-        self.entity_k = self.entity_event = entities.copy()  # a model has one of them
-        self.z, self.s, self.rho, self.mention_z = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64), [np.zeros(len(entity), np.int64)]
-
-    def start(self) -> None:
-        """Draw a first state; the corpus's counts don't matter yet."""
-        (k_d, k_e), n, mine = self.c.widths(), len(self.word), self.entities[0]
-        if k_e and len(mine):
-            self.s = self.rng.integers(2, size=n)
-            self.rho = np.where(self.s == 1, mine[self.rng.integers(len(mine), size=n)], -1)
-        self.z = self.rng.integers(np.where(self.s == 1, max(1, k_e), k_d))
-        self.mention_z = [self.rng.integers(k_d, size=len(mine))]
-
-    def resume(self, z: np.ndarray, s: np.ndarray, rho: np.ndarray, mention_z: np.ndarray) -> None:
-        """Take up the state that the corpus's counts hold."""
-        k_d = self.c.topics
-        self.z, self.s, self.rho, self.mention_z = z.copy(), s.copy(), rho.copy(), [mention_z.copy()]
-        self.switch = np.bincount(s, minlength=2).astype(float)[None]
-        self.doc_k = np.bincount(z[s == 0], minlength=k_d).astype(float)[None]
-        self.doc_mention = np.bincount(mention_z, minlength=k_d).astype(float)[None]
+#: A document's row: its tokens' places, words, cells (topic, or K_d + topic of an entity) and entities (-1: none), and its distinct entities, their mentions and the mentions' events.
+_STATE = "config int, part long, doc_id long, pos array<long>, word array<long>, cell array<long>, held array<long>, ents array<long>, times array<long>, events array<long>"
 
-    def _totals(self) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, int]:
-        size_d, size_e, v, size, n = self.totals
-        return size_d.copy(), size_e.copy(), v, size.copy(), n
 
+def hashed_uniforms(seed: int, sweep: int, doc_id: int, pos: np.ndarray) -> np.ndarray:
+    """Draws that SQL can make too: 52 bits of the md5 of `seed:sweep:doc:pos`."""
+    return np.array([int(hashlib.md5(f"{seed}:{sweep}:{doc_id}:{p}".encode(), usedforsecurity=False).hexdigest()[:13], 16) / 2.0**52 for p in pos.tolist()])
 
-_STATE = "doc_id long, kind int, pos long, id long, cnt long, z long, s long, entity_id long, zs array<long>"
 
+class _Part:
+    """The documents of one part and configuration, all swept together: one token of each at a time, so a step is one operation on arrays.
 
-def _dense(cells: DataFrame, width: int) -> DataFrame:
-    """(id, counts): arrays of `width` counts from (id, cell, n)."""
-    by_id = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"))
-    each = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
-    return by_id.select("id", F.transform(each, lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long"))).alias("counts"))
+    Each document's own counts are exact as it goes on: topics, switches, and what it changes in its entities' counts. Words have the counts of the last sweep without the token itself.
+    """
 
+    def __init__(self, chain: Chain, docs: pd.DataFrame, sweep: int):
+        self.c, self.sweep = chain, sweep
+        docs = docs.iloc[np.argsort(-docs.pos.map(len).to_numpy(), kind="stable")]
+        self.docs, self.length = docs, docs.pos.map(len).to_numpy().astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64)
+        flat = lambda c: np.concatenate([np.zeros(0, np.int64), *docs[c].to_list()]).astype(np.int64)
+        self.word, self.cell, self.held, self.events = flat("word"), flat("cell"), flat("held"), flat("events")
+        self.many = docs.ents.map(len).to_numpy().astype(np.int64)
+        self.most = max(1, int(self.many.max(initial=0)))
+        inside = np.arange(self.most) < self.many[:, None]
+        self.ents, self.times = np.full((len(docs), self.most), -1, np.int64), np.zeros((len(docs), self.most))
+        self.ents[inside], self.times[inside] = flat("ents"), flat("times")
+        row = np.repeat(np.arange(len(docs)), self.length)
+        if len(self.held):  # else there is no state yet
+            self.entity = np.where(self.held >= 0, (self.ents[row] == self.held[:, None]).argmax(1), -1)  # place among the document's entities
+        self.mentions = np.array([int(t.sum()) for t in docs.times.to_list()], np.int64)
+        self.of_mention = np.concatenate([np.zeros(0, np.int64), *(np.repeat(np.arange(len(t)), t) for t in docs.times.to_list())]).astype(np.int64)
+
+    def uniforms(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each token and each mention a draw that depends on seed, sweep and document only."""
+        if self.c.hashed:
+            some = [(hashed_uniforms(self.c.seed, self.sweep, d, np.asarray(p)), hashed_uniforms(self.c.seed, self.sweep, d, -1 - np.arange(m))) for d, p, m in zip(self.docs.doc_id, self.docs.pos, self.mentions, strict=True)]
+        else:
+            rngs = [np.random.default_rng((self.c.seed, self.sweep, int(d) & 0x7FFFFFFFFFFFFFFF)) for d in self.docs.doc_id]
+            some = [(g.random(n), g.random(m)) for g, n, m in zip(rngs, self.length, self.mentions, strict=True)]
+        return tuple(np.concatenate([np.zeros(0), *x]) for x in zip(*some, strict=True)) if some else (np.zeros(0), np.zeros(0))
+
+    def start(self) -> pd.DataFrame:
+        """A first state: switch, entity by mentions, and topic by chance."""
+        k_d, k_e = self.c.widths()
+        u, v = self.uniforms()
+        row = np.repeat(np.arange(len(self.docs)), self.length)
+        free = (self.many[row] > 0) & bool(k_e)
+        s = free & (u < 0.5)
+        again = np.where(free, u * 2 % 1, u)  # what is left of the draw
+        sums = np.cumsum(self.times, 1)
+        at = (sums[row] <= (again * sums[row, -1])[:, None]).sum(1)
+        self.entity = np.where(s, np.minimum(at, np.maximum(self.many[row] - 1, 0)), -1)
+        fine = (u * 2.0**20) % 1  # independent of the bits that chose the entity
+        self.cell = np.where(s, k_d + np.minimum((fine * max(1, k_e)).astype(np.int64), max(0, k_e - 1)), np.minimum((fine * k_d).astype(np.int64), k_d - 1))
+        self.events = np.minimum((v * k_d).astype(np.int64), k_d - 1) if self.c.model == "event" else np.zeros(0, np.int64)
+        return self.rows()
+
+    def rows(self) -> pd.DataFrame:
+        row = np.repeat(np.arange(len(self.docs)), self.length)
+        held = np.where(self.entity >= 0, self.ents[row, np.maximum(self.entity, 0)], -1)
+        cut = lambda x, n: np.split(x, np.cumsum(n)[:-1]) if len(n) else []
+        return self.docs.assign(cell=cut(self.cell, self.length), held=cut(held, self.length), events=cut(self.events, self.mentions) if len(self.events) else [np.zeros(0, np.int64)] * len(self.docs))
+
+    def sweep_all(self, words: np.ndarray, word_counts: np.ndarray, entities: np.ndarray, entity_counts: np.ndarray, totals: tuple) -> pd.DataFrame:
+        """Resample every token, then every mention of the event model. words and entities: sorted ids, with the corpus's counts of the last sweep."""
+        c, (k_d, k_e), n = self.c, self.c.widths(), len(self.docs)
+        size, v, event_size, n_entities = totals
+        u, u_mention = self.uniforms()
+        row = np.repeat(np.arange(n), self.length)
+        word, own, switch = np.searchsorted(words, self.word), np.zeros((n, k_d)), np.zeros((n, 2))
+        topic = self.cell < k_d
+        np.add.at(own, (row[topic], self.cell[topic]), 1)
+        np.add.at(switch, (row, (~topic).astype(np.int64)), 1)
+        own_size, with_entities = own.sum(1), c.model.startswith("entity")
+        if with_entities:
+            table = np.concatenate([entity_counts, np.zeros((1, k_e))])
+            at = np.searchsorted(entities, self.ents)
+            at = np.where((self.ents >= 0) & (at < len(entities)) & (entities[np.minimum(at, len(entities) - 1)] == self.ents) if len(entities) else False, at, len(entities))
+            of_entity = table[at]  # a document's own copy
+            entity_size, share = of_entity.sum(2), self.times / np.maximum(1, self.times.sum(1, keepdims=True))
+            prior, beta = (c.alpha_e, c.beta_e) if c.model == "entity_3" else (c.gamma, c.beta)
+        for t in range(int(self.length.max(initial=0))):
+            live = int(np.searchsorted(-self.length, -t))  # documents of more than t tokens come first
+            i, r = self.first[:live] + t, np.arange(live)
+            cell, entity = self.cell[i], self.entity[i]
+            seen = word_counts[word[i]]
+            seen[r, cell] -= 1
+            s = cell >= k_d
+            a, b = r[~s], r[s]
+            own[a, cell[~s]] -= 1
+            own_size[a] -= 1
+            weights = (seen[:, :k_d] + c.beta) / (size[:k_d] + v * c.beta) * (own[:live] + c.alpha)
+            if with_entities:
+                switch[r, s.astype(np.int64)] -= 1
+                of_entity[b, entity[s], cell[s] - k_d] -= 1
+                entity_size[b, entity[s]] -= 1
+                weights /= (own_size[:live] + k_d * c.alpha)[:, None]
+                of_words = (seen[:, k_d:] + beta) / (size[k_d:] + v * beta)
+                extra = of_words[:, None, :] * (of_entity[:live] + prior) * (share[:live] / (entity_size[:live] + k_e * prior))[:, :, None]
+                if c.model != "entity_1":
+                    weights *= (switch[:live, 0] + c.eta_d)[:, None]
+                    extra *= (switch[:live, 1] + c.eta_e)[:, None, None]
+                weights = np.concatenate([weights, extra.reshape(live, -1)], 1)
+            sums = np.cumsum(weights, 1)
+            at = (sums <= (u[i] * (1 - 2.0**-40) * sums[:, -1])[:, None]).sum(1)
+            s = at >= k_d
+            a, b = r[~s], r[s]
+            entity = np.full(live, -1)
+            entity[s], cell = (at[s] - k_d) // max(1, k_e), np.where(s, k_d + (at - k_d) % max(1, k_e), at)
+            own[a, cell[~s]] += 1
+            own_size[a] += 1
+            if with_entities:
+                switch[r, s.astype(np.int64)] += 1
+                of_entity[b, entity[s], cell[s] - k_d] += 1
+                entity_size[b, entity[s]] += 1
+            self.cell[i], self.entity[i] = cell, entity
+        if c.model == "event":
+            self._mentions(entities, entity_counts, event_size, n_entities, u_mention)
+        return self.rows()
+
+    def _mentions(self, entities: np.ndarray, counts: np.ndarray, size: np.ndarray, n_entities: int, u: np.ndarray) -> None:
+        """A document's events by its mentions alone, one mention of each document at a time."""
+        c, order = self.c, np.argsort(-self.mentions, kind="stable")
+        first = np.concatenate([[0], np.cumsum(self.mentions)[:-1]]).astype(np.int64)[order]
+        many, own = self.mentions[order], np.zeros((len(self.docs), c.topics))
+        np.add.at(own, (np.repeat(np.arange(len(self.docs)), self.mentions), self.events), 1)
+        own = own[order]
+        at = np.searchsorted(entities, self.ents[np.repeat(np.arange(len(self.docs)), self.mentions), self.of_mention])
+        for t in range(int(many.max(initial=0))):
+            live = int(np.searchsorted(-many, -t))
+            i, r = first[:live] + t, np.arange(live)
+            z = self.events[i]
+            own[r, z] -= 1
+            seen = counts[at[i]]
+            seen[r, z] -= 1
+            less = np.tile(size, (live, 1))
+            less[r, z] -= 1
+            sums = np.cumsum((seen + c.gamma) / (less + n_entities * c.gamma) * (own[:live] + c.alpha), 1)
+            z = (sums <= (u[i] * (1 - 2.0**-40) * sums[:, -1])[:, None]).sum(1)
+            own[r, z] += 1
+            self.events[i] = z
+
+
+def _groups(docs: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Documents with about as many entities each, so that tables by entity have few empty places."""
+    size = np.ceil(np.log2(np.maximum(1, docs.ents.map(len).to_numpy())))
+    for k in np.unique(size):
+        yield docs[size == k]
+
+
+def _swept(chains: list[Chain], sweep: int, totals: list[tuple]):
+    names = [c.split()[0] for c in _STATE.split(", ")]
+
+    def run(key: tuple, docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        chain = chains[int(key[0])]
+        k_d, k_e = chain.widths()
 
-def _sizes(cells: DataFrame, width: int) -> np.ndarray:
-    found = {r.cell: r.n for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # as many rows as topics
-    return np.array([float(found.get(k, 0)) for k in range(width)])
+        def table(kind: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+            rows = counts[counts.kind == kind].sort_values("id")
+            return rows.id.to_numpy(), np.array([n[:width] for n in rows.n], float).reshape(len(rows), width)
 
+        words, of_words = table(0, k_d + k_e)
+        entities, of_entities = table(1, k_d if chain.model == "event" else max(1, k_e))
+        parts = [_Part(chain, d, sweep).sweep_all(words, of_words, entities, of_entities, totals[int(key[0])]) for d in _groups(docs)]
+        return pd.concat(parts)[names] if parts else docs[names]
+
+    return run
 
-def distributed(encoded: DataFrame, doc_entities: DataFrame | None, chain: Chain) -> DataFrame:
-    """(iter, doc_id, pos, word_id, z, s, entity_id): the samples of an approximate chain of any model over a corpus of any size.
 
-    As `exact`, but each document is swept by itself, against the counts of the last sweep and its own changes. Counts of
-    words and entities meet tokens and mentions by joins; a document stays in one task. Sweeps are written to the shared folder,
-    where two tables take turns and those of the samples stay.
+def _packed(encoded: DataFrame, doc_entities: DataFrame | None, chains: list[Chain]) -> DataFrame:
+    """Documents as rows of arrays, once for each configuration, dealt to parts of about PART_TOKENS tokens and at least as many as there are cores."""
+    spots = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("word_id").cast("long").alias("word"))))
+    docs = encoded.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(spots.alias("spots")).select("doc_id", "spots.pos", "spots.word")
+    none = F.array().cast("array<long>")
+    if doc_entities is None:
+        docs = docs.select("*", none.alias("ents"), none.alias("times"))
+    else:
+        of_doc = F.array_sort(F.collect_list(F.struct(F.col("entity_id").cast("long").alias("ents"), F.col("cnt").cast("long").alias("times"))))
+        lists = doc_entities.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(of_doc.alias("e")).select("doc_id", "e.ents", "e.times")
+        docs = docs.join(lists, "doc_id", "full").withColumns({c: F.coalesce(c, none) for c in ("pos", "word", "ents", "times")})
+    docs = written(docs, "chain-documents")
+    n = docs.agg(F.sum(F.size("pos"))).first()[0] or 0
+    parts = max(-(-n // PART_TOKENS), min(docs.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_TOKENS)), 1)
+    return docs.select(F.explode(F.array(*(F.lit(i) for i in range(len(chains))))).alias("config"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), "doc_id", "pos", "word", none.alias("cell"), none.alias("held"), "ents", "times", none.alias("events"))
+
+
+def _counted(now: DataFrame, chains: list[Chain]) -> tuple[DataFrame, list[np.ndarray], list[np.ndarray]]:
+    """(kind, config, id, n): the cells of each word (kind 0), and the topics or events of each entity (kind 1); and their sums by configuration."""
+    k_d = F.element_at(F.array(*(F.lit(c.topics) for c in chains)), F.col("config") + 1)
+    tokens = now.select("config", F.inline(F.arrays_zip(F.col("word").alias("word"), F.col("cell").alias("cell"), F.col("held").alias("held"))))
+    kinds = [tokens.select(F.lit(0).alias("kind"), "config", F.col("word").alias("id"), F.col("cell").alias("z"))]
+    if any(c.model.startswith("entity") for c in chains):
+        kinds.append(tokens.withColumn("k", k_d).filter("held >= 0").select(F.lit(1).alias("kind"), "config", F.col("held").alias("id"), (F.col("cell") - F.col("k")).alias("z")))
+    if any(c.model == "event" for c in chains):
+        mentioned = T.expanded(F.col("ents"), F.transform("times", lambda x: x.cast("int")))
+        kinds.append(now.filter(F.size("events") > 0).select(F.lit(1).alias("kind"), "config", F.inline(F.arrays_zip(mentioned.alias("id"), F.col("events").alias("z")))))
+    width = max(sum(c.widths()) for c in chains)
+    counts = written(topic_vectors(reduce(DataFrame.unionByName, kinds).withColumn("key", F.struct("kind", "config", "id")), "key", width).select("key.*", "n"), "chain-counts")
+    sizes = [[np.zeros(width), np.zeros(width)] for _ in chains]
+    for r in counts.select("kind", "config", F.posexplode("n").alias("k", "n")).groupBy("kind", "config", "k").agg(F.sum("n").alias("n")).collect():  # a row a topic
+        sizes[r.config][r.kind][r.k] = r.n
+    return counts, [s[0] for s in sizes], [s[1] for s in sizes]
+
+
+def distributed_grid(encoded: DataFrame, doc_entities: DataFrame | None, chains: list[Chain], out: str | None = None) -> DataFrame:
+    """(config, iter, doc_id, pos, word_id, z, s, entity_id): the samples of approximate chains of any models over a corpus of any size, all in one plan.
+
+    config is the place in `chains`. A configuration is a key beside the document, so all of them share the corpus, its shuffles and its passes. Documents are rows of arrays
+    and stay in their part; to each part and configuration come the counts of its distinct words and entities, once each; one shuffle of counts a sweep, and none of
+    tokens. out: the folder of the run. A sweep there is whole or not there, so a run that was stopped goes on from its last sweep and ends with the same rows; equal seeds and corpora
+    give equal rows. Sweeps that are no sample are deleted when the next is there. Without it the run has a folder of its own in the shared one.
     """
-    (k_d, k_e), spark = chain.widths(), encoded.sparkSession
-    wide = k_d if chain.model == "event" else max(1, k_e)
-    blank = [F.lit(0).cast("long").alias("z"), F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("entity_id"), F.array().cast("array<long>").alias("zs"), F.array().cast("array<long>").alias("counts")]
-    long = lambda c, name: F.col(c).cast("long").alias(name)
-    rows = encoded.select(long("doc_id", "doc_id"), F.lit(1).alias("kind"), long("pos", "pos"), long("word_id", "id"), F.lit(1).cast("long").alias("cnt"), *blank)
-    if doc_entities is not None:
-        rows = rows.unionByName(doc_entities.select(long("doc_id", "doc_id"), F.lit(0).alias("kind"), long("rank", "pos"), long("entity_id", "id"), long("cnt", "cnt"), *blank))
-
-    def swept(rows: DataFrame, sweep: int, totals: tuple, path: str) -> DataFrame:
-        held = rows.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "pos")
-        held.mapInPandas(_by_document(_sweep_part(chain, sweep, wide, totals)), _STATE).write.mode("overwrite").parquet(path)
-        return spark.read.schema(_STATE).parquet(path)
-
-    turns = [fresh_path(spark, "sweep"), fresh_path(spark, "sweep")]
-    now = swept(rows, 0, (), turns[0])
-    kinds = {r.kind: r.n for r in now.groupBy("kind").agg(F.countDistinct("id").alias("n")).collect()}
-    samples, wanted = [], set(chain.sample_iterations())
-    for it in range(1, max(wanted) + 1):
-        toks, marks = now.filter("kind = 1"), now.filter("kind = 0")
-        words = toks.groupBy("id", (F.col("z") + F.col("s") * k_d).alias("cell")).agg(F.count("*").alias("n"))
-        if chain.model == "event":
-            cells = marks.select("id", F.explode("zs").alias("cell")).groupBy("id", "cell").agg(F.count("*").alias("n"))
-        else:
-            cells = toks.filter("s = 1").groupBy(F.col("entity_id").alias("id"), F.col("z").alias("cell")).agg(F.count("*").alias("n"))
-        size = _sizes(words, k_d + k_e)
-        totals = (size[:k_d], size[k_d:] if k_e else np.zeros(1), kinds.get(1, 0), _sizes(cells, wide) if chain.model == "event" else np.zeros(1), kinds.get(0, 0))
-        of_marks = marks.join(_dense(cells, wide), "id", "left").withColumn("counts", F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), wide)))
-        path = fresh_path(spark, "sample") if it in wanted else turns[it % 2]
-        now = swept(toks.join(_dense(words, k_d + k_e), "id").unionByName(of_marks), it, totals, path)
-        if it in wanted:
-            samples.append(now.filter("kind = 1").select(F.lit(it).cast("long").alias("iter"), "doc_id", "pos", F.col("id").alias("word_id"), "z", "s", "entity_id"))
+    spark, out = encoded.sparkSession, out or fresh_path(encoded.sparkSession, "chain")
+    wanted = [set(c.sample_iterations()) for c in chains]
+    last = max(max(w) for w in wanted)
+    path = lambda it: f"{out}/sweep={it:06d}"
+    there = lambda it: exists(spark, f"{path(it)}/_SUCCESS")
+    read = lambda it: spark.read.schema(_STATE).parquet(path(it))
+    done = next((it for it in range(last, -1, -1) if there(it)), None)
+    if done is None:
+        first = lambda key, docs: pd.concat([_Part(chains[int(key[0])], d, 0).start() for d in _groups(docs)])[list(docs.columns)]
+        _packed(encoded, doc_entities, chains).groupBy("config", "part").applyInPandas(first, _STATE).write.mode("overwrite").parquet(path(0))
+        done = 0
+    if done < last:
+        inside = read(done)
+        needed = inside.select("config", "part", F.lit(0).alias("kind"), F.explode("word").alias("id")).unionByName(inside.select("config", "part", F.lit(1).alias("kind"), F.explode("ents").alias("id")))
+        needed = written(needed.distinct(), "chain-needed")
+        sizes = {(r.config, r.kind): r.n for r in needed.groupBy("config", "kind").agg(F.countDistinct("id").alias("n")).collect()}
+    for it in range(done + 1, last + 1):
+        now = read(it - 1)
+        live = [i for i, w in enumerate(wanted) if it <= max(w)]
+        if len(live) < len(chains):
+            now = now.filter(F.col("config").isin(live))
+        counts, size, entity_size = _counted(now, chains)
+        totals = [(size[i][: sum(c.widths())], sizes.get((i, 0), 0), entity_size[i][: c.topics], sizes.get((i, 1), 0)) for i, c in enumerate(chains)]
+        brought = needed.join(counts, ["config", "kind", "id"], "left")
+        width = max(sum(c.widths()) for c in chains)
+        brought = brought.select("config", "part", "kind", "id", F.coalesce("n", F.array_repeat(F.lit(0).cast("long"), width)).alias("n"))
+        swept = now.groupBy("config", "part").cogroup(brought.groupBy("config", "part")).applyInPandas(_swept(chains, it, totals), _STATE)
+        swept.write.mode("overwrite").parquet(path(it))
+        if not any(it - 1 in w for w in wanted):
+            removed(spark, path(it - 1))
+    samples = []
+    for it in sorted(set().union(*wanted)):
+        taken = read(it).filter(F.col("config").isin([i for i, w in enumerate(wanted) if it in w]))
+        k_d = F.element_at(F.array(*(F.lit(c.topics).cast("long") for c in chains)), F.col("config") + 1)
+        rows = taken.select("config", F.lit(it).cast("long").alias("iter"), "doc_id", k_d.alias("k"), F.inline(F.arrays_zip("pos", "word", "cell", "held")))
+        s = (F.col("cell") >= F.col("k")).cast("long")
+        samples.append(rows.select("config", "iter", "doc_id", "pos", F.col("word").alias("word_id"), (F.col("cell") - s * F.col("k")).alias("z"), s.alias("s"), F.col("held").alias("entity_id")))
     return reduce(DataFrame.unionByName, samples)
 
 
-def _sweep_part(chain: Chain, sweep: int, wide: int, totals: tuple):
-    """The first state (sweep 0) or one sweep of a document's rows: its entities, then its tokens."""
-
-    def one(doc: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng((chain.seed, sweep, int(doc.doc_id.iloc[0]) & 0x7FFFFFFFFFFFFFFF))
-        token = doc.kind.to_numpy() == 1
-        ids, cnt, counts = doc.id.to_numpy(), doc.cnt.to_numpy(), doc.counts.to_numpy()
-        names, first_name = np.unique(ids[~token], return_index=True)
-        entity = np.repeat(np.searchsorted(names, ids[~token]), cnt[~token])
-        words, first, word = np.unique(ids[token], return_index=True, return_inverse=True)
-        table = lambda rows, at, width: np.stack(rows[at]).astype(float) if sweep and len(at) else np.zeros((len(at), width))
-        part = _Part(chain, rng, word, table(counts[token], first, sum(chain.widths())), entity, table(counts[~token], first_name, wide), totals)
-        if sweep:
-            s, held = doc.s.to_numpy()[token], doc.entity_id.to_numpy()[token]
-            rho = np.where(s == 1, np.searchsorted(names, held), -1)
-            part.resume(doc.z.to_numpy()[token], s, rho, np.concatenate([np.zeros(0, np.int64), *doc.zs.to_numpy()[~token]]).astype(np.int64))
-            part.sweep()
-        else:
-            part.start()
-        z, s, held = (np.full(len(doc), x, np.int64) for x in (0, 0, -1))
-        z[token], s[token] = part.z, part.s
-        if len(names):
-            held[token] = np.where(part.rho >= 0, names[part.rho], -1)
-        zs = [np.zeros(0, np.int64)] * len(doc)
-        if chain.model == "event":
-            zs[: (~token).sum()] = np.split(part.mention_z[0], np.cumsum(cnt[~token])[:-1]) if len(names) else []
-        return doc.assign(z=z, s=s, entity_id=held, zs=zs).drop(columns="counts")[[c.split()[0] for c in _STATE.split(", ")]]
-
-    return one
-
-
-def _by_document(one: Callable[[pd.DataFrame], pd.DataFrame]):
-    """one over each document of sorted rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []  # the last document of a batch may go on in the next
-        for batch in batches:
-            ids = batch.doc_id.to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                piece = batch.iloc[a:b]
-                if rest and len(piece) and rest[0].doc_id.iloc[0] != piece.doc_id.iloc[0]:
-                    yield one(pd.concat(rest))
-                    rest = []
-                if len(piece):
-                    rest.append(piece)
-        if rest:
-            yield one(pd.concat(rest))
-
-    return run
+def distributed(encoded: DataFrame, doc_entities: DataFrame | None, chain: Chain, out: str | None = None) -> DataFrame:
+    """(iter, doc_id, pos, word_id, z, s, entity_id): the samples of one approximate chain of any model; see distributed_grid."""
+    return distributed_grid(encoded, doc_entities, [chain], out).drop("config")
 
 
 def sample_mean(samples: list[DataFrame], key: str, value: str) -> DataFrame:
@@ -413,13 +534,3 @@ def last_sample(spark: SparkSession, out: str) -> DataFrame:
 def read_configurations(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Run configurations: numbers separated by commas, # for comments."""
     return spark.read.csv(path, schema=", ".join(f"{n} double" for n in names), comment="#", ignoreLeadingWhiteSpace=True)
-
-
-def run_grid(encoded: DataFrame, doc_entities: DataFrame | None, chains: list[Chain]) -> Iterator[tuple[Chain, DataFrame]]:
-    """A full run for each configuration; the corpus is kept between them."""
-    encoded = encoded.persist()
-    try:
-        for chain in chains:
-            yield chain, exact(encoded, doc_entities, chain)
-    finally:
-        encoded.unpersist()
