@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import calls as C
 from ..operators import contacts as K
+from ..operators import shares as H
 from ..operators import social as S
 from .registry import query, table
 
@@ -440,3 +442,67 @@ def labels_any(spark, sf_dir):
     """Contacts whose label lists hold any of two labels."""
     lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("labels"))
     return lists.filter(S.any_equal(F.col("labels"), ["1-URGENT", "5-LOW"])).select("id")
+
+
+def call_logs_of(spark, sf_dir):
+    """(calls, known): events as call logs, and the numbers that are known from the start."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("device"), ((F.col("user_id") * 7 + F.col("event_id")) % 50).alias("number"), F.floor(F.col("value") / 25).alias("seconds"), F.expr(_ms).alias("at"))
+    return e, e.filter("device % 10 = 1 and device < 50").select("device", F.col("device").alias("number")).distinct()
+
+
+@query(
+    """WITH RECURSIVE c AS (
+  SELECT event_id AS id, user_id AS device, (user_id * 7 + event_id) % 50 AS number, floor(value / 25)::BIGINT AS seconds, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY event_id) AS k FROM events
+), start AS (SELECT list(u ORDER BY u) AS l FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 10 = 1 AND user_id < 50)
+), s AS (
+  SELECT 0::BIGINT AS k, l AS dev, l AS num, []::STRUCT(id BIGINT, device BIGINT, number BIGINT, seconds BIGINT, ms BIGINT)[] AS waiting, NULL::BIGINT AS src, NULL::BIGINT AS dst, NULL::BIGINT AS seconds, false AS both_ways FROM start
+  UNION ALL
+  SELECT k, CASE WHEN t_dev IS NULL THEN dev ELSE list_append(dev, t_dev) END, CASE WHEN t_dev IS NULL THEN num ELSE list_append(num, t_num) END,
+    CASE WHEN own IS NOT NULL AND friend IS NOT NULL THEN waiting WHEN m IS NOT NULL THEN list_filter(waiting, lambda w: w.id <> m.id) ELSE list_append(list_filter(waiting, lambda w: w.ms >= e.ms - 6000000), e) END,
+    e.device, CASE WHEN own IS NOT NULL AND friend IS NOT NULL THEN friend ELSE m.device END, e.seconds, m IS NOT NULL
+  FROM (
+    SELECT *, CASE WHEN m IS NULL THEN NULL WHEN own IS NULL AND NOT list_contains(num, m.number) THEN e.device WHEN friend IS NULL AND NOT list_contains(dev, m.device) THEN m.device END AS t_dev, CASE WHEN own IS NULL THEN m.number ELSE e.number END AS t_num
+    FROM (
+      SELECT *, CASE WHEN (own IS NULL) <> (friend IS NULL) THEN list_filter(waiting, lambda w: w.seconds = e.seconds AND abs(w.ms - e.ms) <= 600000 AND w.device <> e.device AND coalesce(w.device = friend, w.number = own))[1] END AS m
+      FROM (SELECT c.k, s.dev, s.num, s.waiting, {'id': c.id, 'device': c.device, 'number': c.number, 'seconds': c.seconds, 'ms': c.ms} AS e, s.num[list_position(s.dev, c.device)] AS own, s.dev[list_position(s.num, c.number)] AS friend FROM s JOIN c ON c.k = s.k + 1)
+    )
+  )
+), ends AS (SELECT src, dst, seconds FROM s WHERE dst IS NOT NULL UNION ALL SELECT dst, src, seconds FROM s WHERE both_ways
+), numbers AS (SELECT unnest(dev) AS src, unnest(num) AS src_number FROM s WHERE k = (SELECT max(k) FROM s))
+SELECT src, dst, count(*) AS calls, round(sum(seconds / 60.0::DOUBLE), 6) AS minutes, any_value(src_number) AS src_number FROM ends LEFT JOIN numbers USING (src) GROUP BY src, dst"""
+)
+def call_resolution(spark, sf_dir):
+    """Friend edges from call logs one after another, and the caller's number: given for some devices, learned for others from counterpart logs."""
+    calls, known = call_logs_of(spark, sf_dir)
+    found = C.resolve_calls(calls, known, tolerance=600_000)
+    numbers = known.unionByName(found.learned.drop("id")).select(F.col("device").alias("src"), F.col("number").alias("src_number"))
+    return found.edges.join(numbers, "src", "left").select("src", "dst", "calls", F.round("minutes", 6).alias("minutes"), "src_number")
+
+
+@query(
+    """WITH RECURSIVE e AS (
+  SELECT o_custkey AS cust, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, o_orderkey AS id, 'd' || o_orderkey % 3 AS device, CASE WHEN o_orderkey % 4 <> 1 THEN 'n' || o_custkey || '-' || o_orderkey % 3 END AS number,
+    CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS name, CASE WHEN o_orderkey % 5 <> 2 THEN 'e' || o_custkey || '-' || o_orderkey // 7 % 3 END AS email, CASE WHEN o_orderkey % 7 = 0 THEN 'a' || o_orderkey END AS address, 'c' || o_orderkey % 5 AS city,
+    CASE WHEN o_orderkey % 3 <> 0 THEN [o_orderpriority] ELSE [] END AS labels, CASE WHEN o_orderkey % 6 <> 0 THEN [o_orderstatus] END AS groups FROM orders
+), s AS (
+  SELECT DISTINCT cust, 0::BIGINT AS k, []::STRUCT(contact BIGINT, email VARCHAR, name VARCHAR, number VARCHAR, address VARCHAR, city VARCHAR, is_public BOOLEAN, labels VARCHAR[], groups VARCHAR[])[] AS cs FROM e
+  UNION ALL
+  SELECT cust, k, list_transform(CASE WHEN hit IS NULL THEN list_append(cs, {'contact': e.id, 'email': NULL, 'name': NULL, 'number': NULL, 'address': NULL, 'city': e.city, 'is_public': false, 'labels': [], 'groups': []}) ELSE cs END,
+    lambda c, i: CASE WHEN i <> coalesce(hit, len(cs) + 1) THEN c ELSE {'contact': c.contact, 'email': coalesce(e.email, c.email), 'name': coalesce(e.name, c.name), 'number': coalesce(e.number, c.number), 'address': coalesce(e.address, c.address), 'city': c.city,
+      'is_public': c.is_public OR e.groups IS NULL, 'labels': c.labels || list_filter(list_transform(e.labels, lambda x: e.device || ':' || x), lambda x: NOT list_contains(c.labels, x)),
+      'groups': c.groups || list_filter(list_transform(coalesce(e.groups, []), lambda x: e.device || ':' || x), lambda x: NOT list_contains(c.groups, x))} END)
+  FROM (SELECT s.cust, e.k, s.cs, e, nullif(coalesce(CASE WHEN e.number IS NOT NULL THEN nullif(list_position(list_transform(s.cs, lambda c: c.number), e.number), 0) END, CASE WHEN e.email IS NOT NULL THEN list_position(list_transform(s.cs, lambda c: c.email), e.email) END), 0) AS hit FROM s JOIN e ON e.cust = s.cust AND e.k = s.k + 1)
+), last AS (SELECT cust, unnest(arg_max(cs, k)) AS c FROM s GROUP BY cust)
+SELECT c.contact, c.email, c.name, c.number, c.address, c.city, c.is_public, array_to_string(c.labels, ',') AS labels, array_to_string(c.groups, ',') AS groups FROM last"""
+)
+def share_resolution(spark, sf_dir):
+    """Contacts after share events one after another, each matched by number, else by email, else new; orders are the events."""
+    key, text = F.col("o_orderkey"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    shares = table(spark, sf_dir, "orders").select(
+        key.alias("id"), text("d", key % 3).alias("device"), F.when(key % 4 != 1, text("n", F.col("o_custkey"), "-", key % 3)).alias("number"), F.when(key % 2 == 0, F.col("o_orderstatus")).alias("name"),
+        F.when(key % 5 != 2, text("e", F.col("o_custkey"), "-", F.floor(key / 7) % 3)).alias("email"), F.when(key % 7 == 0, text("a", key)).alias("address"), text("c", key % 5).alias("city"),
+        F.when(key % 3 != 0, F.array("o_orderpriority")).otherwise(F.array().cast("array<string>")).alias("labels"), F.when(key % 6 != 0, F.array("o_orderstatus")).alias("groups"),
+    )
+    tags = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["device"], F.lit(":"), x["label"])), ",").alias(c)
+    changed, _ = H.share_contacts(None, shares)
+    return changed.select("contact", "email", "name", "number", "address", "city", "is_public", tags("labels"), tags("groups"))

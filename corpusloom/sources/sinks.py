@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .store import Store, Transaction
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
@@ -38,33 +38,26 @@ def xml_rows(df: DataFrame, root: str, columns: list[str]) -> Column:
 
 
 class VersionedTable:
-    """A table whose every write is a new folder and a pointer row, so readers see the old or the new whole."""
+    """A table whose every write is a new version, so readers see the old or the new whole.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A write after a read goes on from the version that was read: if another writer has published since, it is refused with Conflict. A write without a read replaces what is there.
+    """
 
-    def _versions(self) -> list[tuple[int, str]]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted((int(n.split("-")[0]), n) for n in names)
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = Store(spark, path)
+        self._seen: Transaction | None = None
 
     def write(self, df: DataFrame) -> int:
         """Write all rows, then publish them. Returns the version."""
-        data = f"{self.path}/data/{uuid.uuid4().hex}"
-        df.write.parquet(data)
-        version = max([v for v, _ in self._versions()], default=0) + 1
-        jvm = self.spark.sparkContext._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/{version:012d}-{data.rsplit('/', 1)[1]}")
-        mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(mark, False).close()
-        return version
+        t, self._seen = self._seen, None
+        if t is None:
+            return self.store.run(lambda t: t.write("rows", df))
+        t.write("rows", df)
+        return t.commit()
 
     def read(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/data/{versions[-1][1].split('-', 1)[1]}") if versions else None
+        self._seen = self.store.begin()
+        return self._seen.read("rows")
 
 
 class BatchLog:
@@ -81,13 +74,32 @@ class BatchLog:
 
 
 def merge_batches(target: VersionedTable, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a table once: a batch that comes again after a failure is left out."""
+    """A foreachBatch function that merges each batch into a table once: a batch that comes again after a failure is left out. Another writer's version in between is merged with."""
+    return transactions(target.store, {"rows": merge})
+
+
+def transactions(store: Store, merges: dict[str, Callable[[DataFrame | None, DataFrame], DataFrame]], appends: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that changes several tables in one commit a batch: merges make a table from the old one (None at first) and the batch, appends add rows.
+
+    The batch's number is committed with the tables, so a batch that comes again after a failure changes nothing.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = target.read()
-        if old is not None and (last := old.agg(F.max("batch_id")).first()[0]) is not None and last >= batch_id:
-            return
-        before = old.drop("batch_id") if old is not None else None
-        target.write(merge(before, batch).withColumn("batch_id", F.lit(batch_id)))
+        batch = batch.persist()
+        try:
+
+            def change(t: Transaction) -> None:
+                last = t.note("batch_id")
+                if last is not None and last >= batch_id:
+                    return
+                for name, rows in (appends or {}).items():
+                    t.append(name, rows(batch))
+                for name, merge in merges.items():
+                    t.write(name, merge(t.read(name), batch))
+                t.set_note("batch_id", batch_id)
+
+            store.run(change)
+        finally:
+            batch.unpersist()
 
     return run

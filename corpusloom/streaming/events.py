@@ -6,7 +6,7 @@ for ever). Each function takes a streaming DataFrame and gives one, or a started
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import calls as C
 from ..operators import contacts as K
+from ..operators import shares as H
 from ..operators import social as S
-from ..sources.sinks import BatchLog, VersionedTable, merge_batches
+from ..sources.shared import written
+from ..sources.sinks import VersionedTable, merge_batches, transactions
+from ..sources.store import KeyedTable, Store, Transaction
 
 
 def pair_calls(calls: DataFrame, equal: list[str], at: str = "ts", key: str = "id", tolerance: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
@@ -93,8 +97,9 @@ def merge_shares(shares: DataFrame, target: VersionedTable, checkpoint: str, key
     return shares.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge_batches(target, merge)).start()
 
 
-def label_events(labels: DataFrame, log: BatchLog, by_contact: VersionedTable, pairs: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Label events (tagger, id, labels array, ts) to three tables: the log, to which batches are added, each contact's distinct labels, and tag pair counts."""
+def label_events(labels: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Label events (tagger, id, labels array, ts) to three tables of a store in one commit a batch: `log`, to which batches are added, `labels`, each contact's distinct ones, and
+    `pairs`, tag pair counts. A reader of any version sees all three as of the same batch."""
 
     def add_labels(old, batch):
         new = batch.select("id", F.explode("labels").alias("label")).distinct()
@@ -104,15 +109,58 @@ def label_events(labels: DataFrame, log: BatchLog, by_contact: VersionedTable, p
         new = S.tag_pairs(batch.withColumn("event", F.monotonically_increasing_id()).select("event", F.explode("labels").alias("tag")), "event", "tag")
         return new if old is None else old.unionByName(new).groupBy("tag", "related_tag").agg(F.sum("value").alias("value"))
 
-    sinks = [merge_batches(t, f) for t, f in ((by_contact, add_labels), (pairs, add_pairs))]
+    run = transactions(store, {"labels": add_labels, "pairs": add_pairs}, {"log": lambda batch: batch})
+    return labels.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()
+
+
+def _once(store: Store, name: str, change: Callable[[Transaction, DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: change(transaction, batch) and the batch's number in one commit; a batch that comes again changes nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            log.write(batch, batch_id)
-            for sink in sinks:
-                sink(batch, batch_id)
+
+            def commit(t: Transaction) -> None:
+                last = t.note(name)
+                if (last is None or last < batch_id) and not batch.isEmpty():
+                    change(t, batch)
+                    t.set_note(name, batch_id)
+
+            store.run(commit)
         finally:
             batch.unpersist()
 
-    return labels.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()
+    return run
+
+
+def resolve_call_stream(calls: DataFrame, store: Store, checkpoint: str, tolerance: int = 2000, keep_ms: int | None = None, buckets: int = 16) -> StreamingQuery:
+    """Call logs (id, device, number, seconds, at) resolved as they come, as `resolve_calls` does for all at once: ids rise from batch to batch.
+
+    The store's tables `numbers` (device, number), `waiting` (logs) and `edges` (src, dst, calls, minutes) change in one commit a batch; edges are a keyed table, of which a batch rewrites
+    the buckets it touches. keep_ms: waiting logs go when the latest log is that much later; None keeps them for ever.
+    """
+    edges = KeyedTable(store, "edges", ["src", "dst"], buckets)
+
+    def change(t: Transaction, batch: DataFrame) -> None:
+        numbers = t.read("numbers")
+        known = batch.limit(0).select("device", "number") if numbers is None else numbers
+        found = C.resolve_calls(batch, known, t.read("waiting"), tolerance)
+        edges.merge(t, found.edges, lambda old, new: old.unionByName(new).groupBy("src", "dst").agg(F.sum("calls").alias("calls"), F.sum("minutes").alias("minutes")))
+        t.append("numbers", found.learned.select("device", "number"))
+        left = found.waiting
+        if keep_ms is not None:
+            left = left.filter(F.col("at") >= batch.agg(F.max("at")).first()[0] - keep_ms)
+        t.write("waiting", left)
+
+    return calls.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(_once(store, "calls", change)).start()
+
+
+def share_stream(shares: DataFrame, store: Store, checkpoint: str, buckets: int = 16) -> StreamingQuery:
+    """Share events, as `share_contacts` takes them, merged into the store's keyed table `contacts` as they come; ids rise from batch to batch."""
+    table = KeyedTable(store, "contacts", ["contact"], buckets)
+
+    def change(t: Transaction, batch: DataFrame) -> None:
+        changed, _ = H.share_contacts(table.read(t), batch)
+        table.merge(t, written(changed, "shared"), lambda old, new: old.join(new.select("contact"), "contact", "left_anti").unionByName(new))
+
+    return shares.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(_once(store, "shares", change)).start()

@@ -18,6 +18,7 @@ from corpusloom.operators.ids import with_dense_id
 from corpusloom.sources import html as H
 from corpusloom.sources import readers as R
 from corpusloom.sources import sinks as W
+from corpusloom.sources.store import Store
 from corpusloom.streaming import events as ST
 
 
@@ -404,12 +405,13 @@ def test_stream_shares_and_labels(spark, tmp_path):
     ST.merge_shares(shares, target, str(tmp_path / "c1")).awaitTermination()
     assert sorted((r.id, r.name, r.city) for r in target.read().collect()) == [(1, "A", "y"), (2, "B", None)]
     labels = stream(spark, tmp_path / "l", [("t", 1, ["a", "b"], 1), ("t", 1, ["b", "a"], 2), ("t", 2, ["c"], 3)], "tagger string, id long, labels array<string>, ts long")
-    tables = [W.BatchLog(spark, str(tmp_path / "log")), *(W.VersionedTable(spark, str(tmp_path / n)) for n in ("labels", "pairs"))]
-    ST.label_events(labels, *tables, str(tmp_path / "c2")).awaitTermination()
-    assert [t.read().count() for t in tables] == [3, 3, 1] and tables[2].read().first().value == 2
-    again = spark.createDataFrame([("t", 1, ["a"], 1), ("t", 2, ["c"], 3)], "tagger string, id long, labels array<string>, ts long")
-    tables[0].write(again, 0)  # a batch that comes again replaces itself
-    assert tables[0].read().count() == 2
+    store = Store(spark, str(tmp_path / "store"))
+    ST.label_events(labels, store, str(tmp_path / "c2")).awaitTermination()
+    assert [store.read(n).count() for n in ("log", "labels", "pairs")] == [3, 3, 1] and store.read("pairs").first().value == 2 and store.latest() == 1
+    log, again = W.BatchLog(spark, str(tmp_path / "log")), spark.createDataFrame([("t", 1, ["a"], 1), ("t", 2, ["c"], 3)], "tagger string, id long, labels array<string>, ts long")
+    for rows in (again, again.limit(1)):
+        log.write(rows, 0)  # a batch that comes again replaces itself
+    assert log.read().count() == 1
 
 
 def test_waiting_logs_go_with_time(spark, tmp_path):
