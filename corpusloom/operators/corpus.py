@@ -68,11 +68,14 @@ def token_counts(toks: DataFrame, key: str = "doc_id") -> DataFrame:
 def text_counts(docs: DataFrame, text: str = "text", pattern: str = T.WORDS, least: int = 2, most: int | None = None) -> DataFrame:
     """As token_counts(tokens(docs, ...)) where each row is a document of its own.
 
-    A document's tokens are sorted where it is read, so its first of each token is known there, and one aggregation with partial sums is the only shuffle.
+    A document's tokens and its distinct tokens both come as rows, told apart by a flag, so one aggregation with partial sums is the only shuffle and its
+    map side holds tokens, not pairs of tokens and documents.
     """
-    kept = F.array_sort(F.transform(F.filter(T.words(F.col(text), pattern), lambda w: T.is_token(w, least, most)), F.lower))
-    marked = docs.select(kept.alias("t")).select(F.inline(F.transform("t", lambda w, i: F.struct(w.alias("token"), ((i == 0) | (F.get("t", i - 1) != w)).cast("int").alias("first")))))
-    return marked.groupBy("token").agg(F.count("*").alias("cnt"), F.sum("first").alias("df"))
+    low = docs.select(F.transform(T.words(F.col(text), pattern), F.lower).alias("t"))
+    both = F.array(*(F.struct(t.alias("t"), F.lit(first).alias("first")) for t, first in ((F.col("t"), False), (F.array_distinct("t"), True))))
+    pairs = low.select(F.inline(both))
+    rows = pairs.select(F.explode("t").alias("token"), "first").filter(T.is_token(F.col("token"), least, most))
+    return rows.groupBy("token").agg(F.count_if(~F.col("first")).alias("cnt"), F.count_if("first").alias("df"))
 
 
 def stop_list(spark, words=STOP_WORDS) -> DataFrame:
