@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -9,6 +12,8 @@ from ..operators import calls as C
 from ..operators import contacts as K
 from ..operators import shares as H
 from ..operators import social as S
+from ..operators import text_index as I
+from ..sources.shared import fresh_path
 from .registry import query, table
 
 _ms = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
@@ -121,6 +126,29 @@ def full_text_match(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(F.array_contains(F.split(F.lower("p_name"), " "), "small")).select("p_partkey")
 
 
+_RUNS = "runs AS (SELECT doc_id, lower(unnest(l)) AS w, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[$a-zA-Z0-9]+') AS l FROM documents))"
+
+
+@query(
+    f"""WITH {_RUNS} SELECT 'all' AS kind, doc_id FROM runs WHERE w IN ('that', 'with', 'from') GROUP BY doc_id HAVING count(DISTINCT w) = 3
+UNION ALL SELECT 'any', doc_id FROM runs WHERE w IN ('keit', 'pour') GROUP BY doc_id UNION ALL SELECT 'prefix', doc_id FROM runs WHERE starts_with(w, 'keit') GROUP BY doc_id
+UNION ALL SELECT 'phrase', a.doc_id FROM runs a JOIN runs b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN runs c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.w = 'and' AND b.w = 'the' AND c.w = 'and' GROUP BY a.doc_id
+UNION ALL SELECT 'phrase', a.doc_id FROM runs a JOIN runs b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.w = 'is' AND b.w = 'the' GROUP BY a.doc_id"""
+)
+def full_text_index(spark, sf_dir):
+    """Documents found through an index of words and positions: all of some words, any of some, a prefix, and two phrases."""
+    index = I.WordIndex.build(table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_path(spark, "word-index"))
+    found = [("all", index.all_of("that", "With", "from")), ("any", index.any_of("keit", "pour")), ("prefix", index.prefix("Keit")), ("phrase", index.phrase("and", "the", "and")), ("phrase", index.phrase("is", "the"))]
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(kind).alias("kind"), F.col("key").alias("doc_id")) for kind, rows in found))
+
+
+@query("SELECT page_id FROM pages WHERE contains(lower(url), 'example.org/fr/')")
+def substring_index(spark, sf_dir):
+    """Pages whose url holds a string, found through an index of runs of three characters."""
+    index = I.SubstringIndex.build(table(spark, sf_dir, "pages"), fresh_path(spark, "gram-index"), "page_id", "url")
+    return index.contains("Example.org/FR/").select(F.col("key").alias("page_id"))
+
+
 @query(
     """WITH l AS (SELECT o_custkey AS id, bool_or(o_orderkey % 97 = 13) AS tagged FROM orders GROUP BY 1)
 SELECT c_custkey AS id, coalesce(c_custkey % 5 = 0 OR tagged OR (c_acctbal > 0 AND ((c_nationkey = 3 AND c_mktsegment = 'BUILDING') OR (c_nationkey = 7 AND c_mktsegment = 'FURNITURE'))), false) AS visible FROM customer LEFT JOIN l ON id = c_custkey"""
