@@ -167,8 +167,9 @@ def is_permutation(values: Column) -> Column:
 
 
 def swapped(values: Column, seed: int, swaps: int = 300) -> Column:
-    """An array shuffled by so many swaps of two places, which a hash of the seed, the swap's number and the array's length picks."""
-    place = lambda i, side: F.pmod(F.xxhash64(F.lit(seed), i, F.lit(side), F.size(values)), F.size(values)).cast("int")
+    """An array shuffled by so many swaps of two places, which the md5 of the seed, the swap's number, the side and the array's length picks."""
+    hashed = lambda i, side: F.md5(F.concat_ws(":", F.lit(str(seed)), i.cast("string"), F.lit(str(side)), F.size(values).cast("string")))
+    place = lambda i, side: F.pmod(F.conv(F.substring(hashed(i, side), 1, 12), 16, 10).cast("long"), F.size(values)).cast("int")
 
     def swap(now: Column, i: Column) -> Column:
         a, b = place(i, 0), place(i, 1)

@@ -28,6 +28,8 @@ MOST_TOKENS = 5_000_000
 PART_TOKENS = 1_000_000
 #: Tokens that a part of a chain should have at least, where there are cores for more parts.
 LEAST_TOKENS = 20_000
+#: Weights of tokens that a part holds at once.
+CELLS = 1 << 20
 
 
 @dataclass
@@ -338,41 +340,53 @@ class _Part:
             of_entity = table[at]  # a document's own copy
             entity_size, share = of_entity.sum(2), self.times / np.maximum(1, self.times.sum(1, keepdims=True))
             prior, beta = (c.alpha_e, c.beta_e) if c.model == "entity_3" else (c.gamma, c.beta)
-        for t in range(int(self.length.max(initial=0))):
-            live = int(np.searchsorted(-self.length, -t))  # documents of more than t tokens come first
-            i, r = self.first[:live] + t, np.arange(live)
-            cell, entity = self.cell[i], self.entity[i]
-            seen = word_counts[word[i]]
-            seen[r, cell] -= 1
-            s = cell >= k_d
-            a, b = r[~s], r[s]
-            own[a, cell[~s]] -= 1
-            own_size[a] -= 1
-            weights = (seen[:, :k_d] + c.beta) / (size[:k_d] + v * c.beta) * (own[:live] + c.alpha)
-            if with_entities:
-                switch[r, s.astype(np.int64)] -= 1
-                of_entity[b, entity[s], cell[s] - k_d] -= 1
-                entity_size[b, entity[s]] -= 1
-                weights /= (own_size[:live] + k_d * c.alpha)[:, None]
-                of_words = (seen[:, k_d:] + beta) / (size[k_d:] + v * beta)
-                extra = of_words[:, None, :] * (of_entity[:live] + prior) * (share[:live] / (entity_size[:live] + k_e * prior))[:, :, None]
-                if c.model != "entity_1":
-                    weights *= (switch[:live, 0] + c.eta_d)[:, None]
-                    extra *= (switch[:live, 1] + c.eta_e)[:, None, None]
-                weights = np.concatenate([weights, extra.reshape(live, -1)], 1)
-            sums = np.cumsum(weights, 1)
-            at = (sums <= (u[i] * (1 - 2.0**-40) * sums[:, -1])[:, None]).sum(1)
+        # tokens by their place in the document, so a step is a slice; what doesn't change within the sweep is made for many steps at once
+        order = np.lexsort((row, np.arange(len(row)) - self.first[row]))
+        lives = n - np.searchsorted(np.sort(self.length), np.arange(int(self.length.max(initial=0))), side="right")  # documents of more than t tokens come first
+        word, cell, entity, u = word[order], self.cell[order], self.entity[order], u[order] * (1 - 2.0**-40)
+        every, o, made = np.arange(n), 0, 0
+        for live in lives.tolist():
+            if o + live > made:
+                lo, made = o, min(len(cell), o + max(live, CELLS // (k_d + k_e)))
+                seen = word_counts[word[lo:made]]
+                seen[np.arange(made - lo), cell[lo:made]] -= 1
+                of_topics = (seen[:, :k_d] + c.beta) / (size[:k_d] + v * c.beta)
+                if with_entities:
+                    of_words = (seen[:, k_d:] + beta) / (size[k_d:] + v * beta)
+            r, now, here = every[:live], slice(o, o + live), slice(o - lo, o - lo + live)
+            old = cell[now]
+            if not with_entities:
+                own[r, old] -= 1
+                sums = np.cumsum(of_topics[here] * (own[:live] + c.alpha), 1)
+                old[:] = (sums <= (u[now] * sums[:, -1])[:, None]).sum(1)
+                own[r, old] += 1
+                o += live
+                continue
+            held, s = entity[now], old >= k_d
+            x, y = r[~s], r[s]
+            own[x, old[~s]] -= 1
+            own_size[x] -= 1
+            switch[r, s.astype(np.int64)] -= 1
+            of_entity[y, held[s], old[s] - k_d] -= 1
+            entity_size[y, held[s]] -= 1
+            weights = of_topics[here] * (own[:live] + c.alpha) / (own_size[:live] + k_d * c.alpha)[:, None]
+            extra = of_words[here][:, None, :] * (of_entity[:live] + prior) * (share[:live] / (entity_size[:live] + k_e * prior))[:, :, None]
+            if c.model != "entity_1":
+                weights *= (switch[:live, 0] + c.eta_d)[:, None]
+                extra *= (switch[:live, 1] + c.eta_e)[:, None, None]
+            sums = np.cumsum(np.concatenate([weights, extra.reshape(live, -1)], 1), 1)
+            at = (sums <= (u[now] * sums[:, -1])[:, None]).sum(1)
             s = at >= k_d
-            a, b = r[~s], r[s]
-            entity = np.full(live, -1)
-            entity[s], cell = (at[s] - k_d) // max(1, k_e), np.where(s, k_d + (at - k_d) % max(1, k_e), at)
-            own[a, cell[~s]] += 1
-            own_size[a] += 1
-            if with_entities:
-                switch[r, s.astype(np.int64)] += 1
-                of_entity[b, entity[s], cell[s] - k_d] += 1
-                entity_size[b, entity[s]] += 1
-            self.cell[i], self.entity[i] = cell, entity
+            x, y = r[~s], r[s]
+            held[:] = np.where(s, (at - k_d) // max(1, k_e), -1)
+            old[:] = np.where(s, k_d + (at - k_d) % max(1, k_e), at)
+            own[x, old[~s]] += 1
+            own_size[x] += 1
+            switch[r, s.astype(np.int64)] += 1
+            of_entity[y, held[s], old[s] - k_d] += 1
+            entity_size[y, held[s]] += 1
+            o += live
+        self.cell[order], self.entity[order] = cell, entity
         if c.model == "event":
             self._mentions(entities, entity_counts, event_size, n_entities, u_mention)
         return self.rows()

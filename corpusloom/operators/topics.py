@@ -95,6 +95,20 @@ def event_report(counts: DataFrame, key: str, n: int) -> DataFrame:
     return best.select(F.col("k").alias("event"), "total", F.col("rank").cast("long").alias("rank"), key, "n")
 
 
+def topic_report(assigned: DataFrame, vocab: DataFrame, beta: float, n: int) -> DataFrame:
+    """(k, total, rank, word_id, token, n, prob, z): each topic's size and its n most frequent words (ties: by id), with the smoothed probability of a word in the topic, and how far its
+    count is from what its share of the corpus suggests, in standard deviations."""
+    counts = topic_counts(assigned, "word_id")
+    sizes = counts.groupBy("k").agg(F.sum("n").alias("total"))  # as many as topics
+    best = top(counts, ["k"], F.col("n"), "word_id", n)
+    words = counts.groupBy("word_id").agg(F.sum("n").alias("in_all")).join(F.broadcast(best.select("word_id").distinct()), "word_id")  # n words a topic at most
+    whole = sizes.agg(F.sum("total")).first()[0] or 0
+    rows = best.join(F.broadcast(sizes), "k").join(words, "word_id").join(vocab.select("word_id", "token"), "word_id")
+    prob = (F.col("n") + F.lit(beta)) / (F.col("total") + F.lit(beta * vocab.count()))
+    z = T.z_score(F.col("n"), F.col("total"), F.col("in_all"), F.lit(float(whole)))
+    return rows.select("k", "total", F.col("rank").cast("long").alias("rank"), "word_id", "token", "n", prob.alias("prob"), z.alias("z"))
+
+
 def as_matrix(long: DataFrame, row: str, topics: int, value: str) -> DataFrame:
     """One row for each key and one column `topic k` for each topic."""
     wide = long.groupBy(row).pivot("k", list(range(topics))).agg(F.first(value))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.porter import stemmed
 from ..operators import corpus as C
 from ..operators import entities as E
+from ..operators import tagger as G
 from ..sources.shared import written
 from .registry import query, table
 
@@ -121,6 +122,16 @@ def run_merge_islands(spark, sf_dir):
     return mentions_of(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), "value", F.col("type").cast("long").alias("type"))
 
 
+@query()
+def tagged_mentions(spark, sf_dir):
+    """Mentions by a tag model that is learned from a list of names (capitalised words that occur often, typed by their length): best paths through all documents."""
+    docs = docs_of(spark, sf_dir)
+    often = E.annotate(docs).filter("label >= 0").groupBy("token", "label").agg(F.count("*").alias("n")).filter("n >= 5")
+    names = often.select("token", F.get(F.array(F.lit("OTHER"), F.lit("PERSON"), F.lit("LOCATION"), F.lit("ORGANIZATION")), F.col("label")).alias("type"))
+    tagged = written(G.tag(docs, G.learn(G.unsure(E.annotate_listed(docs, written(names, "names"))))), "tagged")
+    return E.merge_runs(tagged).select("doc_id", F.col("ord").cast("long").alias("ord"), "value", F.col("type").cast("long").alias("type"))
+
+
 @query(f"""WITH {MENTIONS.replace("length(token) % 3 + 1 ELSE", "CASE WHEN length(token) % 3 = 1 THEN -1 ELSE length(token) % 3 + 1 END ELSE")} SELECT doc_id, ord, value, type FROM mentions""")
 def entity_types_switch(spark, sf_dir):
     """Mentions of persons and organisations only; locations aren't accepted and end runs."""

@@ -120,6 +120,18 @@ def topic_word_zscore(spark, sf_dir):
     return joined.select("word_id", "k", F.round(T.z_score(F.col("n"), F.col("size"), F.col("total"), F.lit(float(n))), 6).alias("z"))
 
 
+@query(
+    f"""WITH {WT}, w AS (SELECT word_id, sum(n) AS in_all FROM wt GROUP BY 1), t AS (SELECT k, sum(n)::BIGINT AS total FROM wt GROUP BY 1), c AS (SELECT count(*) AS all_n, (SELECT count(*) FROM vocab) AS v FROM a),
+r AS (SELECT k, word_id, n, row_number() OVER (PARTITION BY k ORDER BY n DESC, word_id) AS rank FROM wt)
+SELECT k, total, rank, word_id, token, n, round((n + {BETA}::DOUBLE) / (total + v * {BETA}::DOUBLE), 9) AS prob, round((n - total * (in_all / all_n)) / sqrt(total * (in_all / all_n) * (1 - in_all / all_n)), 6) AS z
+FROM r JOIN t USING (k) JOIN w USING (word_id) JOIN vocab USING (word_id) CROSS JOIN c WHERE rank <= 25"""
+)
+def topic_full_report(spark, sf_dir):
+    """Each topic's size, and its first 25 words with count, probability and z."""
+    assigned, vocab = assigned_of(spark, sf_dir)
+    return M.topic_report(assigned, vocab, BETA, 25).withColumns({"prob": F.round("prob", 9), "z": F.round("z", 6)})
+
+
 @query(f"WITH {THETA}{PHI}, p AS (SELECT a.doc_id, a.pos, sum(theta * phi) AS p FROM a JOIN theta USING (doc_id) JOIN phi USING (word_id, k) GROUP BY 1, 2) SELECT round(sum(log2(p)), 3) AS log2_likelihood FROM p")
 def lda_log2_likelihood(spark, sf_dir):
     assigned, vocab = assigned_of(spark, sf_dir)
@@ -302,22 +314,22 @@ def gibbs_distributed(spark, sf_dir):
     return M.topic_counts(swept, "word_id")
 
 
-def _sampled_corpus(docs):
-    """Tokens and document entities that the samplers take."""
-    toks = C.tokens(docs)
-    encoded = C.encode(toks, written(C.vocabulary(C.text_counts(docs), 2, 0), "vocabulary"))
-    mentions = written(E.merge_runs(E.annotate(docs)), "mentions")
-    return encoded, E.document_entities(mentions, E.entity_set(mentions, 1), 4)
+def _tokens(docs):
+    """Tokens that the samplers take."""
+    return C.encode(C.tokens(docs), written(C.vocabulary(C.text_counts(docs), 2, 0), "vocabulary"))
 
 
 def _documents(spark, sf_dir):
-    return _sampled_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Tokens and document entities that the samplers take."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mentions = written(E.merge_runs(E.annotate(docs)), "mentions")
+    return _tokens(docs), E.document_entities(mentions, E.entity_set(mentions, 1), 4)
 
 
 @query()
 def gibbs_lda(spark, sf_dir):
     """Samples of an approximate distributed chain over all documents (the exact chain, `samplers.exact`, is for corpora of one task)."""
-    return S.distributed(_documents(spark, sf_dir)[0], None, S.Chain("lda", topics=4, burn_in=4, lag=2, samples=2, seed=2321))
+    return S.distributed(_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")), None, S.Chain("lda", topics=4, burn_in=4, lag=2, samples=2, seed=2321))
 
 
 @query()
@@ -342,3 +354,34 @@ def gibbs_entity_v3(spark, sf_dir):
 def gibbs_event(spark, sf_dir):
     """Samples of an approximate distributed chain over all documents."""
     return S.distributed(*_documents(spark, sf_dir), S.Chain("event", topics=4, burn_in=10, lag=5, samples=2, seed=4))
+
+
+@query()
+def gibbs_grid(spark, sf_dir):
+    """Words of each topic by configuration: three models of the same corpus in one plan."""
+    chains = [S.Chain("lda", topics=k, alpha=a, burn_in=3, lag=1, samples=1, seed=k) for k, a in ((3, 0.1), (5, 0.5))] + [S.Chain("entity_2", topics=4, entity_topics=3, burn_in=3, lag=1, samples=1, seed=9)]
+    rows = S.distributed_grid(*_documents(spark, sf_dir), chains)
+    return rows.groupBy("config", "s", "z").agg(F.count("*").alias("n"), F.countDistinct("word_id").alias("n_words"))
+
+
+_U = "('0x' || substr(md5('77:{sweep}:' || doc_id || ':' || pos), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(
+    f"""WITH {VOCAB}, z AS (SELECT doc_id, pos, word_id, floor((u * 1048576 - floor(u * 1048576)) * 3)::BIGINT AS z, {_U.format(sweep=1)} * (1 - 1 / 1099511627776.0::DOUBLE) AS u FROM (SELECT doc_id, pos, word_id, {_U.format(sweep=0)} AS u FROM toks JOIN vocab USING (token))),
+w AS (SELECT word_id, [count(*) FILTER (z = 0), count(*) FILTER (z = 1), count(*) FILTER (z = 2)] AS n FROM z GROUP BY 1), t AS (SELECT [count(*) FILTER (z = 0), count(*) FILTER (z = 1), count(*) FILTER (z = 2)] AS size, count(DISTINCT word_id) AS v FROM z),
+f AS (SELECT doc_id, pos, z, u, list_transform(range(1, 4), lambda k: ((n[k] - CASE WHEN z + 1 = k THEN 1 ELSE 0 END)::DOUBLE + 0.01::DOUBLE) / (size[k] + v * 0.01::DOUBLE)) AS a FROM z JOIN w USING (word_id), t),
+d AS (SELECT doc_id, list({{'z': z, 'u': u, 'a': a, 'own': []::DOUBLE[], 'out': []::BIGINT[]}} ORDER BY pos) AS l, [count(*) FILTER (z = 0), count(*) FILTER (z = 1), count(*) FILTER (z = 2)]::DOUBLE[] AS own FROM f GROUP BY 1),
+s AS (SELECT doc_id, list_reduce(list_prepend({{'z': 0::BIGINT, 'u': 0.0::DOUBLE, 'a': []::DOUBLE[], 'own': own, 'out': []::BIGINT[]}}, l), lambda acc, x:
+  list_transform(list_transform(list_transform([list_transform(acc.own, lambda o, k: o - CASE WHEN x.z + 1 = k THEN 1 ELSE 0 END)], lambda less: {{'less': less, 'w': list_transform(less, lambda o, k: x.a[k] * (o + 0.1::DOUBLE))}}),
+    lambda q: {{'less': q.less, 's1': q.w[1], 's2': q.w[1] + q.w[2], 's3': q.w[1] + q.w[2] + q.w[3]}}), lambda q: {{'z': 0::BIGINT, 'u': 0.0::DOUBLE, 'a': []::DOUBLE[],
+      'own': list_transform(q.less, lambda o, k: o + CASE WHEN k - 1 = (q.s1 <= x.u * q.s3)::BIGINT + (q.s2 <= x.u * q.s3)::BIGINT THEN 1 ELSE 0 END), 'out': list_append(acc.out, (q.s1 <= x.u * q.s3)::BIGINT + (q.s2 <= x.u * q.s3)::BIGINT)}})[1]).out AS out FROM d)
+SELECT doc_id, len(out) AS n, md5(array_to_string(out, ',')) AS topics FROM s"""
+)
+def gibbs_sweep(spark, sf_dir):
+    """One sweep of the distributed sampler over the whole corpus, its draws from md5: each document's topics in order."""
+    chain = S.Chain("lda", topics=3, burn_in=1, lag=1, samples=1, seed=77, hashed=True)
+    vocab = written(vocabulary_of(spark, sf_dir), "vocabulary")
+    rows = S.distributed(C.encode(tokens_of(spark, sf_dir), vocab), None, chain)
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("pos", "z"))), lambda x: x["z"])  # of one document
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(inside, ",")).alias("topics"))

@@ -106,14 +106,6 @@ def unique_lines(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("line")).select(F.lower("line").alias("line")).distinct()
 
 
-@query(
-    r"""SELECT doc_id, lower(string_split(text, ' ')[1]) AS first, substr(text, instr(text, '-') + 1, 20) AS after, string_agg(trim(x), '|') AS tags FROM (SELECT doc_id, text, unnest(string_split(substr(text, 1, 80), ',')) AS x FROM documents) GROUP BY doc_id, text"""
-)
-def text_pieces(spark, sf_dir):
-    d = docs_of(spark, sf_dir)
-    return d.select("doc_id", T.first_word(F.col("text")).alias("first"), F.substring(T.after_hyphen(F.col("text")), 1, 20).alias("after"), F.array_join(T.comma_tags(F.substring("text", 1, 80)), "|").alias("tags"))
-
-
 @query(
     r"""WITH p AS (SELECT doc_id, text, substr(text, instr(text, '-') + 1) AS after, list_transform(string_split(text, ','), lambda x: trim(x)) AS tags FROM documents)
 SELECT doc_id, lower(string_split(text, ' ')[1]) AS first, length(after) AS n_after, md5(after) AS after_digest, len(tags) AS n_tags, md5(array_to_string(tags, '|')) AS tags_digest FROM p"""

@@ -451,12 +451,16 @@ def search_ranking(spark, sf_dir):
     return S.ranked(found, 50).select("id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT n_nationkey, n_nationkey + 2 AS size, TRUE AS is_permutation FROM nation")
+@query(
+    """WITH p AS (SELECT n_nationkey, n_nationkey + 2 AS size, list_transform(range(1, 301), lambda i: list_transform([0, 1], lambda side: ('0x' || substr(md5('5:' || i || ':' || side || ':' || (n_nationkey + 2)), 1, 12))::BIGINT % (n_nationkey + 2))) AS swaps FROM nation),
+s AS (SELECT n_nationkey, size, list_reduce(list_prepend(range(size), swaps), lambda v, p: list_transform(v, lambda x, k: CASE WHEN k - 1 = p[1] THEN v[p[2] + 1] WHEN k - 1 = p[2] THEN v[p[1] + 1] ELSE x END)) AS v FROM p)
+SELECT n_nationkey, size, array_to_string(v, ',') AS shuffled, list_sort(v) = range(size) AS is_permutation FROM s"""
+)
 def permutation_shuffle(spark, sf_dir):
-    """Arrays shuffled by 300 swaps are permutations."""
+    """Arrays shuffled by 300 swaps, whose places come from md5, and whether they are permutations."""
     keys = table(spark, sf_dir, "nation").select("n_nationkey", F.sequence(F.lit(0), (F.col("n_nationkey") + 1).cast("int")).alias("v"))
     shuffled = keys.withColumn("s", T.swapped(F.col("v"), 5))
-    return shuffled.select("n_nationkey", F.size("s").alias("size"), T.is_permutation(F.col("s")).alias("is_permutation"))
+    return shuffled.select("n_nationkey", F.size("s").alias("size"), F.array_join("s", ",").alias("shuffled"), T.is_permutation(F.col("s")).alias("is_permutation"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
