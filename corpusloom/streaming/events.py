@@ -18,6 +18,7 @@ from ..operators import calls as C
 from ..operators import contacts as K
 from ..operators import shares as H
 from ..operators import social as S
+from ..sources.readers import incremental
 from ..sources.shared import written
 from ..sources.sinks import VersionedTable, merge_batches, transactions
 from ..sources.store import KeyedTable, Store, Transaction
@@ -164,3 +165,19 @@ def share_stream(shares: DataFrame, store: Store, checkpoint: str, buckets: int
         table.merge(t, written(changed, "shared"), lambda old, new: old.join(new.select("contact"), "contact", "left_anti").unionByName(new))
 
     return shares.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(_once(store, "shares", change)).start()
+
+
+def upload_new(rows: DataFrame, store: Store, name: str, at: str = "at") -> int:
+    """Append the rows after the store's mark to a table, and keep the latest row's `at` (a whole number) as the new mark, in one commit; gives the version.
+
+    What failed before the commit left the mark where it was and is sent again; what was committed is not. Rows with a null `at` are never sent. Two uploads at once don't send a row twice.
+    """
+
+    def change(t: Transaction) -> None:
+        mark = t.note(f"mark:{name}")
+        new, latest = incremental(rows.filter(F.col(at).isNotNull()), at, mark)
+        if latest is not None and latest != mark:
+            t.append(name, new.filter(F.col(at) <= latest))  # the source may have grown since
+            t.set_note(f"mark:{name}", latest)
+
+    return store.run(change)

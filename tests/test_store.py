@@ -237,3 +237,23 @@ def test_old_versions_read_as_they_were(spark, tmp_path):
     for i in range(3):
         store.run(lambda t, i=i: t.append("x", spark.range(i, i + 1).withColumn("extra", F.lit(i))))
     assert [store.read("x", v).count() for v in (1, 2, 3)] == [1, 2, 3] and store.read("y") is None
+
+
+def test_upload_keeps_its_mark(spark, tmp_path, monkeypatch):
+    store, log = Store(spark, str(tmp_path / "s")), lambda *at: spark.createDataFrame([(x,) for x in at], "at long")
+    assert ST.upload_new(log(), store, "log") == 0 and store.read("log") is None
+    assert ST.upload_new(log(3, 1, None), store, "log") == 1
+    again = Store(spark, store.path)
+    assert ST.upload_new(log(1, 3, 5, 4), again, "log") == 2 and ST.upload_new(log(1, 3, 5, 4), again, "log") == 2
+    assert numbers(store.read("log")) == [1, 3, 4, 5] and store.notes() == {"mark:log": 5}
+    publish, tries = Store._publish, []
+
+    def beaten(self, *a):  # another upload of the same rows comes first
+        tries.append(1)
+        if len(tries) == 1:
+            ST.upload_new(log(5, 7), store, "log")
+        return publish(self, *a)
+
+    monkeypatch.setattr(Store, "_publish", beaten)
+    ST.upload_new(log(5, 7, 8), again, "log")
+    assert numbers(store.read("log")) == [1, 3, 4, 5, 7, 8] and store.notes() == {"mark:log": 8}
