@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 FIELDS = ("name", "email", "number", "address")
+#: Contacts that a task sends on together.
+BATCH = 2000
 _TAG = "array<struct<device:string,label:string>>"
 CONTACTS = f"contact long, email string, name string, number string, address string, city string, is_public boolean, labels {_TAG}, groups {_TAG}"
 
@@ -79,25 +81,26 @@ class _Book:
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contacts after their component's events; rows come by component, known contacts before events, events in order."""
     names = [c.split()[0] for c in CONTACTS.replace("struct<device:string,label:string>", "x").split(", ")]
-    root, book = None, _Book()
+    root, book, done = None, _Book(), []
 
-    def rows() -> pd.DataFrame:
+    def rows(found: list[dict]) -> pd.DataFrame:
         tags = lambda x: [{"device": d, "label": t} for d, t in x]
-        return pd.DataFrame([{**r, "labels": tags(r["labels"]), "groups": tags(r["groups"])} for r in book.rows.values()], columns=names)
+        return pd.DataFrame([{**r, "labels": tags(r["labels"]), "groups": tags(r["groups"])} for r in found], columns=names)
 
     for batch in batches:
         for e in batch.itertuples(index=False):
             if e.root != root:
-                if book.rows:
-                    yield rows()
+                done += book.rows.values()
                 root, book = e.root, _Book()
+                if len(done) >= BATCH:
+                    yield rows(done)
+                    done = []
             if e.known:
                 tags = lambda x: [(t["device"], t["label"]) for t in x] if x is not None else []
                 book.put(e.contact, is_public=bool(e.is_public), city=e.city, labels=tags(e.labels), groups=tags(e.groups), **{f: getattr(e, f) for f in FIELDS})
             else:
                 book.share(e)
-    if book.rows:
-        yield rows()
+    yield rows(done + [*book.rows.values()])
 
 
 def share_contacts(contacts: DataFrame | None, shares: DataFrame) -> tuple[DataFrame, DataFrame]:
