@@ -54,13 +54,14 @@ def accepted(annotated: DataFrame, *types: str) -> DataFrame:
 
 
 def merge_runs(annotated: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ord, value, type): runs of adjacent equal labels (but -1), joined by blanks; ord is the first position.
+    """(key, ord, value, type): runs of equal labels (but -1) at adjacent positions, joined by blanks; ord is the first position.
 
-    A run also ends at the document's end or before another label, so no entity is lost there.
+    A run also ends at the document's end or before another label, so no entity is lost there. Words without a label are dropped before anything is shuffled.
     """
     order = W.partitionBy(key).orderBy("pos")
-    starts = F.coalesce(F.col("label") != F.lag("label").over(order), F.lit(True)).cast("int")
-    runs = annotated.withColumn("run", F.sum(starts).over(order.rowsBetween(W.unboundedPreceding, 0))).filter("label >= 0")
+    goes_on = (F.col("label") == F.lag("label").over(order)) & (F.col("pos") == F.lag("pos").over(order) + 1)
+    starts = (~F.coalesce(goes_on, F.lit(False))).cast("int")
+    runs = annotated.filter("label >= 0").withColumn("run", F.sum(starts).over(order.rowsBetween(W.unboundedPreceding, 0)))
     words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
     merged = runs.groupBy(key, "run", "label").agg(F.min("pos").alias("ord"), F.array_join(words, " ").alias("value"))
     return merged.select(key, "ord", "value", F.col("label").alias("type"))

@@ -13,7 +13,7 @@ from ..operators import contacts as K
 from ..operators import shares as H
 from ..operators import social as S
 from ..operators import text_index as I
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, written
 from .registry import query, table
 
 _ms = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
@@ -246,8 +246,8 @@ rel AS (SELECT id, sum(x) / 2000 AS r FROM x GROUP BY 1)"""
 
 
 def relatedness_of(spark, sf_dir):
-    tags = tags_of(spark, sf_dir)
-    pairs = S.tag_pairs(tags, "grp", "tag")
+    tags = written(tags_of(spark, sf_dir), "tags")
+    pairs = written(S.tag_pairs(tags, "grp", "tag"), "tag-pairs")
     labels = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("grp")).join(tags, "grp").select("id", F.col("tag").alias("label")).distinct()
     terms = spark.createDataFrame([("ECONOMY",), ("Brand#5",)], "term string")
     return S.relatedness(labels, terms, S.co_occurrence(pairs), pairs)
@@ -265,7 +265,7 @@ SELECT id, round(r * CASE WHEN coalesce(s, 0) = 0 THEN 0.001::DOUBLE ELSE s END,
 )
 def social_rank(spark, sf_dir):
     """Search results of user 1: relatedness times the friends' links."""
-    w = S.weights(S.both_ways(edges_of(spark, sf_dir)))
+    w = written(S.weights(S.both_ways(edges_of(spark, sf_dir))), "friend-weights")
     friends = w.filter("src = 1").select(F.col("dst").alias("friend"), "weight")
     tagged = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("friend"), F.col("o_custkey").alias("id"))
     back = w.select(F.col("src").alias("id"), F.col("dst").alias("friend"), "weight")
