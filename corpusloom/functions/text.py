@@ -235,6 +235,19 @@ def from_millis(value: Column) -> Column:
     return F.timestamp_millis(value.cast("long"))
 
 
+def log_time(utc: Column, zone: str) -> Column:
+    """A time without a zone, in UTC, as a log line's text in the pattern LOG_TIME in some zone, whatever the session's own is."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc.cast("timestamp_ntz"))
+    minutes = F.timestamp_diff("MINUTE", utc.cast("timestamp_ntz"), local).cast("int")
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    return F.concat(F.date_format(local, LOG_TIME.removesuffix("Z")), F.when(minutes < 0, "-").otherwise("+"), two(F.abs(minutes) / 60), two(F.abs(minutes) % 60))
+
+
+def inserted(ordered: Column, value: Column) -> Column:
+    """An ascending array with one more value, after those equal to it: one pass, no sort. A null value leaves the array as it is."""
+    return F.when(value.isNull(), ordered).otherwise(F.concat(F.filter(ordered, lambda x: x <= value), F.array(value), F.filter(ordered, lambda x: x > value)))
+
+
 def xml_text(value: Column) -> Column:
     """An XML element's content with the reserved characters escaped; null: empty."""
     out = F.coalesce(value, F.lit(""))

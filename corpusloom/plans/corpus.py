@@ -167,10 +167,20 @@ def entity_mention_total(spark, sf_dir):
     return E.document_entities(mentions, E.entity_set(mentions), 4).groupBy("doc_id").agg(F.sum("cnt").alias("mentions"))
 
 
-@query()
+def _in(short: str, long: str) -> str:
+    """SQL for whether each word of one text starts another, or starts a later word of it."""
+    return f"len(list_filter(string_split({short}, ' '), lambda t: NOT (starts_with({long}, t || ' ') OR instr({long}, ' ' || t) > 1))) = 0"
+
+
+@query(
+    f"""WITH {MENTIONS}, c AS (SELECT doc_id, value, type, count(*) AS n, min(ord) AS first FROM mentions GROUP BY 1, 2, 3), o AS (SELECT doc_id, list({{'v': value, 't': type}} ORDER BY first) AS l FROM c GROUP BY 1),
+b AS (SELECT doc_id, n, list_reduce(list_prepend({{'v': value, 't': type}}, l), lambda best, e: CASE WHEN e.t = best.t AND e.v <> best.v AND {_in("best.v", "e.v")} AND NOT {_in("e.v", "best.v")} THEN e ELSE best END) AS best FROM c JOIN o USING (doc_id)),
+f AS (SELECT doc_id, best.v AS value, best.t AS type, sum(n)::BIGINT AS n FROM b GROUP BY ALL)
+SELECT f.doc_id, f.value, f.type, f.n + CASE WHEN {_in("f.value", "f.value")} THEN c.n ELSE 0 END AS cnt FROM f JOIN c ON c.doc_id = f.doc_id AND c.value = f.value AND c.type = f.type"""
+)
 def entity_fold(spark, sf_dir):
     """Mentions of each document folded into their longest forms, in order."""
-    return E.fold_variants(mentions_of(spark, sf_dir))
+    return E.fold_variants(mentions_of(spark, sf_dir)).withColumn("type", F.col("type").cast("long"))
 
 
 @query(

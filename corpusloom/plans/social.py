@@ -538,3 +538,16 @@ def share_resolution(spark, sf_dir):
     tags = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["device"], F.lit(":"), x["label"])), ",").alias(c)
     changed, _ = H.share_contacts(None, shares)
     return changed.select("contact", "email", "name", "number", "address", "city", "is_public", tags("labels"), tags("groups"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y%m%d%H%M%S') || '+0900' AS at FROM events")
+def log_times(spark, sf_dir):
+    """Times of all events as log lines have them, in the zone of Seoul."""
+    return table(spark, sf_dir, "events").select("event_id", T.log_time(F.col("ts"), "Asia/Seoul").alias("at"))
+
+
+@query("SELECT c_nationkey, array_to_string(list_sort(list_append(list(c_name), 'Customer#00' || c_nationkey)), ',') AS names FROM customer GROUP BY 1")
+def ordered_insert(spark, sf_dir):
+    """Each nation's customers in order, with one more put in its place."""
+    lists = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_name")).alias("names"))
+    return lists.select("c_nationkey", F.array_join(T.inserted(F.col("names"), F.concat(F.lit("Customer#00"), F.col("c_nationkey").cast("string"))), ",").alias("names"))
