@@ -39,6 +39,8 @@ def _search(rows, first: int, step: int) -> np.ndarray:
     alone = 2 * (told(*one) + told(n[0] - one[0], n[1] - one[1]) + base)
     mark = np.zeros(size, bool)
     at = np.flatnonzero(idx % step == first)
+    if not len(at):
+        return at
     at = at[np.argsort(idx[at], kind="stable")]
     row = np.searchsorted(ptr, at, side="right") - 1
     end, of_class = ptr[row + 1], y[row]

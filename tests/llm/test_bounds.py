@@ -68,6 +68,14 @@ def test_pairs_equal_brute_force(spark, least):
     assert P.telling_pairs(y, terms, 30, least, most_pairs=0).tolist() == [] and P.telling_pairs(y[:0], [], 30, least).tolist() == []
 
 
+def test_fewer_terms_than_tasks(spark):
+    """Two terms that are toxic apart and not together."""
+    rng = np.random.default_rng(9)
+    terms = [np.flatnonzero(rng.random(2) < 0.5) for _ in range(400)]
+    y = np.array([len(t) == 1 for t in terms]).astype(int)
+    assert P.telling_pairs(y, terms, 2, 100.0).tolist() == [0, 1] and P.telling_pairs(y, [t[:0] for t in terms], 2, 100.0).tolist() == []
+
+
 def test_margin_is_the_sum_over_all_pairs():
     """The machine's margin by its definition: bias, weights, and inner products of all pairs of a row's terms."""
     rng = np.random.default_rng(3)
