@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,11 @@ def test_sections(spark, name, want):
     assert one(spark, T.name_section(c("n")), n=name) == want
 
 
+@pytest.mark.parametrize("name, want", [("ßheit", "#"), ("ﬀ", "#"), ("ŉ", "#"), ("s", "S")])
+def test_a_section_is_one_letter(spark, name, want):
+    assert one(spark, T.name_section(c("n")), n=name) == want
+
+
 def test_scalar_functions(spark):
     assert one(spark, T.phone(c("p")), p="010-0000-0000") == "01000000000"
     assert one(spark, T.star_list(c("p")), p="[dominos*pizza*]") == ["dominos", "pizza"]
@@ -128,6 +134,17 @@ def test_html_nodes(spark):
     assert [r.tag for r in nodes.filter(H.has_attribute("class", "x") | H.has_attribute("href")).orderBy("ord").collect()] == ["div", "a"]
 
 
+def test_html_nodes_go_on_in_chunks():
+    parser = H._Nodes()
+    parser.feed("<div>x" * 500)
+    parser.close()
+    assert len(parser.pieces) == 500 and parser.text(parser.nodes[0]) == "x" * 500 and parser.text(parser.nodes[-1]) == "x"
+    page = "<div>" + "word " * 20_000 + "<p>" * 200
+    pages = pd.DataFrame({"page_id": range(20), "html": ["<div>" * 40 + page] * 20})
+    sizes = [(len(chunk), chunk.text.str.len().sum()) for chunk in H._rows(("div", "p"))([pages])]
+    assert sum(n for n, _ in sizes) == 20 * 241 and max(s for _, s in sizes) <= H.CHUNK + 100_000
+
+
 def test_sinks(spark, tmp_path):
     table = W.VersionedTable(spark, str(tmp_path / "t"))
     assert table.read() is None
