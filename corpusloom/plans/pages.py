@@ -83,7 +83,7 @@ SELECT page_id, ord, tag, href, trim(regexp_replace(regexp_replace(regexp_replac
 )
 def html_nodes(spark, sf_dir):
     """Links and headings of all pages by a parser."""
-    nodes = H.html_nodes(table(spark, sf_dir, "pages"))
+    nodes = H.html_nodes(table(spark, sf_dir, "pages"), ("a", "h1"))
     wanted = nodes.filter((H.has_tag("a") & H.has_attribute("href")) | H.has_tag("h1"))
     return wanted.select("page_id", "ord", "tag", F.element_at("attributes", "href").alias("href"), "text")
 
