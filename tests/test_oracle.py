@@ -34,3 +34,10 @@ def test_equals_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_event_shares_read_no_tokens(spark, sf, con, monkeypatch):
+    from corpusloom.plans import models
+
+    monkeypatch.setattr(models, "assigned_of", lambda *a: pytest.fail("tokens are assigned"))
+    assert QUERIES["event_psi"](spark, sf).count() == len(con.execute(SQL["event_psi"]).df())
