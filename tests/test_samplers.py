@@ -155,3 +155,25 @@ def test_registered_over_documents(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = catalog.queries()[name](spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == {0, 1, 2, 3} and {r.iter for r in rows} == {10, 15}
+
+
+def test_long_documents_lie_together(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_TOKENS", 4_000)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "sequence(1L, CASE WHEN id % 100 = 0 THEN 1000 ELSE 10 END) AS pos", "CASE WHEN id % 2 = 0 THEN 3 ELSE 0 END AS e")
+    dealt, parts = S._dealt(docs, S.F.size("pos"), S.F.col("e"))
+    rows = dealt.groupBy("part").agg(S.F.max(S.F.size("pos")).alias("longest"), S.F.sum(S.F.size("pos")).alias("n")).collect()
+    assert 10 < parts < 40 and all(0 <= r.part < parts for r in rows) and sum(r.n for r in rows) == 20 * 1000 + 1980 * 10
+    assert sum(r.longest > 10 for r in rows) <= 10 and max(r.n for r in rows) < 12_000
+
+
+@pytest.mark.parametrize("model", MODELS)
+def test_a_part_counts_its_own_tokens(model):
+    chain = S.Chain(model, topics=3, entity_topics=4, seed=7)
+    docs = some_documents(chain)
+    words, entities = counts_of(chain, docs)
+    counts = S._with_counts(chain, sum(chain.widths()), docs).dropna(subset=["kind"])
+    for kind, want in ((0, words), (1, entities)):
+        for r in counts[counts.kind == kind].itertuples():
+            for i, n in zip(r.ids, r.n, strict=True):
+                assert list(n[: want.shape[1]]) == list(want[i])
+    assert sum(np.sum(n) for k, ns in zip(counts.kind, counts.n, strict=True) if k == 0 for n in ns) == 105
