@@ -41,3 +41,14 @@ def test_event_shares_read_no_tokens(spark, sf, con, monkeypatch):
 
     monkeypatch.setattr(models, "assigned_of", lambda *a: pytest.fail("tokens are assigned"))
     assert QUERIES["event_psi"](spark, sf).count() == len(con.execute(SQL["event_psi"]).df())
+
+
+def test_draw_in_a_document_of_many_words(spark, tmp_path):
+    """Positions beyond 20,504 times 104,729 are more than an int holds."""
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(21_000)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "wak wbk")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = QUERIES["inverse_cdf_draw"](spark, str(tmp_path)).toPandas(), db.execute(SQL["inverse_cdf_draw"]).df()
+    assert len(got) > 10_000
+    pd.testing.assert_frame_equal(tidy(got), tidy(want), check_dtype=False)
