@@ -151,6 +151,16 @@ def test_calls_equal_the_sequence(spark):
     assert sorted(map(tuple, got.waiting.collect())) == waiting
 
 
+def test_a_round_of_calls_writes_what_was_found(spark, monkeypatch):
+    """Calls are written once; rounds write facts and calls with a counterpart, not all calls."""
+    calls, rows = some_calls(1) + [(1000 + i, 500 + i, 700 + i, 0, i) for i in range(500)], {}
+    keep = C.written
+    monkeypatch.setattr(C, "written", lambda df, name: rows.setdefault(name, []).append(keep(df, name)) or rows[name][-1])
+    C.resolve_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "device long, number long"), tolerance=1500)
+    counts = [df.count() for dfs in rows.values() for df in dfs]
+    assert counts[0] == len(calls) and max(counts[1:]) < 160
+
+
 def test_call_stream_equals_the_sequence(spark, tmp_path):
     """Batches cut the sequence anywhere; a batch that comes again changes nothing."""
     calls, known = some_calls(3, 60), [(0, 0), (1, 1), (2, 2)]
