@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 
 
 def interval_pairs(calls: DataFrame, equal: list[str], at: str = "at", key: str = "id", tolerance: int = 2000) -> DataFrame:
@@ -46,12 +47,17 @@ def weights(edges: DataFrame) -> DataFrame:
 
 
 def tag_pairs(tags: DataFrame, group: str, tag: str) -> DataFrame:
-    """(tag, related_tag, value): unordered pairs of distinct tags in a group, tag first in order, with the groups that hold both.
+    """(tag, related_tag, value): unordered pairs of distinct tags in a group, tag first in order, with the groups that hold both."""
+    return list_pairs(tags.groupBy(group).agg(F.array_sort(F.collect_set(tag)).alias("t")), "t")
 
-    Pairs come from each group's sorted distinct tags (a document's or order's tags, some tens), so they are made where the
+
+def list_pairs(lists: DataFrame, tags: str) -> DataFrame:
+    """As tag_pairs, for groups as rows with a sorted array of their distinct tags; nulls pair with nothing.
+
+    Pairs come from each group's own list (a document's or order's tags, some tens), so they are made where the
     group is and pre-aggregated before the shuffle.
     """
-    lists = tags.groupBy(group).agg(F.array_sort(F.collect_set(tag)).alias("t"))
+    lists = lists.select(F.filter(tags, lambda x: x.isNotNull()).alias("t"))
     pairs = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda b: F.struct(a.alias("tag"), b.alias("related_tag")))))
     return lists.select(F.explode(pairs).alias("p")).groupBy("p.tag", "p.related_tag").agg(F.count("*").alias("value"))
 
@@ -72,16 +78,18 @@ EQUAL, PAIR = 2000, 3
 
 
 def relatedness(labels: DataFrame, terms: DataFrame, related: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, r): for contacts with labels (id, label): over terms and labels, 2000 if equal, else their related count, plus 3 times their pair count; over 2000.
+    """(id, r): for contacts with labels (id, label), each once however often it comes: over terms and labels, 2000 if equal, else their related count, plus 3 times their pair count; over 2000.
 
-    Terms are a query's words. Labels meet terms through the three tables' keys only: labels that relate to no term add nothing.
+    Terms are a query's words. What a label adds depends on the label alone, so it is summed for each label that relates to a term, and contacts' labels meet
+    those sums once: labels that relate to no term add nothing and go before anything is shuffled.
     """
-    equal = labels.join(terms, labels["label"] == terms["term"]).select("id", F.lit(EQUAL).cast("double").alias("x"))
-    near = labels.join(related, labels["label"] == related["other"]).join(terms, related["tag"] == terms["term"]).filter(F.col("label") != F.col("term"))
-    near = near.select("id", F.col("n").cast("double").alias("x"))
+    equal = terms.select(F.col("term").alias("label"), F.lit(EQUAL).cast("double").alias("x"))
+    near = related.join(terms, related["tag"] == terms["term"]).filter(F.col("other") != F.col("term")).select(F.col("other").alias("label"), F.col("n").cast("double").alias("x"))
     every = pairs.select(F.col("tag").alias("p"), F.col("related_tag").alias("q"), "value").unionByName(pairs.select(F.col("related_tag").alias("p"), F.col("tag").alias("q"), "value"))
-    paired = labels.join(every, labels["label"] == every["p"]).join(terms, every["q"] == terms["term"]).select("id", (PAIR * F.col("value")).cast("double").alias("x"))
-    return equal.unionByName(near).unionByName(paired).groupBy("id").agg((F.sum("x") / EQUAL).alias("r"))
+    paired = every.join(terms, every["q"] == terms["term"]).select(F.col("p").alias("label"), (PAIR * F.col("value")).cast("double").alias("x"))
+    sums = written(equal.unionByName(near).unionByName(paired).groupBy("label").agg(F.sum("x").alias("x")), "label-sums")
+    met = labels.join(sums, "label").repartition("id").groupBy("id", "label").agg(F.first("x").alias("x"))
+    return met.groupBy("id").agg((F.sum("x") / EQUAL).alias("r"))
 
 
 def social_rank(candidates: DataFrame, friends: DataFrame, tagged: DataFrame, back_edges: DataFrame) -> DataFrame:
@@ -91,8 +99,8 @@ def social_rank(candidates: DataFrame, friends: DataFrame, tagged: DataFrame, ba
     The link l of friend and candidate is 1 if tagged, plus the candidate's weight to the friend; the social sum over friends
     of weight times l, if not 0, multiplies r, else 0.001 does. people: friends with a link, ascending.
     """
-    ones = tagged.select("friend", "id", F.lit(1.0).alias("l")).distinct()
-    links = ones.unionByName(back_edges.select("friend", "id", F.col("weight").alias("l"))).groupBy("friend", "id").agg(F.sum("l").alias("l")).filter("l > 0")
+    ones = tagged.join(friends.select("friend"), "friend", "left_semi").select("friend", "id", F.lit(1.0).alias("l")).distinct()
+    links = ones.unionByName(back_edges.join(friends.select("friend"), "friend", "left_semi").select("friend", "id", F.col("weight").alias("l"))).groupBy("friend", "id").agg(F.sum("l").alias("l")).filter("l > 0")
     social = links.join(friends, "friend").groupBy("id").agg(F.sum(F.col("weight") * F.col("l")).alias("s"), F.array_sort(F.collect_set("friend")).alias("people"))
     joined = candidates.join(social, "id", "left")
     score = F.col("r") * F.when(F.coalesce(F.col("s"), F.lit(0.0)) == 0, F.lit(0.001)).otherwise(F.col("s"))

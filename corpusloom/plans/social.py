@@ -38,15 +38,21 @@ def edges_of(spark, sf_dir):
     return S.friend_edges(calls_of(spark, sf_dir).filter("caller <> callee"), "caller", "callee", "seconds")
 
 
+def tag_lists_of(spark, sf_dir):
+    """(grp, tags): brands and types of each order's parts, each once, in order. Items go to their order as they are, once."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("p_partkey"))
+    dealt = items.join(parts, "p_partkey").select("grp", "p_brand", "p_type").repartition("grp")
+    return dealt.groupBy("grp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("p_brand", "p_type"))))).alias("tags"))  # an order's items
+
+
 def tags_of(spark, sf_dir):
     """(grp, tag): brands and types of each order's parts, each once."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array("p_brand", "p_type")).alias("tag"))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("p_partkey"))
-    return items.join(parts, "p_partkey").select("grp", "tag").distinct()
+    return tag_lists_of(spark, sf_dir).select("grp", F.explode("tags").alias("tag"))
 
 
 def pairs_of(spark, sf_dir):
-    return S.tag_pairs(tags_of(spark, sf_dir), "grp", "tag")
+    return S.list_pairs(tag_lists_of(spark, sf_dir), "tags")
 
 
 def rows_of(spark, sf_dir):
@@ -246,9 +252,9 @@ rel AS (SELECT id, sum(x) / 2000 AS r FROM x GROUP BY 1)"""
 
 
 def relatedness_of(spark, sf_dir):
-    tags = written(tags_of(spark, sf_dir), "tags")
-    pairs = written(S.tag_pairs(tags, "grp", "tag"), "tag-pairs")
-    labels = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("grp")).join(tags, "grp").select("id", F.col("tag").alias("label")).distinct()
+    lists = written(tag_lists_of(spark, sf_dir), "tag-lists")
+    pairs = written(S.list_pairs(lists, "tags"), "tag-pairs")
+    labels = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("grp")).join(lists, "grp").select("id", F.explode("tags").alias("label"))
     terms = spark.createDataFrame([("ECONOMY",), ("Brand#5",)], "term string")
     return S.relatedness(labels, terms, S.co_occurrence(pairs), pairs)
 

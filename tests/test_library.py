@@ -472,3 +472,14 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_relatedness_reads_labels_once(spark):
+    """A label counts once for a contact however often it comes, and contacts' labels are read by one scan, not one for each kind of relation."""
+    labels = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "b"), (3, "c")], "id long, label string").repartition(2).selectExpr("id", "label", "spark_partition_id() AS place")
+    terms = spark.createDataFrame([("a",)], "term string")
+    related = spark.createDataFrame([("a", "b", 4), ("a", "a", 9)], "tag string, other string, n long")
+    pairs = spark.createDataFrame([("a", "b", 10)], "tag string, related_tag string, value long")
+    found = O.relatedness(labels, terms, related, pairs)
+    assert {r.id: r.r for r in found.collect()} == {1: 1.0, 2: 0.017}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("SPARK_PARTITION_ID") + found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [id") <= 2
