@@ -52,3 +52,25 @@ def test_draw_in_a_document_of_many_words(spark, tmp_path):
     got, want = QUERIES["inverse_cdf_draw"](spark, str(tmp_path)).toPandas(), db.execute(SQL["inverse_cdf_draw"]).df()
     assert len(got) > 10_000
     pd.testing.assert_frame_equal(tidy(got), tidy(want), check_dtype=False)
+
+
+def test_tokens_with_entities_are_not_shuffled(spark, sf):
+    """A vocabulary of known size goes to the tokens, and a document's entities to its text: the only rows dealt out are documents and their entities."""
+    from corpusloom.operators import corpus as C
+    from corpusloom.operators import topics as M
+    from corpusloom.plans import corpus, models
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a vocabulary beyond it
+    try:
+        encoded = C.encode(corpus.tokens_of(spark, sf), corpus.written(corpus.vocabulary_of(spark, sf), "vocabulary"))
+        assert "hashpartitioning(token" not in encoded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    top = spark.createDataFrame([(1, 5, 2), (1, 9, 3), (2, 7, 1)], "doc_id long, entity_id long, cnt long")
+    tokens = spark.createDataFrame([(d, p) for d in (1, 2, 3) for p in range(12)], "doc_id long, pos int")
+    lists = {1: [5, 5, 9, 9, 9], 2: [7]}
+    want = sorted((d, p, (d + p) % 2 if d in lists else 0, lists[d][p % len(lists[d])] if d in lists and (d + p) % 2 else None) for d in (1, 2, 3) for p in range(12))
+    joined = tokens.join(M.entity_lists(top), "doc_id", "left")
+    for rows in (M.switched(joined, models.TOP), M.switched(joined), M.with_entities(tokens, top)):
+        assert sorted(tuple(r) for r in rows.select("doc_id", "pos", "s", "entity_id").collect()) == want
