@@ -1,49 +1,7 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
-
-Every step is an aggregation and a join on node ids; nothing is collected and no group is held in memory. A node
-with very many neighbours is split by the adaptive skew join. Steps are written to the shared folder.
-"""
+"""Connected components, for the operators here."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .shared import written
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of each node with an edge, root the smallest node it can reach, for edges (u, v) of longs.
+from ..operators.components import components
 
-    Loops and repeated edges don't matter; null ends are dropped; an empty table gives an empty table. rounds bounds
-    the loop, which needs about the logarithm of the longest path; more raise an error.
-    """
-    now = written(
-        edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(now)
-    for _ in range(rounds):
-        if before[0] == 0:
-            break
-        now = written(_small_star(_large_star(now)), "edges")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+__all__ = ["components"]

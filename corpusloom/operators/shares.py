@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .components import components
 
 FIELDS = ("name", "email", "number", "address")
 #: Contacts that a task sends on together.
@@ -22,25 +23,28 @@ _TAG = "array<struct<device:string,label:string>>"
 CONTACTS = f"contact long, email string, name string, number string, address string, city string, is_public boolean, labels {_TAG}, groups {_TAG}"
 
 
-def tied(rows: DataFrame, key: str, *names: str, rounds: int = 60) -> DataFrame:
-    """(key, root): rows that share a value in one of the columns, directly or through others, get one root, their least key. Null values tie nothing.
+def _first_value(key: str, *names: str) -> Column:
+    """The name of a row's first value, or one of the row's own where it has none."""
+    return F.coalesce(*(F.when(F.col(n).isNotNull(), F.xxhash64(F.lit(n), F.col(n).cast("string"))) for n in names), F.xxhash64(F.lit("row"), F.col(key)))
+
+
+def grouped(rows: DataFrame, key: str, *names: str, rounds: int = 60) -> DataFrame:
+    """rows with a column root: rows that share a value in one of the columns, directly or through others, have one root. Null values tie nothing.
 
-    Alternating aggregations: each value takes the least root of its rows, each row the least of its values', until nothing moves. A value that very many rows
-    share is one aggregated row, never pairs of rows; each round doubles at least what the last two reached in chains by also asking the root's own root.
+    Values are nodes, and a row ties its own: pairs of values are far fewer and narrower than rows, and a value that very many rows share is one node. Values are named by
+    64-bit hashes; should two ever share a name, their rows have one root as well. Rows come in no order, and rows of one root from many partitions.
     """
-    links = written(rows.select(F.col(key).alias("row"), F.explode(F.array(*(F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}:"), F.col(n).cast("string"))) for n in names))).alias("value")).filter("value is not null").distinct(), "ties")
-    roots = written(rows.select(F.col(key).alias("row"), F.col(key).alias("root")).distinct(), "tied")
-    for _ in range(rounds):
-        of_value = links.join(roots, "row").groupBy("value").agg(F.min("root").alias("root"))
-        of_row = links.join(of_value, "value").groupBy("row").agg(F.min("root").alias("least"))
-        near = roots.join(of_row, "row", "left").select("row", "root", F.least("root", "least").alias("least"))
-        near = written(near, "tied-near")
-        beyond = near.select(F.col("row").alias("least"), F.col("least").alias("beyond"))
-        after = written(near.join(beyond, "least", "left").select("row", F.least("least", "beyond").alias("least"), "root"), "tied")
-        roots = after.select("row", F.col("least").alias("root"))
-        if after.filter("least <> root").isEmpty():
-            return roots.withColumnRenamed("row", key)
-    raise RuntimeError(f"ties did not settle in {rounds} rounds")
+    values = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.xxhash64(F.lit(n), F.col(n).cast("string"))) for n in names)))
+    edges = rows.select(values.alias("v")).filter("size(v) > 1").select(F.col("v")[0].alias("u"), F.explode(F.slice("v", 2, len(names))).alias("v"))
+    least = components(edges, rounds).filter("node <> root").withColumnRenamed("root", "__least")
+    named = rows.withColumn("node", _first_value(key, *names))
+    return named.join(least, "node", "left").withColumn("root", F.coalesce("__least", "node")).drop("node", "__least")
+
+
+def tied(rows: DataFrame, key: str, *names: str, rounds: int = 60) -> DataFrame:
+    """(key, root): rows that are tied as `grouped` has it get one root, their least key."""
+    roots = written(grouped(rows.select(key, *names), key, *names, rounds=rounds).select(key, "root"), "tied")
+    return roots.join(roots.groupBy("root").agg(F.min(key).alias("least")), "root").select(key, F.col("least").alias("root"))
 
 
 class _Book:
@@ -115,12 +119,14 @@ def share_contacts(contacts: DataFrame | None, shares: DataFrame) -> tuple[DataF
     tags = lambda c: F.transform(c, lambda x: F.struct(F.col("device").cast("string").alias("device"), x.cast("string").alias("label"))).alias(c)
     events = shares.select(F.lit(False).alias("known"), F.col("id").cast("long").alias("contact"), *map(text, ("email", "name", "number", "address", "city")), F.lit(None).cast("boolean").alias("is_public"), tags("labels"), tags("groups"))
     old = spark.createDataFrame([], CONTACTS) if contacts is None else contacts
-    rows = written(events.unionByName(old.withColumn("known", F.lit(True))), "shares")
-    roots = tied(rows, "contact", "number", "email")
-    rows = rows.join(roots, "contact")
-    asked = rows.filter("not known").select("root").distinct()
-    reached = rows.join(asked, "root", "left_semi")
-    ordered = reached.repartition("root").sortWithinPartitions("root", F.desc("known"), "contact")
-    changed = ordered.mapInPandas(_fold, CONTACTS)
-    rest = rows.filter("known").join(asked, "root", "left_anti").select([f.name for f in old.schema.fields])
-    return changed, rest
+    rows = grouped(written(events.unionByName(old.withColumn("known", F.lit(True))), "shares"), "contact", "number", "email")
+    if contacts is None:
+        reached, rest = rows, old
+    else:
+        rows = written(rows, "shares-tied")
+        asked = rows.filter("not known").select("root").distinct()
+        reached = rows.join(asked, "root", "left_semi")
+        rest = rows.filter("known").join(asked, "root", "left_anti").select([f.name for f in old.schema.fields])
+    # Written before they are dealt out: behind a join on the root Spark takes the join's partitions for those asked for, and adaptive execution may then read them otherwise.
+    dealt = written(reached, "shares-reached").repartition("root").sortWithinPartitions("root", F.desc("known"), "contact")
+    return dealt.mapInPandas(_fold, CONTACTS), rest

@@ -219,6 +219,25 @@ def test_shares_equal_the_sequence(spark):
     assert contact_rows(H.share_contacts(None, frame(shares[:0]))[0]) == []
 
 
+def test_shares_of_one_component_meet_whatever_join_is_chosen(spark):
+    """Rows of one component stay in one task where a join is found small enough to broadcast only as it runs."""
+    shares = [(*s[:3], f"name{s[0]}", s[4] and f"{s[0] % 40}{s[4]}", *s[5:]) for s in some_shares(3, 3000)]
+    shares = [(*s[:2], s[2] and f"{s[0] % 40}{s[2]}", *s[3:]) for s in shares]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "4000", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1000000", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        frame = lambda rows: spark.createDataFrame(rows, SHARES).repartition(8)
+        assert contact_rows(H.share_contacts(None, frame(shares))[0]) == contacts_in_turn(shares)
+        first = H.share_contacts(None, frame(shares[:2000]))[0]
+        changed, rest = H.share_contacts(first, frame(shares[2000:]))
+        assert contact_rows(changed.unionByName(rest)) == contacts_in_turn(shares)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_share_stream_equals_the_sequence(spark, tmp_path):
     shares, store = some_shares(5, 30), Store(spark, str(tmp_path / "store"))
     ST.share_stream(batches(spark, tmp_path / "in", shares, SHARES, 15), store, str(tmp_path / "c"), 4).awaitTermination()
