@@ -41,7 +41,7 @@ def vocabulary_of(spark, sf_dir) -> DataFrame:
 
 
 def mentions_of(spark, sf_dir) -> DataFrame:
-    return E.merge_runs(E.annotate(docs_of(spark, sf_dir)))
+    return E.mentions_in(E.mention_lists(docs_of(spark, sf_dir)))
 
 
 def flagship(spark, sf_dir) -> DataFrame:
@@ -135,8 +135,8 @@ def tagged_mentions(spark, sf_dir):
 @query(f"""WITH {MENTIONS.replace("length(token) % 3 + 1 ELSE", "CASE WHEN length(token) % 3 = 1 THEN -1 ELSE length(token) % 3 + 1 END ELSE")} SELECT doc_id, ord, value, type FROM mentions""")
 def entity_types_switch(spark, sf_dir):
     """Mentions of persons and organisations only; locations aren't accepted and end runs."""
-    taken = E.accepted(E.annotate(docs_of(spark, sf_dir)), "person", "Organization")
-    return E.merge_runs(taken).select("doc_id", F.col("ord").cast("long").alias("ord"), "value", F.col("type").cast("long").alias("type"))
+    taken = E.mention_lists(docs_of(spark, sf_dir), types=("person", "Organization"))
+    return E.mentions_in(taken).select("doc_id", F.col("ord").cast("long").alias("ord"), "value", F.col("type").cast("long").alias("type"))
 
 
 @query(f"WITH {ENTITIES} SELECT entity_id, value, type, doc_count FROM ents")
@@ -180,7 +180,7 @@ SELECT f.doc_id, f.value, f.type, f.n + CASE WHEN {_in("f.value", "f.value")} TH
 )
 def entity_fold(spark, sf_dir):
     """Mentions of each document folded into their longest forms, in order."""
-    return E.fold_variants(mentions_of(spark, sf_dir)).withColumn("type", F.col("type").cast("long"))
+    return E.fold_listed(E.mention_lists(docs_of(spark, sf_dir))).withColumn("type", F.col("type").cast("long"))
 
 
 @query(

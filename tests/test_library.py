@@ -182,6 +182,42 @@ def test_runs_end_at_documents(spark):
     assert sorted((r.doc_id, r.ord, r.value, r.type) for r in E.merge_runs(df).collect()) == [(1, 0, "A B", 1), (1, 3, "C", 2), (1, 4, "D", 1), (2, 0, "E", 1)]
 
 
+def test_mentions_are_made_where_the_document_is(spark, sf):
+    """The same runs as of tokens in rows, and nothing is dealt out for them or for the fold."""
+    from corpusloom.plans import catalog
+
+    texts = [(1, "Ann Bob x Cat Dogs Abcd Ab"), (2, "Ann"), (3, None), (4, ""), (5, "x 1 y"), (6, "Ann, Bob; Éva Bob\nBob")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = lambda m: sorted((r.doc_id, r.ord, r.value, r.type) for r in m.collect())
+    assert rows(E.mentions_in(E.mention_lists(docs))) == rows(E.merge_runs(E.annotate(docs))) != []
+    assert rows(E.mentions_in(E.mention_lists(docs, types=("location",)))) == rows(E.merge_runs(E.accepted(E.annotate(docs), "location")))
+    for name in ("run_merge_islands", "entity_fold"):
+        assert "Exchange" not in catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fold_by_definition(spark):
+    """Each entity goes on to the next in order that encloses it; whatever its words, also long and empty ones."""
+    import random
+
+    rng = random.Random(9)
+    value = lambda: " ".join(rng.choices(["an", "ann", "anna", "b", "bo", "abcdefghijklmno", "abcdefghijklmnop"], k=rng.randrange(1, 4)))
+    rows = [(d, i, value(), rng.randrange(2)) for d in range(6) for i in range(40)]
+    for same in (True, False):
+        got = {(r.doc_id, r.value, r.type): r.cnt for r in E.fold_variants(spark.createDataFrame(rows, "doc_id long, ord long, value string, type int"), same_type=same).collect()}
+        want = {}
+        for d in range(6):
+            counts, out = {}, {}
+            for e in ((v, k) for x, _, v, k in rows if x == d):
+                counts[e] = counts.get(e, 0) + 1
+            for e in counts:
+                best = e
+                for o in counts:
+                    best = o if o != best and E.longer_form(best, o, same) == o else best
+                out[best] = out.get(best, 0) + counts[e]
+            want |= {(d, *e): n + (counts[e] if E._encloses(e[0], e[0]) else 0) for e, n in out.items()}
+        assert got == want
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "$ a 42 $5m It"), (2, None)], "doc_id long, text string")
     assert [r.token for r in C.tokens(df).orderBy("pos").collect()] == ["$5m", "it"]
