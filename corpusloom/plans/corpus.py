@@ -190,7 +190,7 @@ m AS (SELECT a.doc_id, a.value, a.type, b.value AS other FROM d a JOIN d b USING
 SELECT doc_id, value, type, arg_max(other, (length(other), other)) AS longest FROM m GROUP BY 1, 2, 3"""
 )
 def entity_longest_form(spark, sf_dir):
-    return E.longest_forms(mentions_of(spark, sf_dir)).withColumn("type", F.col("type").cast("long"))
+    return E.longest_listed(E.mention_lists(docs_of(spark, sf_dir))).withColumn("type", F.col("type").cast("long"))
 
 
 @query(

@@ -395,6 +395,12 @@ def test_longest_forms_by_definition(spark):
     assert got == want
 
 
+def test_longest_forms_are_found_where_the_document_is(spark, sf):
+    from corpusloom.plans import catalog
+
+    assert "Exchange" not in catalog.queries()["entity_longest_form"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_calls_by_definition(spark):
     import random
 
