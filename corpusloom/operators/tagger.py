@@ -1,8 +1,8 @@
 """Named entities by a first-order tag model: counts of tags that follow each other and of words and shapes of each tag, and the best path through a document.
 
 Learned from annotated tokens (doc, pos, token, label), such as `entities.annotate_listed` gives for a list of names: words that the list lacks are tagged by their shape
-and their neighbours. Counts are aggregations over all tokens. Tagging brings each token its scores by a join on the word, so the vocabulary may be as large as it
-likes; then documents are rows of arrays and the best paths of a batch of documents are found together, one place of each at a time.
+and their neighbours. Counts are aggregations over all tokens. Documents are rows of arrays from the start: a vocabulary of known size goes to them, and tokens are dealt out
+only for one beyond it. The best paths of some documents are found together, one place of each at a time.
 """
 
 from __future__ import annotations
@@ -12,17 +12,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import written
+from .entities import entity_type
 
 #: Labels by their state: none, other, person, location, organisation.
 LABELS = (-1, 0, 1, 2, 3)
 SHAPES = ("lower", "capital", "upper", "mixed")
 #: Weight of a word's shape against its own count, and of every step between tags beside those that were seen.
 BACK_OFF, STEP = 2.0, 0.5
+#: Words up to which a vocabulary is sent to the documents (about 150 MB), and words of documents whose paths are found together.
+MOST_SENT, TOGETHER = 8_000_000, 1_000_000
 
 
 @dataclass
@@ -43,13 +47,67 @@ def unsure(annotated: DataFrame) -> DataFrame:
     return annotated.withColumn("label", F.when((F.col("label") >= 0) | (shape(F.col("token")) == 0), F.col("label")))
 
 
+def word_lists(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, words): every ASCII word of each text, in order. Null and empty texts have none."""
+    return docs.select(key, T.words(F.col(text), "[A-Za-z]+").alias("words"))
+
+
+def numbered(lists: DataFrame, numbers: DataFrame, key: str = "doc_id", most: int = MOST_SENT) -> DataFrame:
+    """(key, words, found) of lists (key, words) with unique long keys: found has the number of each word in numbers (token, number), null for words without one.
+
+    numbers has each token once. Up to `most` rows go to the documents, which then stay where they are; more are joined to the tokens.
+    """
+    table = written(numbers.select("token", F.col("number").cast("long").alias("number")), "numbers")
+    if table.count() > most:
+        spots = lists.select(key, F.posexplode_outer("words").alias("pos", "token")).join(table, "token", "left")
+        back = spots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "number"))).alias("x"))  # of one document
+        back = back.withColumn("x", F.filter("x", lambda x: x["pos"].isNotNull()))
+        return back.select(key, F.col("x.token").alias("words"), F.col("x.number").alias("found"))
+    rows = table.toArrow().combine_chunks()  # bounded by `most`
+    sent = lists.sparkSession.sparkContext.broadcast((rows["token"].combine_chunks().cast(pa.string()), rows["number"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, value = sent.value
+        value = np.append(value, 0)
+        for batch in batches:
+            words = batch.column(1)
+            at = pc.index_in(words.values, value_set=tokens)
+            missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+            found = pa.array(value[pc.fill_null(at, len(value) - 1).to_numpy()], pa.int64(), mask=missing)
+            yield pa.RecordBatch.from_arrays([batch.column(0), words, pa.ListArray.from_arrays(words.offsets, found)], [key, "words", "found"])
+
+    return lists.select(F.col(key).cast("long").alias(key), "words").mapInArrow(run, f"{key} long, words array<string>, found array<long>")
+
+
+def listed_labels(lists: DataFrame, names: DataFrame, key: str = "doc_id", most: int = MOST_SENT) -> DataFrame:
+    """(key, words, labels) of lists (key, words): unsure(annotate_listed(docs, names)) as arrays."""
+    typed = names.groupBy("token").agg(F.max(entity_type(F.col("type"))).alias("number"))
+    found = numbered(lists, typed, key, most)
+    labels = F.zip_with("words", "found", lambda w, x: F.when((x >= 0) | (shape(w) == 0), F.coalesce(x, F.lit(-1)).cast("int")))
+    return found.select(key, "words", labels.alias("labels"))
+
+
+def _state(label: Column) -> Column:
+    return F.when(label.isNotNull(), F.greatest(F.array_position(F.array(*map(F.lit, LABELS)), label), F.lit(1)) - 1).cast("int")
+
+
 def learn(annotated: DataFrame, key: str = "doc_id") -> Model:
     """A model of all annotated tokens whose label isn't null. Tokens of a document have places of their own; unknown labels count as none. Without tokens all labels are alike."""
-    k = len(LABELS)
-    state = F.when(F.col("label").isNotNull(), F.greatest(F.array_position(F.array(*map(F.lit, LABELS)), F.col("label")), F.lit(1)) - 1)
-    rows = annotated.select(F.col(key).alias("key"), F.col("pos").cast("long").alias("pos"), "token", state.cast("int").alias("state"))
+    rows = annotated.select(F.col(key).alias("key"), F.col("pos").cast("long").alias("pos"), "token", _state(F.col("label")).alias("state"))
     lists = rows.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "state"))), lambda x: x["state"]).alias("s"))  # of one document
-    pairs = lists.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(k)), F.slice("s", 1, F.size("s") - 1)).alias("a"), F.col("s").alias("b"))).alias("p")).filter("p.a is not null and p.b is not null").groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    return _learned(lists, rows.select("token", "state"))
+
+
+def learn_lists(labelled: DataFrame) -> Model:
+    """The same of documents as arrays (words, labels), which stay where they are: only counts of words and of pairs of labels are dealt out."""
+    lists = labelled.select("words", F.transform("labels", _state).alias("s"))
+    return _learned(lists.select("s"), lists.select(F.inline(F.arrays_zip(F.col("words").alias("token"), F.col("s").alias("state")))))
+
+
+def _learned(lists: DataFrame, rows: DataFrame) -> Model:
+    """The model of states: lists has each document's in order (s), rows each token's (token, state)."""
+    k = len(LABELS)
+    pairs = lists.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(k)), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0)))).alias("a"), F.col("s").alias("b"))).alias("p")).filter("p.a is not null and p.b is not null").groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
     steps = np.full((k + 1, k), STEP)
     for r in pairs.collect():  # a row for each two labels
         steps[r.a, r.b] += r.n
@@ -97,24 +155,38 @@ def best_paths(scores: list[np.ndarray], start: np.ndarray, steps: np.ndarray) -
     return paths
 
 
-def tag(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, pos, token, label): every ASCII word of texts with unique long keys, with the label of the best path. Null and empty texts have none."""
-    k = len(LABELS)
-    raw = docs.select(F.col(key).cast("long").alias("key"), F.posexplode(T.words(F.col(text), "[A-Za-z]+")).alias("pos", "token"))
-    other = F.array(*(F.array(*map(F.lit, row)) for row in model.shapes.tolist()))
-    scored = raw.join(model.words, "token", "left").select("key", "pos", "token", F.coalesce("scores", F.get(other, shape(F.col("token")))).alias("scores"))
-    spots = F.array_sort(F.collect_list(F.struct("pos", "token", "scores")))
-    lists = scored.groupBy("key").agg(spots.alias("x")).select("key", F.col("x.pos").alias("pos"), F.col("x.token").alias("token"), F.flatten("x.scores").alias("scores"))
-    start, steps, labels = model.start, model.steps, np.array(LABELS)
+def tag_lists(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", most: int = MOST_SENT) -> DataFrame:
+    """(key, words, labels): every ASCII word of texts with unique long keys, with the labels of the best path, as arrays. Null and empty texts have none.
+
+    Words with the same scores have one number, so a word goes to the documents with a number and the scores of the numbers beside it.
+    """
+    kinds = written(model.words.select("scores").distinct().withColumn("number", F.monotonically_increasing_id()), "tag-scores")
+    found = numbered(word_lists(docs, text, key), model.words.join(kinds, "scores").select("token", "number"), key, most)
+    rows = kinds.orderBy("number").toArrow()  # at most one of each count of a word under each label
+    ids, known = rows["number"].to_numpy(), np.array(rows["scores"].to_pylist(), float).reshape(-1, len(LABELS))
+    sent = docs.sparkSession.sparkContext.broadcast((ids, np.concatenate([known, model.shapes])))
+    start, steps, labels = model.start, model.steps, np.array(LABELS, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = sent.value
         for batch in batches:
-            column = batch.column(3)
-            values, at = column.values.to_numpy(zero_copy_only=False).reshape(-1, k), column.offsets.to_numpy() // k
-            paths = best_paths([values[a:b] for a, b in zip(at, at[1:], strict=False)], start, steps)
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
-            found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(labels[np.concatenate([np.zeros(0, np.int64), *paths])].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), found], ["key", "pos", "token", "label"])
-
-    tagged = lists.mapInArrow(run, "key long, pos array<int>, token array<string>, label array<int>")
-    return tagged.select(F.col("key").alias(key), F.inline(F.arrays_zip("pos", "token", "label")))
+            offsets = batch.column(1).offsets.to_numpy()
+            number, shapes = batch.column(2).values, batch.column(3).values.to_numpy()
+            at = np.where(pc.is_null(number).to_numpy(zero_copy_only=False), len(ids) + shapes, np.searchsorted(ids, pc.fill_null(number, 0).to_numpy()))
+            done = 0
+            while done < batch.num_rows:
+                end = max(done + 1, int(np.searchsorted(offsets, offsets[done] + TOGETHER, "right")) - 1)
+                spots = offsets[done : end + 1]
+                paths = best_paths([scores[at[a:b]] for a, b in zip(spots, spots[1:], strict=False)], start, steps)
+                best = pa.ListArray.from_arrays(pa.array(spots - spots[0], pa.int32()), pa.array(labels[np.concatenate([np.zeros(0, np.int64), *paths])]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, end - done), batch.column(1).slice(done, end - done), best], [key, "words", "labels"])
+                done = end
+
+    shaped = found.select(F.col(key).cast("long").alias(key), "words", "found", F.transform("words", shape).alias("shapes"))
+    return shaped.mapInArrow(run, f"{key} long, words array<string>, labels array<int>")
+
+
+def tag(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, pos, token, label): tag_lists with a row a word."""
+    rows = tag_lists(docs, model, text, key).select(key, F.posexplode(F.arrays_zip("words", "labels")).alias("pos", "x"))
+    return rows.select(key, "pos", F.col("x.words").alias("token"), F.col("x.labels").alias("label"))

@@ -128,8 +128,8 @@ def tagged_mentions(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     often = E.annotate(docs).filter("label >= 0").groupBy("token", "label").agg(F.count("*").alias("n")).filter("n >= 5")
     names = often.select("token", F.get(F.array(F.lit("OTHER"), F.lit("PERSON"), F.lit("LOCATION"), F.lit("ORGANIZATION")), F.col("label")).alias("type"))
-    tagged = written(G.tag(docs, G.learn(G.unsure(E.annotate_listed(docs, written(names, "names"))))), "tagged")
-    return E.merge_runs(tagged).select("doc_id", F.col("ord").cast("long").alias("ord"), "value", F.col("type").cast("long").alias("type"))
+    model = G.learn_lists(G.listed_labels(G.word_lists(docs), names))
+    return E.mentions_in(E.run_lists(G.tag_lists(docs, model))).select("doc_id", F.col("ord").cast("long").alias("ord"), "value", F.col("type").cast("long").alias("type"))
 
 
 @query(f"""WITH {MENTIONS.replace("length(token) % 3 + 1 ELSE", "CASE WHEN length(token) % 3 = 1 THEN -1 ELSE length(token) % 3 + 1 END ELSE")} SELECT doc_id, ord, value, type FROM mentions""")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import entities as E
 from corpusloom.operators import tagger as G
@@ -65,3 +66,28 @@ def test_names_that_the_list_lacks(spark):
     lines = {(d, p): t for d, text in rows for p, t in enumerate(text.split())}
     of_list = [got[k] == truth[k] for k, t in lines.items() if t in by_list]
     assert f1 > 0.95 and np.mean(of_list) > 0.95
+
+
+def test_documents_stay_where_they_are(spark, sf):
+    """Arrays give what rows give, with a vocabulary of known size, for which no token is dealt out, and with one beyond it."""
+    from corpusloom.plans import corpus
+
+    docs = corpus.docs_of(spark, sf).unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "12 !")], "doc_id long, text string"))
+    names = spark.createDataFrame([("The", "person"), ("In", "location"), ("the", "ORGANIZATION"), ("In", "person")], "token string, type string")
+    old = G.unsure(E.annotate_listed(docs, names))
+    rows = lambda d, label: sorted(map(tuple, d.select("doc_id", F.posexplode(F.arrays_zip("words", label)).alias("pos", "x")).select("doc_id", "pos", "x.*").collect()), key=str)
+    want = sorted(map(tuple, old.select("doc_id", "pos", "token", "label").collect()), key=str)
+    for most in (G.MOST_SENT, 0):
+        assert rows(G.listed_labels(G.word_lists(docs), names, most=most), "labels") == want
+    one, two = G.learn(old), G.learn_lists(G.listed_labels(G.word_lists(docs), names))
+    np.testing.assert_array_equal(one.steps, two.steps)
+    np.testing.assert_array_equal(one.shapes, two.shapes)
+    assert sorted(map(tuple, one.words.collect()), key=str) == sorted(map(tuple, two.words.collect()), key=str)
+    tagged = G.tag_lists(docs, two)
+    assert "Exchange" not in tagged._jdf.queryExecution().executedPlan().toString()
+    assert rows(tagged, "labels") == rows(G.tag_lists(docs, two, most=0), "labels")
+    together, G.TOGETHER = G.TOGETHER, 50
+    try:
+        assert rows(tagged, "labels") == rows(G.tag_lists(docs, two), "labels")
+    finally:
+        G.TOGETHER = together
