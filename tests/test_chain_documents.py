@@ -90,3 +90,14 @@ def test_draws_are_even_and_of_their_document_alone():
     assert abs(np.corrcoef(u[:20_000], u[20_000:])[0, 1]) < 0.03 and abs(np.corrcoef(u[:-1], u[1:])[0, 1]) < 0.03
     assert (S.fast_uniforms(1, 2, 0, ids[2:], length[2:]) == u[20_000:]).all()
     assert all((S.fast_uniforms(*other, ids, length) != u).mean() > 0.99 for other in ((2, 2, 0), (1, 3, 0), (1, 2, 1)))
+
+
+def test_the_event_model_takes_all_entities(spark, tmp_path, monkeypatch):
+    texts(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    took = []
+    monkeypatch.setattr(S, "over_documents", lambda docs, chains, out=None: took.append((chains[0].model, rows_of(docs))) or spark.createDataFrame([(0, 1)], "config int, z long"))
+    models.gibbs_event(spark, str(tmp_path))
+    models.gibbs_entity_v1(spark, str(tmp_path))
+    (event, every), (model, four) = took
+    assert event == "event" and [len(r[3]) for r in every if r[0] == 2] == [5] and [sum(r[4]) for r in every if r[0] == 2] == [6]
+    assert model == "entity_1" and [len(r[3]) for r in four if r[0] == 2] == [4]
