@@ -161,6 +161,29 @@ def test_a_round_of_calls_writes_what_was_found(spark, monkeypatch):
     assert counts[0] == len(calls) and max(counts[1:]) < 160
 
 
+def test_logs_that_no_call_asks_for_stay_out_of_the_join(spark, monkeypatch):
+    """Calls of unknown devices to a known number wait by the hundred, but only what the number's owner did is asked for."""
+    calls, rows, keep = [(0, 0, 8, 1, 0)] + [(i, 5 + i % 50, 0, i % 3, i * 10) for i in range(1, 300)], {}, C.written
+    monkeypatch.setattr(C, "written", lambda df, name: rows.setdefault(name, []).append(keep(df, name)) or rows[name][-1])
+    got = C.resolve_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([(0, 0)], "device long, number long"), tolerance=1500)
+    edges, number, waiting = calls_in_turn(calls, [(0, 0)], 1500)
+    assert {(r.src, r.dst): (r.calls, round(r.minutes, 6)) for r in got.edges.collect()} == edges and len(edges) > 1
+    assert sorted(map(tuple, got.waiting.collect())) == waiting
+    assert rows["calls-logs"][0].count() == 1 and max(df.count() for df in rows["calls-asked"]) <= 2
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_rounds_ask_again_from_the_first_call_that_changed(spark, monkeypatch, sent):
+    monkeypatch.setattr(C, "MOST_SENT", sent)
+    calls, known, settled, find = some_calls(7, 120), [(0, 0), (1, 1), (2, 2)], [], C._settled
+    monkeypatch.setattr(C, "_settled", lambda last, now: settled.append(find(last, now)) or settled[-1])
+    got = C.resolve_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(known, "device long, number long"), tolerance=1500)
+    edges, number, waiting = calls_in_turn(calls, known, 1500)
+    assert {(r.src, r.dst): (r.calls, round(r.minutes, 6)) for r in got.edges.collect()} == edges
+    assert dict(known) | {r.device: r.number for r in got.learned.collect()} == number and sorted(map(tuple, got.waiting.collect())) == waiting
+    assert len(settled) > 3 and settled[-1] is None and settled[:-1] == sorted(settled[:-1])
+
+
 def test_call_stream_equals_the_sequence(spark, tmp_path):
     """Batches cut the sequence anywhere; a batch that comes again changes nothing."""
     calls, known = some_calls(3, 60), [(0, 0), (1, 1), (2, 2)]
